@@ -23,6 +23,11 @@ THRESHOLD_LOW, THRESHOLD_HIGH = 0.3, 0.7  # below: unmodified; at or above: modi
 _EXCLUDED = FLAG_UNMAPPED | FLAG_SECONDARY | FLAG_SUPPLEMENTARY
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_primary_mapped(flag: Column) -> Column:
     """Duplicates, QC failures and mapping quality are deliberately not looked at."""
     return flag.bitwiseAND(F.lit(_EXCLUDED)) == 0
@@ -101,21 +106,23 @@ def parse_mm(mm: Column, single_numeric_code: bool = True) -> Column:
             deltas.alias("deltas"),
         )
 
-    groups = F.transform(heads, group)
-    return F.transform(
-        groups,
-        lambda g, i: F.struct(
-            g["base"].alias("base"),
-            g["implicit"].alias("implicit"),
-            g["n_codes"].alias("n_codes"),
-            g["deltas"].alias("deltas"),
-            F.aggregate(
-                F.slice(groups, F.lit(1), i),
-                F.lit(0).cast("bigint"),
-                lambda acc, h: acc + F.size(h["deltas"]) * h["n_codes"],
-            ).alias("ml_start"),
-        ),
-    )
+    def placed(groups: Column) -> Column:
+        return F.transform(
+            groups,
+            lambda g, i: F.struct(
+                g["base"].alias("base"),
+                g["implicit"].alias("implicit"),
+                g["n_codes"].alias("n_codes"),
+                g["deltas"].alias("deltas"),
+                F.aggregate(
+                    F.slice(groups, F.lit(1), i),
+                    F.lit(0).cast("bigint"),
+                    lambda acc, h: acc + F.size(h["deltas"]) * h["n_codes"],
+                ).alias("ml_start"),
+            ),
+        )
+
+    return let(F.transform(heads, group), placed)
 
 
 def mm_codes(mm: Column) -> Column:
@@ -196,26 +203,23 @@ def call_score(groups: Column, ml: Column, ordinal: Column) -> Column:
     Methylation kinds are added together. Bytes are summed as integers and the sum stops at 256 (= 1.0),
     which is exact.
     """
-    hits = F.filter(
-        F.transform(
-            F.filter(groups, lambda g: g["base"] == "C"),
-            lambda g: F.struct(g.alias("g"), delta_index(g["deltas"], ordinal).alias("k")),
-        ),
-        lambda h: h["k"].isNotNull(),
-    )
-    bytes_ = F.flatten(
-        F.transform(
-            hits,
-            lambda h: F.transform(
-                F.sequence(F.lit(0), h["g"]["n_codes"] - 1),
-                lambda c: byte_at(ml, h["g"]["ml_start"] + h["k"] * h["g"]["n_codes"] + c),
-            ),
-        )
-    )
-    present = F.filter(bytes_, lambda b: b.isNotNull())
-    return F.when(
-        F.size(present) > 0, F.least(F.lit(256), F.aggregate(present, F.lit(0), lambda a, b: a + b))
-    )
+
+    def of_group(total: Column, g: Column) -> Column:
+        def add(k: Column) -> Column:
+            at = g["ml_start"] + k * g["n_codes"]
+            return F.aggregate(
+                F.sequence(F.lit(0), g["n_codes"] - 1),
+                total,
+                lambda acc, c: let(
+                    byte_at(ml, at + c), lambda b: F.when(b.isNull(), acc).otherwise(F.coalesce(acc, F.lit(0)) + b)
+                ),
+            )
+
+        return let(delta_index(g["deltas"], ordinal), lambda k: F.when(k.isNull(), total).otherwise(add(k)))
+
+    cytosine = F.filter(groups, lambda g: g["base"] == "C")
+    total = F.aggregate(cytosine, F.lit(None).cast("int"), of_group)
+    return let(total, lambda t: F.when(t > 256, 256).otherwise(t))
 
 
 def call(score: Column, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH) -> Column:
@@ -223,3 +227,11 @@ def call(score: Column, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH
     p = score.cast("double") / 256.0
     f32 = lambda v: F.lit(v).cast("float").cast("double")
     return F.when(p >= f32(high), True).when(p < f32(low), False)
+
+
+def outcome(score: Column, low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH) -> Column:
+    """1 = modified, -1 = unmodified, 0 = between the thresholds; null where there is no score."""
+    return let(
+        call(score, low, high),
+        lambda m: F.when(score.isNull(), F.lit(None)).when(m.isNull(), 0).when(m, 1).otherwise(-1).cast("tinyint"),
+    )

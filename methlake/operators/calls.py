@@ -42,12 +42,13 @@ def read_calls(
     width: int = READ_BIN,
     single_numeric_code: bool = True,
 ) -> DataFrame:
-    """Calls of aligned reads at probes: the read's columns are (contig, pos, flag, l_seq, cigar, seq, mm, ml).
+    """Outcome of every (aligned read, probe inside its span): 1, -1, 0, or null where nothing is called.
 
-    Only probes inside a read's span are looked at. Each is mapped through the CIGAR to one read base, and
-    that base's ordinal among the read's cytosines is looked up in the tag. When the probes are broadcast
-    this is one pipelined stage: sequences are never shuffled.
-    Result: probe_id, is_mod (null = between the thresholds), plus any `sample_id` of the reads.
+    reads: contig, pos, flag, l_seq, cigar, seq, mm, ml (+ sample_id); probes: contig, pos, cg_id.
+    Only probes inside a read's span are looked at. Each is mapped through the CIGAR to one read base, and that
+    base's ordinal among the read's cytosines is looked up in the tag. With the probes broadcast this is one
+    pipelined stage: sequences are never shuffled. Rows without a call are left for the aggregate to ignore,
+    because a filter here would be copied into the join condition together with the whole decode.
     """
     sample = [c for c in ("sample_id",) if c in reads.columns]
     prepared = reads.select(
@@ -61,45 +62,43 @@ def read_calls(
         F.hex("seq").alias("seq"),
         R.parse_mm(F.col("mm"), single_numeric_code).alias("groups"),
         "ml",
-    ).filter("ref_end > ref_start")
+    )
     pairs = read_probe_pairs(prepared, probes, width)
-    offset = R.read_offset_at(F.col("cigar"), site_on_read(F.col("pos"), F.col("is_reverse")) - F.col("ref_start"))
-    placed = pairs.withColumn("q", offset).filter(F.col("q").isNotNull() & (F.col("q") < F.col("l_seq")))
     # a reverse alignment stores the reverse complement: its cytosines are the stored G's, from the end
-    symbol = F.when(F.col("is_reverse"), "4").otherwise("2")  # codes of G and C
+    symbol = F.when(F.col("is_reverse"), "4").otherwise("2")  # 4-bit codes of G and C
     stored = F.substr("seq", F.lit(1), F.col("l_seq").cast("int"))
-    on_cytosine = F.substr("seq", (F.col("q") + 1).cast("int"), F.lit(1)) == symbol
-    c_groups = F.filter("groups", lambda g: g["base"] == "C")
-    any_implicit = F.exists(c_groups, lambda g: g["implicit"])
-    scored = (
-        placed.filter(on_cytosine & (F.size(c_groups) > 0))
-        .withColumn("ordinal", R.base_ordinal(stored, F.col("q"), symbol, F.col("is_reverse")))
-        .withColumn("score", R.call_score(F.col("groups"), F.col("ml"), F.col("ordinal")))
-        .filter(F.col("score").isNotNull() | any_implicit)
-    )
-    return scored.select(
-        *sample, F.col("cg_id").alias("probe_id"), R.call(F.coalesce("score", F.lit(0)), low, high).alias("is_mod")
+    any_implicit = F.exists("groups", lambda g: (g["base"] == "C") & g["implicit"])
+
+    def at_base(q: Column) -> Column:
+        on_cytosine = (q < F.col("l_seq")) & (F.substr("seq", (q + 1).cast("int"), F.lit(1)) == symbol)
+        score = R.let(
+            R.base_ordinal(stored, q, symbol, F.col("is_reverse")),
+            lambda ordinal: R.call_score(F.col("groups"), F.col("ml"), ordinal),
+        )
+        return F.when(on_cytosine, R.let(score, lambda s: F.when(s.isNotNull(), s).when(any_implicit, 0)))
+
+    site = site_on_read(F.col("pos"), F.col("is_reverse"))
+    score = R.let(R.read_offset_at(F.col("cigar"), site - F.col("ref_start")), lambda q: F.when(q.isNotNull(), at_base(q)))
+    return pairs.select(
+        *sample, F.col("cg_id").alias("probe_id"), R.let(score, lambda s: R.outcome(s, low, high)).alias("outcome")
     )
 
 
 def tally(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Exact modified / unmodified counters; partial sums are combined before the shuffle."""
-    return (
-        calls.filter(F.col("is_mod").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count_if("is_mod").alias("n_mod"),
-            F.count_if(~F.col("is_mod")).alias("n_unmod"),
-        )
+    counts = calls.groupBy(*keys).agg(
+        F.count_if(F.col("outcome") == 1).alias("n_mod"), F.count_if(F.col("outcome") == -1).alias("n_unmod")
     )
+    return counts.filter(F.col("n_mod") + F.col("n_unmod") > 0)
 
 
 def call_totals(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Calls kept, calls between the thresholds, and distinct probes covered."""
+    called = F.col("outcome") != 0
     return calls.groupBy(*keys).agg(
-        F.count("is_mod").alias("n_called"),
-        F.count_if(F.col("is_mod").isNull()).alias("n_filtered"),
-        F.countDistinct(F.when(F.col("is_mod").isNotNull(), F.col("probe_id"))).alias("n_covered"),
+        F.count_if(called).alias("n_called"),
+        F.count_if(F.col("outcome") == 0).alias("n_filtered"),
+        F.countDistinct(F.when(called, F.col("probe_id"))).alias("n_covered"),
     )
 
 

@@ -192,3 +192,16 @@ def ordered_issues(issues: DataFrame) -> DataFrame:
     """Issues of each file by descending level, as one array per file."""
     w = F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("o"), "level", "code", "message")))
     return issues.groupBy("path").agg(w.alias("issues"))
+
+
+def mapped_on(index: DataFrame, contigs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mapped): reads an index counts on the given references. index: keys, rid, mapped."""
+    marked = index.join(contigs.select("rid", F.lit(True).alias("wanted")), "rid", "left")
+    return marked.groupBy(*keys).agg(F.sum(F.when(F.col("wanted"), F.col("mapped")).otherwise(0)).alias("mapped"))
+
+
+def malformed_aux(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Primary mapped reads whose optional fields do not parse, and those that do."""
+    return reads.filter(R.is_primary_mapped(F.col("flag"))).groupBy(*keys).agg(
+        F.count_if(~F.col("aux_ok")).alias("n_bad_aux"), F.count_if("aux_ok").alias("n_usable")
+    )

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from methlake.functions.reads import let
+
 ROOT = "ROOT"
 DEFAULT_THRESHOLD = 0.5  # of a depth without a calibrated one
 
@@ -17,7 +19,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     return nodes.sparkSession.sql(
         """
         WITH RECURSIVE down(node, trail) AS (
-            SELECT node, array(node) FROM {nodes} WHERE parent = {root}
+            SELECT node, array(node) FROM {nodes} WHERE parent = 'ROOT'
             UNION ALL
             SELECT n.node, concat(d.trail, array(n.node)) FROM {nodes} n JOIN down d ON n.parent = d.node
         )
@@ -25,7 +27,6 @@ def paths(nodes: DataFrame) -> DataFrame:
         FROM down LATERAL VIEW posexplode(trail) t AS i, a
         """,
         nodes=nodes,
-        root=F.lit(ROOT),
     )
 
 
@@ -187,15 +188,12 @@ def descend_arrays(
     )
     p = F.col(probs)
 
+    def mass(child: Column) -> Column:
+        return F.aggregate(child["leaf"], F.lit(0.0), lambda a, i: a + F.get(p, i).cast("double"))
+
     def best_child(kids: Column) -> Column:
-        weighed = F.transform(
-            kids,
-            lambda k: F.struct(
-                (-F.aggregate(k["leaf"], F.lit(0.0), lambda a, i: a + F.get(p, i).cast("double"))).alias("neg"),
-                k["node"].alias("node"),
-            ),
-        )
-        return F.array_min(weighed)
+        """(-mass, node) of the heaviest child: the least such pair, so ties go to the first name."""
+        return F.array_min(F.transform(kids, lambda k: F.struct((-mass(k)).alias("neg"), k["node"].alias("node"))))
 
     tau_of = F.create_map(*[x for d, t in thresholds.items() for x in (F.lit(int(d)), F.lit(float(t)))]) if thresholds else None
 
@@ -203,16 +201,26 @@ def descend_arrays(
         level = F.lit(DEFAULT_THRESHOLD)
         return F.coalesce(F.element_at(tau_of, depth), level) if tau_of is not None else level
 
+    def single(x: Column) -> Column:
+        return x.cast("float").cast("double")
+
     def step(trail: Column, depth: Column) -> Column:
-        kids = F.element_at(child_map, _last_node(trail))
-        pick = best_child(kids)
-        mass = -pick["neg"]
-        f32 = lambda c: c.cast("float").cast("double")
-        met = (f32(mass) >= f32(tau(depth))) & F.coalesce(F.get(trail, F.size(trail) - 1)["met"], F.lit(True))
-        entry = F.struct(
-            depth.alias("depth"), pick["node"].alias("node"), mass.alias("p"), tau(depth).alias("tau"), met.alias("met")
+        def entry(pick: Column) -> Column:
+            so_far = F.coalesce(F.get(trail, F.size(trail) - 1)["met"], F.lit(True))
+            return F.struct(
+                depth.alias("depth"),
+                pick["node"].alias("node"),
+                (-pick["neg"]).alias("p"),
+                tau(depth).alias("tau"),
+                (so_far & (single(-pick["neg"]) >= single(tau(depth)))).alias("met"),
+            )
+
+        return let(
+            F.element_at(child_map, _last_node(trail)),
+            lambda kids: F.when(
+                kids.isNotNull(), F.concat(trail, F.array(let(best_child(kids), entry)))
+            ).otherwise(trail),
         )
-        return F.when(kids.isNotNull(), F.concat(trail, F.array(entry))).otherwise(trail)
 
     return predictions.withColumn(
         "steps",

@@ -12,12 +12,13 @@ from methlake.operators import references as REF
 from methlake.plans import shapes
 from methlake.plans.registry import query, table
 from methlake.plans.shapes import CALLS_SQL, PROBES_SQL, READS_SQL
+from methlake.session import spread
 
 PAIR_BIN = 32  # spans here are at most 50 long
 
 
 def _calls(spark, sf) -> DataFrame:
-    return shapes.scores(spark, sf).withColumn("is_mod", R.call(F.col("ml"))).withColumn("probe_id", F.col("probe"))
+    return shapes.scores(spark, sf).withColumn("outcome", R.outcome(F.col("ml"))).withColumn("probe_id", F.col("probe"))
 
 
 @query(
@@ -79,7 +80,8 @@ def read_probe_reverse_shift(spark, sf):
     f"""SELECT sample_id, ml, is_mod, CAST(count(*) AS BIGINT) AS n FROM ({CALLS_SQL}) c GROUP BY 1, 2, 3""",
 )
 def call_thresholds(spark, sf):
-    return _calls(spark, sf).groupBy("sample_id", "ml", "is_mod").agg(F.count("*").alias("n"))
+    called = shapes.scores(spark, sf).withColumn("is_mod", R.call(F.col("ml")))
+    return called.groupBy("sample_id", "ml", "is_mod").agg(F.count("*").alias("n"))
 
 
 _TALLY_SQL = f"""SELECT probe, CAST(count(*) FILTER (WHERE is_mod) AS BIGINT) AS n_mod,
@@ -225,7 +227,7 @@ def read_calls_full(spark, sf):
             F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
         ).alias("ml"),
     )
-    return C.tally(C.read_calls(reads, shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
+    return C.tally(C.read_calls(spread(reads), shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
 
 
 # ---- read expressions -------------------------------------------------------------------------------

@@ -46,3 +46,9 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=eager)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a scan at least one task per core; a scan of many splits is left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
