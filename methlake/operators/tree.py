@@ -14,8 +14,13 @@ ROOT = "ROOT"
 DEFAULT_THRESHOLD = 0.5  # of a depth without a calibrated one
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(node, ancestor, depth_of_ancestor, depth): every node with itself and each ancestor below the root."""
+def paths(nodes: DataFrame, height: int | None = None) -> DataFrame:
+    """(node, ancestor, depth_of_ancestor, depth): every node with itself and each ancestor below the root.
+
+    With the height known the walk is unrolled into that many joins of one plan; otherwise it recurses.
+    """
+    if height is not None:
+        return _unrolled_paths(nodes, height)
     return nodes.sparkSession.sql(
         """
         WITH RECURSIVE down(node, trail) AS (
@@ -30,17 +35,29 @@ def paths(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _unrolled_paths(nodes: DataFrame, height: int) -> DataFrame:
+    level = nodes.filter(F.col("parent") == ROOT).select("node", F.array("node").alias("trail"))
+    every = level
+    for _ in range(1, height):
+        above = level.select(F.col("node").alias("parent"), "trail")
+        level = nodes.join(above, "parent").select("node", F.concat("trail", F.array("node")).alias("trail"))
+        every = every.unionByName(level)
+    return every.select("node", F.posexplode("trail").alias("i", "ancestor"), F.size("trail").alias("depth")).select(
+        "node", "ancestor", (F.col("i") + 1).alias("depth_of_ancestor"), "depth"
+    )
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes without children."""
     parents = nodes.select(F.col("parent").alias("node")).distinct()
     return nodes.join(parents, "node", "left_anti").select("node")
 
 
-def leaf_closure(nodes: DataFrame) -> DataFrame:
+def leaf_closure(nodes: DataFrame, height: int | None = None) -> DataFrame:
     """(node, leaf, depth): the leaves under every node, a leaf under itself; depth is the node's."""
     ends = leaves(nodes).withColumnRenamed("node", "leaf")
     return (
-        paths(nodes)
+        paths(nodes, height)
         .withColumnRenamed("node", "leaf")
         .join(ends, "leaf")
         .select(F.col("ancestor").alias("node"), "leaf", F.col("depth_of_ancestor").alias("depth"))
@@ -74,10 +91,12 @@ def expand_labels(labels: DataFrame, nodes: DataFrame, classes: DataFrame) -> Da
     return labels.join(named.unionByName(below).drop("rank"), "label", "left")
 
 
-def node_mass(leaf_mass: DataFrame, nodes: DataFrame, keys: list[str], value: str = "p") -> DataFrame:
+def node_mass(
+    leaf_mass: DataFrame, nodes: DataFrame, keys: list[str], value: str = "p", height: int | None = None
+) -> DataFrame:
     """(keys, node, depth, value): summed mass of the leaves under every node. Unlisted leaves weigh nothing."""
     return (
-        leaf_mass.join(leaf_closure(nodes), "leaf")
+        leaf_mass.join(leaf_closure(nodes, height), "leaf")
         .groupBy(*keys, "node", "depth")
         .agg(F.sum(value).alias(value))
     )
@@ -97,7 +116,7 @@ def descend(
     an expression over that map: the number of shuffles does not depend on the height of the tree.
     One row per step: keys, depth, node, value, tau, met. A step counts as met only if all before it are.
     """
-    mass = node_mass(leaf_mass, nodes, keys, value)
+    mass = node_mass(leaf_mass, nodes, keys, value, height)
     best = (
         mass.join(nodes, "node")
         .groupBy(*keys, "parent")

@@ -71,7 +71,7 @@ def _shares(spark, sf) -> DataFrame:
     _NODE_SQL + "SELECT sample_id, node, CAST(depth AS INT) AS depth, CAST(cents AS BIGINT) AS cents FROM node",
 )
 def tree_rollup(spark, sf):
-    return TR.node_mass(_shares(spark, sf), shapes.nodes(spark, sf), ["sample_id"], "cents")
+    return TR.node_mass(_shares(spark, sf), shapes.nodes(spark, sf), ["sample_id"], "cents", height=2)
 
 
 _DESCENT_SQL = _NODE_SQL + """, best AS (SELECT *, row_number() OVER (PARTITION BY sample_id, parent ORDER BY cents DESC, node) AS k FROM node),

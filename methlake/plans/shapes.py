@@ -36,6 +36,12 @@ UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regio
 """
 
 
+def uniform_sql(seed: str, *keys: str) -> str:
+    """The SQL spelling of `functions.numeric.uniform`."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"(CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"
+
+
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     flag = (

@@ -14,10 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from methlake.functions.numeric import uniform
+from methlake.operators.ordered import row_ordinal
 from methlake.training.depth import TABLE_BINS
 from methlake.training.purity import TOP_CODE
 
 
+SHUFFLE_BLOCKS = 4096  # blocks an epoch's order is sorted in
+
+
 @dataclass(frozen=True)
 class AugmentConfig:
     nano_prob: float = 0.5
@@ -37,6 +41,29 @@ def epoch_order(pairs: DataFrame, seed: int, epoch: int) -> Column:
     return uniform(f"{seed}:{epoch}", F.col("row"), F.col("coverage"))
 
 
+def epoch_batches(pairs: DataFrame, batch_size: int, seed: int, epoch: int) -> DataFrame:
+    """Pairs in the epoch's shuffled order, cut into full batches (a last partial one is dropped): adds `batch`.
+
+    The order value is split into blocks, so no task ever sorts the whole epoch; only block totals are carried.
+    """
+    keyed = pairs.withColumn("_all", F.lit(0)).withColumn(
+        "_key", (epoch_order(pairs, seed, epoch) * float(1 << 52)).cast("bigint")
+    )
+    ranked = row_ordinal(keyed, ["_all"], "_key", "_rank", block=(1 << 52) // SHUFFLE_BLOCKS)
+    n = pairs.agg(F.floor(F.count("*") / batch_size).alias("_full"))
+    return (
+        ranked.withColumn("batch", F.floor(F.col("_rank") / batch_size))
+        .crossJoin(n)  # one row
+        .filter("batch < _full")
+        .drop("_all", "_key", "_rank", "_full")
+    )
+
+
+def dropout_scale(u: Column, p: float) -> Column:
+    """Factor of one activation: zero with probability p, else the inverse of the kept share."""
+    return F.when(u >= p, 1.0 / (1.0 - p)).otherwise(0.0)
+
+
 def cosine_rate(lr: float, epoch: Column, t_max: int) -> Column:
     return F.lit(lr) * 0.5 * (1 + F.cos(F.pi() * epoch / t_max))
 
