@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from methlake.functions.binding import let
+
 LAYER_NORM_EPS = 1e-5
 MASK_PENALTY = 1e4  # subtracted from the logit of a class outside the allowed set
 
@@ -21,16 +23,21 @@ def l2_norm(a: Column) -> Column:
 
 
 def logsumexp(a: Column) -> Column:
-    top = F.array_max(a).cast("double")
-    return top + F.ln(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top)))
+    return let(
+        F.array_max(a).cast("double"),
+        lambda top: top + F.ln(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x.cast("double") - top))),
+    )
 
 
-def softmax(a: Column, temperature: Column | float = 1.0) -> Column:
-    """Row softmax of a / temperature, shifted by its maximum."""
+def log_softmax(a: Column, temperature: Column | float = 1.0) -> Column:
+    """Log of the row softmax of a / temperature, shifted by its maximum."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     scaled = F.transform(a, lambda x: x.cast("double") / t)
-    norm = logsumexp(scaled)
-    return F.transform(scaled, lambda x: F.exp(x - norm))
+    return let(scaled, lambda s: let(logsumexp(s), lambda norm: F.transform(s, lambda x: x - norm)))
+
+
+def softmax(a: Column, temperature: Column | float = 1.0) -> Column:
+    return F.transform(log_softmax(a, temperature), lambda x: F.exp(x))
 
 
 def set_nll(logits: Column, mask: Column) -> Column:
@@ -58,9 +65,14 @@ def silu(x: Column) -> Column:
 def layer_norm(a: Column, gain: Column | None = None, shift: Column | None = None) -> Column:
     """(a - mean) / sqrt(biased variance + eps), optionally times gain plus shift."""
     n = F.size(a).cast("double")
-    mean = array_sum(a) / n
-    var = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
-    out = F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + LAYER_NORM_EPS))
+    centred = let(array_sum(a) / n, lambda mean: F.transform(a, lambda x: x.cast("double") - mean))
+    out = let(
+        centred,
+        lambda c: let(
+            F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x) / n + LAYER_NORM_EPS),
+            lambda sd: F.transform(c, lambda x: x / sd),
+        ),
+    )
     if gain is not None:
         out = F.zip_with(out, gain, lambda x, g: x * g)
     if shift is not None:
@@ -68,6 +80,21 @@ def layer_norm(a: Column, gain: Column | None = None, shift: Column | None = Non
     return out
 
 
+def kd_loss(z: Column, log_t: Column, temperature: float) -> Column:
+    """T^2 times the divergence of softened predictions from softened targets, per row."""
+    terms = F.zip_with(
+        softmax(log_t, temperature),
+        log_softmax(z, temperature),
+        lambda t, lp: t * (F.ln(t + 1e-12) - lp),
+    )
+    return array_sum(terms) * float(temperature) ** 2
+
+
+def level_cross_entropy(target_mass: Column, predicted_mass: Column, weight: float) -> Column:
+    """One node's share of the hierarchy loss: -weight * q * ln(max(p, 1e-8))."""
+    return -weight * target_mass * F.ln(F.greatest(predicted_mass, F.lit(1e-8)))
+
+
 def uniform(seed: int | str, *keys: Column) -> Column:
     """A uniform draw in [0, 1) that depends only on the seed and the keys.
 

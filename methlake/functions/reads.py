@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from methlake.functions.binding import let
+
 # ---- fixed values: alignment format -------------------------------------------------------------
 FLAG_UNMAPPED, FLAG_REVERSE, FLAG_SECONDARY, FLAG_SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x800
 BASE_CODES = "=ACMGRSVTWYHKDBN"          # letter of each 4-bit code, in code order
@@ -23,11 +25,6 @@ THRESHOLD_LOW, THRESHOLD_HIGH = 0.3, 0.7  # below: unmodified; at or above: modi
 _EXCLUDED = FLAG_UNMAPPED | FLAG_SECONDARY | FLAG_SUPPLEMENTARY
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def is_primary_mapped(flag: Column) -> Column:
     """Duplicates, QC failures and mapping quality are deliberately not looked at."""
     return flag.bitwiseAND(F.lit(_EXCLUDED)) == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from methlake.functions.reads import let
+from methlake.functions.binding import let
 
 ROOT = "ROOT"
 DEFAULT_THRESHOLD = 0.5  # of a depth without a calibrated one
@@ -124,33 +124,32 @@ def descend(
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("parent", "pick"))).alias("picks"))
     )
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(height)),
-        F.expr("cast(array() as array<struct<node:string,p:double>>)"),
-        lambda trail, _: F.when(
-            F.element_at("picks", _last_node(trail)).isNotNull(),
-            F.concat(trail, F.array(_as_step(F.element_at("picks", _last_node(trail))))),
-        ).otherwise(trail),
-    )
-    steps = best.select(*keys, F.posexplode(walk).alias("i", "step")).select(
-        *keys, (F.col("i") + 1).alias("depth"), "step.node", "step.p"
-    )
-    judged = steps.join(thresholds.select("depth", "tau"), "depth", "left").withColumn(
-        "tau", F.coalesce("tau", F.lit(DEFAULT_THRESHOLD))
-    )
-    # accepted prefix: deeper than the first rejected step nothing is met
-    first_miss = judged.groupBy(*keys).agg(F.min(F.when(F.col("p") < F.col("tau"), F.col("depth"))).alias("_miss"))
-    return judged.join(first_miss, keys).select(
-        *keys, "depth", "node", "p", "tau", (F.col("_miss").isNull() | (F.col("depth") < F.col("_miss"))).alias("met")
-    )
+    taus = thresholds.agg(F.map_from_entries(F.collect_list(F.struct(F.col("depth").cast("int"), "tau"))).alias("taus"))
+
+    def step(trail: Column, depth: Column) -> Column:
+        def entry(pick: Column) -> Column:
+            so_far = F.coalesce(F.get(trail, F.size(trail) - 1)["met"], F.lit(True))
+            tau = F.coalesce(F.element_at("taus", depth), F.lit(DEFAULT_THRESHOLD))
+            p = pick["p"].cast("double")
+            return F.struct(
+                depth.alias("depth"), pick["node"].alias("node"), p.alias("p"), tau.alias("tau"), (so_far & (p >= tau)).alias("met")
+            )
 
+        return let(
+            F.element_at("picks", _last_node(trail)),
+            lambda pick: F.when(pick.isNotNull(), F.concat(trail, F.array(entry(pick)))).otherwise(trail),
+        )
 
-def _last_node(trail: Column) -> Column:
-    return F.coalesce(F.get(trail, F.size(trail) - 1)["node"], F.lit(ROOT))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(height)), F.expr(_NO_STEPS), step)
+    steps = best.crossJoin(taus).select(*keys, F.explode(walk).alias("step"))  # one row of thresholds
+    return steps.select(*keys, "step.*")
 
 
-def _as_step(pick: Column) -> Column:
-    return F.struct(pick["node"].alias("node"), pick["p"].cast("double").alias("p"))
+_NO_STEPS = "cast(array() as array<struct<depth:int,node:string,p:double,tau:double,met:boolean>>)"
+
+
+def _last_node(trail: Column) -> Column:
+    return F.coalesce(F.get(trail, F.size(trail) - 1)["node"], F.lit(ROOT))
 
 
 def call(steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -245,7 +244,7 @@ def descend_arrays(
         "steps",
         F.aggregate(
             F.sequence(F.lit(1), F.lit(max(1, height(ROOT)))),
-            F.expr("cast(array() as array<struct<depth:int,node:string,p:double,tau:double,met:boolean>>)"),
+            F.expr(_NO_STEPS),
             step,
         ),
     )

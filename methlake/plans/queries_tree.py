@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from methlake.functions.numeric import softmax
 from methlake.operators import tree as TR
@@ -89,9 +89,8 @@ def _thresholds(spark) -> DataFrame:
 
 
 def _leaf_mass(spark, sf) -> DataFrame:
-    cents = _shares(spark, sf)
-    total = cents.groupBy("sample_id").agg(F.sum("cents").cast("double").alias("total"))
-    return cents.join(total, "sample_id")
+    """Mass per leaf with its sample's total; a sample has no more rows than the tree has leaves."""
+    return _shares(spark, sf).withColumn("total", F.sum("cents").over(Window.partitionBy("sample_id")).cast("double"))
 
 
 def _steps(spark, sf) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 
 from pyarrow import fs as pafs
@@ -35,3 +36,52 @@ def expand(options: dict) -> list[str]:
     if "://" not in path and any(ch in path for ch in "*?["):
         return sorted(glob.glob(path))
     return [path]
+
+
+def read_range(path: str, offset: int, n: int) -> bytes:
+    system, inner = resolve(path)
+    with system.open_input_file(inner) as f:
+        return f.read_at(n, offset)
+
+
+def open_output(path: str):
+    """A writable stream; missing parent folders are made."""
+    system, inner = resolve(path)
+    if "/" in inner:
+        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(inner)
+
+
+def write_text(path: str, text: str) -> None:
+    with open_output(path) as f:
+        f.write(text.encode())
+
+
+def read_text(path: str) -> str:
+    return read_bytes(path).decode("utf-8", "replace")
+
+
+def move(source: str, target: str) -> None:
+    system, a = resolve(source)
+    system.move(a, resolve(target)[1])
+
+
+def copy(source: str, target: str) -> None:
+    (from_system, a), (to_system, b) = resolve(source), resolve(target)
+    pafs.copy_files(a, b, source_filesystem=from_system, destination_filesystem=to_system)
+
+
+def list_files(folder: str) -> list[str]:
+    """Plain files directly inside a folder, by name."""
+    system, inner = resolve(folder)
+    infos = system.get_file_info(pafs.FileSelector(inner))
+    return sorted(i.base_name for i in infos if i.type == pafs.FileType.File)
+
+
+def sha256_of(path: str) -> str:
+    """Digest of a file, streamed."""
+    digest, system_path = hashlib.sha256(), resolve(path)
+    with system_path[0].open_input_stream(system_path[1]) as f:
+        while chunk := f.read(8 << 20):
+            digest.update(chunk)
+    return digest.hexdigest()
