@@ -35,7 +35,7 @@ def publish(blocks: DataFrame, folder: str | None = None) -> str:
     return path
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def load(path: str, names: tuple[str, ...] | None = None) -> dict[str, np.ndarray]:
     """Tensors of a published table, read inside a task."""
     system, inner = resolve(path)

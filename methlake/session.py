@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # rows that carry whole profiles are wide, so batches are bounded by bytes as well
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 

@@ -85,3 +85,8 @@ def sha256_of(path: str) -> str:
         while chunk := f.read(8 << 20):
             digest.update(chunk)
     return digest.hexdigest()
+
+
+def remove_folder(folder: str) -> None:
+    system, inner = resolve(folder)
+    system.delete_dir(inner)

@@ -117,8 +117,8 @@ def header_bytes(shapes: list[tuple[str, list[int]]]) -> bytes:
 def write_tensors(blocks: DataFrame, path: str) -> None:
     """One file, tensors by name, so equal tensors give equal bytes.
 
-    The format is a single stream, so blocks are range-sorted in parallel and one task appends them batch by
-    batch; nothing but a batch is ever held. The file appears under its name only once it is whole.
+    The format is a single stream, so one task sorts the blocks (spilling as needed) and appends them batch by
+    batch. The file appears under its name only once it is whole.
     """
     shapes = [(r["name"], r["shape"]) for r in blocks.filter("block = 0").select("name", "shape").collect()]
     shapes.sort(key=lambda s: s[0].encode())
@@ -136,7 +136,7 @@ def write_tensors(blocks: DataFrame, path: str) -> None:
                     written += len(data)
         yield pd.DataFrame({"written": [written]})
 
-    ordered = blocks.orderBy(F.encode("name", "UTF-8"), "block").select("values").coalesce(1)
+    ordered = blocks.repartition(1).sortWithinPartitions(F.encode("name", "UTF-8"), "block").select("values")
     written = ordered.mapInPandas(stream, "written bigint").first()["written"]
     if written != expected:
         raise RuntimeError(f"{path}: wrote {written} of {expected} values")

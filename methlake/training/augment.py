@@ -94,15 +94,17 @@ def row_draws(pairs: DataFrame, cfg: AugmentConfig, n_probes: int) -> DataFrame:
     )
 
 
-def pick_background(draws: DataFrame, bank: DataFrame) -> DataFrame:
+def pick_background(draws: DataFrame, bank: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Adds bank_idx: the first bank row whose cumulative weight reaches the draw, the last one at most.
 
-    The bank is a bounded table, so it rides along as one sorted array and is searched in place.
+    A bank is a bounded table, so it rides along as one sorted array and is searched in place; `keys` tell several
+    banks apart, and a draw of no bank gets none.
     """
-    table = bank.agg(F.sort_array(F.collect_list(F.struct("cum_weight", "bank_idx"))).alias("bank"))
+    table = bank.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cum_weight", "bank_idx"))).alias("bank"))
     target = F.col("u_bg") * F.element_at("bank", -1)["cum_weight"]
     reached = F.filter("bank", lambda b: b["cum_weight"] >= target)
-    return draws.crossJoin(table).withColumn(  # one row
+    joined = draws.join(F.broadcast(table), keys, "left") if keys else draws.crossJoin(table)  # one row per bank
+    return joined.withColumn(
         "bank_idx", F.coalesce(F.get(reached, F.lit(0))["bank_idx"], F.element_at("bank", -1)["bank_idx"])
     ).drop("bank")
 
