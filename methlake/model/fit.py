@@ -235,19 +235,19 @@ def initial_parameters(spark: SparkSession, shapes: dict[str, tuple[int, ...]],
 
 
 def adamw(params: DataFrame, grads: DataFrame, step: int, lr: float, betas: tuple[float, float], eps: float, wd: float,
-          scale: float = 1.0) -> DataFrame:
+          scale: float = 1.0, kind: str = "float") -> DataFrame:
     """The next parameter table: decoupled weight decay and bias-corrected moments, block by block."""
     b1, b2 = betas
     g = grads.select("name", "block", F.transform("values", lambda x: x * scale).alias("g"))
-    f32 = lambda c: c.cast("float")
+    kept = lambda c: c.cast(kind)
     moved = params.join(g, ["name", "block"]).select(
         "name", "shape", "block", "values",
-        F.zip_with("m", "g", lambda m, x: f32(m * b1 + x * (1.0 - b1))).alias("m"),
-        F.zip_with("v", "g", lambda v, x: f32(v * b2 + x * x * (1.0 - b2))).alias("v"),
+        F.zip_with("m", "g", lambda m, x: kept(m * b1 + x * (1.0 - b1))).alias("m"),
+        F.zip_with("v", "g", lambda v, x: kept(v * b2 + x * x * (1.0 - b2))).alias("v"),
     )
     push = F.zip_with("m", "v", lambda m, v: adam_push(m, v, step, b1, b2, eps))
     return moved.select(
-        "name", "shape", "block", F.zip_with("values", push, lambda w, p: f32(w * (1.0 - lr * wd) - p * lr)).alias("values"), "m", "v"
+        "name", "shape", "block", F.zip_with("values", push, lambda w, p: kept(w * (1.0 - lr * wd) - p * lr)).alias("values"), "m", "v"
     )
 
 

@@ -69,7 +69,11 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return scores_of(table(spark, sf, "events"))
+
+
+def scores_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("event_type").alias("sample_id"),
         F.col("user_id").alias("probe"),

@@ -22,7 +22,7 @@ BOM = "﻿"
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, block, row, line): `block` is the offset of the file split, `row` grows in scan order."""
     return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("line"),
