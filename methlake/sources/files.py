@@ -90,3 +90,8 @@ def sha256_of(path: str) -> str:
 def remove_folder(folder: str) -> None:
     system, inner = resolve(folder)
     system.delete_dir(inner)
+
+
+def is_folder(path: str) -> bool:
+    system, inner = resolve(path)
+    return system.get_file_info(inner).type == pafs.FileType.Directory
