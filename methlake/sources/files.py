@@ -68,6 +68,7 @@ def move(source: str, target: str) -> None:
 
 def copy(source: str, target: str) -> None:
     (from_system, a), (to_system, b) = resolve(source), resolve(target)
+    to_system.create_dir(b.rsplit("/", 1)[0], recursive=True)
     pafs.copy_files(a, b, source_filesystem=from_system, destination_filesystem=to_system)
 
 
