@@ -92,7 +92,7 @@ def build_tables(spark: SparkSession, spec: Spec, store: Store) -> Tables:
     )
     tops = store.keep(BAL.top_two(targets, ["row"]), "tops")
     weights = BAL.leaf_weights(tops, leaves.select("leaf"), spec.row_balance)
-    weighed = BAL.row_weights(targets, tops, weights, spec.row_balance)
+    weighed = BAL.row_weights(targets, weights, spec.row_balance)
     examples = store.keep(weighed.join(log_target_rows(targets.drop("leaf_idx"), leaves, k), "row"), "examples")
     rows = tree.level_rows()
     levels = np.zeros((len(rows), k), np.float32)

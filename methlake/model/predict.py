@@ -23,31 +23,27 @@ def sample_vectors(features: DataFrame, key: str = "sample_id") -> DataFrame:
     )
 
 
-def project_joined(features: DataFrame, first: DataFrame, n_probes: int, key: str = "sample_id") -> DataFrame:
+def project_joined(features: DataFrame, first: DataFrame, rank: int, n_probes: int, key: str = "sample_id") -> DataFrame:
     """(key, z): features times the first matrix as a join on the probe, for matrices of any size.
 
-    first: its blocks (row-major rank x probes). Only partial sums per (sample, rank) are shuffled.
+    first: its blocks (row-major rank x probes), turned into one column vector per probe.
     """
     flat = first.select(F.posexplode("values").alias("i", "w"), "block").withColumn(
         "at", F.col("block").cast("bigint") * BLOCK + F.col("i")
     )
-    columns = flat.select(
-        (F.col("at") % n_probes).cast("int").alias("probe_idx"),
-        F.floor(F.col("at") / n_probes).cast("int").alias("k"),
-        F.col("w").cast("double").alias("w"),
-    )
-    return vector_sums(features.join(columns, "probe_idx").select(key, "k", (F.col("t") * F.col("w")).alias("v")), key)
+    column = F.sort_array(F.collect_list(F.struct(F.floor(F.col("at") / n_probes).alias("k"), "w")))
+    columns = flat.groupBy((F.col("at") % n_probes).cast("int").alias("probe_idx")).agg(column.alias("c"))
+    vectors = columns.select("probe_idx", F.transform("c", lambda e: e["w"]).alias("w"))
+    return signed_sums(features.join(vectors, "probe_idx"), rank, key)
 
 
-def vector_sums(terms: DataFrame, key: str) -> DataFrame:
-    """(key, z) from terms (key, k, v): sums per component, gathered in component order."""
-    return (
-        terms.groupBy(key, "k")
-        .agg(F.sum("v").alias("v"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("z"))
-        .select(key, F.transform("z", lambda e: e["v"]).alias("z"))
-    )
+def signed_sums(terms: DataFrame, rank: int, key: str) -> DataFrame:
+    """(key, z): the sum of t * w over the rows (key, t, w) of each key, w a vector of `rank` values.
+
+    One running sum per component, combined before the only shuffle, so rows are never multiplied by the rank.
+    """
+    parts = [F.sum(F.col("t") * F.get("w", F.lit(k)).cast("double")).alias(f"_{k}") for k in range(rank)]
+    return terms.groupBy(key).agg(*parts).select(key, F.array(*[f"_{k}" for k in range(rank)]).alias("z"))
 
 
 def project(features: DataFrame, model: Model, key: str = "sample_id") -> DataFrame:
@@ -55,7 +51,7 @@ def project(features: DataFrame, model: Model, key: str = "sample_id") -> DataFr
     rank, n_probes = model.shapes[network.FIRST]
     vectors = sample_vectors(features, key)
     if 4 * rank * n_probes > PROJECT_IN_TASK_BYTES:
-        joined = project_joined(features, model.blocks().filter(F.col("name") == network.FIRST), n_probes, key)
+        joined = project_joined(features, model.blocks().filter(F.col("name") == network.FIRST), rank, n_probes, key)
         return vectors.select(key, "n_covered").join(joined, key)
     path, kind = model.published, features.schema[key].dataType.simpleString()
 

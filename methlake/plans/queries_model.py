@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from methlake.functions import numeric as N
 from methlake.model import federated as FED, fit as FIT, gradients as G, network
-from methlake.model.predict import nearest_temperature, vector_sums
+from methlake.model.predict import nearest_temperature, signed_sums
 from methlake.operators import calls as C
 from methlake.plans import shapes
 from methlake.plans.registry import query, table
@@ -105,12 +105,11 @@ def ternary_projection(spark, sf):
     c = F.col
     sign = F.signum(F.sum(F.when(c("l_linenumber") % 2 == 0, 1).otherwise(-1))).cast("int")
     x = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("row"), c("l_partkey").alias("probe_idx")).agg(sign.alias("t"))
+    parts = (c("p_size"), c("p_partkey") % 7 - 3, c("p_partkey") % 11 - 5, c("p_partkey") % 3 - 1)
     w = table(spark, sf, "part").select(
-        c("p_partkey").alias("probe_idx"),
-        F.posexplode(F.array(*[e.cast("double") / 8 for e in (c("p_size"), c("p_partkey") % 7 - 3, c("p_partkey") % 11 - 5, c("p_partkey") % 3 - 1)])).alias("k", "w"),
+        c("p_partkey").alias("probe_idx"), F.array(*[e.cast("double") / 8 for e in parts]).alias("w")
     )
-    terms = x.filter("t != 0").join(w, "probe_idx").select("row", "k", (c("t") * c("w")).alias("v"))
-    return vector_sums(terms, "row")
+    return signed_sums(x.filter("t != 0").join(w, "probe_idx"), 4, "row")
 
 
 @query(

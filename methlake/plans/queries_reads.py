@@ -215,7 +215,8 @@ def read_calls_full(spark, sf):
     n = 1 + F.col("l_quantity").cast("int") % 16
     implicit = F.col("l_linenumber") % 2 == 0
     listed = F.when(implicit, ((n + 1) / 2).cast("int")).otherwise(n)
-    reads = table(spark, sf, "lineitem").select(
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    reads = spread(items).select(
         (F.col("l_linenumber") % 5).cast("int").alias("contig"),
         F.col("l_partkey").alias("pos"),
         F.when(F.col("l_returnflag") == "R", 16).otherwise(0).alias("flag"),
@@ -227,7 +228,7 @@ def read_calls_full(spark, sf):
             F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
         ).alias("ml"),
     )
-    return C.tally(C.read_calls(spread(reads), shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
+    return C.tally(C.read_calls(reads, shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
 
 
 # ---- read expressions -------------------------------------------------------------------------------
@@ -238,6 +239,11 @@ SELECT l_suppkey, l_linenumber, l_returnflag, l_linenumber % 2 = 0 AS g1, l_retu
 """
 
 
+def _items(spark, sf) -> DataFrame:
+    columns = ["l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+    return spread(table(spark, sf, "lineitem").select(*columns))
+
+
 def _tagged(spark, sf) -> DataFrame:
     c = F.col
     mm = F.concat(
@@ -246,7 +252,7 @@ def _tagged(spark, sf) -> DataFrame:
         (c("l_partkey") % 7).cast("string"), F.lit(", "), (c("l_suppkey") % 5).cast("string"), F.lit(";"),
         F.when(c("l_linenumber") % 3 == 0, F.concat(F.lit(" C+mh.,"), c("l_quantity").cast("bigint").cast("string"), F.lit(";"))).otherwise(""),
     )
-    return table(spark, sf, "lineitem").withColumn("mm", mm)
+    return _items(spark, sf).withColumn("mm", mm)
 
 
 @query(
@@ -328,7 +334,7 @@ def mm_delta_running_sum(spark, sf):
     FROM q""",
 )
 def base_ordinals(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.length("text").alias("n")).filter("n > 0")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("n", F.length("text")).filter("n > 0")
     grid = F.array_distinct(
         F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.floor(i * F.col("n") / 16).cast("bigint"))
     )
@@ -358,7 +364,7 @@ def cigar_offsets(spark, sf):
         op(c("l_linenumber"), 4), op(c("l_quantity"), 0), op(F.round(c("l_discount") * 100), 1),
         op(F.round(c("l_tax") * 100), 2), op(c("l_suppkey") % 20, 7), op(F.lit(3), 5),
     )
-    placed = table(spark, sf, "lineitem").withColumn("cigar", cigar).withColumn("span", R.reference_span(c("cigar")))
+    placed = _items(spark, sf).withColumn("cigar", cigar).withColumn("span", R.reference_span(c("cigar")))
     hit = R.read_offset_at(c("cigar"), c("l_partkey") % (c("span") + 3))
     return placed.withColumn("hit", hit).groupBy("l_suppkey").agg(
         F.sum("span").alias("spans"), F.count("hit").alias("n_aligned"), F.sum("hit").alias("read_offsets")

@@ -143,9 +143,8 @@ def leaf_weights_median(spark, sf):
 def row_weights(spark, sf):
     cfg = BAL.RowBalance(mean=1.5)
     targets = _targets(spark, sf)
-    tops = BAL.top_two(targets, ["row"])
-    weights = BAL.leaf_weights(tops, _leaf_list(spark), cfg)
-    return BAL.row_weights(targets, tops, weights, cfg).withColumn("weight", F.round("weight", 6))
+    weights = BAL.leaf_weights(BAL.top_two(targets, ["row"]), _leaf_list(spark), cfg)
+    return BAL.row_weights(targets, weights, cfg).withColumn("weight", F.round("weight", 6))
 
 
 # ---- beta codes: every embedding is a profile of 64 codes ---------------------------------------------

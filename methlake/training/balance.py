@@ -24,20 +24,13 @@ class RowBalance:
 def top_two(targets: DataFrame, keys: list[str], leaf: str = "leaf", order: str = "leaf_idx", value: str = "q") -> DataFrame:
     """(keys, leaf, best, second): heaviest leaf (earliest on ties) and the mass of the runner-up.
 
-    Two partially aggregated extremes instead of a ranking window.
+    A row has no more parts than there are leaves, so they are gathered in one shuffle and ranked in place.
     """
-    best = targets.groupBy(*keys).agg(
-        F.max_by(F.struct(leaf, value), F.struct(F.col(value), -F.col(order))).alias("b"),
-        F.max(value).alias("m"),
-    )
-    second = (
-        targets.join(best.select(*keys, F.col(f"b.{leaf}").alias("_best")), keys)
-        .filter(F.col(leaf) != F.col("_best"))
-        .groupBy(*keys)
-        .agg(F.max(value).alias("second"))
-    )
-    return best.join(second, keys, "left").select(
-        *keys, F.col(f"b.{leaf}").alias(leaf), F.col("m").alias("best"), F.coalesce("second", F.lit(0.0)).alias("second")
+    parts = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("neg"), order, F.col(leaf).alias("leaf"))))
+    gathered = targets.groupBy(*keys).agg(parts.alias("_parts"))
+    first, second = F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1))
+    return gathered.select(
+        *keys, first["leaf"].alias(leaf), (-first["neg"]).alias("best"), F.coalesce(-second["neg"], F.lit(0.0)).alias("second")
     )
 
 
@@ -62,14 +55,12 @@ def leaf_weights(tops: DataFrame, leaves: DataFrame, cfg: RowBalance) -> DataFra
     )
 
 
-def row_weights(targets: DataFrame, tops: DataFrame, weights: DataFrame, cfg: RowBalance) -> DataFrame:
+def row_weights(targets: DataFrame, weights: DataFrame, cfg: RowBalance) -> DataFrame:
     """(row, weight) of training rows: sum of q * leaf weight, times (largest q)^certainty, mean rescaled."""
     raw = (
-        targets.join(weights.select("leaf", "weight"), "leaf")
+        targets.join(F.broadcast(weights.select("leaf", "weight")), "leaf")  # one row per leaf
         .groupBy("row")
-        .agg(F.sum(F.col("q") * F.col("weight")).alias("x"))
-        .join(tops.select("row", "best"), "row")
-        .select("row", (F.col("x") * F.pow("best", F.lit(cfg.certainty_power))).alias("x"))
+        .agg((F.sum(F.col("q") * F.col("weight")) * F.pow(F.max("q"), F.lit(cfg.certainty_power))).alias("x"))
     )
     scale = raw.agg((F.lit(cfg.mean) * F.count("*") / F.sum("x")).alias("scale"))
     return raw.crossJoin(scale).select("row", (F.col("x") * F.col("scale")).alias("weight"))  # one row

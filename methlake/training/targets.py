@@ -6,7 +6,7 @@ uniform over its node's leaves; names may hold commas and `=`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # ---- fixed values ---------------------------------------------------------------------------------
 MASS_TOLERANCE = 1e-3
@@ -79,8 +79,7 @@ def row_order_issues(labels: DataFrame) -> DataFrame:
 
 def normalised(targets: DataFrame) -> DataFrame:
     """Targets rescaled to sum to one per row."""
-    total = targets.groupBy("row").agg(F.sum("q").alias("total"))
-    return targets.join(total, "row").select("row", "leaf", (F.col("q") / F.col("total")).alias("q"))
+    return targets.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("row")))
 
 
 def log_targets(targets: DataFrame, rows: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def test_both_projections_agree(model, cohort):
     _, features = cohort
     a = {r["sample_id"]: r["z"] for r in project(features, model).collect()}
     first = model.blocks().filter(F.col("name") == network.FIRST)
-    b = {r["sample_id"]: r["z"] for r in project_joined(features, first, model.n_probes).collect()}
+    b = {r["sample_id"]: r["z"] for r in project_joined(features, first, 6, model.n_probes).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[s], b[s]) for s in a)
 
 
