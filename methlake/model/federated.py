@@ -176,7 +176,7 @@ def merge(
     doubled = every.withColumn("values", F.col("values").cast("array<double>")).drop("site")
     changed = spark.read.parquet(W.publish(descend_weights(base.blocks(), G.sum_blocks(doubled), lr / n)))
     _copy_rest(base.folder, out)
-    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{WEIGHTS}")
+    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{WEIGHTS}", base.shapes)
     counts: dict[str, int] = {}
     for meta in metas:
         for label, c in meta["label_counts"].items():
@@ -209,7 +209,7 @@ def apply_patch(spark: SparkSession, base: Model, patch: str, out: str) -> Model
     changed = read_tensors(spark, patch)
     check_shapes(changed, base.shapes, patch)
     _copy_rest(base.folder, out)
-    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{WEIGHTS}")
+    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{WEIGHTS}", base.shapes)
     got = sha256_of(f"{out}/{WEIGHTS}")
     if got != meta["new_sha256"]:
         raise ValueError(f"the patched model is {got[:12]}, the hub published {meta['new_sha256'][:12]}; do not use it")

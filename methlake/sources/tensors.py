@@ -114,16 +114,17 @@ def header_bytes(shapes: list[tuple[str, list[int]]]) -> bytes:
     return struct.pack("<Q", len(head)) + head
 
 
-def write_tensors(blocks: DataFrame, path: str) -> None:
-    """One file, tensors by name, so equal tensors give equal bytes.
+def write_tensors(blocks: DataFrame, path: str, shapes: dict[str, tuple[int, ...]] | None = None) -> None:
+    """One file, tensors by name, so equal tensors give equal bytes. Shapes that are known save a pass.
 
     The format is a single stream, so one task sorts the blocks (spilling as needed) and appends them batch by
     batch. The file appears under its name only once it is whole.
     """
-    shapes = [(r["name"], r["shape"]) for r in blocks.filter("block = 0").select("name", "shape").collect()]
-    shapes.sort(key=lambda s: s[0].encode())
-    head, part = header_bytes(shapes), path + ".part"
-    expected = sum(int(np.prod(s, dtype=np.int64)) for _, s in shapes)
+    if shapes is None:
+        shapes = {r["name"]: r["shape"] for r in blocks.filter("block = 0").select("name", "shape").collect()}
+    listed = sorted(((n, list(s)) for n, s in shapes.items()), key=lambda s: s[0].encode())
+    head, part = header_bytes(listed), path + ".part"
+    expected = sum(int(np.prod(s, dtype=np.int64)) for _, s in listed)
 
     def stream(batches):
         written = 0
