@@ -11,12 +11,14 @@ from methlake.operators.intervals import interval_join
 READ_BIN = 16_384  # near the span of a long read
 
 
+def is_usable() -> Column:
+    """Primary mapped reads, placed on a reference, that carry a modification tag (flag, rid, pos, mm)."""
+    return R.is_primary_mapped(F.col("flag")) & (F.col("rid") >= 0) & (F.col("pos") >= 0) & F.col("mm").isNotNull()
+
+
 def usable_reads(reads: DataFrame, n_refs: int | None = None) -> DataFrame:
-    """Primary mapped reads, placed on a known reference, that carry a modification tag."""
-    keep = R.is_primary_mapped(F.col("flag")) & (F.col("rid") >= 0) & (F.col("pos") >= 0) & F.col("mm").isNotNull()
-    if n_refs is not None:
-        keep = keep & (F.col("rid") < n_refs)
-    return reads.filter(keep)
+    keep = is_usable()
+    return reads.filter(keep & (F.col("rid") < n_refs) if n_refs is not None else keep)
 
 
 def site_on_read(pos: Column, reverse: Column) -> Column:
@@ -24,14 +26,16 @@ def site_on_read(pos: Column, reverse: Column) -> Column:
     return pos + F.when(reverse, 1).otherwise(0)
 
 
-def read_probe_pairs(reads: DataFrame, probes: DataFrame, width: int = READ_BIN, replicas: int = 1) -> DataFrame:
+def read_probe_pairs(
+    reads: DataFrame, probes: DataFrame, width: int = READ_BIN, replicas: int = 1, how: str = "inner"
+) -> DataFrame:
     """Every (read, probe) whose cytosine lies inside the read's reference span.
 
     reads: contig, ref_start, ref_end, is_reverse, ...; probes: contig, pos, ...
     """
     site = site_on_read(F.col("pos"), F.col("is_reverse"))
     inside = (site >= F.col("ref_start")) & (site < F.col("ref_end"))
-    return interval_join(reads, probes, width, inside, replicas=replicas)
+    return interval_join(reads, probes, width, inside, replicas=replicas, how=how)
 
 
 def read_calls(
@@ -41,6 +45,7 @@ def read_calls(
     high: float = R.THRESHOLD_HIGH,
     width: int = READ_BIN,
     single_numeric_code: bool = True,
+    carry: list[str] = [],  # noqa: B006
 ) -> DataFrame:
     """Outcome of every (aligned read, probe inside its span): 1, -1, 0, or null where nothing is called.
 
@@ -49,8 +54,9 @@ def read_calls(
     base's ordinal among the read's cytosines is looked up in the tag. With the probes broadcast this is one
     pipelined stage: sequences are never shuffled. Rows without a call are left for the aggregate to ignore,
     because a filter here would be copied into the join condition together with the whole decode.
+    With columns to `carry`, rows that meet no probe (or have no position) stay, with a null probe.
     """
-    sample = [c for c in ("sample_id",) if c in reads.columns]
+    sample = [*(c for c in ("sample_id",) if c in reads.columns), *carry]
     prepared = reads.select(
         *sample,
         "contig",
@@ -63,7 +69,7 @@ def read_calls(
         R.parse_mm(F.col("mm"), single_numeric_code).alias("groups"),
         "ml",
     )
-    pairs = read_probe_pairs(prepared, probes, width)
+    pairs = read_probe_pairs(prepared, probes, width, how="left" if carry else "inner")
     # a reverse alignment stores the reverse complement: its cytosines are the stored G's, from the end
     symbol = F.when(F.col("is_reverse"), "4").otherwise("2")  # 4-bit codes of G and C
     stored = F.substr("seq", F.lit(1), F.col("l_seq").cast("int"))

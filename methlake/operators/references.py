@@ -81,7 +81,7 @@ def best_assembly(headers: DataFrame, contigs: DataFrame, keys: list[str]) -> Da
     """
     lengths = headers.select(*keys, "length").distinct()
     scored = (
-        lengths.join(contigs.filter("autosome"), "length")
+        lengths.join(F.broadcast(contigs.filter("autosome")), "length")  # 44 rows
         .groupBy(*keys, "assembly", "rank")
         .agg(F.count("*").alias("matched"))
     )
@@ -91,24 +91,25 @@ def best_assembly(headers: DataFrame, contigs: DataFrame, keys: list[str]) -> Da
 
 
 def match_contigs(headers: DataFrame, chosen: DataFrame, contigs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, map_name, chrom, contig): the header's own name of each autosome, null where it is missing.
+    """(keys, assembly, map_name, chrom, contig, rid): the header's own name of each autosome, null where it is missing.
 
     A length held by one contig identifies it. Among several of equal length the one of matching name is
     taken (chr prefixes aside), and none if no name matches.
     """
-    wanted = chosen.select(*keys, "assembly").join(contigs.filter("autosome"), "assembly")
-    sized = headers.select(*keys, "length", F.col("name").alias("contig"), "rid")
+    wanted = chosen.select(*keys, "assembly").join(F.broadcast(contigs.filter("autosome")), "assembly")  # 44 rows
+    sized = headers.select(*keys, "length", F.struct(F.col("name").alias("contig"), "rid").alias("held"))
     pairs = wanted.join(sized, [*keys, "length"], "left")
-    named = (strip_chr(F.col("contig")) == strip_chr(F.col("chrom"))) | (F.col("contig") == F.col("map_name"))
+    name = F.col("held.contig")
+    named = F.when((strip_chr(name) == strip_chr(F.col("chrom"))) | (name == F.col("map_name")), F.col("held"))
     return (
         pairs.groupBy(*keys, "assembly", "map_name", "chrom")
         .agg(
-            F.count("contig").alias("n"),
-            F.first("contig", ignorenulls=True).alias("only"),
-            F.min_by(F.when(named, F.col("contig")), F.when(named, F.col("rid"))).alias("by_name"),
+            F.count("held").alias("n"),
+            F.first("held", ignorenulls=True).alias("only"),
+            F.min_by(named, named["rid"]).alias("by_name"),
         )
-        .withColumn("contig", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("by_name")))
-        .select(*keys, "assembly", "map_name", "chrom", "contig")
+        .withColumn("held", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("by_name")))
+        .select(*keys, "assembly", "map_name", "chrom", "held.contig", "held.rid")
     )
 
 
@@ -119,8 +120,8 @@ def alias_table(spark: SparkSession) -> DataFrame:
 
 
 def with_aliases(probes: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Probe sites under every name of their contig."""
-    renamed = probes.join(aliases, "contig").drop("contig").withColumnRenamed("alias", "contig")
+    """Probe sites under every name of their contig. The alias table has 48 rows."""
+    renamed = probes.join(F.broadcast(aliases), "contig").drop("contig").withColumnRenamed("alias", "contig")
     return probes.unionByName(renamed.select(*probes.columns))
 
 

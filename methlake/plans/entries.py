@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from methlake.functions import reads as R
@@ -9,6 +11,7 @@ from methlake.model.artifact import Model
 from methlake.model.predict import predict, project
 from methlake.operators import calls as C, qc, references as REF, report as REP
 from methlake.operators.intervals import broadcast_if_short
+from methlake.session import shared_dir
 from methlake.sources import bam, text as T
 
 VALUES = ("sample_id", "probe_id", "beta", "block", "row")
@@ -23,9 +26,7 @@ def resolve(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame
     refs = bam.scan(spark, paths, emit="refs")
     asm = REF.assembly_contigs(spark)
     chosen = REF.best_assembly(refs, asm, ["path"])
-    matched = REF.match_contigs(refs, chosen, asm, ["path"])
-    named = refs.select("path", F.col("name").alias("contig"), "rid")
-    return chosen, matched.join(named, ["path", "contig"], "left")
+    return chosen, REF.match_contigs(refs, chosen, asm, ["path"])
 
 
 def _group(assembly: str = "assembly", name: str = "map_name"):
@@ -50,22 +51,41 @@ def bam_counts(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts (sample_id, probe_id, n_mod, n_unmod), warnings (path, code, message), extents (path, first, stop).
 
-    One scan per table; reads meet broadcast sites in the scan's own stage, so only counters are shuffled.
+    All three come out of one scan: damage and extents travel beside the reads as rows without a position, reads meet
+    broadcast sites in the scan's own stage, and only counters are shuffled. The result, no larger than probes times
+    files, is stored in the shared folder.
     """
     rows = bam.scan(spark, paths, **({"shard": shard} if shard else {}))
     _, matched = resolve(spark, paths)
     contigs = matched.filter("contig is not null").select("path", "rid", _group().alias("contig"))
-    usable = C.usable_reads(rows.filter("kind = 'read'")).join(F.broadcast(contigs) if len(paths) <= 10_000 else contigs, ["path", "rid"])
+    is_read = F.col("kind") == "read"
+    malformed = is_read & R.is_primary_mapped(F.col("flag")) & ~F.col("aux_ok")
+    kinds = F.when(malformed, F.array(F.lit("read"), F.lit("malformed"))).otherwise(F.array("kind"))
+    usable = is_read & C.is_usable()
+    marked = (
+        rows.withColumn("kind", F.explode(kinds))
+        .withColumn("pos", F.when(usable, F.col("pos")))
+        .withColumn("vpos", F.when(F.col("kind") == "span", F.col("vpos")))
+        .withColumn("sample_id", F.col("path"))
+        .join(F.broadcast(contigs) if len(paths) <= 10_000 else contigs, ["path", "rid"], "left")
+    )
     sites = broadcast_if_short(probe_sites(spark, model))
-    counts = C.tally(C.read_calls(usable.withColumn("sample_id", F.col("path")), sites, low, high), ["sample_id", "probe_id"])
-    malformed = (
-        qc.malformed_aux(rows.filter("kind = 'read'"), ["path"])
-        .filter("n_bad_aux > 0")
-        .select("path", F.lit("BAM_AUX").alias("code"),
-                F.concat(F.col("n_bad_aux").cast("string"), F.lit(" reads have malformed optional fields and are skipped")).alias("message"))
-    )
-    warnings = rows.filter("kind = 'issue'").select("path", "code", "message").unionByName(malformed)
-    spans = rows.filter("kind = 'span'").select("path", F.col("vpos").alias("first"), "stop")
+    calls = C.read_calls(marked, sites, low, high, carry=["kind", "vpos", "stop", "code", "message"])
+    found = calls.groupBy("sample_id", "probe_id", "kind", "vpos", "stop", "code", "message").agg(
+        F.count_if(F.col("outcome") == 1).alias("n_mod"), F.count_if(F.col("outcome") == -1).alias("n_unmod"), F.count("*").alias("n")
+    )
+    stored = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    found.filter("kind != 'read' or n_mod + n_unmod > 0").write.parquet(stored)
+    table = spark.read.parquet(stored)
+    counts = table.filter("kind = 'read'").select("sample_id", "probe_id", "n_mod", "n_unmod")
+    aux = F.concat(F.col("n").cast("string"), F.lit(" reads have malformed optional fields"))
+    is_issue = F.col("kind") == "issue"
+    warnings = table.filter("kind in ('issue', 'malformed')").select(
+        F.col("sample_id").alias("path"),
+        F.when(is_issue, F.col("code")).otherwise("BAM_AUX").alias("code"),
+        F.when(is_issue, F.col("message")).otherwise(aux).alias("message"),
+    )
+    spans = table.filter("kind = 'span'").select(F.col("sample_id").alias("path"), F.col("vpos").alias("first"), "stop")
     return counts, warnings, spans
 
 

@@ -171,6 +171,20 @@ def test_malformed_tags_and_long_cigar(spark, tmp_path):
     assert got[8]["cigar"] == [64]
 
 
+def test_one_pass_reports_malformed_reads_and_damage(spark, world, tmp_path):
+    refs, seq = X.grch38_refs(), "CGA" * 10
+    good = X.tag("MM", "Z", "C+m,0;") + X.tag("ML", "BC", [200])
+    recs = [X.record(f"r{i}", 0, 0, 0, [(30, "M")], seq, good if i % 3 else b"XX?" + good) for i in range(9)]
+    path = str(tmp_path / "m.bam")
+    X.write_bam(path, refs, recs)
+    counts, warnings, spans = E.bam_counts(spark, [path, world["path"]], load_model(spark, str(world["folder"] / "model")))
+    mine = {r["probe_id"]: (r["n_mod"], r["n_unmod"]) for r in counts.filter(f"sample_id = '{path}'").collect()}
+    # six usable reads: the first cytosine is listed, the others count as unmodified
+    assert mine == {f"cg0_{p}": (0, 6) if p else (6, 0) for p in range(0, 30, 3)}
+    assert [(r["path"], r["code"], r["message"].split()[0]) for r in warnings.collect()] == [(path, "BAM_AUX", "3")]
+    assert sorted(r["path"] for r in spans.collect()) == sorted([path, world["path"]])
+
+
 def test_block_cursor_seeks_checks_and_reports(tmp_path):
     path = tmp_path / "b.gz"
     a, b = X.block(b"hello "), X.block(b"world")
