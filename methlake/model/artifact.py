@@ -1,4 +1,4 @@
-"""A model folder: `lineage.json` (classes, tree, thresholds, alerts), `optic.safetensors`, probe maps."""
+"""A model folder: `lineage.json` (classes, tree, thresholds, alerts), one `.safetensors` file, probe maps."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from methlake.model import network, weights as W
 from methlake.operators.references import PROBE_FILE, T2T
 from methlake.operators.tree import ROOT
-from methlake.sources.files import file_size, read_text
+from methlake.sources.files import file_size, list_files, read_text
 from methlake.sources.tensors import read_tensor_header, read_tensors
 from methlake.sources.text import read_probe_bed
 
 # Names inside a model folder
-LINEAGE, WEIGHTS = "lineage.json", "optic.safetensors"
+LINEAGE, TENSORS = "lineage.json", ".safetensors"
 DEFAULT_HEAD = "cell_origin"
 
 
@@ -69,13 +69,18 @@ class Model:
     spark: SparkSession
     folder: str
     lineage: Lineage
+    weights_name: str
+
+    @property
+    def weights(self) -> str:
+        return self.path(self.weights_name)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     @cached_property
     def shapes(self) -> dict[str, tuple[int, ...]]:
-        return {n: tuple(e["shape"]) for n, e in read_tensor_header(self.path(WEIGHTS))[0].items()}
+        return {n: tuple(e["shape"]) for n, e in read_tensor_header(self.weights)[0].items()}
 
     @cached_property
     def published(self) -> str:
@@ -83,7 +88,7 @@ class Model:
         return W.publish(self.blocks())
 
     def blocks(self) -> DataFrame:
-        return read_tensors(self.spark, self.path(WEIGHTS))
+        return read_tensors(self.spark, self.weights)
 
     @property
     def heads(self) -> list[str]:
@@ -120,11 +125,11 @@ class Model:
     def check(self) -> None:
         """The weights fit the dictionary, and every tensor the network reads is there."""
         if not self.heads:
-            raise ValueError(f"{self.path(WEIGHTS)}: no output heads")
+            raise ValueError(f"{self.weights}: no output heads")
         wanted = [network.FIRST, *(n for h in self.heads for n in network.trainable_names(h, self.depth))]
         absent = [n for n in wanted if n not in self.shapes]
         if absent:
-            raise ValueError(f"{self.path(WEIGHTS)}: missing {absent}")
+            raise ValueError(f"{self.weights}: missing {absent}")
         n = self.dictionary().count()
         if n != self.n_probes:
             raise ValueError(f"the network takes {self.n_probes} probes, the dictionary lists {n}")
@@ -132,6 +137,7 @@ class Model:
 
 def load_model(spark: SparkSession, folder: str) -> Model:
     folder = folder.rstrip("/")
-    if file_size(f"{folder}/{WEIGHTS}") is None:
-        raise FileNotFoundError(f"{folder} has no {WEIGHTS}")
-    return Model(spark, folder, parse_lineage(read_text(f"{folder}/{LINEAGE}")))
+    named = [n for n in list_files(folder) if n.endswith(TENSORS)]
+    if len(named) != 1:
+        raise FileNotFoundError(f"{folder} holds {len(named)} tensor files, one is expected")
+    return Model(spark, folder, parse_lineage(read_text(f"{folder}/{LINEAGE}")), named[0])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from methlake.model import gradients as G, network, weights as W
-from methlake.model.artifact import LINEAGE, WEIGHTS, Model, load_model
+from methlake.model.artifact import LINEAGE, Model, load_model
 from methlake.model.predict import project
 from methlake.operators import tree as TR
 from methlake.sources.files import copy, file_size, list_files, read_text, sha256_of, write_text
@@ -78,7 +78,7 @@ def contribute(features: DataFrame, labels: DataFrame, model: Model, out: str, h
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}  # one row per class label
     meta = {
         "head": head,
-        "base_sha256": sha256_of(model.path(WEIGHTS)),
+        "base_sha256": sha256_of(model.weights),
         "n_samples": n,
         "label_counts": counts,
         "class_names": model.class_names(head),
@@ -125,10 +125,10 @@ def check_shapes(blocks: DataFrame, base: dict[str, tuple[int, ...]], what: str)
             raise ValueError(f"{what}: {name} is {shape}, the model has {base[name]}")
 
 
-def _copy_rest(source: str, target: str) -> None:
-    for name in list_files(source):
-        if name != WEIGHTS:
-            copy(f"{source}/{name}", f"{target}/{name}")
+def _copy_rest(base: Model, target: str) -> None:
+    for name in list_files(base.folder):
+        if name != base.weights_name:
+            copy(base.path(name), f"{target}/{name}")
 
 
 def merge(
@@ -136,7 +136,7 @@ def merge(
     patch: str | None = None,
 ) -> dict:
     """Check every update, step the weights against their sum, and write the new model folder (and a patch)."""
-    base_sha, metas = sha256_of(base.path(WEIGHTS)), []
+    base_sha, metas = sha256_of(base.weights), []
     for path in updates:
         meta = json.loads(read_text(sidecar(path)))
         if meta["base_sha256"] != base_sha:
@@ -175,8 +175,8 @@ def merge(
     n = sum(m["n_samples"] for m in metas)
     doubled = every.withColumn("values", F.col("values").cast("array<double>")).drop("site")
     changed = spark.read.parquet(W.publish(descend_weights(base.blocks(), G.sum_blocks(doubled), lr / n)))
-    _copy_rest(base.folder, out)
-    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{WEIGHTS}", base.shapes)
+    _copy_rest(base, out)
+    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{base.weights_name}", base.shapes)
     counts: dict[str, int] = {}
     for meta in metas:
         for label, c in meta["label_counts"].items():
@@ -185,7 +185,7 @@ def merge(
     federated = {
         "base_sha256": base_sha, "merged_updates": len(updates), "n_samples": n, "lr": lr,
         "heads_updated": sorted({m["head"] for m in metas}), "label_counts": counts, "tensors_changed": len(names),
-        "per_sample_grad_norm": per_sample, "max_grad_norm": max_grad_norm, "new_sha256": sha256_of(f"{out}/{WEIGHTS}"),
+        "per_sample_grad_norm": per_sample, "max_grad_norm": max_grad_norm, "new_sha256": sha256_of(f"{out}/{base.weights_name}"),
     }
     doc = json.loads(read_text(base.path(LINEAGE)))
     write_text(f"{out}/{LINEAGE}", json.dumps({**doc, "federated": federated}, indent=2, ensure_ascii=False))
@@ -203,14 +203,14 @@ def merge(
 def apply_patch(spark: SparkSession, base: Model, patch: str, out: str) -> Model:
     """Replace the tensors a hub moved and make sure the result is the hub's, bit for bit."""
     meta = json.loads(read_text(sidecar(patch)))
-    have = sha256_of(base.path(WEIGHTS))
+    have = sha256_of(base.weights)
     if have != meta["base_sha256"]:
         raise ValueError(f"this model is {have[:12]}, the patch is for {meta['base_sha256'][:12]}")
     changed = read_tensors(spark, patch)
     check_shapes(changed, base.shapes, patch)
-    _copy_rest(base.folder, out)
-    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{WEIGHTS}", base.shapes)
-    got = sha256_of(f"{out}/{WEIGHTS}")
+    _copy_rest(base, out)
+    write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{base.weights_name}", base.shapes)
+    got = sha256_of(f"{out}/{base.weights_name}")
     if got != meta["new_sha256"]:
         raise ValueError(f"the patched model is {got[:12]}, the hub published {meta['new_sha256'][:12]}; do not use it")
     doc_name = "manifest.json" if file_size(base.path("manifest.json")) is not None else LINEAGE

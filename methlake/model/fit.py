@@ -347,10 +347,10 @@ def train(spark: SparkSession, spec_dir: str, out: str, epochs: int | None = Non
             "wall_s": time.time() - started, spec.head: float(cls),
         })
         now = spark.read.parquet(store.path(f"step_{step}")).select("name", "shape", "block", "values")
-        write_tensors(now, f"{out}/optic.safetensors", shapes)
+        write_tensors(now, f"{out}/model.safetensors", shapes)
         write_text(f"{out}/log.json", json.dumps(log, indent=2))
         if (epoch + 1) % 10 == 0:
-            write_tensors(now, f"{out}/optic_ep{epoch + 1}.safetensors", shapes)
+            write_tensors(now, f"{out}/epochs/model_ep{epoch + 1}.safetensors", shapes)
     m = spec.model
     settings = {
         "corpus": spec.corpus, "probes_in": tables.n_probes, "rank": m.rank, "hidden": m.hidden, "depth": m.depth,

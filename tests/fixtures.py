@@ -194,7 +194,7 @@ def model_folder(folder, sites, calibrated=True):
     if calibrated:
         arrays["cell_origin_bin_centers"] = np.array([5, 20, 80], np.float32)
         arrays["cell_origin_log_temps"] = np.array([0.5, 0.2, -0.1], np.float32)
-    write_tensor_file(folder / "optic.safetensors", arrays)
+    write_tensor_file(folder / "model.safetensors", arrays)
     names = {c: REF.t2t_accession(i) for i, c in enumerate(REF.CHROMOSOMES)}
     t2t = ["chrom\tstart\tend\tcg"] + [f"{names[c]}\t{p + 1000}\t{p + 1002}\t{cg}" for c, p, cg in sites]
     (folder / "probes.T2T.bed").write_text("\n".join(t2t) + "\n")

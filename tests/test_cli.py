@@ -60,7 +60,7 @@ def test_cohort_evaluation_and_contribution(spark, world, capsys, tmp_path):
     assert main(["contribute", "--labels", str(world / "cohort.tsv"), "--out", update, *model]) == 0
     assert json.loads((tmp_path / "u.json").read_text())["n_samples"] == 2
     assert main(["merge", "--updates", update, "--out", hub, *model]) == 0
-    assert set(read_tensor_header(f"{hub}/optic.safetensors")[0]) == set(read_tensor_header(f"{world}/model/optic.safetensors")[0])
+    assert set(read_tensor_header(f"{hub}/model.safetensors")[0]) == set(read_tensor_header(f"{world}/model/model.safetensors")[0])
 
 
 def test_inspect_exit_codes(spark, world, capsys, tmp_path):

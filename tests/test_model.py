@@ -202,7 +202,7 @@ def test_merge_then_apply(spark, model, updates, tmp_path):
     assert np.array_equal(new["first.0.weight"], old["first.0.weight"])
     assert sorted(read_tensor_header(patch)[0]) == sorted(network.trainable_names("cell_origin", 2))
     FED.apply_patch(spark, model, patch, site)
-    assert sha256_of(site + "/optic.safetensors") == sha256_of(hub + "/optic.safetensors")
+    assert sha256_of(site + "/model.safetensors") == sha256_of(hub + "/model.safetensors")
     assert json.loads(open(site + "/lineage.json").read())["federated"]["merged_updates"] == 2
     with pytest.raises(ValueError, match="patch is for"):
         FED.apply_patch(spark, load_model(spark, hub), patch, str(tmp_path / "x"))

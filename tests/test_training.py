@@ -134,7 +134,7 @@ def test_training_runs_repeats_and_learns(spark, recipe, tmp_path):
     shapes = FIT.parameter_shapes(load_spec(str(folder)), 5, P)
     from methlake.sources.tensors import read_tensor_header
 
-    assert {n: tuple(e["shape"]) for n, e in read_tensor_header(str(tmp_path / "a" / "optic.safetensors"))[0].items()} == shapes
+    assert {n: tuple(e["shape"]) for n, e in read_tensor_header(str(tmp_path / "a" / "model.safetensors"))[0].items()} == shapes
     assert json.loads((tmp_path / "a" / "config.json").read_text())["n_params"] == sum(int(np.prod(s)) for s in shapes.values())
 
 
