@@ -60,19 +60,6 @@ class Store:
 # ---- tables ---------------------------------------------------------------------------------------
 
 
-def log_target_rows(targets: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
-    """(row, log_q): floored log masses of all classes as one array."""
-    held = targets.join(leaves.select("leaf", "leaf_idx"), "leaf").groupBy("row").agg(
-        F.map_from_entries(F.collect_list(F.struct("leaf_idx", "q"))).alias("q")
-    )
-    mass = lambda i: F.coalesce(F.element_at("q", i), F.lit(0.0))
-    log_q = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda i: F.greatest(F.ln(F.greatest(mass(i), F.lit(TG.SMALLEST_MASS))), F.lit(TG.LOG_FLOOR)).cast("float"),
-    )
-    return held.select("row", log_q.alias("log_q"))
-
-
 def build_tables(spark: SparkSession, spec: Spec, store: Store) -> Tables:
     tree = load_tree(spec.tree)
     nodes, leaves = tree.tables(spark)
@@ -93,7 +80,7 @@ def build_tables(spark: SparkSession, spec: Spec, store: Store) -> Tables:
     tops = store.keep(BAL.top_two(targets, ["row"]), "tops")
     weights = BAL.leaf_weights(tops, leaves.select("leaf"), spec.row_balance)
     weighed = BAL.row_weights(targets, weights, spec.row_balance)
-    examples = store.keep(weighed.join(log_target_rows(targets.drop("leaf_idx"), leaves, k), "row"), "examples")
+    examples = store.keep(weighed.join(TG.log_target_rows(targets, weighed, k), "row"), "examples")
     rows = tree.level_rows()
     levels = np.zeros((len(rows), k), np.float32)
     for i, (_, _, members) in enumerate(rows):

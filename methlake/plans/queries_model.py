@@ -238,12 +238,14 @@ def grad_norm(spark, sf):
 @query(
     "grad_merge_sgd",
     f"""WITH {_GRADS_SQL}, s AS (SELECT name, i, sum(g) AS g FROM g GROUP BY 1, 2),
-     w AS (SELECT name, p_partkey AS i, p_size / CAST(8 AS DOUBLE) AS w FROM part, (SELECT DISTINCT name FROM g) x)
+     w AS (SELECT name, p_partkey AS i, p_size / CAST(8 AS DOUBLE) AS w FROM part, (VALUES ('A'), ('N'), ('R')) x(name))
     SELECT w.name, w.i, round(w.w - coalesce(s.g, 0) * (CAST(0.25 AS DOUBLE) / 64), 6) AS w FROM w LEFT JOIN s ON s.name = w.name AND s.i = w.i""",
 )
 def grad_merge_sgd(spark, sf):
-    names = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("name")).distinct()
-    base = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") / 8.0).alias("w")).join(F.broadcast(names), how="cross")
+    tensors = F.array(*[F.lit(x) for x in "ANR"])  # one per return flag
+    base = table(spark, sf, "part").select(
+        F.explode(tensors).alias("name"), F.col("p_partkey").alias("i"), (F.col("p_size") / 8.0).alias("w")
+    )
     summed = FED.sum_updates(_site_gradients(spark, sf))
     moved = F.col("w") - F.coalesce("g", F.lit(0)) * (0.25 / 64)
     return base.join(summed, ["name", "i"], "left").select("name", "i", F.round(moved, 6).alias("w"))

@@ -84,10 +84,13 @@ def target_issues(spark, sf):
     FROM l, c WHERE k IN (0, 3)""",
 )
 def log_targets(spark, sf):
-    leaves = table(spark, sf, "nation").select(F.col("n_name").alias("leaf"), F.col("n_nationkey").alias("leaf_idx"))
     rows = _placed(spark, sf).filter("k in (0, 3)")
-    targets = rows.select("row", F.col("n_name").alias("leaf"), F.lit(1.0).alias("q"))
-    return TG.log_targets(targets, rows, leaves).withColumn("log_q", F.round(F.col("log_q").cast("double"), 4))
+    targets = rows.join(table(spark, sf, "nation"), "n_name").select(
+        "row", F.col("n_nationkey").alias("leaf_idx"), F.lit(1.0).alias("q")
+    )
+    dense = TG.log_targets(targets, rows, 25)  # the nations are classes 0..24
+    joined = dense.join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("leaf_idx"), F.col("n_name").alias("leaf")), "leaf_idx")
+    return joined.select("row", "leaf_idx", F.round(F.col("log_q").cast("double"), 4).alias("log_q"))
 
 
 # ---- balance: every order is a row, its line numbers are leaves weighed by quantity -------------------

@@ -25,9 +25,8 @@ def base_pmf(spark: SparkSession, mu: float, r: float) -> DataFrame:
 
 def scaled_cdf(pmf: DataFrame, scales: list[float]) -> DataFrame:
     """(table, cdf): one array of 30 cumulative masses per scale; depth d moves to round(d * scale), kept in 1..30."""
-    spark = pmf.sparkSession
-    tables = spark.createDataFrame(list(enumerate(map(float, scales))), "table int, scale double")
-    moved = pmf.crossJoin(tables).select(
+    tables = [F.struct(F.lit(i).alias("table"), F.lit(float(s)).alias("scale")) for i, s in enumerate(scales)]
+    moved = pmf.select("depth", "p", F.explode(F.array(*tables)).alias("t")).select("depth", "p", "t.*").select(
         "table",
         F.greatest(F.lit(1), F.least(F.lit(MAX_DEPTH), F.floor(F.col("depth") * F.col("scale") + 0.5).cast("int"))).alias("depth"),
         "p",

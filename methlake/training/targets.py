@@ -82,17 +82,20 @@ def normalised(targets: DataFrame) -> DataFrame:
     return targets.withColumn("q", F.col("q") / F.sum("q").over(Window.partitionBy("row")))
 
 
-def log_targets(targets: DataFrame, rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(row, leaf_idx, log_q): the dense table of floored log masses, for export.
-
-    The leaf list is the model's (bounded), so each row is expanded in place and nothing is cross-joined
-    on the data side.
-    """
-    dense = rows.select("row").join(leaves.select("leaf", "leaf_idx"), how="cross")
-    return dense.join(targets, ["row", "leaf"], "left").select(
-        "row",
-        "leaf_idx",
-        F.greatest(F.ln(F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(SMALLEST_MASS))), F.lit(LOG_FLOOR))
-        .cast("float")
-        .alias("log_q"),
+def log_target_rows(targets: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(row, log_q): floored log masses of all k classes as one array. targets: row, leaf_idx, q."""
+    held = targets.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("leaf_idx", "q"))).alias("q"))
+
+    def mass(i):
+        return F.coalesce(F.element_at("q", i), F.lit(0.0))
+
+    log_q = F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        lambda i: F.greatest(F.ln(F.greatest(mass(i), F.lit(SMALLEST_MASS))), F.lit(LOG_FLOOR)).cast("float"),
     )
+    return rows.select("row").join(held, "row", "left").select("row", log_q.alias("log_q"))
+
+
+def log_targets(targets: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(row, leaf_idx, log_q): the same in long form, for export."""
+    return log_target_rows(targets, rows, k).select("row", F.posexplode("log_q").alias("leaf_idx", "log_q"))
