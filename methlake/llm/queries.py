@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methlake.llm import bpe, fm_index, language, quality
+from methlake.llm import bpe, fm_index, language, neighbours, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,11 +33,30 @@ def fold(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Windows of 20 words that also start earlier, and what is left without their words.
+WORDS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+h AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS k FROM v),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM h),
+c AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(s, s + 20))))) AS gone FROM r WHERE n > 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i))) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
     """Learned from the folds that are not held out."""
     return language.fit(table(spark, sf_dir, "documents").where(fold(3) != 1).select("text", "lang"))
 
 
+@query("op1_substring_dedup", WORDS_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +64,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_sharding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op4_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -69,9 +93,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query("op8_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold(5) == 0
     model = quality.fit(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op10_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
