@@ -25,8 +25,9 @@ from methlake.llm.words import gather, pieces, ranges, utf8
 NONE = np.int32(2**31 - 1)
 #: Matrix widths; beyond the last, a match is a row of its own whose pairs wait in a heap (same order, same result).
 WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64, 256, 1024)
-#: Cells of one matrix.
-CELLS = 1 << 21
+#: Cells of one matrix, and text bytes that are encoded at a time.
+CELLS = 1 << 18
+PIECE = 1 << 20
 
 
 @dataclass
@@ -83,7 +84,7 @@ def _slot(key: np.ndarray, size: int) -> np.ndarray:
 
 def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Open addressing with linear probing at a load under 1/2; also the longest probe."""
-    size = 1 << max(4, int(2 * len(keys)).bit_length())
+    size = 1 << max(4, int(2 * len(keys) - 1).bit_length())
     table, out = np.full(size, _EMPTY, np.uint64), np.zeros(size, np.int32)
     slot, left, probes = _slot(keys, size), np.arange(len(keys)), 0
     while len(left):
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = regex.compile(shared.value.pattern)
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, PIECE):
             flat, offsets = encode_texts(piece.column(text).to_pylist(), pattern, shared.value)
             packed = np.ascontiguousarray(flat, dtype="<u4")
             column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(np.ascontiguousarray(offsets * 4)), pa.py_buffer(packed)])
@@ -225,7 +226,7 @@ def decode(coded: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
-        for piece in pieces(batches, ids):
+        for piece in pieces(batches, ids, PIECE):
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in piece.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.binary())], names=[*piece.schema.names, out])
 
