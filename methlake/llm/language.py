@@ -70,7 +70,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1500, most_languages: int = 256, size: int = 16, epochs: int = 4, batch: int = 32, rate: float = 2.0, rejected: float = 0.002, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 256, size: int = 16, epochs: int = 4, batch: int = 32, rate: float = 2.0, rejected: float = 0.002, seed: int = 7) -> LanguageModel:
     """Learn from rows with text and language; at most about per_language x languages of them, drawn by the text's hash.
 
     rejected: share of the held-back, rightly named texts that the threshold may reject. Languages beyond the
