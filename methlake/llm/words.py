@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time; a longer text is a piece of its own, never cut.
 PIECE_BYTES = 2 << 20
+HASH_BYTES = 1 << 17
 
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -82,11 +83,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes: a polynomial over the word's bytes, from prefix sums, then mixed with its length."""
-        power, inverse = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return mix(h ^ (self.ends - self.starts).astype(np.uint64))
+        out = np.empty(len(self), np.uint64)
+        cuts = np.searchsorted(self.starts, np.arange(0, len(self.data) + HASH_BYTES, HASH_BYTES)).tolist()
+        for a, b in zip(cuts, cuts[1:]):  # so many bytes at a time that all arrays stay in the cache
+            if a == b:
+                continue
+            s, e = self.starts[a], self.ends[b - 1]
+            power, inverse = _powers(e - s + 1)
+            sums = np.zeros(e - s + 1, np.uint64)
+            np.cumsum((self.data[s:e].astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+            first = self.starts[a:b] - s
+            out[a:b] = (sums[self.ends[a:b] - s] - sums[first]) * inverse[first]
+        return mix(out ^ (self.ends - self.starts).astype(np.uint64))
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
