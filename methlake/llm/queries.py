@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methlake.llm import bpe, fm_index, language, neighbours, quality, sharding, simhash, substrings
+from methlake.llm import backoff, bpe, fm_index, language, lines, neighbours, quality, sharding, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def ranks() -> bpe.Ranks:
     return bpe.Ranks.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -107,6 +113,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+#: A word's score: its trigram if that occurs twice at least, else 0.4 times its bigram's, else 0.4 times its share.
+BACKOFF_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+t AS (SELECT doc_id, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c,
+  CASE WHEN i > 1 THEN w[i - 1] END AS pa, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS pb FROM p),
+ca AS (SELECT a AS g, count(*) AS n FROM t GROUP BY a), cb AS (SELECT b AS g, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b),
+cc AS (SELECT c AS g, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY c), z AS (SELECT count(*) AS n FROM t),
+s AS (SELECT t.doc_id, CASE WHEN cc.n >= 2 THEN ln(cc.n / qb.n)
+  ELSE (CASE WHEN c IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN cb.n >= 2 THEN ln(cb.n / qa.n) ELSE (CASE WHEN b IS NULL THEN 0 ELSE ln(0.4) END) + ln(ca.n / z.n) END) END AS s
+  FROM t JOIN ca ON t.a = ca.g LEFT JOIN cb ON t.b = cb.g LEFT JOIN cc ON t.c = cc.g LEFT JOIN ca qa ON t.pa = qa.g LEFT JOIN cb qb ON t.pb = qb.g CROSS JOIN z),
+e AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score FROM d LEFT JOIN e ON d.doc_id = e.doc_id
+"""
+
+
+@query("op9_lm_scores", BACKOFF_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = backoff.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 @query("op10_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")

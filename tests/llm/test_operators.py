@@ -1,0 +1,240 @@
+"""Each operator against brute force, over a table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import math
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from llm_cases import CLASHES, backoff as slow_backoff, components, decontaminate, documents, frame, line_dedup, order, substrings
+
+from methlake.llm import backoff, bpe, fm_index, language, lines, neighbours, quality, sharding, simhash, substrings as fast
+from methlake.llm.queries import ranks
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows, CLASHES).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [], CLASHES)
+
+
+@pytest.mark.parametrize("bucket_bytes", [fast.BUCKET_BYTES, 4000])  # the latter makes many buckets, with hot bins
+def test_substrings(docs, rows, bucket_bytes):
+    got = fast.dedup(docs, bucket_bytes=bucket_bytes).select("doc_id", "n_words", "n_removed", "kept", "lang").collect()
+    assert Counter(tuple(r)[:4] for r in got) == substrings(rows)
+
+
+def test_substrings_in_hot_bins(docs, rows, monkeypatch):
+    monkeypatch.setattr(fast, "REDUNDANCY", 0.001)  # makes every bin hot
+    got = fast.dedup(docs).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == substrings(rows)
+
+
+def test_colliding_window_hashes_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fast, "sequence_hashes", lambda h, first, size: np.zeros(len(first), np.uint64))
+    texts = [b"a b c", b"a b d", b"a b c", b"a b d"]
+    kmers = fast.SuperKmers(np.arange(4), np.arange(4), np.zeros(4, np.int32), np.ones(4, np.int32), pa.array(texts, pa.large_binary()))
+    assert fast.losers(kmers, 3)[0].tolist() == [False, False, True, True]
+
+
+def test_lines(docs, rows):
+    got = lines.dedup(docs).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == line_dedup(rows)
+
+
+def test_lines_whose_likeliest_partner_fails(docs, rows, monkeypatch):
+    """Signatures that tell nothing: likeliest partners often fail, so the second pass has to find the right ones."""
+    real = lines.match
+    monkeypatch.setattr(lines, "match", lambda w, o, th, li, size, pos, sign, sid, **k: real(w, o, th, li, size, pos, np.zeros_like(sign), sid, **k))
+    got = lines.dedup(docs).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == line_dedup(rows)
+
+
+def test_lines_of_crowded_words(docs, rows, monkeypatch):
+    monkeypatch.setattr(lines, "MOST", 2)
+    got = lines.dedup(docs).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == line_dedup(rows)
+
+
+ITEMS = lambda rows: [(i, t[:90]) for i, t in [(n, x[1]) for n, x in enumerate(rows) if x[1]][:12]] + [(90, None), (91, ""), (92, "The"), (None, rows[5][1]), (93, "no such words at all here"), (92, "... 日本 ...")]
+
+
+@pytest.mark.parametrize("block", [fm_index.BLOCK_BYTES, 200])
+def test_decontamination(spark, docs, rows, block):
+    items = ITEMS(rows)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = fm_index.find(docs, bench, block_bytes=block)
+    got = Counter((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r.item_ids)) for r in found.collect())
+    assert got == decontaminate(rows, items)
+    left = fm_index.remove(found)
+    again = fm_index.find(left.select("doc_id", "text"), bench).collect()
+    assert sum(len(r.spans) for r in again) <= 2 and left.count() == len(rows)
+
+
+def test_decontamination_without_items(spark, docs, rows):
+    found = fm_index.find(docs, spark.createDataFrame([], "item_id bigint, text string"))
+    assert {(len(r.spans), len(r.item_ids)) for r in found.collect()} == {(0, 0)}
+
+
+def test_bpe(docs, rows):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    right = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    known = ranks()
+    got = bpe.decode(bpe.encode(docs, known), known).select("text", "ids", "decoded", bpe.unpacked("ids").alias("list")).collect()
+    for r in got:
+        ids = right.encode_ordinary(r.text or "")
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids == r.list
+        assert bytes(r.decoded) == (r.text or "").encode()
+    assert len(got) == len(rows)
+
+
+def test_bpe_of_long_matches():
+    import regex
+
+    known = ranks()
+    pattern = regex.compile(known.pattern)
+    for text in ("ab" * 3000, "é" * 2000, " " * 1500 + "x"):
+        flat, _ = bpe.encode_texts([text], pattern, known)
+        short = bpe.merge_rows(known.byte_ids[np.frombuffer(pattern.findall(text)[0].encode(), np.uint8)][None, :].copy(), known)
+        assert short[0][1][0][short[0][1][0] >= 0].tolist() == bpe.encode_texts([pattern.findall(text)[0]], pattern, known)[0].tolist()
+        assert b"".join(known.tokens[i] for i in flat) == text.encode()
+
+
+def test_simhash(docs, rows):
+    got = simhash.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.simhash & (2**64 - 1), r.component) for r in got) == components(rows)
+
+
+def test_simhash_in_slices(docs, rows):
+    got = simhash.near_duplicates(docs, most=2).collect()
+    assert Counter((r.doc_id, r.simhash & (2**64 - 1), r.component) for r in got) == components(rows)
+
+
+def test_trie_links_span_all_pairs():
+    rng = np.random.default_rng(0)
+    flips = rng.integers(0, 64, (400, 5))
+    prints = rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, 400)]
+    for k in range(5):
+        prints = np.where(rng.random(400) < 0.5, prints ^ (np.uint64(1) << flips[:, k].astype(np.uint64)), prints)
+    prints = np.unique(prints)
+    a, b = simhash.trie_links(np.zeros(len(prints), np.int64), prints, 4)
+    got, want = simhash.Forest(len(prints)), simhash.Forest(len(prints))
+    got.join(a, b)
+    want.join(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4))
+    assert np.array_equal(got.root, want.root)
+
+
+def test_backoff(docs, rows):
+    got = sorted(((r.doc_id, r.n_words, r.log_score) for r in backoff.scores(docs, chunk_bytes=2000, part_ngrams=300).collect()), key=lambda x: (order(x[0]), x[1]))
+    want = sorted(slow_backoff(rows), key=lambda x: (order(x[0]), x[1]))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(math.isclose(a[2], b[2], abs_tol=1e-9) for a, b in zip(got, want))
+
+
+def test_sharding(docs, rows):
+    got = sharding.assign(docs, shards=7).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    load = Counter(r.shard for r in got)
+    assert max(load.values()) - min(load.values()) <= 1 and set(load) == set(range(7))
+    for s in load:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(load[s]))
+    places = {}
+    for r in got:
+        places.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert sum(len(p) - 1 for p in places.values()) <= 7
+
+
+def test_propagation_gathers_linked_texts(spark):
+    """Five families of texts that share a line each: fewer families are cut than by hashing alone."""
+    own = lambda f, i: f"family {f} has this very line that all of its members hold\nmember {i} of {f}"
+    rows = [(f * 100 + i, own(f, i), "en", "s") for f in range(20) for i in range(10)]
+    got = {r.doc_id: r.shard for r in sharding.assign(frame(spark, rows), shards=5, rounds=8).collect()}
+    spread = [len({got[f * 100 + i] for i in range(10)}) for f in range(20)]
+    assert sum(spread) / 20 < 3.5  # hashing gives 4.5
+
+
+def test_language(spark, docs, rows):
+    rnd = np.random.default_rng(0)
+    kinds = {"aa": ["ba", "bo", "bi", "ab", "aba"], "zz": ["zu", "zü", "xu", "uz", "zux"]}
+    word = lambda k: "".join(rnd.choice(kinds[k], 3))
+    train = [(i, " ".join(word(k) for _ in range(rnd.integers(1, 30))), k, "s") for i in range(300) for k in kinds]
+    model = language.fit(frame(spark, [*train, (9000, "abc", None, "s"), (9001, None, "aa", "s"), (9002, "12", "zz", "s")]))
+    test = [(i, " ".join(word(k) for _ in range(4)), k, "s") for i in range(200) for k in kinds]
+    got = language.predict(frame(spark, test, CLASHES), model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.98 and np.mean([r.rejected for r in got]) < 0.02
+    got = language.predict(docs, model).collect()
+    assert len(got) == len(rows) and all((r.lang_pred == "und") == (not r.text or not any(c.isalpha() for c in r.text)) and 0 <= r.score <= 1 for r in got)
+    nothing = language.fit(docs.where("false"))
+    assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
+
+
+def test_quality(spark, docs, rows):
+    rnd = np.random.default_rng(0)
+    good = lambda: " ".join("".join(rnd.choice(list("abcde"), 4)) for _ in range(20))
+    made = [(i, good() if i % 2 else good().upper() + " !! !!", "en", "s") for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)] + [(3, None, 0), (None, 1, 0), (5000, 1, 1), (7, 5, 0)], "doc_id bigint, quality int, toxic int")
+    train = frame(spark, made, CLASHES)
+    model = quality.fit(train, labels)
+    got = quality.score(train, model).where("doc_id >= 400").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.97
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert {r.score for r in quality.score(docs, quality.fit(docs, labels.where("false"))).collect()} == {0.5}
+
+
+def vectors(spark, n=400, size=12, seed=0):
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(n, size)) * rnd.uniform(0.5, 2, (n, 1))
+    x[50:80] = x[50]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(n)]
+    odd = [(1000, None), (1020, [0.0] * size), (1040, [1.0, None] + [1.0] * (size - 2)), (1060, [math.nan] * size), (1080, [math.inf] + [0.0] * (size - 1)), (1100, [1.0, 2.0]), (None, [1.0] * size), rows[20]]
+    return spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>"), x
+
+
+@pytest.mark.parametrize("parts", [(4000, 2000), (16, 3)])
+def test_neighbours(spark, parts):
+    df, x = vectors(spark)
+    got = neighbours.search(df, df.where("vec_id % 20 = 0"), part_vectors=parts[0], part_queries=parts[1]).collect()
+    hit = 0
+    for q in range(0, 400, 20):
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, 21))
+        assert all(abs(r.score - float(x[q] @ x[r.vec_id])) < 1e-12 and r.vec_id != q for r in mine)
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+        s = x @ x[q]
+        best = [i for i in np.lexsort([np.arange(400), -s]) if i != q][:20]
+        hit += len(set(best) & {r.vec_id for r in mine})
+    assert len(got) == 400 and hit / 400 >= 0.9
+
+
+def test_few_vectors(spark):
+    df, _ = vectors(spark)
+    few = df.where("vec_id < 9 OR vec_id >= 1000")
+    got = neighbours.search(few, few).collect()
+    assert Counter(r.query_id for r in got) == {i: 8 for i in range(9)}
+    assert neighbours.search(df.where("false"), df).count() == 0
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: fast.dedup(d), lambda d: lines.dedup(d), lambda d: simhash.near_duplicates(d), lambda d: backoff.scores(d), lambda d: sharding.assign(d),
+    lambda d: fm_index.find(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: bpe.encode(d, ranks()),
+    lambda d: language.predict(d, language.fit(d)), lambda d: quality.score(d, quality.fit(d, d.selectExpr("doc_id", "1 AS quality"))),
+])
+def test_empty_tables(empty, run):
+    assert run(empty).collect() == []

@@ -1,0 +1,70 @@
+"""The registered queries: against SQL where there is some, and their contracts on the small tables."""
+
+import numpy as np
+import pytest
+from conftest import SF
+from llm_cases import components, line_dedup, sha
+from parity import compare, connect
+
+import corpus_pipeline
+from methlake.llm.queries import QUERIES, SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, name):
+    assert compare(spark, connect(SF), QUERIES[name], SQL[name], SF) is None
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_op5(spark, docs):
+    got = sorted(tuple(r) for r in QUERIES["op5_line_dedup"](spark, SF).collect())
+    assert got == sorted((k, n, m, sha((t or "").encode())) for (k, n, m, t), c in line_dedup(docs).items() for _ in range(c))
+
+
+def test_op7(spark, docs):
+    got = sorted(tuple(r) for r in QUERIES["op7_simhash"](spark, SF).collect())
+    assert got == sorted((k, f"{f:016x}", c) for k, f, c in components(docs).elements())
+
+
+def test_op2_and_op8_learn(spark):
+    sf = "/root/testdata/sf0.01"  # sf0.001 has 19 held-out labels
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = [r for r in QUERIES["op2_language_id"](spark, sf).collect() if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got]) > 0.95
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in QUERIES["op8_quality"](spark, sf).collect() if r.held_out and r.doc_id in label]
+    assert np.mean([r.predicted == label[r.doc_id] for r in got]) > 0.85
+
+
+def test_op10_recall(spark):
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    ids = np.array(sorted(v))
+    x = np.array([v[i] for i in ids])
+    got, hit, n = {}, 0, 0
+    for r in QUERIES["op10_neighbours"](spark, SF).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in ids[ids % 20 == 0]:
+        s = x @ v[q]
+        best = {ids[i] for i in np.lexsort([ids, -s]) if ids[i] != q and len(s)}
+        best = [ids[i] for i in np.lexsort([ids, -s]) if ids[i] != q][:20]
+        hit, n = hit + len(set(best) & got[q]), n + len(best)
+    assert hit / n >= 0.9
+
+
+def test_pipeline(spark, tmp_path):
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{i}")
+        seen.append(docs.count())
+        if name != "tokenize":
+            assert docs.columns == before.columns
+        assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
+    assert seen == sorted(seen, reverse=True) and seen[0] >= 0.98 * spark.read.parquet(f"{SF}/documents.parquet").count()
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/3").collect()}
+    assert all(r.text == text[r.doc_id] for r in docs.collect())
+    assert corpus_pipeline.run(spark, SF).count() == seen[-1]
