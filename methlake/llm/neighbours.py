@@ -73,7 +73,7 @@ def fit(vectors: DataFrame, k: int, sample: int, recall: float, seed: int) -> In
     size, n, norm = stats["size"], stats["n"], float(stats["m"]) ** 0.5
     draw = F.xxhash64("key", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(1 << 40)
     rows = vectors.where((F.size("v") == size) & (draw < min(1.0, sample / n))).limit(2 * sample).select("key", "v").toArrow()
-    order = np.argsort(rows["key"].to_numpy(), kind="stable")
+    order = np.unique(rows["key"].to_numpy(), return_index=True)[1]  # a repeated row counts once
     x = _matrix(rows["v"].combine_chunks())[order]
     random = np.random.default_rng(seed)
     rotation = np.linalg.qr(random.normal(size=(size + 1, size + 1)))[0]
