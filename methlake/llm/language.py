@@ -70,9 +70,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 256, size: int = 16, epochs: int = 4, batch: int = 32, rate: float = 2.0, rejected: float = 0.002, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 256, size: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 2.0, rejected: float = 0.002, seed: int = 7) -> LanguageModel:
     """Learn from rows with text and language; at most about per_language x languages of them, drawn by the text's hash.
 
+    steps: least number of gradient steps, so that few rows are gone over more often than `epochs` times.
     rejected: share of the held-back, rightly named texts that the threshold may reject. Languages beyond the
     `most_languages` most frequent are not learned. Without any labelled row the model knows no language.
     """
@@ -91,7 +92,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     places, weights = features["places"].to_pylist(), features["weights"].to_pylist()
     texts = [(np.frombuffer(places[i], np.int32), np.frombuffer(weights[i], np.float32)) for i in order]
     held = np.arange(len(texts)) % 5 == 4
-    embed, out, bias = _descend([t for t, h in zip(texts, held) if not h], wanted[~held], len(languages), size, epochs, batch, rate, seed)
+    embed, out, bias = _descend([t for t, h in zip(texts, held) if not h], wanted[~held], len(languages), size, max(epochs, -(-steps * batch // max(1, len(texts)))), batch, rate, seed)
     table = (embed @ out).astype(np.float32)
     rest = [t for t, h in zip(texts, held) if h] or texts
     truth = wanted[held] if held.any() else wanted

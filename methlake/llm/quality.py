@@ -71,10 +71,11 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + self.bias, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 6000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, seed: int = 11) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 6000, epochs: int = 3, updates: int = 5000, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, seed: int = 11) -> QualityModel:
     """Learn from about `most` labelled rows at the most, drawn by the key's hash; labels other than 0 and 1 are left out.
 
-    Without any labelled row every score is 1/2.
+    updates: least number of updates, so that few rows are gone over more often than `epochs` times. Without any labelled
+    row every score is 1/2.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     n = usable.count()
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     places, values = got["places"].to_pylist(), got["weights"].to_pylist()
     z, g, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     zb = gb = bias = 0.0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-updates // max(1, len(order))))):
         for i in order:
             p, x = np.frombuffer(places[i], np.int32), np.frombuffer(values[i], np.float32).astype(np.float64)
             wi = w[p] = np.where(np.abs(z[p]) <= l1, 0.0, -(z[p] - np.sign(z[p]) * l1) / ((beta + np.sqrt(g[p])) / alpha + l2))
