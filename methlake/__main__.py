@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
     counts.add_argument("--shard", type=shard, default="0/1")
     inspect = command("inspect", "check an alignment file")
     inspect.add_argument("-i", "--input", required=True)
-    inspect.add_argument("--records", type=int, default=2000)
+    inspect.add_argument("--records", type=int, default=0, help="judge a file by its first reads only; 0: by all")
     command("classify", "classify the sum of count tables").add_argument("-i", "--input", nargs="+", required=True)
     evaluate = command("eval", "reports of a cohort as JSON Lines")
     evaluate.add_argument("--labels", required=True)
@@ -97,6 +97,8 @@ def main(argv: list[str] | None = None) -> int:
         FIT.check(spark, args.spec, args.out, args.dump)
         return 0
     model = load_model(spark, args.model) if hasattr(args, "model") else None
+    if model is not None:
+        model.check()
     if command == "inspect":
         facts, issues = E.preflight(spark, [args.input], model, args.records)
         _show(E.inspection_json(facts, issues) if as_json else E.inspection_text(facts, issues))
@@ -112,14 +114,15 @@ def main(argv: list[str] | None = None) -> int:
     if command in ("eval", "contribute"):
         cohort = read_cohort(spark, args.labels)
         values, warnings = E.cohort_values(spark, cohort, model)
+        # a file may be listed more than once; every line is a sample
+        listed = E.cohort_samples(spark, cohort)
         if command == "contribute":
-            # a file may be listed more than once; every line is a sample
-            listed = cohort.select("sample_id", F.col("input").alias("path"), "label")
-            feats = E.features(values, model).withColumnRenamed("sample_id", "path").join(listed, "path")
+            feats = E.features(values, model).withColumnRenamed("sample_id", "input_id").join(F.broadcast(listed), "input_id")
             FED.contribute(feats.select("sample_id", "probe_idx", "t"), listed.select("sample_id", "label"), model, args.out, args.head)
             return 0
-        rows = E.reported(values, model, warnings).withColumn("path", F.col("sample_id")).drop("sample_id")
-        lines = REP.as_json_lines(cohort.select("sample_id", F.col("input").alias("path"), "label").join(rows, "path"), model.lineage)
+        inputs = listed.select(F.col("input_id").alias("sample_id")).distinct()
+        rows = E.reported(values, model, warnings, samples=inputs).withColumnRenamed("sample_id", "input_id")
+        lines = REP.as_json_lines(listed.join(rows, "input_id"), model.lineage)
         if args.out:
             E.write_lines(lines.orderBy("sample_id"), args.out)
         else:

@@ -33,10 +33,9 @@ def is_missing_beta(c: Column) -> Column:
 
 
 def csv_fields(line: Column) -> Column:
-    """One CSV record to an array of fields.
+    """The fields of a line of comma-separated text; a field in double quotes may hold commas and doubled quotes.
 
-    Fields may be double-quoted ("" is a literal quote) and records never span lines. A comma is put
-    in front so that every field, an empty first one included, is matched behind a comma.
+    Every field is matched together with the comma before it, so one is put in front of the line.
     """
     # possessive runs: one step per quote instead of one per character, and no backtracking
     quoted = r'"[^"]*+(?:""[^"]*+)*+"[^,]*'

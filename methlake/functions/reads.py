@@ -34,11 +34,6 @@ def is_reverse(flag: Column) -> Column:
     return flag.bitwiseAND(F.lit(FLAG_REVERSE)) != 0
 
 
-def decode_bases(packed: Column, n_bases: Column) -> Column:
-    """4-bit packed bases to letters; the hex digit of each base is translated to its letter."""
-    return F.substring(F.translate(F.hex(packed), "0123456789ABCDEF", BASE_CODES), F.lit(1), n_bases)
-
-
 def complement(bases: Column) -> Column:
     return F.translate(bases, "ACGT", "TGCA")
 

@@ -62,14 +62,17 @@ def gradient_sums(projected: DataFrame, masks: DataFrame, model: Model, head: st
 
 
 def contribute(features: DataFrame, labels: DataFrame, model: Model, out: str, head: str | None = None) -> dict:
-    """Write a site's update (gradients and sidecar). labels: sample_id, label. Returns the sidecar's content."""
+    """Write a site's update (gradients and sidecar). labels: sample_id, label. Returns the sidecar's content.
+
+    Every labelled sample takes part, one without covered probes as the empty vector; features of others do not.
+    """
     head = head or model.lineage.head
-    sums = gradient_sums(project(features, model), class_masks(labels, model, head), model, head)
+    sums = gradient_sums(project(features, model, samples=labels), class_masks(labels, model, head), model, head)
     table = W.publish(sums)
     written = model.spark.read.parquet(table)
     stats = written.filter(F.col("name") == G.STATS).first()
     if stats is None:
-        raise ValueError("the cohort has no samples with covered probes")
+        raise ValueError("no labelled sample to learn from")
     n, loss = int(stats["values"][0]), stats["values"][1]
     grads = written.filter(F.col("name") != G.STATS).select(
         F.concat(F.lit(PREFIX), "name").alias("name"), "shape", "block", F.col("values").cast("array<float>").alias("values")
@@ -205,14 +208,14 @@ def apply_patch(spark: SparkSession, base: Model, patch: str, out: str) -> Model
     meta = json.loads(read_text(sidecar(patch)))
     have = sha256_of(base.weights)
     if have != meta["base_sha256"]:
-        raise ValueError(f"this model is {have[:12]}, the patch is for {meta['base_sha256'][:12]}")
+        raise ValueError(f"the patch is for weights {meta['base_sha256'][:12]}; these are {have[:12]}")
     changed = read_tensors(spark, patch)
     check_shapes(changed, base.shapes, patch)
     _copy_rest(base, out)
     write_tensors(replace_blocks(base.blocks(), changed), f"{out}/{base.weights_name}", base.shapes)
     got = sha256_of(f"{out}/{base.weights_name}")
     if got != meta["new_sha256"]:
-        raise ValueError(f"the patched model is {got[:12]}, the hub published {meta['new_sha256'][:12]}; do not use it")
+        raise ValueError(f"patching gave weights {got[:12]} where the hub has {meta['new_sha256'][:12]}: the result is not the hub's model")
     doc_name = "manifest.json" if file_size(base.path("manifest.json")) is not None else LINEAGE
     doc = json.loads(read_text(base.path(doc_name)))
     write_text(f"{out}/{doc_name}", json.dumps({**doc, "federated": meta["federated"]}, indent=2, ensure_ascii=False))

@@ -107,7 +107,7 @@ def _mixing(spec: Spec, tops: DataFrame, leaves: DataFrame, corpus: DataFrame, s
         pool, cand = PUR.pools(committed, leaves, cfg)
         bank = store.keep(PUR.bank(pool, cfg), f"bank_{i}")
         if bank.isEmpty():
-            raise ValueError(f"purity block {i}: no background rows")
+            raise ValueError(f"purity block {i} has nothing to mix with")
         fit = PUR.eligibility(corpus, pool, cand, cfg)
         rows.append(store.keep(fit.filter("eligible").select("row", F.lit(i).alias("mix")), f"eligible_{i}"))
         banks.append(bank.withColumn("mix", F.lit(i)))
@@ -151,14 +151,14 @@ def _number(seed: int, stream: str) -> int:
 
 
 def epoch_examples(spec: Spec, tables: Tables, epoch: int, store: Store, max_batches: int | None = None) -> tuple[DataFrame, int]:
-    """The epoch's examples, stored by batch, and the number of full batches."""
+    """The epoch's examples, stored by batch, and the number of batches."""
     size, seed = spec.optim.batch_size, spec.optim.seed
     pairs = AUG.coverage_pairs(tables.examples.select("row"), list(spec.coverage_levels))
     plan = AUG.epoch_batches(pairs, size, seed, epoch)
     if max_batches is not None:
         plan = plan.filter(F.col("batch") < max_batches)
     plan = store.keep(plan, f"plan_{epoch}")
-    n = plan.count() // size
+    n = -(-plan.count() // size)
     pair = ["row", "coverage"]
     deep = view(plan.withColumn("depth", F.col("coverage").cast("double")), spec, tables, seed, f"deep{epoch}")
     whole = plan.join(deep, pair).join(tables.examples, "row")

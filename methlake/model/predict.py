@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from methlake.model import network, weights as W
 from methlake.model.artifact import Model
-from methlake.sources.tensors import BLOCK
-
-PROJECT_IN_TASK_BYTES = 1 << 30  # a first matrix up to this size is held by each worker; larger ones are joined
 
 
 def sample_vectors(features: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -23,20 +20,6 @@ def sample_vectors(features: DataFrame, key: str = "sample_id") -> DataFrame:
     )
 
 
-def project_joined(features: DataFrame, first: DataFrame, rank: int, n_probes: int, key: str = "sample_id") -> DataFrame:
-    """(key, z): features times the first matrix as a join on the probe, for matrices of any size.
-
-    first: its blocks (row-major rank x probes), turned into one column vector per probe.
-    """
-    flat = first.select(F.posexplode("values").alias("i", "w"), "block").withColumn(
-        "at", F.col("block").cast("bigint") * BLOCK + F.col("i")
-    )
-    column = F.sort_array(F.collect_list(F.struct(F.floor(F.col("at") / n_probes).alias("k"), "w")))
-    columns = flat.groupBy((F.col("at") % n_probes).cast("int").alias("probe_idx")).agg(column.alias("c"))
-    vectors = columns.select("probe_idx", F.transform("c", lambda e: e["w"]).alias("w"))
-    return signed_sums(features.join(vectors, "probe_idx"), rank, key)
-
-
 def signed_sums(terms: DataFrame, rank: int, key: str) -> DataFrame:
     """(key, z): the sum of t * w over the rows (key, t, w) of each key, w a vector of `rank` values.
 
@@ -46,13 +29,17 @@ def signed_sums(terms: DataFrame, rank: int, key: str) -> DataFrame:
     return terms.groupBy(key).agg(*parts).select(key, F.array(*[f"_{k}" for k in range(rank)]).alias("z"))
 
 
-def project(features: DataFrame, model: Model, key: str = "sample_id") -> DataFrame:
-    """(key, n_covered, z): every sample through the first matrix."""
-    rank, n_probes = model.shapes[network.FIRST]
+def project(features: DataFrame, model: Model, key: str = "sample_id", samples: DataFrame | None = None) -> DataFrame:
+    """(key, n_covered, z): every sample through the first matrix, which each worker reads once from the published table.
+
+    samples: key; with it, exactly these samples come out, one without features as the empty vector.
+    """
     vectors = sample_vectors(features, key)
-    if 4 * rank * n_probes > PROJECT_IN_TASK_BYTES:
-        joined = project_joined(features, model.blocks().filter(F.col("name") == network.FIRST), rank, n_probes, key)
-        return vectors.select(key, "n_covered").join(joined, key)
+    if samples is not None:
+        none = F.array().cast("array<int>")
+        vectors = samples.select(key).distinct().join(vectors, key, "left").select(
+            key, F.coalesce("n_covered", F.lit(0).cast("bigint")).alias("n_covered"), F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus")
+        )
     path, kind = model.published, features.schema[key].dataType.simpleString()
 
     def run(batches):

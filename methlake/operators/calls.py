@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from methlake.functions import reads as R
 from methlake.functions.numeric import ratio_4dp
-from methlake.operators.intervals import interval_join
+from methlake.operators.intervals import interval_join, with_bins
 
 READ_BIN = 16_384  # near the span of a long read
 
@@ -16,11 +16,6 @@ def is_usable() -> Column:
     return R.is_primary_mapped(F.col("flag")) & (F.col("rid") >= 0) & (F.col("pos") >= 0) & F.col("mm").isNotNull()
 
 
-def usable_reads(reads: DataFrame, n_refs: int | None = None) -> DataFrame:
-    keep = is_usable()
-    return reads.filter(keep & (F.col("rid") < n_refs) if n_refs is not None else keep)
-
-
 def site_on_read(pos: Column, reverse: Column) -> Column:
     """Where a read sees a CpG: the C itself, or one base on for a reverse alignment (its G)."""
     return pos + F.when(reverse, 1).otherwise(0)
@@ -50,45 +45,65 @@ def read_calls(
     """Outcome of every (aligned read, probe inside its span): 1, -1, 0, or null where nothing is called.
 
     reads: contig, pos, flag, l_seq, cigar, seq, mm, ml (+ sample_id); probes: contig, pos, cg_id.
-    Only probes inside a read's span are looked at. Each is mapped through the CIGAR to one read base, and that
-    base's ordinal among the read's cytosines is looked up in the tag. With the probes broadcast this is one
-    pipelined stage: sequences are never shuffled. Rows without a call are left for the aggregate to ignore,
-    because a filter here would be copied into the join condition together with the whole decode.
-    With columns to `carry`, rows that meet no probe (or have no position) stay, with a null probe.
+    The sites of a bin are gathered into one array beforehand, so a read meets them in one row per bin it touches. It is
+    decoded there, once, and only if a site lies inside its span; each site is then mapped through the CIGAR to one read
+    base, whose ordinal among the read's cytosines is looked up in the tag. With the gathered sites broadcast this is one
+    pipelined stage: sequences are never shuffled. With columns to `carry`, rows that meet no probe (or have no
+    position) stay, with a null probe.
     """
     sample = [*(c for c in ("sample_id",) if c in reads.columns), *carry]
-    prepared = reads.select(
+    spans = reads.select(
         *sample,
         "contig",
         F.col("pos").cast("bigint").alias("ref_start"),
         (F.col("pos") + R.reference_span(F.col("cigar"))).alias("ref_end"),
         R.is_reverse(F.col("flag")).alias("is_reverse"),
-        "l_seq",
-        "cigar",
-        F.hex("seq").alias("seq"),
-        R.parse_mm(F.col("mm"), single_numeric_code).alias("groups"),
-        "ml",
-    )
-    pairs = read_probe_pairs(prepared, probes, width, how="left" if carry else "inner")
+        "l_seq", "cigar", "seq", "mm", "ml",
+    )
+    met = F.size("sites") > 0
+    decoded = sites_inside(spans, probes, width, keep=bool(carry)).select(
+        *sample, "sites", "ref_start", "is_reverse", "l_seq", "cigar", "ml",
+        F.when(met, F.substr(F.hex("seq"), F.lit(1), F.col("l_seq").cast("int"))).alias("bases"),
+        F.when(met, R.parse_mm(F.col("mm"), single_numeric_code)).alias("groups"),
+    )
     # a reverse alignment stores the reverse complement: its cytosines are the stored G's, from the end
     symbol = F.when(F.col("is_reverse"), "4").otherwise("2")  # 4-bit codes of G and C
-    stored = F.substr("seq", F.lit(1), F.col("l_seq").cast("int"))
     any_implicit = F.exists("groups", lambda g: (g["base"] == "C") & g["implicit"])
 
     def at_base(q: Column) -> Column:
-        on_cytosine = (q < F.col("l_seq")) & (F.substr("seq", (q + 1).cast("int"), F.lit(1)) == symbol)
+        on_cytosine = (q < F.col("l_seq")) & (F.substr("bases", (q + 1).cast("int"), F.lit(1)) == symbol)
         score = R.let(
-            R.base_ordinal(stored, q, symbol, F.col("is_reverse")),
+            R.base_ordinal(F.col("bases"), q, symbol, F.col("is_reverse")),
             lambda ordinal: R.call_score(F.col("groups"), F.col("ml"), ordinal),
         )
         return F.when(on_cytosine, R.let(score, lambda s: F.when(s.isNotNull(), s).when(any_implicit, 0)))
 
-    site = site_on_read(F.col("pos"), F.col("is_reverse"))
-    score = R.let(R.read_offset_at(F.col("cigar"), site - F.col("ref_start")), lambda q: F.when(q.isNotNull(), at_base(q)))
-    return pairs.select(
-        *sample, F.col("cg_id").alias("probe_id"), R.let(score, lambda s: R.outcome(s, low, high)).alias("outcome")
+    def called(site: Column) -> Column:
+        offset = site_on_read(site["pos"], F.col("is_reverse")) - F.col("ref_start")
+        score = R.let(R.read_offset_at(F.col("cigar"), offset), lambda q: F.when(q.isNotNull(), at_base(q)))
+        return F.struct(site["cg_id"].alias("probe_id"), R.let(score, lambda s: R.outcome(s, low, high)).alias("outcome"))
+
+    calls = F.transform("sites", called)
+    rows = decoded.select(*sample, (F.explode_outer if carry else F.explode)(calls).alias("c"))
+    return rows.select(*sample, "c.probe_id", "c.outcome")
+
+
+def sites_inside(spans: DataFrame, probes: DataFrame, width: int, keep: bool = False) -> DataFrame:
+    """spans with `sites`, an array<struct<pos, cg_id>> of the probes inside each, once for every bin with any.
+
+    With `keep`, spans without sites stay, with none. A bin's array is bounded by the bin's width.
+    """
+    bins = probes.groupBy("contig", F.floor(F.col("pos") / width).cast("bigint").alias("bin")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "cg_id"))).alias("near")
     )
 
+    def inside(s: Column) -> Column:
+        at = site_on_read(s["pos"], F.col("is_reverse"))
+        return (at >= F.col("ref_start")) & (at < F.col("ref_end"))
+
+    met = with_bins(spans, width, keep_empty=keep).join(bins, ["contig", "bin"], "left" if keep else "inner")
+    return met.withColumn("sites", F.filter("near", inside)).drop("near", "bin")
+
 
 def tally(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Exact modified / unmodified counters; partial sums are combined before the shuffle."""

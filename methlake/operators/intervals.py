@@ -23,17 +23,6 @@ def with_bins(
     )
 
 
-BROADCAST_ROWS = 2_000_000  # a site list up to this long is copied to every executor (some 100 MB)
-
-
-def broadcast_if_short(sites: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The sites with a broadcast hint if they are few enough, else unhinted for a shuffled join.
-
-    The count is taken on at most `limit` + 1 rows.
-    """
-    return F.broadcast(sites) if sites.limit(limit + 1).count() <= limit else sites
-
-
 def interval_join(
     intervals: DataFrame,
     points: DataFrame,

@@ -73,12 +73,6 @@ def merge_intervals(
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end))
 
 
-def first_per_group(df: DataFrame, keys: list[str], rank: Column, columns: list[str]) -> DataFrame:
-    """The row of least `rank` per group, by a partially aggregated minimum instead of a window sort."""
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), rank).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in columns])
-
-
 def last_per_group(df: DataFrame, keys: list[str], rank: Column, columns: list[str]) -> DataFrame:
     """Duplicates resolved in favour of the row of greatest `rank`."""
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("_row"))

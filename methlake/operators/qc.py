@@ -9,7 +9,6 @@ from methlake.functions import reads as R
 # ---- fixed values: levels and limits --------------------------------------------------------------
 LEVELS = ("info", "warn", "fatal")  # ascending
 LOW_COVERAGE = 10_000               # probes recommended
-SAMPLED_READS = 2_000
 PARTIAL_TAGS, LENGTH_MISMATCH = 0.9, 0.05
 SPAN_EOF = (1 << 63) - 1
 # ---------------------------------------------------------------------------------------------------
@@ -23,10 +22,6 @@ def coverage_level(n_covered: Column) -> Column:
     return F.when(n_covered == 0, "fatal").when(n_covered < LOW_COVERAGE, "warn").otherwise("info")
 
 
-def level_rank(level: Column) -> Column:
-    return F.array_position(F.lit(list(LEVELS)), level)
-
-
 def warning_rollup(warnings: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row per code: the first message and how many more like it there were."""
     rolled = warnings.groupBy(*keys, "code").agg(F.min_by("message", order).alias("first"), F.count("*").alias("n"))
@@ -43,16 +38,18 @@ def supersede(prechecks: DataFrame, recovered: DataFrame, keys: list[str]) -> Da
 def shard_chain(spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_shards, origin, complete): do the shards' extents cover a file exactly once?
 
-    spans: keys, first, stop. Every stop but the last must be the start of
-    exactly one other shard, matched by an equality join rather than by sorting all shards in one task.
-    `origin` is where the first shard starts: compare it with the end of the header to notice a missing shard 0.
+    spans: keys, first, stop and, where known, origin, the end of the header, at which the first shard must start. Every
+    stop but the last must be the start of exactly one other shard, matched by an equality join rather than by sorting
+    all shards in one task. The returned `origin` is where the first shard starts.
     """
+    known = F.col("origin") if "origin" in spans.columns else F.lit(None).cast("bigint")
+    spans = spans.withColumn("_header", known).drop("origin")
     stops = spans.filter(F.col("stop") != SPAN_EOF).groupBy(*keys, F.col("stop").alias("at")).agg(F.count("*").alias("n_stop"))
     firsts = spans.filter(F.col("first") != SPAN_EOF).groupBy(*keys, F.col("first").alias("at")).agg(F.count("*").alias("n_first"))
     ends = spans.groupBy(*keys).agg(
         F.count("*").alias("n_shards"), F.min("first").alias("origin"), F.max("stop").alias("last_stop"),
         F.count_if((F.col("stop") == SPAN_EOF) & (F.col("first") != SPAN_EOF)).alias("n_ends"),
-        F.count_if(F.col("first") != SPAN_EOF).alias("n_real"),
+        F.count_if(F.col("first") != SPAN_EOF).alias("n_real"), F.min("_header").alias("header"),
     )
     seams = firsts.join(stops, [*keys, "at"], "full").join(ends.select(*keys, "origin"), keys)
     is_origin = F.col("at") == F.col("origin")
@@ -68,6 +65,7 @@ def shard_chain(spans: DataFrame, keys: list[str]) -> DataFrame:
             F.col("n_broken").isNull()
             & (F.col("last_stop") == SPAN_EOF)
             & ((F.col("n_ends") == 1) | (F.col("n_real") == 0))
+            & (F.col("header").isNull() | (F.col("n_real") == 0) | (F.col("origin") == F.col("header")))
         ).alias("complete"),
     )
 
@@ -159,17 +157,17 @@ def preflight_issues(facts: DataFrame) -> DataFrame:
         ("fatal", "NO_MAPPED_READS",
          placed & ((index_fits & ~stale & c("index_reach").isNotNull() & (c("mapped_on_probes") == 0)) | (n == 0)),
          F.lit("no mapped reads on the probe contigs or in the sample")),
-        ("fatal", "NO_MOD_TAGS", placed & (n > 0) & (mm == 0), t("none of ", s(n), " sampled reads has modification tags")),
+        ("fatal", "NO_MOD_TAGS", placed & (n > 0) & (mm == 0), t("none of ", s(n), " primary reads carries modification tags")),
         ("fatal", "NO_5MC", tagged & ~has_5mc & ~has_5hmc, t("no cytosine methylation codes (", codes, ")")),
-        ("fatal", "NO_ML", tagged & (has_5mc | has_5hmc) & (ml == 0), F.lit("modification probabilities are missing")),
+        ("fatal", "NO_ML", tagged & (has_5mc | has_5hmc) & (ml == 0), F.lit("tagged reads come without probabilities")),
         ("warn", "ONLY_5HMC", usable & ~has_5mc, F.lit("cytosine calls are 5hmC only")),
         ("warn", "PARTIAL_MOD_TAGS", usable & (mm.cast("double") < PARTIAL_TAGS * n),
-         t("only ", s(mm), " of ", s(n), " sampled reads are tagged")),
+         t("only ", s(mm), " of ", s(n), " primary reads are tagged")),
         ("warn", "ML_MISMATCH", usable & (c("ml_length_mismatch").cast("double") > LENGTH_MISMATCH * mm),
          t(s("ml_length_mismatch"), " reads have a probability list of the wrong length")),
         ("warn", "MN_MISMATCH", usable & (c("mn_mismatch").cast("double") > LENGTH_MISMATCH * mm),
          t(s("mn_mismatch"), " reads were trimmed after tagging")),
-        ("info", "MOD_TAGS", usable, t(s(mm), " of ", s(n), " sampled reads tagged; codes ", codes)),
+        ("info", "MOD_TAGS", usable, t(s(mm), " of ", s(n), " primary reads tagged; codes ", codes)),
     ]
     found = F.array(
         *[
@@ -188,9 +186,36 @@ def preflight_issues(facts: DataFrame) -> DataFrame:
     )
 
 
+HINTS = {
+    "UNKNOWN_REFERENCE": "align to one of the supported assemblies",
+    "WRONG_REFERENCE": "align again to a supported assembly, or lift the calls over",
+    "NO_PROBE_MAP": "take a model that comes with this assembly's probe map",
+    "MISSING_CONTIGS": "probes on the absent contigs cannot be covered; align to the whole assembly",
+    "INDEX_MISMATCH": "make the index anew",
+    "INDEX_UNREADABLE": "make the index anew",
+    "NO_INDEX": "an index lets region reads skip most of the file",
+    "NO_MAPPED_READS": "map the reads, keeping their modification tags",
+    "NO_MOD_TAGS": "call bases with a modification model and keep the tags when aligning",
+    "NO_5MC": "call bases with a model for 5mC in CpG",
+    "NO_ML": "keep the ML tag wherever the file is converted",
+    "ONLY_5HMC": "calls without 5mC tell methylated sites only in part",
+    "PARTIAL_MOD_TAGS": "a step before dropped the tags of some reads",
+    "ML_MISMATCH": "MM and ML were changed apart; go back to the file of the base caller",
+    "MN_MISMATCH": "trim reads before calling, or with a tool that adjusts the tags",
+    "BAM_CORRUPT": "copy or sort the file again; what could not be read is left out",
+    "BAM_RECORD": "the program that wrote these records should be checked",
+    "BAM_AUX": "the program that wrote these reads' tags should be checked",
+}
+
+
+def hint(code: Column) -> Column:
+    """What a user can do about a finding; null where there is nothing to do."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in HINTS.items() for x in pair]), code)
+
+
 def ordered_issues(issues: DataFrame) -> DataFrame:
-    """Issues of each file by descending level, as one array per file."""
-    w = F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("o"), "level", "code", "message")))
+    """Issues of each file by descending level, as one array per file, with hints."""
+    w = F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("o"), "level", "code", "message", hint(F.col("code")).alias("hint"))))
     return issues.groupBy("path").agg(w.alias("issues"))
 
 

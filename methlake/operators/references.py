@@ -136,13 +136,6 @@ def site_map(probes: DataFrame) -> DataFrame:
     return probes.groupBy("contig", "pos").agg(F.max_by("cg_id", "ord").alias("cg_id"))
 
 
-def rename_probes(probes: DataFrame, contig_map: DataFrame, keys: list[str]) -> DataFrame:
-    """Probes under each header's own contig names; contigs the header lacks are dropped."""
-    names = contig_map.filter("contig is not null").select(*keys, F.col("map_name"), F.col("contig").alias("own"))
-    renamed = probes.join(names, probes.contig == names.map_name).drop("contig", "map_name")
-    return renamed.withColumnRenamed("own", "contig")
-
-
 def pileup_counts(sites: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per probe: rows of one site are added over strands and modification codes alike."""
     return (

@@ -1,14 +1,17 @@
 """Class trees: closures, mass rollup, greedy descent and alerts.
 
 A tree is a DataFrame (node, parent) with parent ROOT at the top. It is a model artefact of a few hundred
-nodes, whatever the size of the cohort, so its closure is small enough for Catalyst to broadcast.
+nodes, whatever the size of the cohort, so Catalyst usually broadcasts its closure.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from methlake.functions.binding import let
+from methlake.session import shared_dir
 
 ROOT = "ROOT"
 DEFAULT_THRESHOLD = 0.5  # of a depth without a calibrated one
@@ -17,36 +20,33 @@ DEFAULT_THRESHOLD = 0.5  # of a depth without a calibrated one
 def paths(nodes: DataFrame, height: int | None = None) -> DataFrame:
     """(node, ancestor, depth_of_ancestor, depth): every node with itself and each ancestor below the root.
 
-    With the height known the walk is unrolled into that many joins of one plan; otherwise it recurses.
+    With the height known the walk is unrolled into that many joins of one plan. Otherwise levels are stored one after
+    another until one is empty, so neither height nor size is limited; nodes that no path from the root reaches are left out.
     """
-    if height is not None:
-        return _unrolled_paths(nodes, height)
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE down(node, trail) AS (
-            SELECT node, array(node) FROM {nodes} WHERE parent = 'ROOT'
-            UNION ALL
-            SELECT n.node, concat(d.trail, array(n.node)) FROM {nodes} n JOIN down d ON n.parent = d.node
-        )
-        SELECT node, trail[i] AS ancestor, i + 1 AS depth_of_ancestor, size(trail) AS depth
-        FROM down LATERAL VIEW posexplode(trail) t AS i, a
-        """,
-        nodes=nodes,
-    )
-
-
-def _unrolled_paths(nodes: DataFrame, height: int) -> DataFrame:
     level = nodes.filter(F.col("parent") == ROOT).select("node", F.array("node").alias("trail"))
-    every = level
-    for _ in range(1, height):
-        above = level.select(F.col("node").alias("parent"), "trail")
-        level = nodes.join(above, "parent").select("node", F.concat("trail", F.array("node")).alias("trail"))
+    levels = [level if height is not None else _stored(level)]
+    while height is None or len(levels) < height:
+        above = levels[-1].select(F.col("node").alias("parent"), "trail")
+        below = nodes.join(above, "parent").select("node", F.concat("trail", F.array("node")).alias("trail"))
+        if height is None:
+            below = _stored(below)
+            if below.isEmpty():
+                break
+        levels.append(below)
+    every = levels[0]
+    for level in levels[1:]:
         every = every.unionByName(level)
     return every.select("node", F.posexplode("trail").alias("i", "ancestor"), F.size("trail").alias("depth")).select(
         "node", "ancestor", (F.col("i") + 1).alias("depth_of_ancestor"), "depth"
     )
 
 
+def _stored(level: DataFrame) -> DataFrame:
+    path = f"{shared_dir(level.sparkSession)}/level-{uuid.uuid4().hex}"
+    level.write.parquet(path)
+    return level.sparkSession.read.schema(level.schema).parquet(path)
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes without children."""
     parents = nodes.select(F.col("parent").alias("node")).distinct()

@@ -10,9 +10,9 @@ from methlake.functions import reads as R
 from methlake.model.artifact import Model
 from methlake.model.predict import predict, project
 from methlake.operators import calls as C, qc, references as REF, report as REP
-from methlake.operators.intervals import broadcast_if_short
 from methlake.session import shared_dir
 from methlake.sources import bam, text as T
+from methlake.sources.files import qualified
 
 VALUES = ("sample_id", "probe_id", "beta", "block", "row")
 WARNINGS = "path string, code string, message string"
@@ -41,7 +41,7 @@ def probe_sites(spark: SparkSession, model: Model) -> DataFrame:
         one = REF.site_map(one.withColumn("contig", F.concat_ws(":", F.lit(assembly), "contig")))
         maps = one if maps is None else maps.unionByName(one)
     if maps is None:
-        raise FileNotFoundError(f"{model.folder} has no probe map")
+        raise FileNotFoundError(f"no probe map of any assembly lies in {model.folder}")
     return maps
 
 
@@ -49,17 +49,27 @@ def bam_counts(
     spark: SparkSession, paths: list[str], model: Model, low: float = R.THRESHOLD_LOW, high: float = R.THRESHOLD_HIGH,
     shard: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts (sample_id, probe_id, n_mod, n_unmod), warnings (path, code, message), extents (path, first, stop).
+    """Counts (sample_id, probe_id, n_mod, n_unmod), warnings (path, code, message), extents (path, first, stop, origin).
 
     All three come out of one scan: damage and extents travel beside the reads as rows without a position, reads meet
     broadcast sites in the scan's own stage, and only counters are shuffled. The result, no larger than probes times
     files, is stored in the shared folder.
     """
-    rows = bam.scan(spark, paths, **({"shard": shard} if shard else {}))
+    try:
+        return _bam_counts(spark, paths, model, low, high, {"shard": shard} if shard else {})
+    except Exception as e:  # noqa: BLE001
+        if bam.NOT_CHAINED not in str(e) or shard:
+            raise
+        return _bam_counts(spark, paths, model, low, high, {"splitBytes": 0})  # a file whose splits do not meet is read whole
+
+
+def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = bam.scan(spark, paths, **options)
     _, matched = resolve(spark, paths)
     contigs = matched.filter("contig is not null").select("path", "rid", _group().alias("contig"))
     is_read = F.col("kind") == "read"
-    malformed = is_read & R.is_primary_mapped(F.col("flag")) & ~F.col("aux_ok")
+    # placed reads whose optional fields broke off before a modification tag was seen
+    malformed = is_read & R.is_primary_mapped(F.col("flag")) & ~F.col("aux_ok") & F.col("mm").isNull() & (F.col("rid") >= 0) & (F.col("pos") >= 0)
     kinds = F.when(malformed, F.array(F.lit("read"), F.lit("malformed"))).otherwise(F.array("kind"))
     usable = is_read & C.is_usable()
     marked = (
@@ -67,11 +77,11 @@ def bam_counts(
         .withColumn("pos", F.when(usable, F.col("pos")))
         .withColumn("vpos", F.when(F.col("kind") == "span", F.col("vpos")))
         .withColumn("sample_id", F.col("path"))
-        .join(F.broadcast(contigs) if len(paths) <= 10_000 else contigs, ["path", "rid"], "left")
+        .join(F.broadcast(contigs), ["path", "rid"], "left")  # 22 rows a file at most
     )
-    sites = broadcast_if_short(probe_sites(spark, model))
-    calls = C.read_calls(marked, sites, low, high, carry=["kind", "vpos", "stop", "code", "message"])
-    found = calls.groupBy("sample_id", "probe_id", "kind", "vpos", "stop", "code", "message").agg(
+    sites = probe_sites(spark, model)
+    calls = C.read_calls(marked, sites, low, high, carry=["kind", "vpos", "stop", "origin", "code", "message"])
+    found = calls.groupBy("sample_id", "probe_id", "kind", "vpos", "stop", "origin", "code", "message").agg(
         F.count_if(F.col("outcome") == 1).alias("n_mod"), F.count_if(F.col("outcome") == -1).alias("n_unmod"), F.count("*").alias("n")
     )
     stored = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
@@ -85,15 +95,19 @@ def bam_counts(
         F.when(is_issue, F.col("code")).otherwise("BAM_AUX").alias("code"),
         F.when(is_issue, F.col("message")).otherwise(aux).alias("message"),
     )
-    spans = table.filter("kind = 'span'").select(F.col("sample_id").alias("path"), F.col("vpos").alias("first"), "stop")
+    spans = table.filter("kind = 'span'").select(F.col("sample_id").alias("path"), F.col("vpos").alias("first"), "stop", "origin")
     return counts, warnings, spans
 
 
-def preflight(spark: SparkSession, paths: list[str], model: Model | None = None, records: int = qc.SAMPLED_READS) -> tuple[DataFrame, DataFrame]:
-    """Facts (one row per file) and issues (path, rank, level, code, message) of alignment files."""
+def preflight(spark: SparkSession, paths: list[str], model: Model | None = None, records: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Facts (one row per file) and issues (path, rank, level, code, message) of alignment files.
+
+    records: judge tags by so many reads at the start of a file; 0, the default, by all of them.
+    """
     files = bam.scan(spark, paths, emit="files")
     refs = bam.scan(spark, paths, emit="refs")
-    sample = bam.scan(spark, paths, primaryLimit=records, tags="lenient")
+    readable = [r["path"] for r in files.filter("container = 'bam' and error is null").select("path").collect()]  # of the user's files
+    sample = bam.scan(spark, readable, primaryLimit=records, tags="lenient") if readable else spark.createDataFrame([], bam.READS_SCHEMA)
     chosen, matched = resolve(spark, paths)
     maps = model.assemblies() if model is not None else list(REF.PROBE_FILE)
     found = matched.groupBy("path").agg(
@@ -161,6 +175,7 @@ def _values(df: DataFrame) -> DataFrame:
 def pileup_values(spark: SparkSession, paths: list[str], model: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Betas, warnings, and (sample_id, assembly) of pileups, each against the assembly that covers most of its sites."""
     sites, bad = T.read_pileup(spark, paths)
+    T.require_rows(sites, paths, "pileup")
     maps = None
     for rank, assembly in enumerate(REF.CONTIG_LENGTHS):
         if assembly not in model.assemblies():
@@ -173,7 +188,7 @@ def pileup_values(spark: SparkSession, paths: list[str], model: Model) -> tuple[
         F.sum("n_mod").alias("n_mod"), F.sum("n_unmod").alias("n_unmod")
     )
     counts = (
-        per_site.join(broadcast_if_short(maps), ["contig", "pos"])
+        per_site.join(maps, ["contig", "pos"])
         .groupBy("sample_id", "assembly", "rank", "probe_id")
         .agg(F.sum("n_mod").alias("n_mod"), F.sum("n_unmod").alias("n_unmod"))
     )
@@ -183,6 +198,7 @@ def pileup_values(spark: SparkSession, paths: list[str], model: Model) -> tuple[
 
 def beta_values(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     values, bad = T.read_betas(spark, paths)
+    T.require_rows(T.read_lines(spark, paths), paths, "beta table")
     return _values(values.withColumnRenamed("path", "sample_id")), _row_warnings(bad)
 
 
@@ -208,18 +224,35 @@ def counts_values(spark: SparkSession, paths: list[str], warnings: list[str] = [
     return _values(C.betas(total)), every.withColumn("path", F.lit(sample_id))
 
 
+def cohort_samples(spark: SparkSession, cohort: DataFrame) -> DataFrame:
+    """(sample_id, path, label, input_id): every line of a cohort and the input whose values it has.
+
+    input_id is the kind and the qualified path, so that a file listed twice, or by two names, is read once.
+    """
+    listed = cohort.select("sample_id", "input", "kind", "label").collect()  # the user's list of files
+    rows = [(r["sample_id"], r["input"], r["label"], f"{r['kind']}:{qualified(spark, r['input'])}") for r in listed]
+    return spark.createDataFrame(rows, "sample_id bigint, path string, label string, input_id string")
+
+
 def cohort_values(spark: SparkSession, cohort: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """Betas of all samples of a cohort (sample_id = input path) and their warnings. cohort: input, kind, label."""
-    listed = cohort.select("input", "kind").distinct().collect()  # the user's list of files
-    by_kind = {k: sorted(r["input"] for r in listed if r["kind"] == k) for k in T.COHORT_KINDS}
+    """Betas of all inputs of a cohort (sample_id = input_id of `cohort_samples`) and their warnings (path = input_id)."""
+    ids = {r["input_id"] for r in cohort_samples(spark, cohort).select("input_id").distinct().collect()}
     parts = []
-    if by_kind["bam"]:
-        counts, warnings, _ = bam_counts(spark, by_kind["bam"], model)
-        parts.append((bam_values(counts), warnings))
-    if by_kind["pileup"]:
-        parts.append(pileup_values(spark, by_kind["pileup"], model)[:2])
-    if by_kind["beta"]:
-        parts.append(beta_values(spark, by_kind["beta"]))
+    for kind in T.COHORT_KINDS:
+        paths = sorted(i.partition(":")[2] for i in ids if i.startswith(kind + ":"))
+        if not paths:
+            continue
+        if kind == "bam":
+            counts, warnings, _ = bam_counts(spark, paths, model)
+            found = bam_values(counts), warnings
+        elif kind == "pileup":
+            found = pileup_values(spark, paths, model)[:2]
+        else:
+            found = beta_values(spark, paths)
+        name = lambda c: F.concat(F.lit(f"{kind}:"), F.col(c)).alias(c)  # noqa: B023, E731
+        parts.append((found[0].withColumn("sample_id", name("sample_id")), found[1].withColumn("path", name("path"))))
+    if not parts:
+        raise ValueError("the cohort lists no input")
     values, warnings = parts[0]
     for v, w in parts[1:]:
         values, warnings = values.unionByName(v), warnings.unionByName(w)
@@ -236,13 +269,16 @@ def features(values: DataFrame, model: Model) -> DataFrame:
     if again is not None:
         raise ValueError(f"the probe dictionary lists {again['cg_id']} more than once")
     ordered = values.withColumn("ord", F.struct("block", "row")).drop("block", "row")
-    return C.ternary_vector(ordered, broadcast_if_short(probes))
+    return C.ternary_vector(ordered, probes)
 
 
-def reported(values: DataFrame, model: Model, warnings: DataFrame | None = None, prechecks: DataFrame | None = None) -> DataFrame:
-    """(sample_id, n_covered, temperature, probs, report, input_checks) of every sample with covered probes."""
+def reported(values: DataFrame, model: Model, warnings: DataFrame | None = None, prechecks: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, n_covered, temperature, probs, report, input_checks) of every sample with covered probes.
+
+    samples: sample_id; with it, exactly these are reported, covered or not.
+    """
     spark = values.sparkSession
-    scored = predict(project(features(values, model), model), model).filter(F.col("head") == model.lineage.head)
+    scored = predict(project(features(values, model), model, samples=samples), model).filter(F.col("head") == model.lineage.head)
     ran = warnings if warnings is not None else spark.createDataFrame([], WARNINGS)
     rolled = qc.warning_rollup(ran, ["path"], F.col("message")).select("path", F.lit("warn").alias("level"), "code", "message")
     pre = prechecks.filter("level != 'info'") if prechecks is not None else spark.createDataFrame([], "path string, level string, code string, message string")
@@ -265,8 +301,8 @@ def write_counts(counts: DataFrame, out: str, warnings: DataFrame | None = None,
         line = F.concat(F.col("code"), F.lit("\t"), F.regexp_replace("message", "[\t\n]", " "))
         rolled.select(line.alias("value")).write.mode("overwrite").text(out + ".warnings")
     if spans is not None:
-        whole = spans.agg(F.min("first").alias("first"), F.max("stop").alias("stop")).filter("first is not null")
-        whole.select(F.concat_ws("\t", "first", "stop").alias("value")).write.mode("overwrite").text(out + ".range")
+        whole = spans.agg(F.min("first").alias("first"), F.max("stop").alias("stop"), F.min("origin").alias("origin")).filter("first is not null")
+        whole.select(F.concat_ws("\t", "first", "stop", "origin").alias("value")).write.mode("overwrite").text(out + ".range")
 
 
 def write_lines(values: DataFrame, out: str) -> None:
@@ -277,9 +313,9 @@ def write_lines(values: DataFrame, out: str) -> None:
 def inspection_text(facts: DataFrame, issues: DataFrame) -> DataFrame:
     """(path, value): what the checks of a file found, most severe first."""
     listed = qc.ordered_issues(issues)
-    lines = F.transform("issues", lambda i: F.format_string("  %-5s  %-18s %s", i["level"], i["code"], i["message"]))
+    lines = F.transform("issues", lambda i: F.concat(i["level"], F.lit(" "), i["code"], F.lit(": "), i["message"], F.coalesce(F.concat(F.lit(" ("), i["hint"], F.lit(")")), F.lit(""))))
     head = F.format_string(
-        "%s\n  reference : %s, contigs %s\n  sample    : %d records, %d primary mapped, %d tagged\n",
+        "File: %s\nAssembly: %s (contig names: %s)\nReads: %d in all, %d primary and mapped, %d of these tagged\n",
         "path", F.coalesce("assembly", F.lit("none")), F.coalesce("naming", F.lit("?")), "records", "primary_mapped", "with_mm",
     )
     return facts.join(listed, "path", "left").select(

@@ -14,11 +14,13 @@ from methlake.operators import references as REF
 from methlake.operators.ordered import row_ordinal
 from methlake.plans import shapes
 from methlake.plans.queries_model import _Z_SQL, _logits
-from methlake.plans.queries_reads import _TALLY_SQL, _calls
+from methlake.plans.queries_reads import _TALLY_SQL, PAIR_BIN, READ_CALLS_SQL, _calls, sequenced_reads
 from methlake.plans.registry import query, table
 from methlake.plans.shapes import PROBES_SQL
 from methlake.session import shared_dir
-from methlake.sources import text as T
+from methlake.sources import bam, text as T
+from methlake.sources.bam_write import alignment_bytes
+from methlake.sources.files import open_output
 from methlake.sources.tensors import BLOCK, read_tensors, write_tensors
 
 
@@ -158,3 +160,20 @@ def network_forward(spark, sf):
 
     out = _logits(spark, sf).select("vec_id", "z").mapInPandas(run, "vec_id bigint, p array<double>")
     return out.select("vec_id", F.transform("p", lambda x: F.round(x, 5)).alias("probs"))
+
+
+@query("alignment_file_counts", READ_CALLS_SQL)
+def alignment_file_counts(spark, sf):
+    """The reads of `read_calls_full` written as alignment files, scanned in several splits a file, and counted."""
+    out = _folder(spark)
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        path = f"{out}/{group['file'].iloc[0]}.bam"
+        with open_output(path) as f:
+            f.write(alignment_bytes([(f"c{i}", 1 << 30) for i in range(5)], group.sort_values(["contig", "pos"]).to_dict("records")))
+        return pd.DataFrame({"path": [path], "n": [len(group)]})
+
+    files = sequenced_reads(spark, sf).withColumn("file", F.floor(F.col("l_orderkey") / 4000))  # so many orders a file
+    paths = sorted(r["path"] for r in files.groupBy("file").applyInPandas(write, "path string, n bigint").collect())
+    scanned = bam.scan(spark, paths, splitBytes=100_000).filter("kind = 'read'").withColumn("contig", F.col("rid"))
+    return C.tally(C.read_calls(scanned, shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])

@@ -38,9 +38,8 @@ def temperature_nearest(spark, sf):
 _Z_SQL = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 8) AS z FROM embeddings"
 
 
-def _logits(spark, sf, n: int | None = None) -> DataFrame:
-    z = F.transform("embedding", lambda x: x.cast("double") * 8)
-    return table(spark, sf, "embeddings").select("vec_id", "label", (F.slice(z, 1, n) if n else z).alias("z"))
+def _logits(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 8).alias("z"))
 
 
 def _rounded(c, digits: int = 6):
@@ -59,15 +58,15 @@ def softmax_rows(spark, sf):
 
 @query(
     "set_nll",
-    f"""WITH e AS (SELECT vec_id, label, z[1:10] AS z FROM ({_Z_SQL}) q), m AS (SELECT vec_id, z, list_max(z) AS top,
-      list_transform(range(10), lambda j: CASE WHEN j % 5 = label % 5 THEN z[j + 1] END) AS kept FROM e),
+    f"""WITH e AS (SELECT vec_id, label, z FROM ({_Z_SQL}) q), m AS (SELECT vec_id, z, list_max(z) AS top,
+      list_transform(range(64), lambda j: CASE WHEN j % 5 = label % 5 THEN z[j + 1] END) AS kept FROM e),
      s AS (SELECT vec_id, list_sum(list_transform(z, lambda x: exp(x - top))) AS whole, list_sum(list_transform(list_filter(kept, lambda x: x IS NOT NULL), lambda x: exp(x - top))) AS part, z, kept, top FROM m)
     SELECT vec_id, round(ln(whole) - ln(part), 6) AS loss,
-     list_transform(range(10), lambda j: round(exp(z[j + 1] - top) / whole - CASE WHEN kept[j + 1] IS NULL THEN 0 ELSE exp(z[j + 1] - top) / part END, 5)) AS gradient FROM s""",
+     list_transform(range(64), lambda j: round(exp(z[j + 1] - top) / whole - CASE WHEN kept[j + 1] IS NULL THEN 0 ELSE exp(z[j + 1] - top) / part END, 5)) AS gradient FROM s""",
 )
 def set_nll(spark, sf):
-    mask = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: (j % 5 == F.col("label") % 5).cast("int"))
-    rows = _logits(spark, sf, 10).withColumn("mask", mask)
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (j % 5 == F.col("label") % 5).cast("int"))
+    rows = _logits(spark, sf).withColumn("mask", mask)
     z, m = F.col("z"), F.col("mask")
     return rows.select(
         "vec_id", F.round(N.set_nll(z, m), 6).alias("loss"),
@@ -156,13 +155,13 @@ def matrix_product(spark, sf):
 
 # ---- losses -------------------------------------------------------------------------------------------
 
-_LEVELS = {"A": [0, 1, 2, 3, 4], "B": [5, 6, 7, 8], "c9": [9], "A2": [3, 4]}
-_LOSS_SQL = f"""e AS (SELECT vec_id, label, z[1:10] AS z, list_transform(range(10), lambda j: CASE WHEN j = label THEN ln(CAST(0.91 AS DOUBLE)) ELSE ln(CAST(0.01 AS DOUBLE)) END) AS t FROM ({_Z_SQL}) q),
+_LEVELS = {"A": list(range(40)), "B": list(range(40, 63)), "c63": [63], "A2": list(range(20, 40))}
+_LOSS_SQL = f"""e AS (SELECT vec_id, label, z, list_transform(range(64), lambda j: CASE WHEN j = label THEN ln(CAST(0.91 AS DOUBLE)) ELSE ln(CAST(0.09 AS DOUBLE) / 63) END) AS t FROM ({_Z_SQL}) q),
  m AS (SELECT *, list_max(z) AS zt, list_max(t) AS tt FROM e),
  s AS (SELECT *, ln(list_sum(list_transform(z, lambda x: exp((x - zt) / 2)))) AS zn, list_sum(list_transform(t, lambda x: exp((x - tt) / 2))) AS tn,
    list_sum(list_transform(z, lambda x: exp(x - zt))) AS pn FROM m),
- kd AS (SELECT vec_id, 4 * list_sum(list_transform(range(10), lambda j: exp((t[j + 1] - tt) / 2) / tn * (ln(exp((t[j + 1] - tt) / 2) / tn + CAST(1e-12 AS DOUBLE)) - ((z[j + 1] - zt) / 2 - zn)))) AS kd FROM s),
- lv AS (SELECT * FROM (VALUES ('A', [0, 1, 2, 3, 4]), ('B', [5, 6, 7, 8]), ('c9', [9]), ('A2', [3, 4])) v(node, members)),
+ kd AS (SELECT vec_id, 4 * list_sum(list_transform(range(64), lambda j: exp((t[j + 1] - tt) / 2) / tn * (ln(exp((t[j + 1] - tt) / 2) / tn + CAST(1e-12 AS DOUBLE)) - ((z[j + 1] - zt) / 2 - zn)))) AS kd FROM s),
+ lv AS (SELECT * FROM (VALUES ('A', range(40)), ('B', range(40, 63)), ('c63', [63]), ('A2', range(20, 40))) v(node, members)),
  nm AS (SELECT vec_id, node, list_sum(list_transform(members, lambda j: exp(t[j + 1]))) AS q, list_sum(list_transform(members, lambda j: exp(z[j + 1] - zt) / pn)) AS p FROM s, lv)"""
 
 
@@ -173,8 +172,8 @@ _LOSS_SQL = f"""e AS (SELECT vec_id, label, z[1:10] AS z, list_transform(range(1
 )
 def kl_hier_loss(spark, sf):
     """Both terms of the row loss, the second by joining classes to the nodes that hold them."""
-    log_t = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.when(j == F.col("label"), float(np.log(0.91))).otherwise(float(np.log(0.01))))
-    rows = _logits(spark, sf, 10).withColumn("t", log_t)
+    log_t = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(j == F.col("label"), float(np.log(0.91))).otherwise(float(np.log(0.09 / 63))))
+    rows = _logits(spark, sf).withColumn("t", log_t)
     kd = rows.select("vec_id", N.kd_loss(F.col("z"), F.col("t"), 2.0).alias("kd"))
     members = spark.createDataFrame([(n, j) for n, js in _LEVELS.items() for j in js], "node string, j int")
     mass = F.arrays_zip(N.softmax(F.col("z")).alias("p"), F.transform("t", lambda x: F.exp(x)).alias("q"))
@@ -194,7 +193,7 @@ def kl_hier_loss(spark, sf):
 )
 def training_loss(spark, sf):
     """Row losses as the training step computes them; the shallow view is the negated logits here."""
-    levels = np.zeros((len(_LEVELS), 10))
+    levels = np.zeros((len(_LEVELS), 64))
     for i, js in enumerate(_LEVELS.values()):
         levels[i, js] = 1.0
 
@@ -203,12 +202,12 @@ def training_loss(spark, sf):
             if pdf.empty:
                 continue
             z = np.stack(pdf["z"].to_numpy())
-            log_t = np.where(np.arange(10)[None, :] == pdf["label"].to_numpy()[:, None], np.log(0.91), np.log(0.01))
+            log_t = np.where(np.arange(64)[None, :] == pdf["label"].to_numpy()[:, None], np.log(0.91), np.log(0.09 / 63))
             weight = 1.0 + pdf["vec_id"].to_numpy() % 3
             loss, cons, _, _ = network.training_loss(z, log_t, weight, levels, 2.0, 0.2, -z, np.ones(len(z)), 0.5)
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "loss": loss, "consistency": cons})
 
-    rows = _logits(spark, sf, 10).mapInPandas(run, "vec_id bigint, loss double, consistency double")
+    rows = _logits(spark, sf).mapInPandas(run, "vec_id bigint, loss double, consistency double")
     return rows.select("vec_id", F.round("loss", 4).alias("loss"), F.round("consistency", 4).alias("consistency"))
 
 

@@ -12,7 +12,6 @@ from methlake.operators import references as REF
 from methlake.plans import shapes
 from methlake.plans.registry import query, table
 from methlake.plans.shapes import CALLS_SQL, PROBES_SQL, READS_SQL
-from methlake.session import spread
 
 PAIR_BIN = 32  # spans here are at most 50 long
 
@@ -196,9 +195,7 @@ SELECT *, 1 + CAST(l_quantity AS INT) % 16 AS n, l_linenumber % 2 = 0 AS implici
 """
 
 
-@query(
-    "read_calls_full",
-    f"""WITH r AS ({_READ_SQL}), p AS ({PROBES_SQL}),
+READ_CALLS_SQL = f"""WITH r AS ({_READ_SQL}), p AS ({PROBES_SQL}),
     j AS (SELECT r.*, p.cg_id, p.pos + CASE WHEN rev THEN 1 ELSE 0 END - l_partkey AS q FROM r JOIN p
       ON l_linenumber % 5 = p.contig AND p.pos + CASE WHEN rev THEN 1 ELSE 0 END >= l_partkey
       AND p.pos + CASE WHEN rev THEN 1 ELSE 0 END < l_partkey + 4 * n),
@@ -209,14 +206,17 @@ SELECT *, 1 + CAST(l_quantity AS INT) % 16 AS n, l_linenumber % 2 = 0 AS implici
     SELECT cg_id AS probe_id,
       CAST(count(*) FILTER (WHERE score / CAST(256 AS DOUBLE) >= CAST(CAST(0.7 AS FLOAT) AS DOUBLE)) AS BIGINT) AS n_mod,
       CAST(count(*) FILTER (WHERE score / CAST(256 AS DOUBLE) < CAST(CAST(0.3 AS FLOAT) AS DOUBLE)) AS BIGINT) AS n_unmod
-    FROM s WHERE score IS NOT NULL GROUP BY cg_id HAVING n_mod + n_unmod > 0""",
-)
-def read_calls_full(spark, sf):
+    FROM s WHERE score IS NOT NULL GROUP BY cg_id HAVING n_mod + n_unmod > 0"""
+
+
+def sequenced_reads(spark, sf) -> DataFrame:
+    """Line items as aligned reads: contig, pos, flag, l_seq, cigar, seq, mm, ml (and l_orderkey)."""
     n = 1 + F.col("l_quantity").cast("int") % 16
     implicit = F.col("l_linenumber") % 2 == 0
     listed = F.when(implicit, ((n + 1) / 2).cast("int")).otherwise(n)
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    reads = spread(items).select(
+    return items.select(
+        "l_orderkey",
         (F.col("l_linenumber") % 5).cast("int").alias("contig"),
         F.col("l_partkey").alias("pos"),
         F.when(F.col("l_returnflag") == "R", 16).otherwise(0).alias("flag"),
@@ -228,7 +228,11 @@ def read_calls_full(spark, sf):
             F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
         ).alias("ml"),
     )
-    return C.tally(C.read_calls(reads, shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
+
+
+@query("read_calls_full", READ_CALLS_SQL)
+def read_calls_full(spark, sf):
+    return C.tally(C.read_calls(sequenced_reads(spark, sf), shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
 
 
 # ---- read expressions -------------------------------------------------------------------------------
@@ -241,7 +245,7 @@ SELECT l_suppkey, l_linenumber, l_returnflag, l_linenumber % 2 = 0 AS g1, l_retu
 
 def _items(spark, sf) -> DataFrame:
     columns = ["l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
-    return spread(table(spark, sf, "lineitem").select(*columns))
+    return table(spark, sf, "lineitem").select(*columns)
 
 
 def _tagged(spark, sf) -> DataFrame:
@@ -327,17 +331,17 @@ def mm_delta_running_sum(spark, sf):
 
 @query(
     "base_ordinals",
-    """WITH p AS (SELECT doc_id, text, length(text) AS n, unnest(range(16)) AS i FROM documents),
-     q AS (SELECT doc_id, CAST(i * n // 16 AS BIGINT) AS pos, text, n FROM p WHERE n > 0)
+    """WITH p AS (SELECT doc_id, text, length(text) AS n, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) AS len FROM documents),
+     q AS (SELECT doc_id, CAST(coalesce(list_sum(len[1 : i]), 0) AS BIGINT) AS pos, text, n FROM (SELECT *, unnest(range(len(len))) AS i FROM p) u WHERE n > 0)
     SELECT DISTINCT doc_id, pos, substr(text, pos + 1, 1) = 'e' AS on_base, CAST(CASE WHEN doc_id % 2 = 1
       THEN n - pos - 1 - length(replace(substr(text, pos + 2), 'e', '')) ELSE pos - length(replace(substr(text, 1, pos), 'e', '')) END AS BIGINT) AS ordinal
-    FROM q""",
+    FROM q WHERE pos < n""",
 )
 def base_ordinals(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("n", F.length("text")).filter("n > 0")
-    grid = F.array_distinct(
-        F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.floor(i * F.col("n") / 16).cast("bigint"))
-    )
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("n", F.length("text")).filter("n > 0")
+    lengths = F.transform(F.split("text", "\n", -1), lambda x: F.length(x).cast("bigint") + 1)
+    grow = lambda starts, n: F.concat(starts, F.array(F.element_at(starts, -1) + n))
+    grid = F.filter(F.aggregate(lengths, F.array(F.lit(0).cast("bigint")), grow), lambda p: p < F.col("n"))
     placed = docs.withColumn("pos", F.explode(grid))
     return placed.select(
         "doc_id",
@@ -384,7 +388,7 @@ SELECT o_orderkey // 100 AS file, o_orderkey * 10 AS first, CASE WHEN o_orderkey
     f"""WITH s AS ({_SPANS_SQL}), d AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE first % 1730 = 0),
      l AS (SELECT file, first, stop, lead(first) OVER (PARTITION BY file ORDER BY first, stop) AS nxt FROM d)
     SELECT file, CAST(count(*) AS BIGINT) AS n_shards, CAST(min(first) AS BIGINT) AS origin,
-     bool_and(CASE WHEN nxt IS NULL THEN stop = 9223372036854775807 ELSE stop = nxt END) AS complete FROM l GROUP BY file""",
+     bool_and(CASE WHEN nxt IS NULL THEN stop = 9223372036854775807 ELSE stop = nxt END) AND (file % 2 = 1 OR min(first) = file * 1000) AS complete FROM l GROUP BY file""",
 )
 def shard_chain_check(spark, sf):
     key, eof = F.col("o_orderkey"), F.lit(qc.SPAN_EOF)
@@ -397,6 +401,7 @@ def shard_chain_check(spark, sf):
         table(spark, sf, "orders")
         .filter("o_custkey % 89 <> 0 or o_orderkey % 3 = 0")
         .select(F.floor(key / 100).alias("file"), (key * 10).alias("first"), stop.alias("stop"))
+        .withColumn("origin", F.when(F.col("file") % 2 == 0, F.col("file") * 1000))  # where the header of every other file ends
     )
     return qc.shard_chain(spans.unionByName(spans.filter("first % 1730 = 0")), ["file"])
 
@@ -404,13 +409,13 @@ def shard_chain_check(spark, sf):
 @query(
     "chunk_merge_islands",
     """WITH s AS (SELECT CAST(l_linenumber % 5 AS INT) AS contig, l_partkey * 3 AS start, l_partkey * 3 + CAST(l_quantity AS BIGINT) % 4 AS stop
-        FROM lineitem WHERE l_suppkey % 3 = 0),
+        FROM lineitem),
      o AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
      i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, stop) AS island FROM o)
     SELECT contig, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop FROM i GROUP BY contig, island""",
 )
 def chunk_merge_islands(spark, sf):
-    chunks = table(spark, sf, "lineitem").filter("l_suppkey % 3 = 0").select(
+    chunks = table(spark, sf, "lineitem").select(
         (F.col("l_linenumber") % 5).cast("int").alias("contig"),
         (F.col("l_partkey") * 3).alias("start"),
         (F.col("l_partkey") * 3 + F.col("l_quantity").cast("bigint") % 4).alias("stop"),

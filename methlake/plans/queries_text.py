@@ -10,7 +10,6 @@ from methlake.operators import references as REF
 from methlake.plans import shapes
 from methlake.plans.registry import query, table
 from methlake.plans.shapes import PROBES_SQL, READS_SQL
-from methlake.session import spread
 from methlake.sources import text as T
 
 # ---- text rows --------------------------------------------------------------------------------------
@@ -51,7 +50,7 @@ def csv_quoted_fields(spark, sf):
         F.lit(","), F.col("lang"), F.lit('"\r'),
     )
     f = csv_fields(line)
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang")).select("doc_id", f.alias("f")).select(
+    return table(spark, sf, "documents").select("doc_id", "text", "lang").select("doc_id", f.alias("f")).select(
         "doc_id",
         F.size("f").alias("n_fields"),
         F.md5(F.get("f", F.lit(0))).alias("quoted"),
@@ -80,7 +79,7 @@ def counts_text_rows(spark, sf):
         .when(k == 9, tab(probe, F.concat(F.lit("-"), m), u))
         .otherwise(tab(probe, m, u))
     )
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     rows = T.count_rows(orders.select(line.alias("line")))
     return rows.groupBy("probe_id").agg(
         F.count_if("ok").alias("n_ok"),
@@ -110,7 +109,7 @@ def pileup_text_rows(spark, sf):
         .when(k == 3, F.concat_ws("\t", contig, F.concat(pos, F.lit("x")), *fill, m, F.lit("3")))
         .otherwise(full)
     )
-    items = spread(table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity"))
+    items = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity")
     lines = items.select(
         F.lit("p").alias("path"), F.lit(0).alias("block"), F.lit(0).alias("row"), line.alias("line")
     )
@@ -195,7 +194,7 @@ def alias_expand(spark, sf):
 
 
 _NAMES_SQL = """SELECT p_brand, p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NC_' WHEN 1 THEN 'chr' WHEN 2 THEN 'CP' WHEN 3 THEN '' ELSE 'scaffold' END || CAST(p_size AS VARCHAR) AS contig
-FROM part WHERE p_size % 4 <> p_partkey % 5"""
+FROM part"""
 
 
 @query(
@@ -207,7 +206,7 @@ FROM part WHERE p_size % 4 <> p_partkey % 5"""
 def contig_naming(spark, sf):
     k = F.col("p_partkey") % 5
     stem = F.when(k == 0, "NC_").when(k == 1, "chr").when(k == 2, "CP").when(k == 3, "").otherwise("scaffold")
-    names = table(spark, sf, "part").filter("p_size % 4 <> p_partkey % 5").select(
+    names = table(spark, sf, "part").select(
         "p_brand", F.col("p_partkey").alias("ord"), F.concat(stem, F.col("p_size").cast("string")).alias("contig")
     )
     return REF.naming_summary(names, ["p_brand"])
@@ -223,7 +222,7 @@ _ASSEMBLY_SQL = " UNION ALL ".join(
 _HEADERS_SQL = f"""
 SELECT l_suppkey AS path, l_orderkey * 8 + l_linenumber AS rid, CASE WHEN l_partkey % 3 = 0 THEN a.chrom WHEN l_partkey % 3 = 1 THEN 'chrchr' || substr(a.chrom, 4)
   ELSE 'contig' || CAST(l_partkey AS VARCHAR) END AS name, a.length
-FROM lineitem JOIN asm a ON a.rank = l_suppkey % 2 AND a.i = l_partkey % 24 WHERE (l_partkey * 7 + l_suppkey) % 11 = 0
+FROM lineitem JOIN asm a ON a.rank = l_suppkey % 2 AND a.i = l_partkey % 24
 """
 _BEST_SQL = f"""
 WITH asm AS ({_ASSEMBLY_SQL}), h AS ({_HEADERS_SQL}),
@@ -237,7 +236,7 @@ def _headers(spark, sf) -> DataFrame:
     asm = REF.assembly_contigs(spark).select(
         "rank", "chrom", "length", F.array_position(F.lit(list(REF.CHROMOSOMES)), c("chrom")).alias("i1")
     )
-    items = table(spark, sf, "lineitem").filter("(l_partkey * 7 + l_suppkey) % 11 = 0")
+    items = table(spark, sf, "lineitem")
     k = c("l_partkey") % 3
     name = F.when(k == 0, c("chrom")).when(k == 1, F.concat(F.lit("chrchr"), F.expr("substr(chrom, 4)"))).otherwise(
         F.concat(F.lit("contig"), c("l_partkey").cast("string"))

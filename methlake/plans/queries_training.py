@@ -59,8 +59,8 @@ def target_grammar(spark, sf):
 
 @query(
     "target_issues",
-    f"""WITH l AS ({_LABELS_SQL}) SELECT row, CASE row % 7 WHEN 1 THEN 'not in the tree' WHEN 2 THEN 'not a leaf' WHEN 3 THEN 'masses do not sum to 1'
-      WHEN 4 THEN 'bad target' WHEN 5 THEN 'in training without a target' END AS issue FROM l WHERE row % 7 BETWEEN 1 AND 5""",
+    f"""WITH l AS ({_LABELS_SQL}) SELECT row, CASE row % 7 WHEN 1 THEN 'unknown node' WHEN 2 THEN 'node with classes below it' WHEN 3 THEN 'masses do not sum to 1'
+      WHEN 4 THEN 'unreadable target' WHEN 5 THEN 'in training without a target' END AS issue FROM l WHERE row % 7 BETWEEN 1 AND 5""",
 )
 def target_issues(spark, sf):
     m, n, r = F.col("row") % 7, F.col("n_name"), F.col("r_name")
@@ -81,10 +81,10 @@ def target_issues(spark, sf):
     "log_targets",
     f"""WITH l AS ({_LABELS_SQL}), c AS (SELECT n_name AS leaf, n_nationkey AS leaf_idx FROM nation)
     SELECT row, leaf_idx, round(CAST(CAST(greatest(ln(greatest(CASE WHEN n_name = leaf THEN 1.0 ELSE 0.0 END, CAST(1e-13 AS DOUBLE))), -30) AS FLOAT) AS DOUBLE), 4) AS log_q
-    FROM l, c WHERE k IN (0, 3)""",
+    FROM l, c""",
 )
 def log_targets(spark, sf):
-    rows = _placed(spark, sf).filter("k in (0, 3)")
+    rows = _placed(spark, sf)
     targets = rows.join(table(spark, sf, "nation"), "n_name").select(
         "row", F.col("n_nationkey").alias("leaf_idx"), F.lit(1.0).alias("q")
     )
@@ -222,7 +222,8 @@ def immune_projection(spark, sf):
 # ---- background bank: customers drawn per nation, in seeded hash order --------------------------------
 
 _POOL_SQL = """pool AS (SELECT c_custkey AS row, n_name AS leaf, CASE WHEN n_nationkey % 2 = 0 THEN 'immune' ELSE 'tissue' END AS kind
- FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)"""
+ FROM customer JOIN nation ON c_nationkey = n_nationkey
+)"""
 _BANK_SQL = f"""{_POOL_SQL}, size AS (SELECT kind, leaf, count(*) AS n FROM pool GROUP BY 1, 2 HAVING count(*) >= 2),
  quota AS (SELECT kind, greatest(1, (CASE WHEN kind = 'immune' THEN 45 ELSE 19 END) // count(*)) AS quota, CASE WHEN kind = 'immune' THEN 0 ELSE 1 END AS kr,
     CASE WHEN kind = 'immune' THEN CAST(0.7 AS DOUBLE) ELSE 1 - CAST(0.7 AS DOUBLE) END AS share FROM size GROUP BY kind),
@@ -236,7 +237,6 @@ _BANK_SQL = f"""{_POOL_SQL}, size AS (SELECT kind, leaf, count(*) AS n FROM pool
 def _bank(spark, sf) -> DataFrame:
     pool = (
         table(spark, sf, "customer")
-        .filter("c_acctbal > 0")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("c_custkey").alias("row"),
@@ -342,7 +342,7 @@ def consistency_depth(spark, sf):
 @query(
     "epoch_batches",
     f"""WITH {_PAIR_SQL}, o AS (SELECT row, coverage, row_number() OVER (ORDER BY {uniform_sql('3:7', 'row', 'coverage')}, row, coverage) - 1 AS rn, count(*) OVER () AS n FROM pairs)
-    SELECT row, coverage, CAST(rn // 16 AS BIGINT) AS batch FROM o WHERE rn // 16 < n // 16""",
+    SELECT row, coverage, CAST(rn // 16 AS BIGINT) AS batch FROM o""",
 )
 def epoch_batches(spark, sf):
     return AUG.epoch_batches(_pairs(spark, sf), 16, seed=3, epoch=7).select("row", "coverage", "batch")

@@ -135,20 +135,21 @@ def leaf_alerts(spark, sf):
 
 # ---- descent of probability arrays ------------------------------------------------------------------
 
-_CLASSES = [f"c{i}" for i in range(10)]
-_CHILDREN = {"ROOT": ["A", "B", "c9"], "A": ["c0", "c1", "c2", "A2"], "A2": ["c3", "c4"], "B": ["c5", "c6", "c7", "c8"]}
-_P10_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 4) AS z FROM embeddings),
+_CLASSES = [f"c{i}" for i in range(64)]
+_A, _A2, _B = range(20), range(20, 40), range(40, 63)
+_CHILDREN = {"ROOT": ["A", "B", "c63"], "A": [*(f"c{i}" for i in _A), "A2"], "A2": [f"c{i}" for i in _A2], "B": [f"c{i}" for i in _B]}
+_P64_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 4) AS z FROM embeddings),
  x AS (SELECT vec_id, z, list_transform(z, lambda v: exp(v - list_max(z))) AS w FROM e),
  p AS (SELECT vec_id, list_transform(w, lambda v: v / list_sum(w)) AS p FROM x)"""
 
 
 @query(
     "tree_descent_arrays",
-    _P10_SQL + """, n AS (SELECT vec_id, p, p[1]+p[2]+p[3]+p[4]+p[5] AS a, p[6]+p[7]+p[8]+p[9] AS b, p[10] AS c9, p[4]+p[5] AS a2 FROM p),
-     k AS (SELECT vec_id, 1 AS depth, 'ROOT' AS parent, unnest(['A', 'B', 'c9']) AS node, unnest([a, b, c9]) AS m FROM n
-      UNION ALL SELECT vec_id, 2, 'A', unnest(['c0', 'c1', 'c2', 'A2']), unnest([p[1], p[2], p[3], a2]) FROM n
-      UNION ALL SELECT vec_id, 3, 'A2', unnest(['c3', 'c4']), unnest([p[4], p[5]]) FROM n
-      UNION ALL SELECT vec_id, 2, 'B', unnest(['c5', 'c6', 'c7', 'c8']), unnest([p[6], p[7], p[8], p[9]]) FROM n),
+    _P64_SQL + """, n AS (SELECT vec_id, p, list_sum(p[1:40]) AS a, list_sum(p[41:63]) AS b, p[64] AS c63, list_sum(p[21:40]) AS a2 FROM p),
+     k AS (SELECT vec_id, 1 AS depth, 'ROOT' AS parent, unnest(['A', 'B', 'c63']) AS node, unnest([a, b, c63]) AS m FROM n
+      UNION ALL SELECT vec_id, 2, 'A', unnest(list_append(list_transform(range(20), lambda i: 'c' || CAST(i AS VARCHAR)), 'A2')), unnest(list_append(p[1:20], a2)) FROM n
+      UNION ALL SELECT vec_id, 3, 'A2', unnest(list_transform(range(20, 40), lambda i: 'c' || CAST(i AS VARCHAR))), unnest(p[21:40]) FROM n
+      UNION ALL SELECT vec_id, 2, 'B', unnest(list_transform(range(40, 63), lambda i: 'c' || CAST(i AS VARCHAR))), unnest(p[41:63]) FROM n),
      b AS (SELECT *, row_number() OVER (PARTITION BY vec_id, parent ORDER BY m DESC, node) AS r FROM k),
      s1 AS (SELECT * FROM b WHERE r = 1 AND parent = 'ROOT'), s2 AS (SELECT b.* FROM b JOIN s1 ON b.vec_id = s1.vec_id AND b.parent = s1.node WHERE b.r = 1),
      s3 AS (SELECT b.* FROM b JOIN s2 ON b.vec_id = s2.vec_id AND b.parent = s2.node WHERE b.r = 1),
@@ -157,7 +158,7 @@ _P10_SQL = """WITH e AS (SELECT vec_id, list_transform(embedding[1:10], lambda x
     SELECT vec_id, CAST(depth AS INT) AS depth, node, round(m, 6) AS p, bool_and(ok) OVER (PARTITION BY vec_id ORDER BY depth) AS met FROM t""",
 )
 def tree_descent_arrays(spark, sf):
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 4)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 4)
     predictions = table(spark, sf, "embeddings").select("vec_id", softmax(logits).alias("probs"))
     walked = TR.descend_arrays(predictions, _CHILDREN, _CLASSES, {1: 0.55, 2: 0.2})
     return walked.select("vec_id", F.explode("steps").alias("s")).select(

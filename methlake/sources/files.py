@@ -9,6 +9,16 @@ import json
 from pyarrow import fs as pafs
 
 
+def qualified(spark, path: str) -> str:
+    """The path as Spark reports it for the rows of its files: absolute, decoded, without a scheme if local."""
+    jvm = spark.sparkContext._jvm
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    uri = given.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(given).toUri()
+    if uri.getScheme() == "file":
+        return uri.getPath()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 def resolve(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from methlake.functions.parse import csv_fields, field, is_missing_beta, strict_float, strict_uint
+from methlake.sources.files import qualified
 
 # ---- fixed values: recognised CSV headers, lower case ---------------------------------------------
 BETA_ID_HEADERS = ("name", "id_ref", "probe_id")
@@ -20,9 +21,13 @@ BOM = "﻿"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, block, row, line): `block` is the offset of the file split, `row` grows in scan order."""
+    """(path, block, row, line): `block` is the offset of the file split, `row` grows in scan order.
+
+    `path` is decoded, and plain for local files, as `files.qualified` gives it for a path the user names.
+    """
+    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return spark.read.text(paths).select(
-        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
+        F.regexp_replace(uri, "^file:/+", "/").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("line"),
@@ -88,6 +93,14 @@ def pileup_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("ok", ok)
 
 
+def require_rows(rows: DataFrame, paths: list[str], what: str) -> None:
+    """An error if one of the named files has no row at all; one short row comes back for each file."""
+    there = {r["path"] for r in rows.select("path").distinct().collect()}
+    absent = [p for p in paths if qualified(rows.sparkSession, p) not in there]
+    if absent:
+        raise ValueError(f"nothing to read in {what} {absent[0]}")
+
+
 def read_pileup(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Site counts (path, contig, pos, n_mod, n_unmod) and the report of malformed rows."""
     lines = read_lines(spark, paths)
@@ -194,7 +207,10 @@ def read_counts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
 
 
 def read_side_files(spark: SparkSession, warnings: list[str], ranges: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Warning lines (path, code, message) and extents (path, first, stop) written next to count tables."""
+    """Warning lines (path, code, message) and extents (path, first, stop, origin) written next to count tables.
+
+    origin, where the header ends, is null in extents of two numbers.
+    """
     def lines(paths: list[str]) -> DataFrame:
         return read_lines(spark, paths) if paths else spark.createDataFrame([], "path string, block bigint, row bigint, line string")
 
@@ -205,7 +221,8 @@ def read_side_files(spark: SparkSession, warnings: list[str], ranges: list[str])
     )
     numbers = F.filter(F.split("line", r"\s+"), lambda x: x != "")
     r = lines(ranges).filter(~is_blank(F.col("line"))).select(
-        "path", strict_uint(F.get(numbers, F.lit(0))).alias("first"), strict_uint(F.get(numbers, F.lit(1))).alias("stop")
+        "path", strict_uint(F.get(numbers, F.lit(0))).alias("first"), strict_uint(F.get(numbers, F.lit(1))).alias("stop"),
+        strict_uint(F.get(numbers, F.lit(2))).alias("origin"),
     )
     return w, r
 

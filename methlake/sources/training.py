@@ -107,9 +107,9 @@ def load_spec(folder: str) -> Spec:
     spec = _strict(Spec, doc, "spec.json")
     domains = [d for b in spec.blocks() for d in b.domains]
     if len(set(domains)) != len(domains):
-        raise ValueError("purity blocks must not share domains")
+        raise ValueError("a domain is named by two purity blocks")
     if spec.purity_mix_extra and spec.purity_mix is None:
-        raise ValueError("purity_mix_extra needs purity_mix")
+        raise ValueError("purity_mix_extra is given without purity_mix")
     if not spec.read_depth.scales or len(spec.read_depth.scales) != len(spec.read_depth.weights):
         raise ValueError("read_depth: scales and weights must pair up")
     return spec
@@ -182,5 +182,5 @@ def count_probes(spark: SparkSession, path: str) -> int:
     lines = read_lines(spark, path)
     n = with_line_numbers(lines, lines).filter((F.col("line_no") > 1) & ~is_blank(F.col("line"))).count()
     if n == 0:
-        raise ValueError(f"{path}: no probes")
+        raise ValueError(f"the probe list {path} is empty")
     return n

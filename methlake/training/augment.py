@@ -42,7 +42,7 @@ def epoch_order(pairs: DataFrame, seed: int, epoch: int) -> Column:
 
 
 def epoch_batches(pairs: DataFrame, batch_size: int, seed: int, epoch: int) -> DataFrame:
-    """Pairs in the epoch's shuffled order, cut into full batches (a last partial one is dropped): adds `batch`.
+    """Pairs in the epoch's shuffled order, cut into batches, of which the last may be smaller: adds `batch`.
 
     The order value is split into blocks, so no task ever sorts the whole epoch; only block totals are carried.
     """
@@ -50,13 +50,7 @@ def epoch_batches(pairs: DataFrame, batch_size: int, seed: int, epoch: int) -> D
         "_key", (epoch_order(pairs, seed, epoch) * float(1 << 52)).cast("bigint")
     )
     ranked = row_ordinal(keyed, ["_all"], "_key", "_rank", block=(1 << 52) // SHUFFLE_BLOCKS)
-    n = pairs.agg(F.floor(F.count("*") / batch_size).alias("_full"))
-    return (
-        ranked.withColumn("batch", F.floor(F.col("_rank") / batch_size))
-        .crossJoin(n)  # one row
-        .filter("batch < _full")
-        .drop("_all", "_key", "_rank", "_full")
-    )
+    return ranked.withColumn("batch", F.floor(F.col("_rank") / batch_size)).drop("_all", "_key", "_rank")
 
 
 def dropout_scale(u: Column, p: float) -> Column:

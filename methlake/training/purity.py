@@ -13,12 +13,12 @@ from methlake.operators.ordered import row_ordinal
 # ---- fixed values ---------------------------------------------------------------------------------
 TOP_CODE = 250            # codes 0..250 are betas (code + 0.5) / 250; 255 is missing
 MISSING_CODE = 255
-PROFILE_ROWS = 300        # rows that describe a group
 SCORE_SOFTENER = 0.05
 MIN_COVERED_MARKERS = 200  # more than this many are needed to place a candidate
 # ---------------------------------------------------------------------------------------------------
 
 
+# ---- fixed values: the defaults of a recipe's purity block are those below ------------------------
 @dataclass(frozen=True)
 class PurityConfig:
     prob: float
@@ -93,17 +93,6 @@ def bank(pool: DataFrame, cfg: PurityConfig) -> DataFrame:
     )
 
 
-def strided(rows: DataFrame, limit: int = PROFILE_ROWS) -> DataFrame:
-    """Every (n / limit)-th row in row order, at most `limit` of them (a fixed-size description of a group)."""
-    step = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") / limit)).alias("step"))
-    return (
-        row_ordinal(rows.withColumn("_all", F.lit(0)), ["_all"], "row", "ord")
-        .crossJoin(step)  # one row
-        .filter((F.col("ord") % F.col("step") == 0) & (F.col("ord") / F.col("step") < limit))
-        .drop("_all", "ord", "step")
-    )
-
-
 def profile(codes: DataFrame) -> DataFrame:
     """(col, mean, sd): per column over the rows that cover it; population deviation."""
     beta = decode_beta(F.col("code"))
@@ -166,11 +155,11 @@ def pools(tops: DataFrame, leaves: DataFrame, cfg: PurityConfig) -> tuple[DataFr
 def eligibility(
     corpus: DataFrame, pool: DataFrame, cand: DataFrame, cfg: PurityConfig, min_covered: int = MIN_COVERED_MARKERS
 ) -> DataFrame:
-    """(row, fraction, eligible) of every candidate."""
+    """(row, fraction, eligible) of every candidate. Profiles are sums over all rows of their group."""
     big = pool.filter("kind = 'immune'").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= cfg.min_rows_per_leaf)
     immune = pool.filter("kind = 'immune'").join(big, "leaf").select("row")
-    sample = lambda rows: explode_codes(corpus.join(strided(rows), "row"))
-    marks = markers(profile(sample(immune)), profile(sample(cand.select("row"))), cfg.marker_probes)
+    codes_of = lambda rows: explode_codes(corpus.join(rows, "row"))
+    marks = markers(profile(codes_of(immune)), profile(codes_of(cand.select("row"))), cfg.marker_probes)
     codes = explode_codes(corpus.join(cand.select("row"), "row", "left_semi"), marks.select("col"))
     return background_fraction(codes, marks, min_covered).withColumn(
         "eligible", F.col("fraction") <= cfg.max_immune_fraction

@@ -53,11 +53,11 @@ def target_issues(labels: DataFrame, closure: DataFrame) -> DataFrame:
     parts = parse_targets(labels).join(nodes, "node", "left")
     per_part = parts.select(
         "row",
-        F.when(F.col("form").isNull(), "bad target")
-        .when(F.col("node") == "", "bad mix part")
-        .when(F.col("n_leaves").isNull(), "not in the tree")
-        .when((F.col("form") == "leaf") & ~((F.col("n_leaves") == 1) & (F.col("is_leaf") == 1)), "not a leaf")
-        .when(F.col("mass").isNull(), "bad mass")
+        F.when(F.col("form").isNull(), "unreadable target")
+        .when(F.col("node") == "", "part of a mix without a name")
+        .when(F.col("n_leaves").isNull(), "unknown node")
+        .when((F.col("form") == "leaf") & ~((F.col("n_leaves") == 1) & (F.col("is_leaf") == 1)), "node with classes below it")
+        .when(F.col("mass").isNull(), "unreadable share")
         .alias("issue"),
         "mass",
     )

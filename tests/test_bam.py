@@ -72,6 +72,8 @@ def test_shards_add_up_to_the_whole(spark, world, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     with pytest.raises(ValueError, match="exactly once"):
         E.counts_values(spark, [parts[0], parts[2]], [], [ranges[0], ranges[2]])
+    with pytest.raises(ValueError, match="exactly once"):  # the first shard is missing
+        E.counts_values(spark, parts[1:], [], ranges[1:])
 
 
 def test_damaged_block_is_skipped_and_reported(spark, world, tmp_path):
@@ -86,6 +88,20 @@ def test_damaged_block_is_skipped_and_reported(spark, world, tmp_path):
     assert {r["code"] for r in df.filter("kind = 'issue'").collect()} == {"BAM_CORRUPT"}
 
 
+def test_records_longer_than_a_window_are_found(spark, tmp_path):
+    """A record of over 64 MB between short ones, with splits that begin inside it."""
+    seq = "ACGT" * (12 << 20)
+    recs = [X.record(f"r{i}", 0, i, 0, [(4, "M")], "ACGT") for i in range(50)]
+    recs.insert(20, X.record("long", 0, 20, 0, [(len(seq), "I")], seq))
+    path = tmp_path / "long.bam"
+    X.write_bam(path, [("chr1", 1000)], recs)
+    size = path.stat().st_size
+    df = bam.scan(spark, [str(path)], splitBytes=size // 3)
+    got = Counter((r["pos"], r["l_seq"]) for r in df.filter("kind = 'read'").select("pos", "l_seq").collect())
+    assert got == Counter({**{(i, 4): 1 for i in range(50)}, (20, len(seq)): 1})
+    assert df.filter("kind = 'issue'").count() == 0
+
+
 def test_header_and_index_facts(spark, world, tmp_path):
     refs = bam.scan(spark, [world["path"]], emit="refs").orderBy("rid").collect()
     assert [(r["name"], r["length"]) for r in refs] == world["refs"]

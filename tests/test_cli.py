@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -48,7 +49,7 @@ def test_alignment_report_and_shards_agree(spark, world, capsys, tmp_path):
     added = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert added["n_covered"] == whole["n_covered"] and added["classes"] == whole["classes"]
     assert main(["beta", "-i", str(world / "b.csv"), *model]) == 0
-    assert "call :" in capsys.readouterr().out
+    assert "Call: " in capsys.readouterr().out
 
 
 def test_cohort_evaluation_and_contribution(spark, world, capsys, tmp_path):
@@ -63,6 +64,29 @@ def test_cohort_evaluation_and_contribution(spark, world, capsys, tmp_path):
     assert set(read_tensor_header(f"{hub}/model.safetensors")[0]) == set(read_tensor_header(f"{world}/model/model.safetensors")[0])
 
 
+def test_every_listed_line_is_a_sample(spark, world, capsys, tmp_path):
+    """Relative, encoded, repeated and uncovered inputs, and one file as two kinds: a line and a sample each."""
+    model = ["--model", str(world / "model")]
+    folder = tmp_path / "rel dir+x"
+    folder.mkdir()
+    (folder / "b%1.csv").write_text((world / "b.csv").read_text())
+    (folder / "none.csv").write_text("Name,Beta\ncg_unknown,0.9\n")
+    lines = [(str(folder / "b%1.csv"), "beta", "B"), (os.path.relpath(folder / "b%1.csv"), "beta", "L1"), (str(folder / "none.csv"), "beta", "A"), (str(world / "a.bam"), "bam", "L1")]
+    (tmp_path / "c.tsv").write_text("".join("\t".join(x) + "\n" for x in lines))
+    assert main(["eval", "--labels", str(tmp_path / "c.tsv"), *model]) == 0
+    docs = [json.loads(line) for line in capsys.readouterr().out.strip().splitlines() if line.startswith("{")]
+    assert [(d["path"], d["label"]) for d in docs] == [(p, label) for p, _, label in lines]
+    assert docs[0]["n_covered"] == docs[1]["n_covered"] > 0 and docs[2]["n_covered"] == 0 and docs[0]["classes"] == docs[1]["classes"]
+    update = str(tmp_path / "u.safetensors")
+    assert main(["contribute", "--labels", str(tmp_path / "c.tsv"), "--out", update, *model]) == 0
+    meta = json.loads((tmp_path / "u.json").read_text())
+    assert meta["n_samples"] == 4 == sum(meta["label_counts"].values())
+    (folder / "empty.csv").write_text("")
+    (tmp_path / "c.tsv").write_text(f"{folder}/empty.csv\tbeta\tB\n")
+    with pytest.raises(Exception, match="nothing to read|no probe id column"):
+        main(["eval", "--labels", str(tmp_path / "c.tsv"), *model])
+
+
 def test_inspect_exit_codes(spark, world, capsys, tmp_path):
     assert main(["inspect", "-i", str(world / "a.bam")]) == 0
     assert "MOD_TAGS" in capsys.readouterr().out

@@ -9,7 +9,7 @@ from methlake.functions import numeric as N
 from methlake.model import federated as FED, network
 from methlake.model import weights as W
 from methlake.model.artifact import load_model, parse_lineage
-from methlake.model.predict import predict, project, project_joined
+from methlake.model.predict import predict, project
 from methlake.operators import report as REP
 from methlake.plans import entries as E
 from methlake.sources.files import sha256_of
@@ -88,12 +88,15 @@ def test_predictions_equal_plain_loops(spark, model, cohort):
         assert np.allclose(spark.createDataFrame([(logits.tolist(),)], "z array<double>").select(N.softmax(F.col("z"), float(t))).first()[0], p, atol=1e-9)
 
 
-def test_both_projections_agree(model, cohort):
-    _, features = cohort
-    a = {r["sample_id"]: r["z"] for r in project(features, model).collect()}
-    first = model.blocks().filter(F.col("name") == network.FIRST)
-    b = {r["sample_id"]: r["z"] for r in project_joined(features, first, 6, model.n_probes).collect()}
-    assert a.keys() == b.keys() and all(np.allclose(a[s], b[s]) for s in a)
+def test_projection_equals_the_dense_product(spark, model, cohort):
+    dense, features = cohort
+    first = W.load(model.published)[network.FIRST].astype(np.float64)
+    got = {r["sample_id"]: r for r in project(features, model).collect()}
+    assert all(np.allclose(r["z"], first @ dense[s]) for s, r in got.items())
+    listed = spark.createDataFrame([("s0",), ("s0",), ("nobody",)], "sample_id string")
+    exact = {r["sample_id"]: r for r in project(features, model, samples=listed).collect()}
+    assert exact.keys() == {"s0", "nobody"} and np.allclose(exact["s0"]["z"], got["s0"]["z"])
+    assert exact["nobody"]["n_covered"] == 0 and not np.any(exact["nobody"]["z"])
 
 
 def test_gradients_equal_central_differences():
@@ -156,9 +159,9 @@ def test_report_forms(spark, model):
     assert doc["model"] == {"name": "demo", "version": "1.2"} and doc["qc"]["coverage_tier"] == "adequate"
     assert [c["class"] for c in doc["classes"]] == X.CLASSES and doc["report"]["call"] == "L2"
     text = REP.as_text(rows, model.lineage, N_PROBES).filter("sample_id = 'b'").first()["value"]
-    assert "  d1  A                     0.500  >=  0.30\n" in text
-    assert "  d2  L1                    0.250   <  0.40   <- below threshold, call stops above\n" in text
-    assert "call : A  (depth 1, p 0.500)" in text and "contender: L1 (0.250, alert at 0.050) - look" in text
+    assert text.startswith("Input: beta CSV x\nModel: demo, version 1.2\nProbes: 20000 of ")
+    assert "    1. A: 0.500, limit 0.30 reached\n    2. L1: 0.250, limit 0.40 missed\n" in text
+    assert "Call: A, level 1, probability 0.500\n" in text and "    L1: 0.250, listed from 0.050; look\n" in text
 
 
 @pytest.fixture(scope="module")
@@ -204,7 +207,7 @@ def test_merge_then_apply(spark, model, updates, tmp_path):
     FED.apply_patch(spark, model, patch, site)
     assert sha256_of(site + "/model.safetensors") == sha256_of(hub + "/model.safetensors")
     assert json.loads(open(site + "/lineage.json").read())["federated"]["merged_updates"] == 2
-    with pytest.raises(ValueError, match="patch is for"):
+    with pytest.raises(ValueError, match="the patch is for weights"):
         FED.apply_patch(spark, load_model(spark, hub), patch, str(tmp_path / "x"))
 
 

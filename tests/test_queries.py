@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from methlake.plans import catalog
 from parity import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.SQL  # the optional subpackage's queries have their own tests
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +15,10 @@ def con():
     return connect(SF)
 
 
+def test_registered_queries_are_these_at_least():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_every_sql_has_its_query():
     assert not set(SQL) - set(QUERIES)
     assert set(QUERIES) - set(SQL) <= {"crc_fingerprint"}

@@ -57,7 +57,7 @@ def test_spec_is_strict(recipe, tmp_path):
     assert load_spec(str(folder)).labels == f"{folder}/labels.tsv"
     for change, why in [
         ({"extra": 1}, "unknown keys"), ({"model": {"rank": 1}}, "missing keys"),
-        ({"purity_mix_extra": [spec["purity_mix"]]}, "share domains"), ({"purity_mix": None, "purity_mix_extra": [spec["purity_mix"]]}, "needs purity_mix"),
+        ({"purity_mix_extra": [spec["purity_mix"]]}, "two purity blocks"), ({"purity_mix": None, "purity_mix_extra": [spec["purity_mix"]]}, "without purity_mix"),
         ({"read_depth": {**spec["read_depth"], "weights": [1.0]}}, "pair up"),
     ]:
         (tmp_path / "spec.json").write_text(json.dumps({**spec, **change}))
