@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from methlake.llm.shared import stored
-from methlake.llm.words import LOWER, NOT_SPACE, Words, mix, pieces, sums_by, utf8
+from methlake.llm.packing import expand, squeeze
+from methlake.llm.shared import small_batches, stored
+from methlake.llm.words import LOWER, NOT_SPACE, Words, counted, grouped, mix, pieces, sums_by, utf8
 
 ORDER = 3
 MIN_COUNT = 2
@@ -30,23 +31,6 @@ CHUNK_BYTES = 8 << 20
 PART_NGRAMS = 4_000_000
 PIECE = 4 << 20
 
-_ZSTD = pa.Codec("zstd")
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Numbers as zstd-compressed byte planes, after their length."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else np.zeros(0, np.uint8)
-    return np.int64(len(x)).tobytes() + _ZSTD.compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
-
-
-def expand(raw: bytes, kind) -> np.ndarray:
-    n, size = int(np.frombuffer(raw[:8], np.int64)[0]), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(_ZSTD.decompress(raw[8:], n * size, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
-
-
 def _pack(key: str, chunks: int):
     """Texts of a piece by chunk: one compressed row for each chunk."""
 
@@ -93,7 +77,15 @@ def _places(words: Words) -> np.ndarray:
 
 def _distinct(words: Words, hashes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     place = _places(words)
-    return [np.unique(h[place >= n], return_counts=True) for n, h in enumerate(hashes)]
+    return [counted(h[place >= n]) for n, h in enumerate(hashes)]
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Each value's place among the distinct values."""
+    order, first = grouped(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+    return out
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -129,8 +121,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.setdefault((part, n), []).append((chunk, np.cumsum(expand(hashes, np.uint64), dtype=np.uint64), expand(counts, np.uint32)))
     for (part, n), rows in held.items():
         h = np.concatenate([x[1] for x in rows])
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        order, first = grouped(h)
         totals = np.add.reduceat(np.concatenate([x[2] for x in rows]).astype(np.int64)[order], first)
         every = np.empty(len(h), np.int64)
         every[order] = np.repeat(totals, np.diff(np.append(first, len(h))))
@@ -154,7 +145,7 @@ def _score(order: int, min_count: int, backoff: float):
             known = np.concatenate([expand(x, np.int64) for x in mine["totals"].to_pylist()] or [np.zeros(0, np.int64)])
             count = np.zeros(len(words), np.int64)
             some = place >= n
-            count[some] = known[np.unique(hashes[n][some], return_inverse=True)[1]]
+            count[some] = known[_ranks(hashes[n][some])]
             totals.append(count)
         log = np.zeros(len(words))
         left = np.ones(len(words), bool)  # words that no longer n-gram has settled yet
@@ -178,6 +169,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
     A text without words (or null) scores 0. Keys are integers and may be null or repeat: each row is a text of the corpus.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))

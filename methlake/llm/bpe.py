@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from methlake.llm.shared import small_batches
 from methlake.llm.words import gather, pieces, ranges, utf8
 
 NONE = np.int32(2**31 - 1)
@@ -206,6 +207,7 @@ def encode_texts(texts: list[str | None], pattern: regex.Pattern, ranks: Ranks)
 
 def encode(docs: DataFrame, ranks: Ranks, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with `out`, the token ids as one binary of little-endian unsigned 32-bit integers (see `unpacked`)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # bounded by the rank file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from methlake.llm.shared import small_batches
 from methlake.llm.words import ALNUM, LOWER, Words, gather, pieces, ranges, utf8
 
 WINDOW = 10
@@ -228,6 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     An item of fewer words than the window is one window; one without words has none. Null texts have no words. A window of
     an item with a null id hits, but names no item. Columns of docs that have the names of the three are replaced.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop(*COLUMNS)
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))])
     out, names = kept, kept.columns

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from methlake.llm.shared import small_batches
 from methlake.llm.words import mix, pieces, ranges, utf8
 
 BUCKETS = 1 << 15
@@ -77,6 +78,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     rejected: share of the held-back, rightly named texts that the threshold may reject. Languages beyond the
     `most_languages` most frequent are not learned. Without any labelled row the model knows no language.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
@@ -151,6 +153,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     A text that is null or has no letter gets `und` and score 0. Columns of docs with these names are replaced.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x most_languages numbers at most
     letter = "__letter"

@@ -25,24 +25,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methlake.llm.backoff import expand, squeeze
-from methlake.llm.shared import stored
-from methlake.llm.words import NOT_SPACE, Words, mix, pieces, ranges, utf8
+from methlake.llm.flags import FLAGS, as_flags, bits_of, row_flag
+from methlake.llm.packing import add_up, expand, squeeze
+from methlake.llm.shared import small_batches, stored
+from methlake.llm.words import NOT_SPACE, Words, counted, grouped, mix, pieces, ranges, release, utf8
 
 THRESHOLD = Fraction(4, 5)
 LEAST = 5
 COUNTERS = 1 << 22
 SLICES = 64  # of the counters, for adding them up
-FLAGS = 1 << 24  # bits of the sets that tell scans which lines or texts are wanted
 #: Entries of a bucket, about, and entries of one word that a unit of work takes (a power of two).
 BUCKET_ENTRIES = 500_000
 MOST = 4_096
+PAIRS = 1 << 17
 PIECE = 1 << 20
 BLOCK = 1 << 13  # lines sorted at a time: 13 bits of line and 51 of word make one sortable number
 WORD_BITS = 51
 LAST = 2**63 - 1
 
-ENTRY = [("word", np.uint64), ("ord", np.int64), ("th", np.int64), ("line", np.int32), ("size", np.int32), ("pos", np.int32), ("sign", np.uint64), ("sid", np.uint32)]
+#: What a line sends with a prefix word: a hash of the word's unit of work, where the line is, its set's size, the word's
+#: position, 128 parities of hashed words, and a hash of the whole set.
+ENTRY = [("unit", np.uint64), ("ord", np.int64), ("th", np.uint32), ("line", np.int32), ("size", np.int32), ("pos", np.int32), ("sign", np.uint64), ("sign2", np.uint64), ("sid", np.uint32)]
+#: Bits of a unit's hash that travel; where two units agree in them, lines are only compared in vain.
+UNIT = np.uint64(((1 << 40) - 1) << 24)
 
 
 class Lines:
@@ -98,7 +103,7 @@ def line_sets(lines: Lines, classes: np.ndarray, least: int) -> Iterator[tuple[n
     for at in range(0, len(able), BLOCK):
         some = able[at : at + BLOCK]
         mine = ids[ranges(lines.words.first[some], count[some])]
-        key = np.unique(np.repeat(np.arange(len(some)), count[some]).astype(np.uint64) << np.uint64(WORD_BITS) | mine)
+        key = counted(np.repeat(np.arange(len(some)), count[some]).astype(np.uint64) << np.uint64(WORD_BITS) | mine)[0]
         owner = (key >> np.uint64(WORD_BITS)).astype(np.int64)
         word = key & np.uint64((1 << WORD_BITS) - 1)
         size = np.bincount(owner, minlength=len(some))
@@ -107,50 +112,41 @@ def line_sets(lines: Lines, classes: np.ndarray, least: int) -> Iterator[tuple[n
         yield some[keep], word, np.concatenate([[0], np.cumsum(size[keep])])
 
 
-def _counters(classes, least: int, t: Fraction):
-    """Counts of the words, or with `classes` of the prefix words, of all texts of a task, in hashed counters."""
+def _seen(classes, least: int, t: Fraction):
+    """Counters of the words, or with `classes` of the prefix words, of all texts of a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+    def found(batches: Iterator[pa.RecordBatch]):
         for piece in pieces(batches, "text", PIECE):
             if classes is None:
                 data, offsets = utf8(piece.column("text"))
-                found = [Words(data, offsets, NOT_SPACE).hashes()]
-            else:
-                sets = line_sets(Lines(piece.column("text")), classes.value, least)
-                found = [mix(word[ranges(first[:-1], prefix(np.diff(first), t))]) for _, word, first in sets]
-            for h in found:
-                total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        for i, part in enumerate(np.split(total, SLICES)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([squeeze(part)], pa.binary())], names=["slice", "counts"])
+                yield (Words(data, offsets, NOT_SPACE).hashes() & np.uint64(COUNTERS - 1)).astype(np.int64), None
+                continue
+            for _, word, first in line_sets(Lines(piece.column("text")), classes.value, least):
+                yield (mix(word[ranges(first[:-1], prefix(np.diff(first), t))]) & np.uint64(COUNTERS - 1)).astype(np.int64), None
 
-    return run
+    return found
 
 
-def _added(group: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // SLICES, np.int64)
-    for raw in group["counts"].to_pylist():
-        total += expand(raw, np.int64)
-    bits = np.minimum(31, np.frexp(total.astype(np.float64))[1]).astype(np.uint8)
-    return pa.table({"slice": group["slice"][:1], "bits": pa.array([squeeze(bits)], pa.binary()), "total": pa.array([int(total[total > 1].sum())])})
+def word_counts(texts: DataFrame, classes, least: int, t: Fraction) -> tuple[np.ndarray, int]:
+    """For each counter the bits of its count (0: none, 1: one); and the sum of the counts above one."""
 
+    def finish(first: int, sums: np.ndarray) -> dict:
+        bits = np.minimum(31, np.frexp(sums.astype(np.float64))[1]).astype(np.uint8)
+        return {"first": pa.array([first]), "bits": pa.array([squeeze(bits)], pa.binary()), "total": pa.array([int(sums[sums > 1].sum())])}
 
-def counted(texts: DataFrame, classes, least: int, t: Fraction) -> tuple[np.ndarray, int]:
-    """For each counter the bits of its count (0: none, 1: one); and the sum of the counts above one."""
-    sent = texts.select("text").mapInArrow(_counters(classes, least, t), "slice int, counts binary")
-    out, total = np.zeros((SLICES, COUNTERS // SLICES), np.uint8), 0
-    for row in sent.groupBy("slice").applyInArrow(_added, "slice int, bits binary, total bigint").collect():  # SLICES rows
-        out[row["slice"]] = expand(bytes(row["bits"]), np.uint8)
+    out, total = np.zeros(COUNTERS, np.uint8), 0
+    for row in add_up(texts.select("text"), _seen(classes, least, t), COUNTERS, SLICES, finish, "first bigint, bits binary, total bigint").collect():  # SLICES rows
+        bits = expand(bytes(row["bits"]), np.uint8)
+        out[row["first"] : row["first"] + len(bits)] = bits
         total += row["total"]
-    return out.ravel(), total
+    return out, total
 
 
 def _entries(classes, crowds, wanted, buckets: int, least: int, t: Fraction):
     """Packed prefix entries by bucket. crowds: bits of the entries a counter got. wanted: flags of words, if not all are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
+        flags = None if wanted is None else as_flags(wanted.value)
         for piece in pieces(batches, "text", PIECE):
             ords, ths = piece.column("ord").to_numpy(), piece.column("th").to_numpy()
             lines = Lines(piece.column("text"))
@@ -160,7 +156,9 @@ def _entries(classes, crowds, wanted, buckets: int, least: int, t: Fraction):
                     continue
                 h = mix(word)
                 sid = np.add.reduceat(h, first[:-1])
-                sign = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first[:-1])
+                parity, upper = np.uint64(1) << (h >> np.uint64(57) & np.uint64(63)), h >> np.uint64(63) == 1
+                sign = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), parity), first[:-1])
+                sign2 = np.bitwise_xor.reduceat(np.where(upper, parity, np.uint64(0)), first[:-1])
                 text = lines.text_of[line]
                 at = ranges(first[:-1], prefix(size, t))
                 crowd = crowds.value[(h[at] & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -173,15 +171,15 @@ def _entries(classes, crowds, wanted, buckets: int, least: int, t: Fraction):
                 unit = h[at]
                 # words of too many entries: a unit for each pair of slices, and an entry in all units of its slice
                 slices = np.maximum(1, (1 << crowd) // MOST)
-                mine = line_flag(ords[text[owner]], ths[text[owner]], lines.number[line[owner]]) % slices
+                mine = row_flag(ords[text[owner]], ths[text[owner]], lines.number[line[owner]]) % slices
                 other = ranges(np.zeros(len(at), np.int64), slices)
                 again = np.repeat(np.arange(len(at)), slices)
                 pair = np.minimum(mine[again], other) * slices[again] + np.maximum(mine[again], other)
-                unit, owner, pos = mix(unit[again] + pair.astype(np.uint64)), owner[again], pos[again]
+                unit, owner, pos = mix(unit[again] + pair.astype(np.uint64)) & UNIT, owner[again], pos[again]
                 bucket = ((unit >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(unit)  # a bucket is a range of units
                 unit, owner, pos, bucket = unit[order], owner[order], pos[order], bucket[order]
-                columns = (unit, ords[text[owner]], ths[text[owner]], lines.number[line[owner]], size[owner], pos, sign[owner], sid[owner] >> np.uint64(32))
+                columns = (unit, ords[text[owner]], ths[text[owner]], lines.number[line[owner]], size[owner], pos, sign[owner], sign2[owner], sid[owner] >> np.uint64(32))
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
                 rows = [b"".join(_framed(c[a:b].astype(kind)) for c, (_, kind) in zip(columns, ENTRY)) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
                 if rows:
@@ -195,16 +193,19 @@ def _framed(x: np.ndarray) -> bytes:
     return np.int64(len(raw)).tobytes() + raw
 
 
-def _unframed(raw: bytes) -> list[np.ndarray]:
+def _unframed(raw: bytes, columns: list) -> list[np.ndarray]:
     out, at = [], 0
-    for _, kind in ENTRY:
+    for _, kind in columns:
         n = int(np.frombuffer(raw[at : at + 8], np.int64)[0])
-        out.append(expand(raw[at + 8 : at + 8 + n], kind))
+        part = expand(raw[at + 8 : at + 8 + n], kind)
+        out.append(part.astype(np.int64) if kind == np.uint32 else part)
         at += 8 + n
     return out
 
 
-PAIR = "ord bigint, th bigint, line int, flag int, to_ord bigint, to_th bigint, to_line int, to_flag int, likely int, partners bigint"
+#: What two lines make: the later one, the earlier one, how likely they are similar, and of how many partners this is one.
+LINK = [("ord", np.int64), ("th", np.int64), ("line", np.int32), ("to_ord", np.int64), ("to_th", np.int64), ("to_line", np.int32), ("likely", np.int32), ("partners", np.int64)]
+PAIR = "ord bigint, th bigint, line int, to_ord bigint, to_th bigint, to_line int, likely int, partners bigint, flag int, to_flag int"
 
 
 def _earlier(a: np.ndarray, b: np.ndarray, ord_: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -212,177 +213,200 @@ def _earlier(a: np.ndarray, b: np.ndarray, ord_: np.ndarray, line: np.ndarray) -
     return (ord_[a] < ord_[b]) | ((ord_[a] == ord_[b]) & (line[a] < line[b]))
 
 
-def match(word, ord_, th, line, size, pos, sign, sid, t: Fraction, every=None) -> pa.RecordBatch:
-    """Each line's likeliest earlier partner among the entries of the same word and how many there were; all with `every`,
-    flags of the entries that want them all."""
-    order = np.lexsort([line, ord_, sid, sign, size, word])
-    word, ord_, th, line, size, pos, sign, sid = (x[order] for x in (word, ord_, th, line, size, pos, sign, sid))
+def match(word, ord_, th, line, size, pos, sign, sign2, sid, t: Fraction, every=None) -> list[np.ndarray]:
+    """Columns of LINK: each line's likeliest earlier partner among the entries of the same unit and how many there were; all
+    with `every`, flags of the entries that want them all."""
+    order = np.lexsort([line, ord_, mix(sign ^ mix(sign2 + sid.astype(np.uint64))), size, word])
+    word, ord_, th, line, size, pos, sign, sign2, sid = (x[order] for x in (word, ord_, th, line, size, pos, sign, sign2, sid))
     n = len(word)
-    same = np.concatenate([[False], (word[1:] == word[:-1]) & (size[1:] == size[:-1]) & (sign[1:] == sign[:-1]) & (sid[1:] == sid[:-1])]) if n else np.zeros(0, bool)
+    same = np.concatenate([[False], (word[1:] == word[:-1]) & (size[1:] == size[:-1]) & (sign[1:] == sign[:-1]) & (sign2[1:] == sign2[:-1]) & (sid[1:] == sid[:-1])]) if n else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # the earliest of equal sets
     copy = np.flatnonzero(same)
     copy = copy[_earlier(head[copy], copy, ord_, line)]
-    found = [(copy, head[copy], np.full(len(copy), 1000))]
-    own = np.flatnonzero(~same)  # by word, then size
+    # what is kept of each line: its best partner so far, as its likelihood and the partner's place in reading order
+    by_rank = np.lexsort([line, ord_])
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    best, partners, every_pair = np.full(n, -1, np.int64), np.zeros(n, np.int64), []
+
+    def offer(later: np.ndarray, first: np.ndarray, likely: np.ndarray) -> None:
+        if every is not None:
+            keep = wanted[later]
+            every_pair.append((later[keep], first[keep], likely[keep]))
+            return
+        np.maximum.at(best, later, likely << 32 | (0xFFFFFFFF - rank[first]))
+        np.add.at(partners, later, 1)
+
     wanted = None if every is None else every[order]
+    offer(copy, head[copy], np.full(len(copy), 1000))
+    own = np.flatnonzero(~same)  # by word, then size
     if len(own):
         w, s = word[own], size[own]
         begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        last = np.repeat(np.append(begin[1:], len(own)), np.diff(np.append(begin, len(own))))
+        lengths = np.diff(np.append(begin, len(own)))
+        last = np.repeat(begin + lengths, lengths)
         # partners are no shorter than the entry itself: up to size / t
-        key = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(own)))) * (1 << 32)
+        key = np.repeat(np.arange(len(begin)), lengths) * (1 << 32)
         far = np.searchsorted(key + s, key + s * t.denominator // t.numerator, "right")
         count = np.minimum(far, last) - np.arange(len(own)) - 1
         cut = 0
         total = np.cumsum(count)
         while cut < len(own):  # a bounded number of pairs at a time
-            to = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + (1 << 20), "right")))
+            to = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + PAIRS, "right")))
             a = np.repeat(np.arange(cut, to), count[cut:to])
             b = ranges(np.arange(cut, to) + 1, count[cut:to])
             a, b = own[a], own[b]
             need = overlap(size[a], size[b], t)
             most = np.minimum(size[a] - pos[a], size[b] - pos[b])  # the word and what follows; an earlier common word has its own unit
-            differ = np.bitwise_count(sign[a] ^ sign[b]).astype(np.int64)
+            differ = np.bitwise_count(sign[a] ^ sign[b]).astype(np.int64) + np.bitwise_count(sign2[a] ^ sign2[b])
             most = np.minimum(most, (size[a] + size[b] - differ) // 2)
             fit = most >= need
             a, b, differ = a[fit], b[fit], differ[fit]
-            swap = _earlier(a, b, ord_, line)
+            swap = rank[a] < rank[b]
             later, first = np.where(swap, b, a), np.where(swap, a, b)
-            apart = _earlier(first, later, ord_, line)
             common = (size[a] + size[b] - differ) // 2
-            found.append((later[apart], first[apart], (1000 * common // (size[a] + size[b] - common))[apart]))
+            likely = 1000 * common // (size[a] + size[b] - common)
+            apart = _earlier(first, later, ord_, line)  # not rows of one key at one line
+            offer(later[apart], first[apart], likely[apart])
             cut = to
-    later, first, likely = (np.concatenate(x) for x in zip(*found))
-    partners = np.ones(len(later), np.int64)
-    if wanted is not None:
-        keep = wanted[later]
-        later, first, likely, partners = later[keep], first[keep], likely[keep], partners[keep]
-    elif len(later):
-        best = np.lexsort([line[first], ord_[first], -likely, line[later], th[later], ord_[later]])
-        later, first, likely = later[best], first[best], likely[best]
-        top = np.flatnonzero(np.concatenate([[True], (ord_[later][1:] != ord_[later][:-1]) | (th[later][1:] != th[later][:-1]) | (line[later][1:] != line[later][:-1])]))
-        partners = np.diff(np.append(top, len(later)))
-        later, first, likely = later[top], first[top], likely[top]
-    made = []
-    for at in (later, first):
-        made += [ord_[at], th[at], line[at].astype(np.int32), line_flag(ord_[at], th[at], line[at]).astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*made, likely.astype(np.int32), partners)], names=[x.split()[0] for x in PAIR.split(", ")])
-
-
-def line_flag(ord_: np.ndarray, th: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return (mix(mix(ord_.view(np.uint64)) + th.view(np.uint64) + line.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(FLAGS)).astype(np.int64)
-
-
-def _matched(t: Fraction, wanted):
+    if every is None:
+        later = np.flatnonzero(best >= 0)
+        first, likely, partners = by_rank[0xFFFFFFFF - (best[later] & 0xFFFFFFFF)], best[later] >> 32, partners[later]
+    else:
+        later, first, likely = (np.concatenate(x) for x in zip(*every_pair))
+        partners = np.ones(len(later), np.int64)
+    columns = [ord_[later], th[later], line[later], ord_[first], th[first], line[first], likely, partners]
+    columns = [c.astype(kind) for c, (_, kind) in zip(columns, LINK)]
+    return columns if every is not None else likeliest(columns)
+
+
+def likeliest(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """One link for each later line, of the earliest among its likeliest partners; partners are added up."""
+    ord_, th, line, to_ord, _, to_line, likely, _ = columns
+    order = np.lexsort([to_line, to_ord, -likely, line, th, ord_])
+    columns = [c[order] for c in columns]
+    ord_, th, line = columns[:3]
+    if not len(ord_):
+        return columns
+    top = np.flatnonzero(np.concatenate([[True], (ord_[1:] != ord_[:-1]) | (th[1:] != th[:-1]) | (line[1:] != line[:-1])]))
+    partners = np.add.reduceat(columns[7], top)
+    return [*(c[top] for c in columns[:7]), partners]
+
+
+def _matched(t: Fraction, wanted, buckets: int):
+    """A bucket's entries to links, packed by the later line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unframed(raw) for batch in batches for raw in batch.column("entries").to_pylist()]
-        if held:
-            columns = [np.concatenate(x) for x in zip(*held)]
-            held.clear()
-            flags = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
-            yield match(*columns, t=t, every=None if flags is None else flags[line_flag(*columns[1:4])])
+        held = [_unframed(raw, ENTRY) for batch in batches for raw in batch.column("entries").to_pylist()]
+        if not held:
+            return
+        columns = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        links = match(*columns, t=t, every=None if wanted is None else as_flags(wanted.value)[row_flag(*columns[1:4])])
+        columns.clear()
+        release()
+        bucket = row_flag(*links[:3]) % buckets
+        order, cut = grouped(bucket)
+        rows = [b"".join(_framed(c[mine]) for c in links) for mine in np.split(order, cut[1:])] if len(order) else []
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "links"])
 
     return run
 
 
-def _bits(flags: DataFrame, name: str) -> bytes:
-    """The values of an int column below FLAGS, as FLAGS bits."""
-    got = flags.groupBy(F.bitmap_bucket_number(name).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias("bits")).collect()  # FLAGS / 32768 rows
-    first = {}
-    for row in got:
-        first[row["b"]] = bytes(row["bits"])
-    blank = bytes(4096)
-    # the built-in numbers buckets from 1 for positive values; value v has bucket 1 + (v - 1) // 32768 and bit (v - 1) % 32768
-    whole = b"".join(first.get(b, blank) for b in range(1, FLAGS // 32768 + 1))
-    bits = np.unpackbits(np.frombuffer(whole, np.uint8), bitorder="little")
-    out = np.zeros(FLAGS, np.uint8)
-    out[1:] = bits[: FLAGS - 1]
-    zero = first.get(0)
-    out[0] = bool(zero) and any(zero)
-    return np.packbits(out, bitorder="little").tobytes()
+def _gathered(every: bool):
+    """All links of a bucket's lines to one for each line, or to the distinct ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unframed(raw, LINK) for batch in batches for raw in batch.column("links").to_pylist()]
+        if not held:
+            return
+        columns = [np.concatenate(x) for x in zip(*held)]
+        if every:
+            order = np.lexsort(columns[5::-1])
+            columns = [c[order] for c in columns]
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for c in columns[:6]:
+                new[1:] |= c[1:] != c[:-1]
+            columns = [c[new] for c in columns]
+        else:
+            columns = likeliest(columns)
+        flags = [row_flag(*columns[:3]).astype(np.int32), row_flag(*columns[3:6]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *flags]], names=[x.split()[0] for x in PAIR.split(", ")])
+
+    return run
 
 
 def _lines_of(wanted):
     """The flagged lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
+        flags = as_flags(wanted.value)
         for piece in pieces(batches, "text", PIECE):
             ords, ths = piece.column("ord").to_numpy(), piece.column("th").to_numpy()
             lines = Lines(piece.column("text"))
             ord_, th = ords[lines.text_of], ths[lines.text_of]
-            at = np.flatnonzero(flags[line_flag(ord_, th, lines.number)]) if len(ord_) else np.zeros(0, np.int64)
+            at = np.flatnonzero(flags[row_flag(ord_, th, lines.number)]) if len(ord_) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ord_[at]), pa.array(th[at]), pa.array(lines.number[at].astype(np.int32)), pa.array([lines.line(i) for i in at.tolist()], pa.binary())], names=["ord", "th", "line", "words"])
 
     return run
 
 
-def _verify(t: Fraction):
-    names = ["ord", "th", "line", "flag", "partners", "similar"]
+def _verify(classes, least: int, t: Fraction):
+    """similar, decided on the words themselves; and, for lines that have other partners to try, flags of their prefix words."""
+    names = ["ord", "th", "line", "flag", "partners"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            similar = []
-            for a, b in zip(batch.column("words").to_pylist(), batch.column("to_words").to_pylist()):
+            own, similar = batch.column("words").to_pylist(), []
+            for a, b in zip(own, batch.column("to_words").to_pylist()):
                 same = a == b
                 if not same:
                     x, y = set(a.split()), set(b.split())
                     common = len(x & y)
                     same = common * t.denominator >= t.numerator * (len(x) + len(y) - common)
                 similar.append(same)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(similar, pa.bool_())], names=names)
+            flags: list[list[int]] = [[] for _ in own]
+            again = [i for i, (s, n) in enumerate(zip(similar, batch.column("partners").to_pylist())) if not s and n > 1]
+            for line, word, first in line_sets(Lines(pa.array([own[i] for i in again], pa.binary())), classes.value, least):
+                for k, a, n in zip(line.tolist(), first.tolist(), prefix(np.diff(first), t).tolist()):
+                    flags[again[k]] = (mix(word[a : a + n]) % np.uint64(FLAGS)).astype(np.int32).tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(similar, pa.bool_()), pa.array(flags, pa.list_(pa.int32()))], names=[*names, "similar", "again"])
 
     return run
 
 
-def _verified(source: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
+def _verified(source: DataFrame, pairs: DataFrame, classes, least: int, t: Fraction, name: str) -> DataFrame:
     spark = source.sparkSession
-    wanted = spark.sparkContext.broadcast(_bits(pairs.select(F.explode(F.array("flag", "to_flag")).alias("flag")), "flag"))  # FLAGS bits
+    wanted = spark.sparkContext.broadcast(bits_of(pairs.select(F.explode(F.array("flag", "to_flag")).alias("flag")), "flag"))  # FLAGS bits
     texts = source.mapInArrow(_lines_of(wanted), "ord bigint, th bigint, line int, words binary").dropDuplicates(["ord", "th", "line"])
+    texts = stored(texts, "texts")  # so that the joins read plain shuffles, of which AQE can split a line with many partners
     left = pairs.join(texts.select(F.col("ord").alias("to_ord"), F.col("th").alias("to_th"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_ord", "to_th", "to_line"])
     both = left.join(texts, ["ord", "th", "line"]).select("ord", "th", "line", "flag", "partners", "words", "to_words")
-    return stored(both.mapInArrow(_verify(t), "ord bigint, th bigint, line int, flag int, partners bigint, similar boolean"), name)
-
-
-def _prefix_flags(classes, wanted, least: int, t: Fraction):
-    """Flags of the prefix words of flagged lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
-        for piece in pieces(batches, "text", PIECE):
-            ords, ths = piece.column("ord").to_numpy(), piece.column("th").to_numpy()
-            lines = Lines(piece.column("text"))
-            for line, word, first in line_sets(lines, classes.value, least):
-                text = lines.text_of[line]
-                some = np.flatnonzero(flags[line_flag(ords[text], ths[text], lines.number[line])])
-                at = ranges(first[some], prefix(np.diff(first)[some], t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(mix(word[at]) % np.uint64(FLAGS)).astype(np.int32))], names=["flag"])
-
-    return run
+    return stored(both.mapInArrow(_verify(classes, least, t), "ord bigint, th bigint, line int, flag int, partners bigint, similar boolean, again array<int>"), name)
 
 
 def repeated(source: DataFrame, t: Fraction, least: int, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """source: ord, th, text, texts not null. Returns ord, th, line of the lines to remove."""
     spark = source.sparkSession
     share = spark.sparkContext.broadcast
-    classes = share(counted(source, None, least, t)[0])  # COUNTERS bytes, as are crowds
-    bits, total = counted(source, classes, least, t)
+    classes = share(word_counts(source, None, least, t)[0])  # COUNTERS bytes, as are crowds
+    bits, total = word_counts(source, classes, least, t)
     crowds = share(bits)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_entries))
-    names = "bucket int, entries binary"
-    sent = source.mapInArrow(_entries(classes, crowds, None, buckets, least, t), names).repartitionById(buckets, F.col("bucket"))
-    likely = F.struct("likely", (-F.col("to_ord")).alias("o"), (-F.col("to_line")).alias("l"), "to_ord", "to_th", "to_line", "to_flag")
-    first = sent.mapInArrow(_matched(t, None), PAIR).groupBy("ord", "th", "line", "flag").agg(F.max(likely).alias("best"), F.sum("partners").alias("partners"))
-    firsts = stored(first.select("ord", "th", "line", "flag", "best.to_ord", "best.to_th", "best.to_line", "best.to_flag", "partners"), "partners")
-    verdicts = _verified(source, firsts, t, "verdicts")
+
+    def links(words, every) -> DataFrame:
+        sent = source.mapInArrow(_entries(classes, crowds, words, buckets, least, t), "bucket int, entries binary").repartitionById(buckets, F.col("bucket"))
+        met = sent.mapInArrow(_matched(t, every, buckets), "bucket int, links binary").repartitionById(buckets, F.col("bucket"))
+        return stored(met.mapInArrow(_gathered(every is not None), PAIR), "links")
+
+    verdicts = _verified(source, links(None, None), classes, least, t, "verdicts")
     found = verdicts.where("similar")
     open_ = verdicts.where("NOT similar AND partners > 1")
-    if open_.count():
-        lines = share(_bits(open_, "flag"))
-        words = share(_bits(source.mapInArrow(_prefix_flags(classes, lines, least, t), "flag int"), "flag"))
-        sent = source.mapInArrow(_entries(classes, crowds, words, buckets, least, t), names).repartitionById(buckets, F.col("bucket"))
-        every = stored(sent.mapInArrow(_matched(t, lines), PAIR).drop("likely").distinct(), "every")
-        found = found.unionAll(_verified(source, every, t, "verdicts2").where("similar"))
+    if not open_.isEmpty():
+        every = share(bits_of(open_, "flag"))
+        words = share(bits_of(open_.select(F.explode("again").alias("word")), "word"))
+        found = found.unionAll(_verified(source, links(words, every), classes, least, t, "verdicts2").where("similar"))
     return found.select("ord", "th", "line").distinct()
 
 
@@ -393,8 +417,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: F
     remove. key: integers; a null key comes after all others; rows that share a key are one document at the same lines. A
     null text has no lines and stays null. Columns of docs that have the names of the three are replaced.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop("n_lines", "n_removed", "kept", "__ord", "__th", "__gone")
-    keys = {"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.xxhash64(text)}
+    keys = {"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))}  # the text tells rows of one key apart
     source = docs.select(keys["__ord"].alias("ord"), keys["__th"].alias("th"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     gone = repeated(source, threshold, least).groupBy("ord", "th").agg(F.collect_list("line").alias("__gone")).withColumnsRenamed({"ord": "__ord", "th": "__th"})
     joined = base.withColumns(keys).join(gone, ["__ord", "__th"], "left").drop("__ord", "__th")

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methlake.llm.words import NOT_SPACE, Words, mix, pieces, utf8
+from methlake.llm.shared import small_batches
+from methlake.llm.words import NOT_SPACE, Words, counted, mix, pieces, utf8
 
 BUCKETS = 1 << 18
 #: Byte classes of word shapes: upper case, lower case (all other scripts too), digits; marks stay themselves.
@@ -54,7 +55,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             (4, (s[pair] * np.uint64(31) + s[pair + 1]) * np.uint64(2) + same, text_of[pair]),
         ):
             keys.append(of.astype(np.int64) * BUCKETS + (mix(values + np.uint64(salt)) & np.uint64(BUCKETS - 1)).astype(np.int64))
-    key, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+    key, count = counted(np.concatenate(keys) if keys else np.zeros(0, np.int64))
     first = np.searchsorted(key, np.arange(len(offsets)) * BUCKETS)
     size = np.maximum(1, np.diff(words.first))
     return (key % BUCKETS).astype(np.int32), np.sqrt(count / size[key // BUCKETS]).astype(np.float32), first
@@ -77,6 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     updates: least number of updates, so that few rows are gone over more often than `epochs` times. Without any labelled
     row every score is 1/2.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     n = usable.count()
     draw = F.xxhash64("key", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(1 << 40)
@@ -116,6 +118,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold); null and empty texts get the bias alone."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

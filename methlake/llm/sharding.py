@@ -26,7 +26,8 @@ def text_links(texts: DataFrame, min_line: int) -> DataFrame:
     """texts: g, text (distinct). Returns g, line for lines that more than one text holds."""
     lines = texts.select("g", F.explode(F.array_distinct(F.split("text", "\n"))).alias("l")).where(F.length("l") >= min_line).select("g", F.xxhash64("l").alias("line"))
     held = stored(lines.distinct(), "lines")
-    shared = held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    # stored, so that the join reads two plain shuffles, of which AQE can split a line that very many texts hold
+    shared = stored(held.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "often")
     return held.join(shared, "line")
 
 
@@ -38,6 +39,7 @@ def propagate(vertices: DataFrame, links: DataFrame, shards: int, rounds: int, s
     for turn in range(rounds):
         votes = links.join(labels, "g").groupBy("line", "label").agg(F.sum("n").alias("votes"))
         led = votes.groupBy("line").agg(F.max(F.struct("votes", (-F.col("label")).alias("less"))).alias("top")).select("line", (-F.col("top.less")).alias("want"))
+        led = stored(led, "led")
         asked = links.join(led, "line").groupBy("g", "want").agg(F.count("*").alias("gain"))
         best = asked.groupBy("g").agg(F.max(F.struct("gain", (-F.col("want")).alias("less"))).alias("top")).select("g", (-F.col("top.less")).alias("want"))
         # a text of more than half a shard's rows stays where it is

@@ -10,6 +10,7 @@ pairs. Components come from `components`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from methlake.llm.components import components
-from methlake.llm.shared import stored
-from methlake.llm.words import LOWER, NOT_SPACE, Words, pieces, ranges, utf8
+from methlake.llm.packing import add_up, expand, squeeze
+from methlake.llm.shared import small_batches, stored
+from methlake.llm.words import LOWER, NOT_SPACE, Words, mix, pieces, ranges, utf8
 
 SHINGLE = 4
 BUDGET = 4
@@ -31,37 +33,40 @@ MOST = 20_000
 FRONTIER = 1 << 18
 
 
-def text_fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
+def text_fingerprints(column: pa.Array, shingle: int, words: int = 1) -> np.ndarray:
+    """Fingerprints of 64 x words bits, text x word; the first word comes from XXH64 itself, others from mixes of it."""
     data, offsets = utf8(column)
-    words = Words(LOWER[data], offsets, NOT_SPACE)
-    size = words.ends - words.starts
+    found = Words(LOWER[data], offsets, NOT_SPACE)
+    size = found.ends - found.starts
     at = np.concatenate([[0], np.cumsum(size + 1)])
     spaced = np.full(at[-1], 0x20, np.uint8)
-    spaced[ranges(at[:-1], size)] = words.data[ranges(words.starts, size)]
-    n = np.diff(words.first)
+    spaced[ranges(at[:-1], size)] = found.data[ranges(found.starts, size)]
+    n = np.diff(found.first)
     count = np.where(n > 0, np.maximum(1, n - shingle + 1), 0)
-    first_word = ranges(words.first[:-1], count)
-    last_word = np.minimum(first_word + shingle, np.repeat(words.first[1:], count))
+    first_word = ranges(found.first[:-1], count)
+    last_word = np.minimum(first_word + shingle, np.repeat(found.first[1:], count))
     joined, digest = spaced.tobytes(), xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], 42) for a, b in zip(at[first_word].tolist(), (at[last_word] - 1).tolist())], np.uint64)
-    out = np.zeros(len(n), np.uint64)
+    out = np.zeros((len(n), words), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         first = np.concatenate([[0], np.cumsum(count[some])])
-        for bit in range(64):
-            ones = np.concatenate([[0], np.cumsum((h >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-            set_ = 2 * (ones[first[1:]] - ones[first[:-1]]) > count[some]
-            out[some] |= set_.astype(np.uint64) << np.uint64(bit)
+        for w in range(words):
+            x = mix(h + np.uint64(w)) if w else h
+            for bit in range(64):
+                ones = np.concatenate([[0], np.cumsum((x >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+                out[some, w] |= (2 * (ones[first[1:]] - ones[first[:-1]]) > count[some]).astype(np.uint64) << np.uint64(bit)
     return out
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs with `simhash`, the fingerprint as a signed long; a text without words (or null) has 0."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("simhash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(text_fingerprints(piece.column(text), shingle).view(np.int64))], names=[*piece.schema.names, "simhash"])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(text_fingerprints(piece.column(text), shingle)[:, 0].view(np.int64))], names=[*piece.schema.names, "simhash"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("simhash", T.LongType())]))
 
@@ -94,12 +99,12 @@ class Forest:
 
 
 def trie_links(group: np.ndarray, prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span every group's components. group, prints (unsigned, rotated): sorted by both, distinct within a group."""
-    n = len(prints)
+    """Links that span every group's components. group, prints (unsigned, place x word): sorted by both, distinct within a group."""
+    n, bits = len(prints), 64 * prints.shape[1]
     forest = Forest(n)
-    ones = np.zeros((64, n + 1), np.int32)  # of bit 63 - d, before each place
-    for d in range(64):
-        np.cumsum((prints >> np.uint64(63 - d)) & np.uint64(1), out=ones[d, 1:])
+    ones = np.zeros((bits, n + 1), np.int32)  # of the d-th bit from the highest, before each place
+    for d in range(bits):
+        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     last = np.append(first[1:], n)
     many = last - first > 1
@@ -113,16 +118,16 @@ def trie_links(group: np.ndarray, prints: np.ndarray, budget: int) -> tuple[np.n
             waiting += [(depth, *(x[half:] for x in (a0, a1, b0, b1, errors))), (depth, *(x[:half] for x in (a0, a1, b0, b1, errors)))]
             continue
         same = a0 == b0
-        if (close := same & (64 - depth <= budget)).any():  # all leaves below one node this deep are linked: a chain spans them
+        if (close := same & (bits - depth <= budget)).any():  # all leaves below one node this deep are linked: a chain spans them
             chain = ranges(a0[close], a1[close] - a0[close] - 1)
             forest.join(chain, chain + 1)
             a0, a1, b0, b1, errors, same = (x[~close] for x in (a0, a1, b0, b1, errors, same))
         if (leaf := ~same & (a1 - a0 == 1) & (b1 - b0 == 1)).any():
             x, y = a0[leaf], b0[leaf]
-            near = np.bitwise_count(prints[x] ^ prints[y]) <= budget
+            near = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64) <= budget
             forest.join(x[near], y[near])
             a0, a1, b0, b1, errors, same = (x[~leaf] for x in (a0, a1, b0, b1, errors, same))
-        if depth == 64:
+        if depth == bits:
             forest.join(a0, b0)
             continue
         if not len(a0):
@@ -142,7 +147,7 @@ def trie_links(group: np.ndarray, prints: np.ndarray, budget: int) -> tuple[np.n
 
 def _join_groups(budget: int):
     def work(group, prints, plain):
-        far, root = trie_links(group, prints, budget)
+        far, root = trie_links(group, prints[:, None], budget)
         return pa.RecordBatch.from_arrays([pa.array(plain[far]), pa.array(plain[root])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,3 +203,149 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(component, "root").select("simhash", "component")
     return printed.join(named, "simhash", "left").select(F.col("key").alias(key), "simhash", "component")
+
+
+# ---- documents of a given similarity ----------------------------------------------------------------
+#
+# Shingle sets of Jaccard similarity J differ in a share of arccos(2 J / (1 + J)) / pi of their bits: 15 % at 0.8. A budget
+# of so many of 64 bits would prune nothing and could not be told from chance, so fingerprints are wider, and groups share
+# sampled bits instead of a block: enough tables of sampled bits that a pair at the similarity is missed by `missed` at most.
+
+WIDE = 4  # words of 64 bits
+COUNTERS, SLICES = 1 << 22, 64
+ROW = [("group", np.uint64), ("id", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
+GROUP_ROWS = 500_000
+
+
+def differing_share(similarity: float) -> float:
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_bits(n: int, similarity: float, missed: float, seed: int) -> np.ndarray:
+    """Bit numbers, table x bit, for n fingerprints."""
+    k = min(24, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - differing_share(similarity)) ** k))
+    random = np.random.default_rng(seed)
+    return np.array([np.sort(random.choice(64 * WIDE, k, replace=False)) for _ in range(tables)])
+
+
+def table_groups(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Group of each fingerprint in each table."""
+    flat = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
+    power = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
+    value = np.stack([flat[:, b].astype(np.uint64) @ power for b in bits], axis=1)
+    return mix(value + (np.arange(len(bits), dtype=np.uint64) << np.uint64(32)))
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WIDE)
+
+
+def _group_counts(bits: np.ndarray):
+    def found(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                yield (table_groups(_prints(batch.column("print")), bits).ravel() & np.uint64(COUNTERS - 1)).astype(np.int64), None
+
+    return found
+
+
+def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
+    """Fingerprints by bucket of groups, packed; only groups that others share; large ones as a group for each pair of slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prints, ids = _prints(batch.column("print")), batch.column("id").to_numpy()
+            group = table_groups(prints, bits)
+            which, table = np.nonzero(crowds.value[(group & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1)
+            g = group[which, table]
+            slices = np.maximum(1, (1 << crowds.value[(g & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)) // most)
+            mine = (mix(ids[which].view(np.uint64)) % slices.astype(np.uint64)).astype(np.int64)
+            other = ranges(np.zeros(len(which), np.int64), slices)
+            again = np.repeat(np.arange(len(which)), slices)
+            pair = np.minimum(mine[again], other) * slices[again] + np.maximum(mine[again], other)
+            g, which = mix(g[again] + pair.astype(np.uint64)), which[again]
+            order = np.argsort(g)
+            g, which = g[order], which[order]
+            bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else bucket
+            rows = []
+            for a, b in zip(cut, np.append(cut[1:], len(g))):
+                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], *prints[which[a:b]].T)]
+                rows.append(b"".join(np.int64(len(x)).tobytes() + x for x in packed))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+
+    return run
+
+
+def _join_tables(budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_unpacked(raw) for batch in batches for raw in batch.column("rows").to_pylist()]
+        if not held:
+            return
+        group, ids, *words = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort([*words[::-1], group])
+        group, ids, prints = group[order], ids[order], np.stack(words, axis=1)[order]
+        at = 0
+        while at < len(group):  # whole groups, some thousand fingerprints at a time
+            to = int(np.searchsorted(group, group[min(at + MOST, len(group)) - 1], "right"))
+            far, root = trie_links(group[at:to], prints[at:to], budget)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][far]), pa.array(ids[at:to][root])], names=["a", "b"])
+            at = to
+
+    return run
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    for _, kind in ROW:
+        n = int(np.frombuffer(raw[at : at + 8], np.int64)[0])
+        out.append(expand(raw[at + 8 : at + 8 + n], kind))
+        at += 8 + n
+    return out
+
+
+def _wide(text: str, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text):
+            prints = text_fingerprints(piece.column(text), shingle, WIDE)
+            yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array([p.tobytes() for p in prints], pa.binary())], names=["key", "print"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, missed: float = 0.05, most: int = 4096, seed: int = 3) -> DataFrame:
+    """key, print (256 bits), component (least key that links reach) of every row of docs.
+
+    Texts are linked whose fingerprints differ in no more bits than shingle sets of the similarity do on average; a pair at
+    just the similarity meets in some table with a probability of 1 - missed, a closer one nearly always. Nulls, empty texts
+    and repeated rows are as in `near_duplicates`.
+    """
+    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    printed = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_wide("text", shingle), f"key {kind}, print binary"), "wide")
+    least = stored(printed.groupBy("print").agg(F.min("key").alias("least")).withColumn("id", F.xxhash64("print")), "distinct")
+    n = least.count()
+    bits = sampled_bits(n, similarity, missed, seed)
+
+    def finish(first: int, sums: np.ndarray) -> dict:
+        marks = squeeze(np.minimum(31, np.frexp(sums.astype(np.float64))[1]).astype(np.uint8))
+        return {"first": pa.array([first]), "bits": pa.array([marks], pa.binary()), "total": pa.array([int(sums[sums > 1].sum())])}
+
+    crowds, total = np.zeros(COUNTERS, np.uint8), 0
+    for row in add_up(least.select("print"), _group_counts(bits), COUNTERS, SLICES, finish, "first bigint, bits binary, total bigint").collect():  # SLICES rows
+        got = expand(bytes(row["bits"]), np.uint8)
+        crowds[row["first"] : row["first"] + len(got)] = got
+        total += row["total"]
+    shared = spark.sparkContext.broadcast(crowds)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_ROWS))
+    sent = least.select("id", "print").mapInArrow(_tables(bits, shared, buckets, most), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
+    root = components(sent.mapInArrow(_join_tables(round(64 * WIDE * differing_share(similarity))), "a bigint, b bigint"))
+    rooted = least.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    component = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(component, "root").select("print", "component")
+    return printed.join(named, "print", "left").select(F.col("key").alias(key), "print", "component")

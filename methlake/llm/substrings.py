@@ -6,9 +6,10 @@ occurrence of its windows, so sorting its windows tells exactly which occurrence
 needs no answer from elsewhere, so buckets return only spans of words to remove, which are joined back to their texts.
 
 * Equal super-k-mers of one piece of the scan meet before the shuffle; only the earliest of them travels.
-* Bytes are counted for `BINS` bins of minimisers a bucket, over all texts. A bin above a quarter of a bucket is dealt out
-  by document first; what has not lost there meets again by the hash of its whole window, where few copies are left.
+* Bytes are counted for `BINS` bins of minimisers, over all texts. A bin above a quarter of a bucket is dealt out by
+  document first; what has not lost there meets again by the hash of its whole window, where few copies are left.
 * Buckets follow the corpus size, so a task holds about `bucket_bytes` of packed strings.
+* Texts that lose nothing are finished in a scan; only the others are shuffled to meet their spans.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methlake.llm.words import NOT_SPACE, Words, _powers, covered, gather, mix, pieces, ranges, utf8
+from methlake.llm.flags import as_flags, bits_of, row_flag
+from methlake.llm.packing import add_up
+from methlake.llm.shared import small_batches, stored
+from methlake.llm.words import NOT_SPACE, Words, _powers, covered, gather, grouped, mix, pieces, ranges, release, utf8
 
 WINDOW = 20
 MINIMISER = 3
-BUCKET_BYTES = 32 << 20
-BINS = 64
+BUCKET_BYTES = 16 << 20
+BINS = 1 << 20
 PIECE = 4 << 20
 #: Packed bytes for each text byte, about: a super-k-mer has some 9.5 windows and 28.5 words.
 REDUNDANCY = 3
@@ -51,7 +55,7 @@ class SuperKmers:
     def pack(self) -> bytes:
         batch = pa.RecordBatch.from_arrays([pa.array(self.ord), pa.array(self.th), pa.array(self.start), pa.array(self.windows), self.packed], names=["ord", "th", "start", "windows", "packed"])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
             out.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
@@ -82,9 +86,9 @@ def least_in_windows(h: np.ndarray, window: int, minimiser: int) -> np.ndarray:
     return np.minimum(low[:n], low[span - have : span - have + n])
 
 
-def superkmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def superkmers(words: Words, hashes: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, windows, minimiser) of the maximal runs of windows with one minimiser; words are numbered in the piece."""
-    low = least_in_windows(words.hashes(), window, minimiser)
+    low = least_in_windows(hashes, window, minimiser)
     at = ranges(words.first[:-1], np.maximum(0, np.diff(words.first) - window + 1))
     if not len(at):
         return at, at, low[:0]
@@ -99,7 +103,9 @@ def spaced(words: Words) -> tuple[np.ndarray, np.ndarray]:
     size = words.ends - words.starts
     at = np.concatenate([[0], np.cumsum(size + 1)])
     out = np.full(at[-1], 0x20, np.uint8)
-    out[ranges(at[:-1], size)] = gather(words.data, words.starts, size)
+    blanks = np.zeros(at[-1], bool)
+    blanks[at[1:] - 1] = True
+    out[~blanks] = gather(words.data, words.starts, size)
     return out, at
 
 
@@ -117,6 +123,15 @@ def spans_of(kmers: SuperKmers, lost: np.ndarray, window: int) -> tuple[np.ndarr
     return kmers.ord[k], kmers.th[k], place[at[new]].astype(np.int32), (place[end] + window).astype(np.int32)
 
 
+def _heads(h: np.ndarray) -> np.ndarray:
+    """For each place the first place that holds an equal value."""
+    order, first = grouped(h)
+    head = np.empty(len(h), np.int64)
+    if len(h):
+        head[order] = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(h))))
+    return head
+
+
 def losers(kmers: SuperKmers, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(lost, hash) for every window of super-k-mers that are sorted by (ord, start): does an equal window start earlier?"""
     hashes, begin, end = [], [], []
@@ -133,10 +148,7 @@ def losers(kmers: SuperKmers, window: int) -> tuple[np.ndarray, np.ndarray]:
     if not hashes:
         return np.zeros(0, bool), np.zeros(0, np.uint64)
     h, begin, end = np.concatenate(hashes), np.concatenate(begin), np.concatenate(end)
-    order = np.argsort(h, kind="stable")
-    head_place = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    head = np.empty(len(h), np.int64)
-    head[order] = np.repeat(order[head_place], np.diff(np.append(head_place, len(h))))
+    head = _heads(h)
     owner = np.repeat(np.arange(len(kmers.windows)), kmers.windows)
     _settle(head, owner, begin, end, data)
     place = ranges(kmers.start.astype(np.int64), kmers.windows)
@@ -161,18 +173,19 @@ def _settle(head: np.ndarray, owner: np.ndarray, begin: np.ndarray, end: np.ndar
                 head[x] = seen.setdefault(bytes(raw[begin[x] : end[x]]), x)
 
 
-def _piece_kmers(piece: pa.RecordBatch, window: int, minimiser: int) -> tuple[SuperKmers, np.ndarray]:
-    """Super-k-mers of a piece, by (ord, start), and their minimisers."""
+def _piece_kmers(piece: pa.RecordBatch, window: int, minimiser: int) -> tuple[SuperKmers, np.ndarray, np.ndarray]:
+    """Super-k-mers of a piece, by (ord, start), their minimisers, and hashes of all their words."""
     piece = piece.take(pa.compute.sort_indices(piece, sort_keys=[("ord", "ascending"), ("th", "ascending")]))
     data, offsets = utf8(piece.column("text"))
     words = Words(data, offsets, NOT_SPACE)
-    first, windows, low = superkmers(words, window, minimiser)
+    hashes = words.hashes()
+    first, windows, low = superkmers(words, hashes, window, minimiser)
     buffer, at = spaced(words)
     doc = np.searchsorted(words.first, first, "right") - 1
     size = at[first + windows + window - 1] - 1 - at[first]
     packed_at = np.concatenate([[0], np.cumsum(size)])
     packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(packed_at.astype(np.int64)), pa.py_buffer(gather(buffer, at[first], size))])
-    return SuperKmers(piece.column("ord").to_numpy()[doc], piece.column("th").to_numpy()[doc], (first - words.first[doc]).astype(np.int32), windows.astype(np.int32), packed), low
+    return SuperKmers(piece.column("ord").to_numpy()[doc], piece.column("th").to_numpy()[doc], (first - words.first[doc]).astype(np.int32), windows.astype(np.int32), packed), low, sequence_hashes(hashes, first, windows + window - 1)
 
 
 OUT = T.StructType([
@@ -201,31 +214,28 @@ def _dealt(kmers: SuperKmers, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield p, kmers.take(mine).pack()
 
 
-def _bin_bytes(window: int, minimiser: int, bins: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bin_bytes(window: int, minimiser: int):
+    def found(batches: Iterator[pa.RecordBatch]):
         for piece in pieces(batches, "text", PIECE):
             data, offsets = utf8(piece.column("text"))
             words = Words(data, offsets, NOT_SPACE)
-            first, windows, low = superkmers(words, window, minimiser)
-            size = words.ends[first + windows + window - 2] - words.starts[first]
-            bin_, inverse = np.unique((low % np.uint64(bins)).astype(np.int64), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bin_), pa.array(np.bincount(inverse, size, len(bin_)).astype(np.int64))], names=["bin", "bytes"])
+            first, windows, low = superkmers(words, words.hashes(), window, minimiser)
+            yield (low % np.uint64(BINS)).astype(np.int64), words.ends[first + windows + window - 2] - words.starts[first]
 
-    return run
+    return found
 
 
-def _scatter(window: int, minimiser: int, bins: int, buckets: int, hot):
+def _scatter(window: int, minimiser: int, buckets: int, hot):
     """Scan -> super-k-mers by bucket; hot bins are dealt out by document (parts from `buckets` on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_bin, hot_slices = hot.value
         for piece in pieces(batches, "text", PIECE):
-            kmers, low = _piece_kmers(piece, window, minimiser)
+            kmers, low, whole = _piece_kmers(piece, window, minimiser)
             if not len(low):
                 continue
             # equal super-k-mers of this piece: sorted by (ord, start), so the first of a group is its earliest
-            _, top, of = np.unique(_packed_hashes(kmers), return_index=True, return_inverse=True)
-            top = top[of]
+            top = _heads(whole)
             later = np.flatnonzero(top != np.arange(len(top)))
             texts = kmers.packed
             later = later[[texts[i].as_buffer().equals(texts[j].as_buffer()) for i, j in zip(later.tolist(), top[later].tolist())]] if len(later) else later
@@ -234,7 +244,7 @@ def _scatter(window: int, minimiser: int, bins: int, buckets: int, hot):
             spans = spans_of(kmers, np.repeat(lost, kmers.windows), window)
             left = np.flatnonzero(~lost)
             kmers, low = kmers.take(left), low[left]
-            bin_ = (low % np.uint64(bins)).astype(np.int64)
+            bin_ = (low % np.uint64(BINS)).astype(np.int64)
             part = bin_ % buckets
             if len(hot_bin):
                 at = np.minimum(np.searchsorted(hot_bin, bin_), len(hot_bin) - 1)
@@ -247,11 +257,6 @@ def _scatter(window: int, minimiser: int, bins: int, buckets: int, hot):
     return run
 
 
-def _packed_hashes(kmers: SuperKmers) -> np.ndarray:
-    data, offsets = utf8(kmers.packed)
-    return sequence_hashes(data.astype(np.uint64) + np.uint64(1), offsets[:-1], np.diff(offsets))
-
-
 def _reduce(window: int, buckets: int, last: bool):
     """A bucket's windows are sorted; losers become spans. Survivors of hot parts go on, a window each, by its hash."""
 
@@ -266,12 +271,16 @@ def _reduce(window: int, buckets: int, last: bool):
         for part in list(held):
             some = held.pop(part)
             kmers = SuperKmers(*(np.concatenate([getattr(k, c) for k in some]) for c in ("ord", "th", "start", "windows")), pa.concat_arrays([k.packed for k in some]))
+            some.clear()
             kmers = kmers.take(np.lexsort([kmers.start, kmers.ord]))
             lost, h = losers(kmers, window)
             parts = []
             if part >= buckets and not last:
                 parts = list(_dealt(*_single_windows(kmers, ~lost, h, window, buckets)))
-            yield _rows(spans_of(kmers, lost, window), parts)
+            rows = _rows(spans_of(kmers, lost, window), parts)
+            del kmers, lost, h, some, parts
+            release()
+            yield rows
 
     return run
 
@@ -298,22 +307,47 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     Columns of docs that have the names of the three are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.drop("n_words", "n_removed", "kept", "__ord", "__th", "__spans")
     source = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("ord"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-REDUNDANCY * total // bucket_bytes))
-    bins = BINS * buckets
     least = max(1, REDUNDANCY * total // buckets // 4)  # so there are at most 4 x buckets hot bins
-    counted = source.select("text").mapInArrow(_bin_bytes(window, minimiser, bins), "bin bigint, bytes bigint").groupBy("bin").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > least)
-    hot = sorted((r["bin"], -(-r["bytes"] // least)) for r in counted.toLocalIterator())
+    above = lambda first, sums: {"bin": first + np.flatnonzero(sums > least), "bytes": sums[sums > least]}
+    counted = add_up(source.select("text"), _bin_bytes(window, minimiser), BINS, 64, above, "bin bigint, bytes bigint")
+    hot = sorted((r["bin"], -(-r["bytes"] // least)) for r in counted.collect())
     shared = spark.sparkContext.broadcast((np.array([b for b, _ in hot], np.int64), np.array([s for _, s in hot], np.int64)))
-    sent = source.mapInArrow(_scatter(window, minimiser, bins, buckets, shared), OUT)
+    sent = source.mapInArrow(_scatter(window, minimiser, buckets, shared), OUT)
     spans = _rounds(sent, _reduce(window, buckets, False), buckets)
     if hot:
         spans = _rounds(spans, _reduce(window, buckets, True), buckets)
+    spans = stored(spans.select("ord", "th", "start", "end"), "spans")
+    flagged = spark.sparkContext.broadcast(bits_of(spans.mapInArrow(_doc_flags, "flag int"), "flag"))  # FLAGS bits
     of_doc = spans.groupBy("ord", "th").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnsRenamed({"ord": "__ord", "th": "__th"})
-    keyed = base.withColumns({"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.xxhash64(text)})
-    return keyed.join(of_doc, ["__ord", "__th"], "left").drop("__ord", "__th").mapInArrow(_cut(text, base.columns), T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
+    keyed = base.withColumns({"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.coalesce(F.xxhash64(text), F.lit(0))})
+    schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    joined = keyed.mapInArrow(_touched(flagged, True), keyed.schema).join(of_doc, ["__ord", "__th"], "left").drop("__ord", "__th")
+    cut = _cut(text, base.columns)
+    return keyed.mapInArrow(lambda batches: cut(_touched(flagged, False)(batches)), schema).unionAll(joined.mapInArrow(cut, schema))
+
+
+def _doc_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ord_, th = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(row_flag(ord_, th, np.zeros(len(ord_), np.int64))).astype(np.int32))], names=["flag"])
+
+
+def _touched(flagged, yes: bool):
+    """The rows that may have spans, or those that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = as_flags(flagged.value)
+        for batch in batches:
+            ord_, th = batch.column("__ord").to_numpy(), batch.column("__th").to_numpy()
+            there = flags[row_flag(ord_, th, np.zeros(len(ord_), np.int64))] if len(ord_) else np.zeros(0, bool)
+            yield batch.filter(pa.array(there == yes))
+
+    return run
 
 
 def _rounds(sent: DataFrame, reduce, buckets: int) -> DataFrame:
@@ -328,7 +362,7 @@ def _cut(text: str, names: list[str]):
             data, offsets = utf8(piece.column(text))
             words = Words(data, offsets, NOT_SPACE)
             gone = np.zeros(len(words), bool)
-            for d, spans in enumerate(piece.column("__spans").to_pylist()):
+            for d, spans in enumerate(piece.column("__spans").to_pylist() if "__spans" in piece.schema.names else []):
                 if spans:
                     at = np.array([(s["start"], s["end"]) for s in spans])
                     a, b = words.first[d], words.first[d + 1]
@@ -338,7 +372,9 @@ def _cut(text: str, names: list[str]):
             size = (words.ends - words.starts)[left]
             at = np.concatenate([[0], np.cumsum(size + 1)])
             buffer = np.full(at[-1], 0x20, np.uint8)
-            buffer[ranges(at[:-1], size)] = gather(words.data, words.starts[left], size)
+            blanks = np.zeros(at[-1], bool)
+            blanks[at[1:] - 1] = True
+            buffer[~blanks] = gather(words.data, words.starts[left], size)
             raw = buffer.tobytes()
             kept = [raw[at[a] : max(at[a], at[b] - 1)].decode() for a, b in zip(first, first[1:])]
             n = np.diff(words.first)

@@ -6,6 +6,7 @@ so splitting bytes equals splitting characters. A null text has no bytes and no
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at a time; a longer text is a piece of its own, never cut.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 HASH_BYTES = 1 << 17
+GATHERED = 1 << 18
 
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -48,6 +50,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows so that a piece holds at most `limit` bytes of the column, or one row."""
+    try:
+        yield from _cut(batches, column, limit)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(lengths, dtype=np.int64)
@@ -107,6 +123,7 @@ class Words:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(gather(self.data, self.starts, lengths))])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 _CACHE: list[np.ndarray] = []
 
 
@@ -137,7 +154,32 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return data[ranges(starts, lengths)]
+    """The ranges' items, one range after another; indices are made for a block of ranges at a time."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    if not len(ends) or ends[-1] <= GATHERED:
+        return data[ranges(starts, lengths)]
+    out, at = np.empty(ends[-1], data.dtype), 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + GATHERED, "right")))
+        out[before : ends[to - 1]] = data[ranges(starts[at:to], lengths[at:to])]
+        at = to
+    return out
+
+
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal values side by side, and where in it each value begins. (A plain sort is far faster than
+    a stable one or np.unique.)"""
+    order = np.argsort(x)
+    s = x[order]
+    return order, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    s = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return s[first], np.diff(np.append(first, len(s)))
 
 
 def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:

@@ -56,7 +56,7 @@ def test_lines(docs, rows):
 def test_lines_whose_likeliest_partner_fails(docs, rows, monkeypatch):
     """Signatures that tell nothing: likeliest partners often fail, so the second pass has to find the right ones."""
     real = lines.match
-    monkeypatch.setattr(lines, "match", lambda w, o, th, li, size, pos, sign, sid, **k: real(w, o, th, li, size, pos, np.zeros_like(sign), sid, **k))
+    monkeypatch.setattr(lines, "match", lambda w, o, th, li, size, pos, a, b, sid, **k: real(w, o, th, li, size, pos, np.zeros_like(a), np.zeros_like(b), sid, **k))
     got = lines.dedup(docs).select("doc_id", "n_lines", "n_removed", "kept").collect()
     assert Counter(tuple(r) for r in got) == line_dedup(rows)
 
@@ -133,13 +133,33 @@ def test_trie_links_span_all_pairs():
     for k in range(5):
         prints = np.where(rng.random(400) < 0.5, prints ^ (np.uint64(1) << flips[:, k].astype(np.uint64)), prints)
     prints = np.unique(prints)
-    a, b = simhash.trie_links(np.zeros(len(prints), np.int64), prints, 4)
+    a, b = simhash.trie_links(np.zeros(len(prints), np.int64), prints[:, None], 4)
     got, want = simhash.Forest(len(prints)), simhash.Forest(len(prints))
     got.join(a, b)
     want.join(*np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4))
     assert np.array_equal(got.root, want.root)
 
 
+def test_similar_documents(spark):
+    """Texts with few words changed share a component with their original; others, and those with half of them changed, do not."""
+    rnd = np.random.default_rng(2)
+    word = lambda: "".join(rnd.choice(list("abcdefgh"), 6))
+    rows, want = [], {}
+    for i in range(40):
+        words = [word() for _ in range(300)]
+        for j, changes in enumerate((0, 1, 3, 5, 150)):
+            copy = list(words)
+            for at in rnd.choice(300, changes, replace=False):
+                copy[at] = word()
+            rows.append((i * 10 + j, " ".join(copy), "en", "s"))
+            want[i * 10 + j] = i * 10 if changes < 100 else i * 10 + j
+    got = {r.doc_id: r.component for r in simhash.similar_documents(frame(spark, rows), most=16).collect()}
+    assert all(got[k] == k for k, v in want.items() if v == k)
+    assert np.mean([got[k] == v for k, v in want.items()]) > 0.97
+    odd = simhash.similar_documents(frame(spark, documents(), CLASHES)).collect()
+    assert len(odd) == len(documents())
+
+
 def test_backoff(docs, rows):
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in backoff.scores(docs, chunk_bytes=2000, part_ngrams=300).collect()), key=lambda x: (order(x[0]), x[1]))
     want = sorted(slow_backoff(rows), key=lambda x: (order(x[0]), x[1]))
@@ -232,7 +252,7 @@ def test_few_vectors(spark):
 
 
 @pytest.mark.parametrize("run", [
-    lambda d: fast.dedup(d), lambda d: lines.dedup(d), lambda d: simhash.near_duplicates(d), lambda d: backoff.scores(d), lambda d: sharding.assign(d),
+    lambda d: fast.dedup(d), lambda d: lines.dedup(d), lambda d: simhash.near_duplicates(d), lambda d: simhash.similar_documents(d), lambda d: backoff.scores(d), lambda d: sharding.assign(d),
     lambda d: fm_index.find(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: bpe.encode(d, ranks()),
     lambda d: language.predict(d, language.fit(d)), lambda d: quality.score(d, quality.fit(d, d.selectExpr("doc_id", "1 AS quality"))),
 ])

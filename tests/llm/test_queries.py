@@ -68,3 +68,20 @@ def test_pipeline(spark, tmp_path):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/3").collect()}
     assert all(r.text == text[r.doc_id] for r in docs.collect())
     assert corpus_pipeline.run(spark, SF).count() == seen[-1]
+
+
+def test_pipeline_over_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns with the operators' own names go through every stage; so do no rows."""
+    from llm_cases import CLASHES, documents, frame
+
+    rows = documents()
+    for name, some in (("rows", rows), ("none", [])):
+        docs = frame(spark, some, [c for c in CLASHES if not c.startswith("__")]).selectExpr("*", "length(text) AS n_chars")
+        columns = docs.columns
+        for i, (stage, fn) in enumerate(corpus_pipeline.STAGES):
+            fn(spark, docs, SF).write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+            if stage != "tokenize":
+                assert docs.columns == columns and docs.where("n_words <> 'clash' OR n_chars <> length(text)").count() == 0
+        left = [r.doc_id for r in docs.collect()]
+        assert len(left) == len(set(left)) and (name == "none" or 10 < len(left) < len(rows))
