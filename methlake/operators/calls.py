@@ -8,7 +8,7 @@ from methlake.functions import reads as R
 from methlake.functions.numeric import ratio_4dp
 from methlake.operators.intervals import interval_join, with_bins
 
-READ_BIN = 16_384  # near the span of a long read
+READ_BIN = 131_072  # several spans of a long read, so that most reads touch one bin; some dozen sites lie in it
 
 
 def is_usable() -> Column:

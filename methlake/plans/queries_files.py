@@ -176,4 +176,4 @@ def alignment_file_counts(spark, sf):
     files = sequenced_reads(spark, sf).withColumn("file", F.floor(F.col("l_orderkey") / 4000))  # so many orders a file
     paths = sorted(r["path"] for r in files.groupBy("file").applyInPandas(write, "path string, n bigint").collect())
     scanned = bam.scan(spark, paths, splitBytes=100_000).filter("kind = 'read'").withColumn("contig", F.col("rid"))
-    return C.tally(C.read_calls(scanned, shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
+    return C.tally(C.read_calls(scanned, shapes.probes(spark, sf), width=4 * PAIR_BIN), ["probe_id"])

@@ -10,7 +10,7 @@ from methlake.operators import ordered as O
 from methlake.operators import qc
 from methlake.operators import references as REF
 from methlake.plans import shapes
-from methlake.plans.registry import query, table
+from methlake.plans.registry import query, spread, table
 from methlake.plans.shapes import CALLS_SQL, PROBES_SQL, READS_SQL
 
 PAIR_BIN = 32  # spans here are at most 50 long
@@ -215,7 +215,7 @@ def sequenced_reads(spark, sf) -> DataFrame:
     implicit = F.col("l_linenumber") % 2 == 0
     listed = F.when(implicit, ((n + 1) / 2).cast("int")).otherwise(n)
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-    return items.select(
+    return spread(items).select(
         "l_orderkey",
         (F.col("l_linenumber") % 5).cast("int").alias("contig"),
         F.col("l_partkey").alias("pos"),
@@ -232,7 +232,7 @@ def sequenced_reads(spark, sf) -> DataFrame:
 
 @query("read_calls_full", READ_CALLS_SQL)
 def read_calls_full(spark, sf):
-    return C.tally(C.read_calls(sequenced_reads(spark, sf), shapes.probes(spark, sf), width=PAIR_BIN), ["probe_id"])
+    return C.tally(C.read_calls(sequenced_reads(spark, sf), shapes.probes(spark, sf), width=4 * PAIR_BIN), ["probe_id"])
 
 
 # ---- read expressions -------------------------------------------------------------------------------
@@ -245,7 +245,7 @@ SELECT l_suppkey, l_linenumber, l_returnflag, l_linenumber % 2 = 0 AS g1, l_retu
 
 def _items(spark, sf) -> DataFrame:
     columns = ["l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
-    return table(spark, sf, "lineitem").select(*columns)
+    return spread(table(spark, sf, "lineitem").select(*columns))
 
 
 def _tagged(spark, sf) -> DataFrame:
@@ -338,7 +338,7 @@ def mm_delta_running_sum(spark, sf):
     FROM q WHERE pos < n""",
 )
 def base_ordinals(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("n", F.length("text")).filter("n > 0")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("n", F.length("text")).filter("n > 0")
     lengths = F.transform(F.split("text", "\n", -1), lambda x: F.length(x).cast("bigint") + 1)
     grow = lambda starts, n: F.concat(starts, F.array(F.element_at(starts, -1) + n))
     grid = F.filter(F.aggregate(lengths, F.array(F.lit(0).cast("bigint")), grow), lambda p: p < F.col("n"))

@@ -8,7 +8,7 @@ from methlake.functions.parse import csv_fields
 from methlake.operators import qc
 from methlake.operators import references as REF
 from methlake.plans import shapes
-from methlake.plans.registry import query, table
+from methlake.plans.registry import query, spread, table
 from methlake.plans.shapes import PROBES_SQL, READS_SQL
 from methlake.sources import text as T
 
@@ -50,7 +50,7 @@ def csv_quoted_fields(spark, sf):
         F.lit(","), F.col("lang"), F.lit('"\r'),
     )
     f = csv_fields(line)
-    return table(spark, sf, "documents").select("doc_id", "text", "lang").select("doc_id", f.alias("f")).select(
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang")).select("doc_id", f.alias("f")).select(
         "doc_id",
         F.size("f").alias("n_fields"),
         F.md5(F.get("f", F.lit(0))).alias("quoted"),
@@ -79,7 +79,7 @@ def counts_text_rows(spark, sf):
         .when(k == 9, tab(probe, F.concat(F.lit("-"), m), u))
         .otherwise(tab(probe, m, u))
     )
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     rows = T.count_rows(orders.select(line.alias("line")))
     return rows.groupBy("probe_id").agg(
         F.count_if("ok").alias("n_ok"),
@@ -109,7 +109,7 @@ def pileup_text_rows(spark, sf):
         .when(k == 3, F.concat_ws("\t", contig, F.concat(pos, F.lit("x")), *fill, m, F.lit("3")))
         .otherwise(full)
     )
-    items = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity")
+    items = spread(table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey", "l_quantity"))
     lines = items.select(
         F.lit("p").alias("path"), F.lit(0).alias("block"), F.lit(0).alias("row"), line.alias("line")
     )

@@ -21,5 +21,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A narrow table of few row groups dealt out to all cores, where costly expressions follow; larger scans stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
