@@ -180,9 +180,9 @@ def links(prints: DataFrame, budget: int = BUDGET, most: int = MOST) -> DataFram
     keyed = prints.select("simhash", F.explode(F.array(*turned)).alias("t")).select(
         "simhash", F.col("t.block").alias("block"), F.expr("shiftrightunsigned(t.turned, 64 - t.width)").alias("value"), F.col("t.turned").bitwiseXOR(F.lit(-(1 << 63))).alias("rotated")
     )
-    # groups above `most`: at most (budget + 1) x prints / most of them
+    # groups above `most`: few; whether to broadcast them is left to their size
     large = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("block", "value", F.ceil(F.col("n") / most).cast("int").alias("slices"))
-    sliced = keyed.join(F.broadcast(stored(large, "large")), ["block", "value"], "left")
+    sliced = keyed.join(stored(large, "large"), ["block", "value"], "left")
     mine = F.pmod(F.xxhash64("simhash"), F.col("slices")).cast("int")
     pairs = F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, mine).cast("bigint") * F.col("slices") + F.greatest(s, mine))
