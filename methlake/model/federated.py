@@ -13,7 +13,7 @@ from methlake.model.artifact import LINEAGE, Model, load_model
 from methlake.model.predict import project
 from methlake.operators import tree as TR
 from methlake.sources.files import copy, file_size, list_files, read_text, sha256_of, write_text
-from methlake.sources.tensors import read_tensors, write_tensors
+from methlake.sources.tensors import read_tensor_files, read_tensors, write_tensors
 
 PREFIX = "grad."
 NORM_TOLERANCE = 1e-3
@@ -151,18 +151,14 @@ def merge(
         metas.append(meta)
     if not metas:
         raise ValueError("no updates")
-    sites = []
-    for i, path in enumerate(updates):
-        blocks = read_tensors(spark, path)
-        bad = blocks.filter(~F.col("name").startswith(PREFIX)).select("name").first()
-        if bad is not None:
-            raise ValueError(f"{path}: {bad['name']} is not a gradient")
-        named = blocks.withColumn("name", F.expr(f"substr(name, {len(PREFIX) + 1})"))
-        check_shapes(named, base.shapes, path)
-        sites.append(named.withColumn("site", F.lit(i)))
-    every = sites[0]
-    for s in sites[1:]:
-        every = every.unionByName(s)
+    every = read_tensor_files(spark, updates).withColumnRenamed("file", "site")
+    for r in every.filter("block = 0").select("site", "name", "shape").orderBy("site", "name").collect():  # tensors of the update files
+        path, name = updates[r["site"]], r["name"].removeprefix(PREFIX)
+        if name == r["name"]:
+            raise ValueError(f"{path}: {name} is not a gradient")
+        if base.shapes.get(name) != tuple(r["shape"]):
+            raise ValueError(f"{path}: {name} is {tuple(r['shape'])}, the model has {base.shapes.get(name, 'none of this name')}")
+    every = every.withColumn("name", F.expr(f"substr(name, {len(PREFIX) + 1})"))
     norms = {r["site"]: r["norm"] for r in W.l2_norm(every, ["site"]).collect()}  # one row per update file
     per_sample = []
     for i, (path, meta) in enumerate(zip(updates, metas)):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from methlake.sources.files import file_size, move, open_output, read_range
+from methlake.sources.files import expand, file_size, move, open_output, read_range
 
 BLOCK = 65_536                # values per row
 TASK_BLOCKS = 64              # blocks read by one task
@@ -67,33 +67,35 @@ class TensorSource(DataSource):
         return "methtensors"
 
     def schema(self) -> str:
-        return BLOCKS_SCHEMA
+        return f"file int, {BLOCKS_SCHEMA}" if "paths" in self.options else BLOCKS_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TensorReader(self.options["path"], schema)
+        return TensorReader(expand(self.options), schema, "paths" in self.options)
 
 
 class TensorReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
+    def __init__(self, paths: list[str], schema: StructType, numbered: bool):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        self.path, self.arrow = path, to_arrow_schema(schema)
-        entries, self.base = read_tensor_header(path)
-        self.blocks = [
-            (name, e["dtype"], e["shape"], block, e["data_offsets"][0], (e["data_offsets"][1] - e["data_offsets"][0]) // WIDTHS[e["dtype"]])
-            for name, e in entries.items()
-            for block in range(max(1, -(-int(np.prod(e["shape"], dtype=np.int64)) // BLOCK)))
-        ]
+        self.paths, self.arrow, self.numbered = paths, to_arrow_schema(schema), numbered
+        self.blocks = []
+        for i, path in enumerate(paths):
+            entries, base = read_tensor_header(path)
+            self.blocks += [
+                (i, name, e["dtype"], e["shape"], block, base + e["data_offsets"][0], (e["data_offsets"][1] - e["data_offsets"][0]) // WIDTHS[e["dtype"]])
+                for name, e in entries.items()
+                for block in range(max(1, -(-int(np.prod(e["shape"], dtype=np.int64)) // BLOCK)))
+            ]
 
     def partitions(self):
         n = len(self.blocks)
         return [_Blocks(a, min(a + TASK_BLOCKS, n)) for a in range(0, n, TASK_BLOCKS)] or [_Blocks(0, 0)]
 
     def read(self, part: _Blocks):
-        for name, dtype, shape, block, begin, count in self.blocks[part.first : part.last]:
+        for file, name, dtype, shape, block, begin, count in self.blocks[part.first : part.last]:
             width, at = WIDTHS[dtype], block * BLOCK
-            raw = read_range(self.path, self.base + begin + at * width, min(BLOCK, count - at) * width)
-            row = {"name": name, "shape": shape, "block": block, "values": decode_values(raw, dtype)}
+            raw = read_range(self.paths[file], begin + at * width, min(BLOCK, count - at) * width)
+            row = ({"file": file} if self.numbered else {}) | {"name": name, "shape": shape, "block": block, "values": decode_values(raw, dtype)}
             yield pa.RecordBatch.from_pylist([row], schema=self.arrow)
 
 
@@ -102,6 +104,12 @@ def read_tensors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("methtensors").load(path)
 
 
+def read_tensor_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Blocks of several files in one scan, with `file`, the place of the path in the list."""
+    spark.dataSource.register(TensorSource)
+    return spark.read.format("methtensors").option("paths", json.dumps(paths)).load()
+
+
 def header_bytes(shapes: list[tuple[str, list[int]]]) -> bytes:
     """Header of single-precision tensors in the order given, padded so the values are 8-byte aligned."""
     entries, at = {}, 0
