@@ -104,6 +104,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     links = stored(text_links(docs.select(F.unhex(F.md5(whole.cast("binary"))).alias("g"), whole.alias("text")), min_line), "shared")
     labels = propagate(vertices, links, shards, rounds, slack)
     alone = labels.join(links.select("g").distinct().withColumn("linked", F.lit(True)), "g", "left").select("g", "label", F.coalesce(~F.col("linked") & (F.col("n") == 1), F.col("n") == 1).alias("alone"))
+    alone = stored(alone, "alone")  # a text with very many rows: AQE can split the join of two plain shuffles
     ranked = numbered(rows.join(alone, "g"), ["label", "alone", "g", "key"], "ranked")
     loads = {r["label"]: r["n"] for r in ranked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     load = [loads.get(s, 0) for s in range(shards)]
