@@ -16,6 +16,7 @@ text - has a Jaccard similarity of `threshold` or more with it. Lines are judged
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from methlake.llm.flags import FLAGS, as_flags, bits_of, row_flag
-from methlake.llm.packing import add_up, expand, squeeze
+from methlake.llm.packing import add_up, expand, expand_all, squeeze, squeeze_all
 from methlake.llm.shared import small_batches, stored
 from methlake.llm.words import NOT_SPACE, Words, counted, grouped, mix, pieces, ranges, release, utf8
 
@@ -68,7 +69,10 @@ class Lines:
         self.number = np.arange(self.first[-1]) - self.first[self.text_of]
         self.stop = np.append(start[1:-1], len(data)) if len(start) > 1 else start[:0]
         self.stop = np.where(np.append(self.text_of[1:] == self.text_of[:-1], False) if len(self.text_of) else np.zeros(0, bool), self.stop - 1, self.stop)
-        self.words = Words(data, start, NOT_SPACE)
+
+    @functools.cached_property
+    def words(self) -> Words:
+        return Words(self.data, self.start, NOT_SPACE)
 
     def line(self, i: int) -> bytes:
         return self.data[self.start[i] : self.stop[i]].tobytes()
@@ -181,26 +185,16 @@ def _entries(classes, crowds, wanted, buckets: int, least: int, t: Fraction):
                 unit, owner, pos, bucket = unit[order], owner[order], pos[order], bucket[order]
                 columns = (unit, ords[text[owner]], ths[text[owner]], lines.number[line[owner]], size[owner], pos, sign[owner], sign2[owner], sid[owner] >> np.uint64(32))
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
-                rows = [b"".join(_framed(c[a:b].astype(kind)) for c, (_, kind) in zip(columns, ENTRY)) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
+                columns = [c.astype(kind, copy=False) for c, (_, kind) in zip(columns, ENTRY)]
+                rows = [squeeze_all([c[a:b] for c in columns]) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "entries"])
 
     return run
 
 
-def _framed(x: np.ndarray) -> bytes:
-    raw = squeeze(x)
-    return np.int64(len(raw)).tobytes() + raw
-
-
-def _unframed(raw: bytes, columns: list) -> list[np.ndarray]:
-    out, at = [], 0
-    for _, kind in columns:
-        n = int(np.frombuffer(raw[at : at + 8], np.int64)[0])
-        part = expand(raw[at + 8 : at + 8 + n], kind)
-        out.append(part.astype(np.int64) if kind == np.uint32 else part)
-        at += 8 + n
-    return out
+def _unpacked(raw: bytes, columns: list) -> list[np.ndarray]:
+    return [c.astype(np.int64) if c.dtype == np.uint32 else c for c in expand_all(raw, [kind for _, kind in columns])]
 
 
 #: What two lines make: the later one, the earlier one, how likely they are similar, and of how many partners this is one.
@@ -216,17 +210,26 @@ def _earlier(a: np.ndarray, b: np.ndarray, ord_: np.ndarray, line: np.ndarray) -
 def match(word, ord_, th, line, size, pos, sign, sign2, sid, t: Fraction, every=None) -> list[np.ndarray]:
     """Columns of LINK: each line's likeliest earlier partner among the entries of the same unit and how many there were; all
     with `every`, flags of the entries that want them all."""
-    order = np.lexsort([line, ord_, mix(sign ^ mix(sign2 + sid.astype(np.uint64))), size, word])
-    word, ord_, th, line, size, pos, sign, sign2, sid = (x[order] for x in (word, ord_, th, line, size, pos, sign, sign2, sid))
+    by_rank = reading_order(ord_, line)
+    rank = np.empty(len(word), np.int64)
+    rank[by_rank] = np.arange(len(word))
+    # by unit, then size, then (so that equal sets mostly meet) a few bits of the set's hash: 40, 16 and 8 bits
+    bits = mix(sign ^ mix(sign2 + sid.astype(np.uint64))) & np.uint64(255)
+    if len(size) and size.max() > 0xFFFF:
+        order = np.lexsort([bits, size, word])
+    else:
+        order = np.argsort(word & UNIT | size.astype(np.uint64) << np.uint64(8) | bits)
+    word, ord_, th, line, size, pos, sign, sign2, sid, rank = (x[order] for x in (word, ord_, th, line, size, pos, sign, sign2, sid, rank))
     n = len(word)
-    same = np.concatenate([[False], (word[1:] == word[:-1]) & (size[1:] == size[:-1]) & (sign[1:] == sign[:-1]) & (sign2[1:] == sign2[:-1]) & (sid[1:] == sid[:-1])]) if n else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # the earliest of equal sets
+    by_rank = np.empty(n, np.int64)
+    by_rank[rank] = np.arange(n)
+    new = np.concatenate([[True], (word[1:] != word[:-1]) | (size[1:] != size[:-1]) | (sign[1:] != sign[:-1]) | (sign2[1:] != sign2[:-1]) | (sid[1:] != sid[:-1])]) if n else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    head = by_rank[np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, n)))] if n else start  # the earliest of equal sets
+    same = head != np.arange(n)
     copy = np.flatnonzero(same)
     copy = copy[_earlier(head[copy], copy, ord_, line)]
     # what is kept of each line: its best partner so far, as its likelihood and the partner's place in reading order
-    by_rank = np.lexsort([line, ord_])
-    rank = np.empty(n, np.int64)
-    rank[by_rank] = np.arange(n)
     best, partners, every_pair = np.full(n, -1, np.int64), np.zeros(n, np.int64), []
 
     def offer(later: np.ndarray, first: np.ndarray, likely: np.ndarray) -> None:
@@ -280,6 +283,14 @@ def match(word, ord_, th, line, size, pos, sign, sign2, sid, t: Fraction, every=
     return columns if every is not None else likeliest(columns)
 
 
+def reading_order(ord_: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order of documents, and of lines within a document."""
+    order, first = grouped(ord_)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return np.argsort(group << 32 | line)
+
+
 def likeliest(columns: list[np.ndarray]) -> list[np.ndarray]:
     """One link for each later line, of the earliest among its likeliest partners; partners are added up."""
     ord_, th, line, to_ord, _, to_line, likely, _ = columns
@@ -297,7 +308,7 @@ def _matched(t: Fraction, wanted, buckets: int):
     """A bucket's entries to links, packed by the later line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unframed(raw, ENTRY) for batch in batches for raw in batch.column("entries").to_pylist()]
+        held = [_unpacked(raw, ENTRY) for batch in batches for raw in batch.column("entries").to_pylist()]
         if not held:
             return
         columns = [np.concatenate(x) for x in zip(*held)]
@@ -307,7 +318,7 @@ def _matched(t: Fraction, wanted, buckets: int):
         release()
         bucket = row_flag(*links[:3]) % buckets
         order, cut = grouped(bucket)
-        rows = [b"".join(_framed(c[mine]) for c in links) for mine in np.split(order, cut[1:])] if len(order) else []
+        rows = [squeeze_all([c[mine] for c in links]) for mine in np.split(order, cut[1:])] if len(order) else []
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "links"])
 
     return run
@@ -317,7 +328,7 @@ def _gathered(every: bool):
     """All links of a bucket's lines to one for each line, or to the distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unframed(raw, LINK) for batch in batches for raw in batch.column("links").to_pylist()]
+        held = [_unpacked(raw, LINK) for batch in batches for raw in batch.column("links").to_pylist()]
         if not held:
             return
         columns = [np.concatenate(x) for x in zip(*held)]
@@ -410,34 +421,34 @@ def repeated(source: DataFrame, t: Fraction, least: int, bucket_entries: int = B
     return found.select("ord", "th", "line").distinct()
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD, least: int = LEAST) -> DataFrame:
-    """docs with n_lines, n_removed and `kept`, the text without its repeated lines.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "kept", threshold: Fraction = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """docs with n_lines, n_removed and `out`, the text without its repeated lines; out may be the text column itself.
 
     Lines are what "\n" separates. Lines of fewer than `least` different words are never removed and never a reason to
     remove. key: integers; a null key comes after all others; rows that share a key are one document at the same lines. A
     null text has no lines and stays null. Columns of docs that have the names of the three are replaced.
     """
     small_batches(docs.sparkSession)
-    base = docs.drop("n_lines", "n_removed", "kept", "__ord", "__th", "__gone")
+    base = docs.drop("n_lines", "n_removed", "__ord", "__th", "__gone", *([out] if out != text else []))
     keys = {"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))}  # the text tells rows of one key apart
     source = docs.select(keys["__ord"].alias("ord"), keys["__th"].alias("th"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     gone = repeated(source, threshold, least).groupBy("ord", "th").agg(F.collect_list("line").alias("__gone")).withColumnsRenamed({"ord": "__ord", "th": "__th"})
     joined = base.withColumns(keys).join(gone, ["__ord", "__th"], "left").drop("__ord", "__th")
-    schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(_cut(text, base.columns), schema)
+    rest = [f for f in base.schema.fields if f.name != out]
+    schema = T.StructType([*rest, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out, T.StringType())])
+    return joined.mapInArrow(_cut(text, [f.name for f in rest], out), schema)
 
 
-def _cut(text: str, names: list[str]):
+def _cut(text: str, names: list[str], kept_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text, PIECE):
             total, removed, kept = [], [], []
             for old, gone in zip(piece.column(text).to_pylist(), piece.column("__gone").to_pylist()):
-                parts = old.split("\n") if old is not None else []
                 out = set(gone or ())
-                total.append(len(parts))
+                total.append(old.count("\n") + 1 if old is not None else 0)
                 removed.append(len(out))
-                kept.append("\n".join(p for i, p in enumerate(parts) if i not in out) if out else old)
+                kept.append("\n".join(p for i, p in enumerate(old.split("\n")) if i not in out) if out else old)
             made = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *made], names=[*names, "n_lines", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *made], names=[*names, "n_lines", "n_removed", kept_name])
 
     return run

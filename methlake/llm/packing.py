@@ -27,6 +27,24 @@ def expand(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
+def squeeze_all(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, as the compressed byte planes of all of them, after their length."""
+    n = len(columns[0])
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(n, c.itemsize).T).tobytes() for c in columns) if n else b""
+    return np.int64(n).tobytes() + _ZSTD.compress(planes, asbytes=True)
+
+
+def expand_all(raw: bytes, kinds: list) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    widths = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(_ZSTD.decompress(raw[8:], n * sum(widths), asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
 def add_up(source: DataFrame, found: Callable, counters: int, slices: int, finish: Callable, schema: str) -> DataFrame:
     """Adds weights up in counters: a task sends its counters as `slices` packed rows, and each slice is added by itself.
 
