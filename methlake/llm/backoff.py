@@ -41,7 +41,7 @@ def _pack(key: str, chunks: int):
             for c in np.unique(chunk):
                 some = piece.select(["key", "text"]).take(pa.array(np.flatnonzero(chunk == c)))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
                     out.write_batch(some)
                 rows.append((int(c), sink.getvalue().to_pybytes()))
             if rows:
