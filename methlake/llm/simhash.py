@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from methlake.llm.components import components
+from methlake.llm.flags import as_flags, bits_of, row_flag
 from methlake.llm.packing import add_up, expand, squeeze
 from methlake.llm.shared import small_batches, stored
 from methlake.llm.words import LOWER, NOT_SPACE, Words, mix, pieces, ranges, utf8
@@ -33,8 +35,8 @@ MOST = 20_000
 FRONTIER = 1 << 18
 
 
-def text_fingerprints(column: pa.Array, shingle: int, words: int = 1) -> np.ndarray:
-    """Fingerprints of 64 x words bits, text x word; the first word comes from XXH64 itself, others from mixes of it."""
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of every text, and how many each text has."""
     data, offsets = utf8(column)
     found = Words(LOWER[data], offsets, NOT_SPACE)
     size = found.ends - found.starts
@@ -47,7 +49,12 @@ def text_fingerprints(column: pa.Array, shingle: int, words: int = 1) -> np.ndar
     last_word = np.minimum(first_word + shingle, np.repeat(found.first[1:], count))
     joined, digest = spaced.tobytes(), xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], 42) for a, b in zip(at[first_word].tolist(), (at[last_word] - 1).tolist())], np.uint64)
-    out = np.zeros((len(n), words), np.uint64)
+    return h, count
+
+
+def majorities(h: np.ndarray, count: np.ndarray, words: int = 1) -> np.ndarray:
+    """Fingerprints of 64 x words bits, text x word; the first word comes from the hashes themselves, others from mixes of them."""
+    out = np.zeros((len(count), words), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         first = np.concatenate([[0], np.cumsum(count[some])])
@@ -59,6 +66,10 @@ def text_fingerprints(column: pa.Array, shingle: int, words: int = 1) -> np.ndar
     return out
 
 
+def text_fingerprints(column: pa.Array, shingle: int, words: int = 1) -> np.ndarray:
+    return majorities(*shingle_hashes(column, shingle), words)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs with `simhash`, the fingerprint as a signed long; a text without words (or null) has 0."""
     small_batches(docs.sparkSession)
@@ -207,28 +218,108 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 # ---- documents of a given similarity ----------------------------------------------------------------
 #
-# Shingle sets of Jaccard similarity J differ in a share of arccos(2 J / (1 + J)) / pi of their bits: 15 % at 0.8. A budget
-# of so many of 64 bits would prune nothing and could not be told from chance, so fingerprints are wider, and groups share
-# sampled bits instead of a block: enough tables of sampled bits that a pair at the similarity is missed by `missed` at most.
+# Shingle sets of Jaccard similarity J differ in a share of arccos(2 J / (1 + J)) / pi of their bits on average: 15 % at
+# 0.8. A budget of so many of 64 bits would prune nothing and could not be told from chance, so fingerprints are wider, and
+# groups share sampled bits instead of a block. Fingerprints only nominate: the budget is a high quantile of the distance at
+# the similarity, so that few similar pairs lie beyond it, and what is nominated is verified on the shingles themselves.
 
 WIDE = 4  # words of 64 bits
 COUNTERS, SLICES = 1 << 22, 64
-ROW = [("group", np.uint64), ("id", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
+ROW = [("group", np.uint64), ("id", np.int64), ("label", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
 GROUP_ROWS = 500_000
+#: Share of the pairs at just the similarity that lie within the budget whose links are taken as a forest.
+CLOSE = 0.05
+#: Pairs of fingerprints that are compared without further descent.
+SMALL = 64
 
 
 def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def distances(similarity: float) -> np.ndarray:
+    """Probability of each number of differing bits (binomial) of a pair at just the similarity."""
+    bits, share = 64 * WIDE, differing_share(similarity)
+    if not 0 < share < 1:
+        return (np.arange(bits + 1) == round(bits * share)).astype(np.float64)
+    d = np.arange(bits + 1)
+    choose = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in d])
+    return np.exp(choose + d * math.log(share) + (bits - d) * math.log1p(-share))
+
+
+def quantile(similarity: float, share: float) -> int:
+    """The least number of differing bits that at least such a share of the pairs at just the similarity do not exceed."""
+    return int(np.searchsorted(np.cumsum(distances(similarity)), share))
+
+
 def sampled_bits(n: int, similarity: float, missed: float, seed: int) -> np.ndarray:
-    """Bit numbers, table x bit, for n fingerprints."""
+    """Bit numbers, table x bit, for n fingerprints: so many tables that pairs at just the similarity, over the whole
+    distribution of their distances, share no table with a probability of `missed` at most."""
     k = min(24, max(8, math.ceil(math.log2(max(n, 2))) - 2))
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - differing_share(similarity)) ** k))
+    weight, meets = distances(similarity), (1 - np.arange(64 * WIDE + 1) / (64 * WIDE)) ** k
+    tables = 1
+    while weight @ (1 - meets) ** tables > missed:
+        tables += 1
     random = np.random.default_rng(seed)
     return np.array([np.sort(random.choice(64 * WIDE, k, replace=False)) for _ in range(tables)])
 
 
+def trie_pairs(group: np.ndarray, prints: np.ndarray, label: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of one group and different labels within the budget; rows are as in `trie_links`, or equal in part."""
+    n, bits = len(prints), 64 * prints.shape[1]
+    if not n:
+        return
+    ones = np.zeros((bits, n + 1), np.int32)
+    for d in range(bits):
+        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
+    turns = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])  # a range of places without turns has one label
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    last = np.append(first[1:], n)
+    waiting = [(0, first, last, first, last, np.zeros(len(first), np.int64))]
+    while waiting:
+        depth, *nodes = waiting.pop()
+        if len(nodes[0]) > FRONTIER:
+            half = len(nodes[0]) // 2
+            waiting += [(depth, *(x[half:] for x in nodes)), (depth, *(x[:half] for x in nodes))]
+            continue
+        a0, a1, b0, b1, _ = nodes
+        one = (label[a0] == label[b0]) & (turns[a0] == turns[a1 - 1]) & (turns[b0] == turns[b1 - 1])
+        nodes = [x[~one] for x in nodes]
+        a0, a1, b0, b1, _ = nodes
+        done = ((a1 - a0) * (b1 - b0) <= SMALL) | (depth == bits)
+        size = ((a1 - a0) * (b1 - b0))[done]
+        total = np.cumsum(size)
+        cut = 0
+        while cut < len(size):  # a bounded number of pairs at a time
+            to = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + FRONTIER, "right")))
+            mine = np.flatnonzero(done)[cut:to]
+            node = np.repeat(mine, size[cut:to])
+            k = ranges(np.zeros(to - cut, np.int64), size[cut:to])
+            width = (b1 - b0)[node]
+            x, y = a0[node] + k // width, b0[node] + k % width
+            keep = (x < y) | (a0[node] != b0[node])
+            x, y = x[keep], y[keep]
+            keep = label[x] != label[y]
+            x, y = x[keep], y[keep]
+            near = np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64) <= budget
+            if near.any():
+                yield x[near], y[near]
+            cut = to
+        a0, a1, b0, b1, errors = (x[~done] for x in nodes)
+        if not len(a0):
+            continue
+        same = a0 == b0
+        am, bm = a1 - (ones[depth, a1] - ones[depth, a0]), b1 - (ones[depth, b1] - ones[depth, b0])
+        kids = [(a0, am, b0, bm, errors, None), (am, a1, bm, b1, errors, None), (a0, am, bm, b1, errors + 1, None), (am, a1, b0, bm, errors + 1, ~same)]
+        parts = []
+        for c0, c1, d0, d1, e, only in kids:
+            live = (c1 > c0) & (d1 > d0) & (e <= budget) & ((c0 != d0) | (c1 - c0 > 1))
+            if only is not None:
+                live &= only
+            parts.append([x[live] for x in (c0, c1, d0, d1, e)])
+        waiting.append((depth + 1, *(np.concatenate(x) for x in zip(*parts))))
+
+
 def table_groups(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Group of each fingerprint in each table."""
     flat = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
@@ -257,7 +348,7 @@ def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints, ids = _prints(batch.column("print")), batch.column("id").to_numpy()
+            prints, ids, labels = _prints(batch.column("print")), batch.column("id").to_numpy(), batch.column("label").to_numpy()
             group = table_groups(prints, bits)
             which, table = np.nonzero(crowds.value[(group & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1)
             g = group[which, table]
@@ -273,32 +364,48 @@ def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else bucket
             rows = []
             for a, b in zip(cut, np.append(cut[1:], len(g))):
-                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], *prints[which[a:b]].T)]
+                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], labels[which[a:b]], *prints[which[a:b]].T)]
                 rows.append(b"".join(np.int64(len(x)).tobytes() + x for x in packed))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
     return run
 
 
-def _join_tables(budget: int):
+def _join_tables(close: int, budget: int):
+    """Pairs to verify: a forest of the links within `close`, and all pairs within the budget that it leaves apart.
+
+    With close < 0: all pairs within the budget whose labels differ.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpacked(raw) for batch in batches for raw in batch.column("rows").to_pylist()]
         if not held:
             return
-        group, ids, *words = (np.concatenate(x) for x in zip(*held))
+        group, ids, labels, *words = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort([*words[::-1], group])
-        group, ids, prints = group[order], ids[order], np.stack(words, axis=1)[order]
+        group, ids, labels, prints = group[order], ids[order], labels[order], np.stack(words, axis=1)[order]
         at = 0
         while at < len(group):  # whole groups, some thousand fingerprints at a time
             to = int(np.searchsorted(group, group[min(at + MOST, len(group)) - 1], "right"))
-            far, root = trie_links(group[at:to], prints[at:to], budget)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][far]), pa.array(ids[at:to][root])], names=["a", "b"])
+            some, label = ids[at:to], labels[at:to]
+            if close >= 0:
+                far, root = trie_links(group[at:to], prints[at:to], close)
+                yield _pairs(some[far], some[root], True)
+                label = np.arange(to - at)
+                label[far] = root
+            for x, y in trie_pairs(group[at:to], prints[at:to], label, budget):
+                yield _pairs(some[x], some[y], False)
             at = to
 
     return run
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, forest: bool) -> pa.RecordBatch:
+    ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(len(ends), forest))], names=["a", "b", "forest"])
+
+
 def _unpacked(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
     for _, kind in ROW:
@@ -309,43 +416,143 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 
 def _wide(text: str, shingle: int):
+    """Each row's fingerprint of its distinct shingles, and their set's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
-            prints = text_fingerprints(piece.column(text), shingle, WIDE)
-            yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array([p.tobytes() for p in prints], pa.binary())], names=["key", "print"])
+            h, count = shingle_hashes(piece.column(text), shingle)
+            owner = np.repeat(np.arange(len(count)), count)
+            order = np.lexsort([h, owner])
+            h, owner = h[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            h, count = h[new], np.bincount(owner[new], minlength=len(count))
+            ids, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
+            if len(some):
+                ids[some] = mix(np.add.reduceat(mix(h), np.cumsum(count[some]) - count[some]) + count[some].astype(np.uint64))
+            prints = majorities(h, count, WIDE)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("key"), piece.column("th"), pa.array(ids.view(np.int64)), pa.array([p.tobytes() for p in prints], pa.binary())], names=["key", "th", "id", "print"]
+            )
 
     return run
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, missed: float = 0.05, most: int = 4096, seed: int = 3) -> DataFrame:
+def _flag(ids: np.ndarray) -> np.ndarray:
+    zero = np.zeros(len(ids), np.int64)
+    return row_flag(ids, zero, zero)
+
+
+def _flagged(pairs: DataFrame, names: list[str]) -> bytes:
+    """Flags of the ids in the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in names:
+                yield pa.RecordBatch.from_arrays([pa.array(_flag(batch.column(name).to_numpy()).astype(np.int32))], names=["flag"])
+
+    return bits_of(pairs.select(*names).mapInArrow(run, "flag int"), "flag")
+
+
+def _wanted(flags):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = as_flags(flags.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(have[_flag(batch.column("th").to_numpy())]))
+
+    return run
+
+
+def shingles(text: bytes, shingle: int) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def _jaccard(shingle: int, similarity: Fraction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}  # the last set of either side
+
+        def of(side: str, text: bytes) -> set:
+            if side not in held or held[side][0] != text:
+                held[side] = text, shingles(text, shingle)
+            return held[side][1]
+
+        for batch in batches:
+            similar = []
+            for x, y in zip(batch.column("text").to_pylist(), batch.column("to_text").to_pylist()):
+                x, y = of("a", x), of("b", y)
+                common = len(x & y)
+                similar.append(common * similarity.denominator >= similarity.numerator * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "forest")), pa.array(similar, pa.bool_())], names=["a", "b", "forest", "similar"])
+
+    return run
+
+
+def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """pairs with `similar`, decided on the shingles. texts: th, text; nodes: id, th."""
+    found = stored(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), "pairs")
+    ends = nodes.join(found.select(F.col("a").alias("id")).union(found.select("b")).distinct(), "id").select("id", "th")
+    ends = stored(ends, "ends")
+    flags = texts.sparkSession.sparkContext.broadcast(_flagged(ends, ["th"]))  # FLAGS bits
+    some = texts.mapInArrow(_wanted(flags), "th bigint, text binary").dropDuplicates(["th"])
+    some = stored(some.join(ends, "th").select("id", "text"), "texts")
+    both = found.join(some.withColumnRenamed("id", "a"), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("to_text")), "b")
+    return stored(both.mapInArrow(_jaccard(shingle, similarity), "a bigint, b bigint, forest boolean, similar boolean"), "similar")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with `root`, the least id that links reach."""
+    root = components(links.select("a", "b"))
+    return nodes.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, missed: float = 0.01, most: int = 4096, seed: int = 3) -> DataFrame:
     """key, print (256 bits), component (least key that links reach) of every row of docs.
 
-    Texts are linked whose fingerprints differ in no more bits than shingle sets of the similarity do on average; a pair at
-    just the similarity meets in some table with a probability of 1 - missed, a closer one nearly always. Nulls, empty texts
-    and repeated rows are as in `near_duplicates`.
+    Texts are linked whose sets of shingles have a Jaccard similarity of `similarity` or more, decided on the shingles. A
+    pair at just the similarity is never compared with a probability of about `missed` (half of it for the tables of sampled
+    bits, half for the bit budget), a closer one nearly never. Close fingerprints are verified along a forest of their links;
+    where one of its links fails, the fingerprints of its tree are compared pair by pair in a second pass, so nothing rests
+    on the choice of the forest. Nulls, empty texts and repeated rows are as in `near_duplicates`.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    exact = Fraction(str(similarity))
     kind = docs.schema[key].dataType.simpleString()
-    printed = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_wide("text", shingle), f"key {kind}, print binary"), "wide")
-    least = stored(printed.groupBy("print").agg(F.min("key").alias("least")).withColumn("id", F.xxhash64("print")), "distinct")
-    n = least.count()
-    bits = sampled_bits(n, similarity, missed, seed)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    printed = stored(rows.mapInArrow(_wide("text", shingle), f"key {kind}, th bigint, id bigint, print binary"), "wide")
+    nodes = stored(printed.groupBy("id").agg(F.min("key").alias("least"), F.min("th").alias("th"), F.min("print").alias("print")), "distinct")
+    texts = rows.select("th", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    n = nodes.count()
+    bits = sampled_bits(n, similarity, missed / 2, seed)
+    close, budget = quantile(similarity, CLOSE) - 1, quantile(similarity, 1 - missed / 2)
 
     def finish(first: int, sums: np.ndarray) -> dict:
         marks = squeeze(np.minimum(31, np.frexp(sums.astype(np.float64))[1]).astype(np.uint8))
         return {"first": pa.array([first]), "bits": pa.array([marks], pa.binary()), "total": pa.array([int(sums[sums > 1].sum())])}
 
     crowds, total = np.zeros(COUNTERS, np.uint8), 0
-    for row in add_up(least.select("print"), _group_counts(bits), COUNTERS, SLICES, finish, "first bigint, bits binary, total bigint").collect():  # SLICES rows
+    for row in add_up(nodes.select("print"), _group_counts(bits), COUNTERS, SLICES, finish, "first bigint, bits binary, total bigint").collect():  # SLICES rows
         got = expand(bytes(row["bits"]), np.uint8)
         crowds[row["first"] : row["first"] + len(got)] = got
         total += row["total"]
     shared = spark.sparkContext.broadcast(crowds)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_ROWS))
-    sent = least.select("id", "print").mapInArrow(_tables(bits, shared, buckets, most), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
-    root = components(sent.mapInArrow(_join_tables(round(64 * WIDE * differing_share(similarity))), "a bigint, b bigint"))
-    rooted = least.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    def verified(some: DataFrame, close: int) -> DataFrame:
+        sent = some.select("id", "label", "print").mapInArrow(_tables(bits, shared, buckets, most), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
+        return _verified(texts, nodes, sent.mapInArrow(_join_tables(close, budget), "a bigint, b bigint, forest boolean"), shingle, exact)
+
+    seen = verified(nodes.withColumn("label", F.lit(0).cast("bigint")), close)
+    links = seen.where("similar")
+    failed = seen.where("forest AND NOT similar")
+    if not failed.isEmpty():
+        tree = components(seen.where("forest"))
+        open_ = tree.join(tree.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "root").select(F.col("node").alias("id"))
+        again = _rooted(nodes, links).withColumnRenamed("root", "label").join(open_, "id", "left_semi")
+        links = links.unionAll(verified(stored(again, "again"), -1).where("similar"))
+    rooted = _rooted(nodes, links)
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(component, "root").select("print", "component")
-    return printed.join(named, "print", "left").select(F.col("key").alias(key), "print", "component")
+    named = rooted.join(component, "root").select("id", "component")
+    return printed.join(named, "id", "left").select(F.col("key").alias(key), "print", "component")

@@ -160,6 +160,33 @@ def test_similar_documents(spark):
     assert len(odd) == len(documents())
 
 
+def test_similar_documents_are_those_of_the_similarity(spark):
+    """Pairs at and above a Jaccard similarity of 0.8 are linked, pairs below it are not, repeated shingles count once."""
+    rnd = np.random.default_rng(5)
+    word = lambda: "".join(rnd.choice(list("abcdefgh"), 7))
+    rows, want = [], {}
+    for i in range(300):
+        words = [word() for _ in range(104)]  # 100 shingles
+        tail = (11, 10, 8, 12, 14)[i % 5]  # of 100 shingles changed at the end: J = 89/111 = 0.802, 0.818, 0.852, 0.786, 0.754
+        copy = words[: 104 - tail] + [word() for _ in range(tail)]
+        rows += [(i * 2, " ".join(words), "en", "s"), (i * 2 + 1, " ".join(copy), "en", "s")]
+        want[i * 2 + 1] = (100 - tail) / (100 + tail) >= 0.8
+    got = {r.doc_id: r.component for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    linked = {k: got[k] == k - 1 for k in want}
+    assert not any(linked[k] for k, w in want.items() if not w)
+    assert np.mean([linked[k] for k, w in want.items() if w]) > 0.96
+    ends = [" ".join(word() for _ in range(100)) for _ in range(2)]  # "la" five times over is one shingle, and few straddle
+    odd = [(1, "la " * 3000 + ends[0], "en", "s"), (2, ends[0], "en", "s"), (3, "la " * 3000 + ends[1], "en", "s")]
+    assert {r.doc_id: r.component for r in simhash.similar_documents(frame(spark, odd)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_similar_documents_verify_pairs_that_a_failed_link_hides(spark, monkeypatch):
+    """A forest as wide as the budget has links that fail; what they hid is compared again."""
+    monkeypatch.setattr(simhash, "CLOSE", 0.9999)
+    test_similar_documents_are_those_of_the_similarity(spark)
+    test_similar_documents(spark)
+
+
 def test_backoff(docs, rows):
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in backoff.scores(docs, chunk_bytes=2000, part_ngrams=300).collect()), key=lambda x: (order(x[0]), x[1]))
     want = sorted(slow_backoff(rows), key=lambda x: (order(x[0]), x[1]))
