@@ -228,19 +228,25 @@ def match(word, ord_, th, line, size, pos, sign, sign2, sid, t: Fraction, every=
     head = by_rank[np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, n)))] if n else start  # the earliest of equal sets
     same = head != np.arange(n)
     copy = np.flatnonzero(same)
-    copy = copy[_earlier(head[copy], copy, ord_, line)]
+    later_copy = _earlier(head[copy], copy, ord_, line)
+    copy, twin = copy[later_copy], copy[~later_copy]  # twins are rows of one key at one line: what the head's set is like, theirs is too
     # what is kept of each line: its best partner so far, as its likelihood and the partner's place in reading order
     best, partners, every_pair = np.full(n, -1, np.int64), np.zeros(n, np.int64), []
 
     def offer(later: np.ndarray, first: np.ndarray, likely: np.ndarray) -> None:
         if every is not None:
-            keep = wanted[later]
+            keep = asked[later]
             every_pair.append((later[keep], first[keep], likely[keep]))
             return
         np.maximum.at(best, later, likely << 32 | (0xFFFFFFFF - rank[first]))
         np.add.at(partners, later, 1)
 
     wanted = None if every is None else every[order]
+    if wanted is not None:
+        twin = twin[wanted[twin]]
+        twin = twin[np.argsort(head[twin])]
+        asked = wanted.copy()
+        asked[head[twin]] = True
     offer(copy, head[copy], np.full(len(copy), 1000))
     own = np.flatnonzero(~same)  # by word, then size
     if len(own):
@@ -273,10 +279,16 @@ def match(word, ord_, th, line, size, pos, sign, sign2, sid, t: Fraction, every=
             offer(later[apart], first[apart], likely[apart])
             cut = to
     if every is None:
+        best[twin], partners[twin] = best[head[twin]], partners[head[twin]]
         later = np.flatnonzero(best >= 0)
         first, likely, partners = by_rank[0xFFFFFFFF - (best[later] & 0xFFFFFFFF)], best[later] >> 32, partners[later]
     else:
         later, first, likely = (np.concatenate(x) for x in zip(*every_pair))
+        lead, keep = head[twin], wanted[later]
+        at = np.searchsorted(lead, later)
+        n_twins = np.searchsorted(lead, later, "right") - at
+        later = np.concatenate([later[keep], twin[ranges(at, n_twins)]])
+        first, likely = (np.concatenate([x[keep], np.repeat(x, n_twins)]) for x in (first, likely))
         partners = np.ones(len(later), np.int64)
     columns = [ord_[later], th[later], line[later], ord_[first], th[first], line[first], likely, partners]
     columns = [c.astype(kind) for c, (_, kind) in zip(columns, LINK)]

@@ -67,6 +67,22 @@ def test_lines_of_crowded_words(docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in got) == line_dedup(rows)
 
 
+@pytest.mark.parametrize("most", [lines.MOST, 2])
+@pytest.mark.parametrize("blind", [False, True])
+def test_lines_of_rows_that_share_a_key(spark, monkeypatch, most, blind):
+    """Rows of one key (null or not) with different texts but the same line at the same place, like an earlier line."""
+    monkeypatch.setattr(lines, "MOST", most)
+    if blind:  # as in the test above: the second pass has to find the partners
+        real = lines.match
+        monkeypatch.setattr(lines, "match", lambda w, o, th, li, size, pos, a, b, sid, **k: real(w, o, th, li, size, pos, np.zeros_like(a), np.zeros_like(b), sid, **k))
+    rows = [(1, "a b c d e f g h i j", "en", "s"), (2, "a b c d e f x y z j", "en", "s")]
+    rows += [(k, f"a b c d e f g h i k\nown {i}", "en", "s") for k in (None, 7) for i in range(4)]
+    want = line_dedup(rows)
+    assert sum(c for (k, _, m, _), c in want.items() if m == 1) == 8
+    got = lines.dedup(frame(spark, rows)).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == want
+
+
 ITEMS = lambda rows: [(i, t[:90]) for i, t in [(n, x[1]) for n, x in enumerate(rows) if x[1]][:12]] + [(90, None), (91, ""), (92, "The"), (None, rows[5][1]), (93, "no such words at all here"), (92, "... 日本 ...")]
 
 
