@@ -32,7 +32,7 @@ from methlake.llm.shared import small_batches, stored
 from methlake.llm.words import NOT_SPACE, Words, counted, grouped, mix, pieces, ranges, release, utf8
 
 THRESHOLD = Fraction(4, 5)
-LEAST = 5
+LEAST = 5  # of `dedup` where nothing else is asked for; op5 and the pipeline ask for 1, every line with a word
 COUNTERS = 1 << 22
 SLICES = 64  # of the counters, for adding them up
 #: Entries of a bucket, about, and entries of one word that a unit of work takes (a power of two).

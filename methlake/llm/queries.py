@@ -81,7 +81,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), out="text")
+    done = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), out="text", least=1)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
