@@ -11,6 +11,7 @@ The test items come to the driver in blocks of bounded bytes; each block is one
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -233,7 +234,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     kept = docs.drop(*COLUMNS)
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType()))])
     out, names = kept, kept.columns
-    for block in [*_blocks(benchmark, item, item_text, block_bytes)] or [([], [])]:
+    blocks = _blocks(benchmark, item, item_text, block_bytes)  # drawn one at a time: the driver holds one block
+    for block in itertools.chain([next(blocks, ([], []))], blocks):
         shared = docs.sparkSession.sparkContext.broadcast(Phrases.build(*block, window))  # block_bytes bound it
         out = out.mapInArrow(_pass(shared, names, text), schema)
     return out

@@ -103,6 +103,15 @@ def test_decontamination(spark, docs, rows, block):
     assert sum(len(r.spans) for r in again) <= 2 and left.count() == len(rows)
 
 
+def test_decontamination_draws_a_block_at_a_time(docs, rows, spark, monkeypatch):
+    drawn, built = [], []
+    blocks, build = fm_index._blocks, fm_index.Phrases.build
+    monkeypatch.setattr(fm_index, "_blocks", lambda *a: (drawn.append(1) or b for b in blocks(*a)))
+    monkeypatch.setattr(fm_index.Phrases, "build", lambda *a: built.append(len(drawn)) or build(*a))
+    fm_index.find(docs, spark.createDataFrame(ITEMS(rows), "item_id int, text string"), block_bytes=200)
+    assert len(built) > 2 and built == list(range(1, len(built) + 1))
+
+
 def test_decontamination_without_items(spark, docs, rows):
     found = fm_index.find(docs, spark.createDataFrame([], "item_id bigint, text string"))
     assert {(len(r.spans), len(r.item_ids)) for r in found.collect()} == {(0, 0)}
