@@ -71,12 +71,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 256, size: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 2.0, rejected: float = 0.002, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 256, size: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 2.0, seed: int = 7) -> LanguageModel:
     """Learn from rows with text and language; at most about per_language x languages of them, drawn by the text's hash.
 
     steps: least number of gradient steps, so that few rows are gone over more often than `epochs` times.
-    rejected: share of the held-back, rightly named texts that the threshold may reject. Languages beyond the
-    `most_languages` most frequent are not learned. Without any labelled row the model knows no language.
+    The threshold rejects the held-back, wrongly named texts whose scores are below those of all rightly named ones, and no
+    more. Languages beyond the `most_languages` most frequent are not learned. Without any labelled row the model knows no language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -103,9 +103,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     nll = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     temperature = float(grid[int(np.argmin(nll))])
     p = softmax(logits / temperature)
-    right = p.max(1)[p.argmax(1) == truth]
-    threshold = min(0.5, float(np.quantile(right, rejected))) if len(right) else 0.0
-    return LanguageModel(languages, table, bias, temperature, threshold)
+    return LanguageModel(languages, table, bias, temperature, rejection(p.max(1), p.argmax(1) == truth))
+
+
+def rejection(score: np.ndarray, right: np.ndarray) -> float:
+    """The least threshold under which all wrongly named texts lie that score below every rightly named one; 0 without any."""
+    wrong = score[~right & (score < score[right].min(initial=np.inf))]
+    return min(0.5, float(np.nextafter(wrong.max(), np.inf))) if len(wrong) and right.any() else 0.0
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

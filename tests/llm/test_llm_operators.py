@@ -261,6 +261,14 @@ def test_language(spark, docs, rows):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_no_rightly_named_text_is_rejected():
+    score = np.array([0.2, 0.3, 0.35, 0.4, *np.linspace(0.45, 1, 2000)])
+    right = np.array([False, False, True, False, *[True] * 2000])
+    threshold = language.rejection(score, right)
+    assert (score < threshold).tolist() == [True, True] + [False] * 2002
+    assert language.rejection(score, np.ones(2004, bool)) == language.rejection(score, np.zeros(2004, bool)) == 0.0
+
+
 def test_quality(spark, docs, rows):
     rnd = np.random.default_rng(0)
     good = lambda: " ".join("".join(rnd.choice(list("abcde"), 4)) for _ in range(20))
