@@ -33,6 +33,8 @@ PIECE = 8 << 20
 #: Words that go through the grouping side by side, and the least number of texts for which numpy's steps pay.
 BATCH_WORDS = 1 << 19
 SIDE_BY_SIDE = 48
+#: Longest text of a batch by its shortest.
+ALIKE = 1.6
 
 RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("period", T.LongType())])
 
@@ -244,7 +246,8 @@ def runs_of(ids: np.ndarray, first: np.ndarray, least: int = LEAST, exponent: in
     cut = 0
     while cut < len(by_size):
         before = int(edges[cut - 1]) if cut else 0
-        to = max(cut + 1, int(np.searchsorted(edges, before + BATCH_WORDS, "right")))
+        alike = int(np.searchsorted(sizes[by_size], ALIKE * sizes[by_size[cut]], "right"))
+        to = max(cut + 1, min(alike, int(np.searchsorted(edges, before + BATCH_WORDS, "right"))))
         some = np.sort(by_size[cut:to])
         flat = ranges(first[some], sizes[some])
         part = ids[flat]
