@@ -105,6 +105,16 @@ def sites_inside(spans: DataFrame, probes: DataFrame, width: int, keep: bool = F
     return met.withColumn("sites", F.filter("near", inside)).drop("near", "bin")
 
 
+#: Probes closer than this are one window of an indexed scan, and no window spans more than that (a slot of the index).
+WINDOW = 16_384
+
+
+def probe_windows(probes: DataFrame) -> DataFrame:
+    """(contig, first, last): places of the first and last probe of every slot that has any; no more rows than slots."""
+    slot = F.floor(F.col("pos") / WINDOW)
+    return probes.groupBy("contig", slot.alias("slot")).agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("slot")
+
+
 def tally(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Exact modified / unmodified counters; partial sums are combined before the shuffle."""
     counts = calls.groupBy(*keys).agg(

@@ -12,6 +12,7 @@ from methlake.model.predict import predict, project
 from methlake.operators import calls as C, qc, references as REF, report as REP
 from methlake.session import shared_dir
 from methlake.sources import bam, text as T
+from methlake.sources.bam_index import index_path
 from methlake.sources.files import qualified
 
 VALUES = ("sample_id", "probe_id", "beta", "block", "row")
@@ -63,9 +64,30 @@ def bam_counts(
         return _bam_counts(spark, paths, model, low, high, {"splitBytes": 0})  # a file whose splits do not meet is read whole
 
 
+#: What counting takes out of a record.
+COUNTED = ["path", "kind", "vpos", "rid", "pos", "flag", "l_seq", "cigar", "seq", "mm", "ml", "aux_ok", "code", "message", "stop", "origin"]
+
+
+def wanted_regions(matched: DataFrame, sites: DataFrame) -> dict[str, list]:
+    """path -> [[contig of the file, first, last]]: where reads can meet probes (a reverse read meets one a base further on).
+
+    The windows are bounded by the length of the references, 16 kb each; they come to the driver, which plans the scan.
+    """
+    windows: dict[str, list] = {}
+    for w in C.probe_windows(sites).collect():
+        windows.setdefault(w["contig"], []).append((w["first"], w["last"] + 1))
+    out: dict[str, list] = {}
+    for m in matched.filter("contig is not null").select("path", "chrom", _group().alias("contig")).collect():  # 22 a file at most
+        out.setdefault(m["path"], []).extend([m["chrom"], b, e] for b, e in windows.get(m["contig"], []))
+    return out
+
+
 def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = bam.scan(spark, paths, **options)
     _, matched = resolve(spark, paths)
+    sites = probe_sites(spark, model)
+    if not options and any(index_path(p) is not None for p in paths):
+        options = {"regions": wanted_regions(matched, sites)}
+    rows = bam.scan(spark, paths, columns=COUNTED, **options)
     contigs = matched.filter("contig is not null").select("path", "rid", _group().alias("contig"))
     is_read = F.col("kind") == "read"
     # placed reads whose optional fields broke off before a modification tag was seen
@@ -79,7 +101,6 @@ def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, Dat
         .withColumn("sample_id", F.col("path"))
         .join(F.broadcast(contigs), ["path", "rid"], "left")  # 22 rows a file at most
     )
-    sites = probe_sites(spark, model)
     calls = C.read_calls(marked, sites, low, high, carry=["kind", "vpos", "stop", "origin", "code", "message"])
     found = calls.groupBy("sample_id", "probe_id", "kind", "vpos", "stop", "origin", "code", "message").agg(
         F.count_if(F.col("outcome") == 1).alias("n_mod"), F.count_if(F.col("outcome") == -1).alias("n_unmod"), F.count("*").alias("n")
@@ -99,6 +120,10 @@ def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, Dat
     return counts, warnings, spans
 
 
+#: What preflight looks at.
+JUDGED = ["path", "kind", "flag", "l_seq", "mm", "ml", "ml_kind", "mn", "aux_ok", "code", "message"]
+
+
 def preflight(spark: SparkSession, paths: list[str], model: Model | None = None, records: int = 0) -> tuple[DataFrame, DataFrame]:
     """Facts (one row per file) and issues (path, rank, level, code, message) of alignment files.
 
@@ -107,7 +132,7 @@ def preflight(spark: SparkSession, paths: list[str], model: Model | None = None,
     files = bam.scan(spark, paths, emit="files")
     refs = bam.scan(spark, paths, emit="refs")
     readable = [r["path"] for r in files.filter("container = 'bam' and error is null").select("path").collect()]  # of the user's files
-    sample = bam.scan(spark, readable, primaryLimit=records, tags="lenient") if readable else spark.createDataFrame([], bam.READS_SCHEMA)
+    sample = bam.scan(spark, readable, primaryLimit=records, tags="lenient", columns=JUDGED) if readable else spark.createDataFrame([], bam.READS_SCHEMA)
     chosen, matched = resolve(spark, paths)
     maps = model.assemblies() if model is not None else list(REF.PROBE_FILE)
     found = matched.groupBy("path").agg(

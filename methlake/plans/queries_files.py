@@ -14,12 +14,12 @@ from methlake.operators import references as REF
 from methlake.operators.ordered import row_ordinal
 from methlake.plans import shapes
 from methlake.plans.queries_model import _Z_SQL, _logits
-from methlake.plans.queries_reads import _TALLY_SQL, PAIR_BIN, READ_CALLS_SQL, _calls, sequenced_reads
+from methlake.plans.queries_reads import _TALLY_SQL, PAIR_BIN, READ_CALLS_SQL, _calls, read_calls_sql, sequenced_reads
 from methlake.plans.registry import query, table
 from methlake.plans.shapes import PROBES_SQL
 from methlake.session import shared_dir
 from methlake.sources import bam, text as T
-from methlake.sources.bam_write import alignment_bytes
+from methlake.sources.bam_write import indexed_bytes
 from methlake.sources.files import open_output
 from methlake.sources.tensors import BLOCK, read_tensors, write_tensors
 
@@ -162,18 +162,57 @@ def network_forward(spark, sf):
     return out.select("vec_id", F.transform("p", lambda x: F.round(x, 5)).alias("probs"))
 
 
-@query("alignment_file_counts", READ_CALLS_SQL)
-def alignment_file_counts(spark, sf):
-    """The reads of `read_calls_full` written as alignment files, scanned in several splits a file, and counted."""
-    out = _folder(spark)
+def _alignment_files(reads, folder: str, index: bool = False) -> list[str]:
+    """Files of some thousand orders' reads each; one task writes one file (and its index)."""
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
-        path = f"{out}/{group['file'].iloc[0]}.bam"
-        with open_output(path) as f:
-            f.write(alignment_bytes([(f"c{i}", 1 << 30) for i in range(5)], group.sort_values(["contig", "pos"]).to_dict("records")))
+        path = f"{folder}/{group['file'].iloc[0]}.bam"
+        made = indexed_bytes([(f"c{i}", 1 << 28) for i in range(5)], group.sort_values(["contig", "pos"]).to_dict("records"))
+        for data, name in zip(made, (path, path + ".bai")[: 1 + index]):
+            with open_output(name) as f:
+                f.write(data)
         return pd.DataFrame({"path": [path], "n": [len(group)]})
 
-    files = sequenced_reads(spark, sf).withColumn("file", F.floor(F.col("l_orderkey") / 4000))  # so many orders a file
-    paths = sorted(r["path"] for r in files.groupBy("file").applyInPandas(write, "path string, n bigint").collect())
+    files = reads.withColumn("file", F.floor(F.col("l_orderkey") / 4000))  # so many orders a file
+    return sorted(r["path"] for r in files.groupBy("file").applyInPandas(write, "path string, n bigint").collect())
+
+
+@query("alignment_file_counts", READ_CALLS_SQL)
+def alignment_file_counts(spark, sf):
+    """The reads of `read_calls_full` written as alignment files, scanned in several splits a file, and counted."""
+    paths = _alignment_files(sequenced_reads(spark, sf), _folder(spark))
     scanned = bam.scan(spark, paths, splitBytes=100_000).filter("kind = 'read'").withColumn("contig", F.col("rid"))
     return C.tally(C.read_calls(scanned, shapes.probes(spark, sf), width=4 * PAIR_BIN), ["probe_id"])
+
+
+SPACING = 200  # places between neighbouring parts, so that reads and probes spread over many windows of the index
+_PANEL_SQL = f"SELECT contig, {SPACING} * pos + 1 AS pos, cg_id FROM ({PROBES_SQL}) q WHERE contig IN (1, 3) AND pos % 1000 < 100"
+_PANEL_CALLS_SQL = read_calls_sql(_PANEL_SQL, f"{SPACING} * l_partkey")
+
+
+def _panel(spark, sf):
+    probes = shapes.probes(spark, sf).filter("contig IN (1, 3) AND pos % 1000 < 100")
+    return probes.withColumn("pos", F.col("pos") * SPACING + 1)
+
+
+@query("indexed_file_counts", _PANEL_CALLS_SQL)
+def indexed_file_counts(spark, sf):
+    """A panel's counts from indexed alignment files: the scan reads only the stretches that can hold its probes."""
+    reads = sequenced_reads(spark, sf).withColumn("pos", F.col("pos") * SPACING)
+    paths, panel = _alignment_files(reads, _folder(spark), index=True), _panel(spark, sf)
+    windows = [[f"c{w['contig']}", w["first"], w["last"] + 1] for w in C.probe_windows(panel).collect()]
+    scanned = bam.scan(spark, paths, splitBytes=100_000, regions=windows).filter("kind = 'read'").withColumn("contig", F.col("rid"))
+    return C.tally(C.read_calls(scanned, panel, width=4 * PAIR_BIN), ["probe_id"])
+
+
+@query(
+    "indexed_position_filter",
+    f"""SELECT CAST(l_linenumber % 5 AS INT) AS rid, CAST({SPACING} * l_partkey AS INT) AS pos, CAST(count(*) AS BIGINT) AS n
+    FROM lineitem WHERE l_linenumber % 5 IN (2, 4) AND {SPACING} * l_partkey >= 100000 AND {SPACING} * l_partkey < 160000 GROUP BY ALL""",
+)
+def indexed_position_filter(spark, sf):
+    """Reads by reference and position: ordinary filters, which the source turns into a look-up in the index."""
+    reads = sequenced_reads(spark, sf).withColumn("pos", F.col("pos") * SPACING)
+    paths = _alignment_files(reads, _folder(spark), index=True)
+    wanted = bam.scan(spark, paths, columns=["rid", "pos"]).filter("rid IN (2, 4) AND pos >= 100000 AND pos < 160000")
+    return wanted.groupBy("rid", "pos").agg(F.count("*").alias("n"))

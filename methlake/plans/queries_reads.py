@@ -195,10 +195,12 @@ SELECT *, 1 + CAST(l_quantity AS INT) % 16 AS n, l_linenumber % 2 = 0 AS implici
 """
 
 
-READ_CALLS_SQL = f"""WITH r AS ({_READ_SQL}), p AS ({PROBES_SQL}),
-    j AS (SELECT r.*, p.cg_id, p.pos + CASE WHEN rev THEN 1 ELSE 0 END - l_partkey AS q FROM r JOIN p
-      ON l_linenumber % 5 = p.contig AND p.pos + CASE WHEN rev THEN 1 ELSE 0 END >= l_partkey
-      AND p.pos + CASE WHEN rev THEN 1 ELSE 0 END < l_partkey + 4 * n),
+def read_calls_sql(probes: str, place: str = "l_partkey") -> str:
+    """Counts of the sequenced reads at the probes of a query; place: where a line item's read begins."""
+    return f"""WITH r AS ({_READ_SQL}), p AS ({probes}),
+    j AS (SELECT r.*, p.cg_id, p.pos + CASE WHEN rev THEN 1 ELSE 0 END - {place} AS q FROM r JOIN p
+      ON l_linenumber % 5 = p.contig AND p.pos + CASE WHEN rev THEN 1 ELSE 0 END >= {place}
+      AND p.pos + CASE WHEN rev THEN 1 ELSE 0 END < {place} + 4 * n),
     c AS (SELECT *, CASE WHEN rev THEN n - 1 - q // 4 ELSE q // 4 END AS ord FROM j
       WHERE (NOT rev AND q % 4 = 1) OR (rev AND q % 4 = 2)),
     s AS (SELECT *, CASE WHEN ord < CASE WHEN implicit THEN (n + 1) // 2 ELSE n END
@@ -209,6 +211,9 @@ READ_CALLS_SQL = f"""WITH r AS ({_READ_SQL}), p AS ({PROBES_SQL}),
     FROM s WHERE score IS NOT NULL GROUP BY cg_id HAVING n_mod + n_unmod > 0"""
 
 
+READ_CALLS_SQL = read_calls_sql(PROBES_SQL)
+
+
 def sequenced_reads(spark, sf) -> DataFrame:
     """Line items as aligned reads: contig, pos, flag, l_seq, cigar, seq, mm, ml (and l_orderkey)."""
     n = 1 + F.col("l_quantity").cast("int") % 16

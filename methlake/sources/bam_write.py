@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import zlib
 
+from methlake.sources.bam_index import BAI_DEPTH, BAI_SHIFT, metadata_bin, region_bin
+
 BLOCK_BYTES = 60_000  # inflated bytes of a block; its size field holds 16 bits
 
 
@@ -27,9 +29,49 @@ def record_bytes(read: dict) -> bytes:
 
 def alignment_bytes(refs: list[tuple[str, int]], reads: list[dict]) -> bytes:
     """A whole file: header, records and the empty block that ends it."""
+    return indexed_bytes(refs, reads)[0]
+
+
+def indexed_bytes(refs: list[tuple[str, int]], reads: list[dict]) -> tuple[bytes, bytes]:
+    """A whole file and its BAI index; for the index, reads must come by contig and pos."""
     head = b"BAM\x01" + struct.pack("<ii", 0, len(refs))
     for name, length in refs:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    data = b"".join(map(record_bytes, reads))
-    blocks = [head, *(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)), b""]
-    return b"".join(map(bgzf_block, blocks))
+    records = [record_bytes(r) for r in reads]
+    data = b"".join(records)
+    blocks = [bgzf_block(part) for part in (head, *(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)), b"")]
+    starts = [0]
+    for block in blocks:
+        starts.append(starts[-1] + len(block))
+
+    def virtual(at: int) -> int:
+        return starts[1 + at // BLOCK_BYTES] << 16 | at % BLOCK_BYTES if at < len(data) else starts[-2] << 16
+
+    bins: list[dict[int, list[list[int]]]] = [{} for _ in refs]
+    linear: list[dict[int, int]] = [{} for _ in refs]
+    counted, at = [0] * len(refs), 0
+    for read, record in zip(reads, records):
+        begin, end, rid = virtual(at), virtual(at + len(record)), int(read["contig"])
+        at += len(record)
+        pos = int(read["pos"])
+        stop = pos + max(1, sum(int(c) >> 4 for c in read["cigar"] if int(c) & 15 in (0, 2, 3, 7, 8)))
+        chunks = bins[rid].setdefault(region_bin(pos, stop), [])
+        if chunks and chunks[-1][1] == begin:
+            chunks[-1][1] = end
+        else:
+            chunks.append([begin, end])
+        for slot in range(pos >> BAI_SHIFT, (stop - 1 >> BAI_SHIFT) + 1):
+            linear[rid].setdefault(slot, begin)
+        counted[rid] += 1
+    index = b"BAI\x01" + struct.pack("<i", len(refs))
+    for found, slots, n in zip(bins, linear, counted):
+        index += struct.pack("<i", len(found) + bool(found))
+        for number, chunks in found.items():
+            index += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        if found:
+            ends = [c for chunks in found.values() for c in chunks]
+            index += struct.pack("<IiQQQQ", metadata_bin(BAI_DEPTH), 2, min(c[0] for c in ends), max(c[1] for c in ends), n, 0)
+        index += struct.pack("<i", max(slots, default=-1) + 1)
+        for slot in range(max(slots, default=-1) + 1):
+            index += struct.pack("<Q", slots.get(slot, 0))
+    return b"".join(blocks), index + struct.pack("<Q", 0)
