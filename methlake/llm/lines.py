@@ -32,7 +32,7 @@ from methlake.llm.shared import small_batches, stored
 from methlake.llm.words import NOT_SPACE, Words, counted, grouped, mix, pieces, ranges, release, utf8
 
 THRESHOLD = Fraction(4, 5)
-LEAST = 5  # of `dedup` where nothing else is asked for; op5 and the pipeline ask for 1, every line with a word
+LEAST = 1
 COUNTERS = 1 << 22
 SLICES = 64  # of the counters, for adding them up
 #: Entries of a bucket, about, and entries of one word that a unit of work takes (a power of two).
@@ -46,7 +46,7 @@ LAST = 2**63 - 1
 
 #: What a line sends with a prefix word: a hash of the word's unit of work, where the line is, its set's size, the word's
 #: position, 128 parities of hashed words, and a hash of the whole set.
-ENTRY = [("unit", np.uint64), ("ord", np.int64), ("th", np.uint32), ("line", np.int32), ("size", np.int32), ("pos", np.int32), ("sign", np.uint64), ("sign2", np.uint64), ("sid", np.uint32)]
+ENTRY = [("unit", np.uint64), ("ord", np.int64), ("th", np.int64), ("line", np.int32), ("size", np.int32), ("pos", np.int32), ("sign", np.uint64), ("sign2", np.uint64), ("sid", np.uint32)]
 #: Bits of a unit's hash that travel; where two units agree in them, lines are only compared in vain.
 UNIT = np.uint64(((1 << 40) - 1) << 24)
 
@@ -442,9 +442,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "
     """
     small_batches(docs.sparkSession)
     base = docs.drop("n_lines", "n_removed", "__ord", "__th", "__gone", *([out] if out != text else []))
-    keys = {"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))}  # the text tells rows of one key apart
+    keys = {"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.xxhash64(text)}  # the text tells rows of one key apart
     source = docs.select(keys["__ord"].alias("ord"), keys["__th"].alias("th"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     gone = repeated(source, threshold, least).groupBy("ord", "th").agg(F.collect_list("line").alias("__gone")).withColumnsRenamed({"ord": "__ord", "th": "__th"})
+    gone = stored(gone, "gone")  # so that Spark can split the rows that share a key and text
     joined = base.withColumns(keys).join(gone, ["__ord", "__th"], "left").drop("__ord", "__th")
     rest = [f for f in base.schema.fields if f.name != out]
     schema = T.StructType([*rest, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out, T.StringType())])

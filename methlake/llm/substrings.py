@@ -242,14 +242,17 @@ def _scatter(window: int, minimiser: int, buckets: int, hot):
             lost = np.zeros(len(low), bool)
             lost[later[(kmers.ord[later] != kmers.ord[top[later]]) | (kmers.start[later] != kmers.start[top[later]])]] = True
             spans = spans_of(kmers, np.repeat(lost, kmers.windows), window)
-            left = np.flatnonzero(~lost)
+            # rows that repeat each other share their spans, so one of them goes for all; of equal texts of one key likewise
+            twin = np.zeros(len(low), bool)
+            twin[later[(kmers.ord[later] == kmers.ord[top[later]]) & (kmers.start[later] == kmers.start[top[later]]) & (kmers.th[later] == kmers.th[top[later]])]] = True
+            left = np.flatnonzero(~lost & ~twin)
             kmers, low = kmers.take(left), low[left]
             bin_ = (low % np.uint64(BINS)).astype(np.int64)
             part = bin_ % buckets
             if len(hot_bin):
                 at = np.minimum(np.searchsorted(hot_bin, bin_), len(hot_bin) - 1)
                 is_hot = hot_bin[at] == bin_
-                slice_ = (mix(kmers.ord.astype(np.uint64)) % hot_slices[at].astype(np.uint64)).astype(np.int64)
+                slice_ = (mix(mix(kmers.ord.astype(np.uint64)) + kmers.th.view(np.uint64)) % hot_slices[at].astype(np.uint64)).astype(np.int64)
                 spread = (mix((bin_ * 1_000_003 + slice_).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 part = np.where(is_hot, buckets + spread, part)
             yield _rows(spans, list(_dealt(kmers, part.astype(np.int32))))
@@ -323,7 +326,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         spans = _rounds(spans, _reduce(window, buckets, True), buckets)
     spans = stored(spans.select("ord", "th", "start", "end"), "spans")
     flagged = spark.sparkContext.broadcast(bits_of(spans.mapInArrow(_doc_flags, "flag int"), "flag"))  # FLAGS bits
-    of_doc = spans.groupBy("ord", "th").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnsRenamed({"ord": "__ord", "th": "__th"})
+    # a text's different spans, however many rows repeat it; stored, so that Spark can split the rows that share a key and text
+    of_doc = spans.groupBy("ord", "th").agg(F.collect_set(F.struct("start", "end")).alias("__spans")).withColumnsRenamed({"ord": "__ord", "th": "__th"})
+    of_doc = stored(of_doc, "spans")
     keyed = base.withColumns({"__ord": F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), "__th": F.coalesce(F.xxhash64(text), F.lit(0))})
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     joined = keyed.mapInArrow(_touched(flagged, True), keyed.schema).join(of_doc, ["__ord", "__th"], "left").drop("__ord", "__th")

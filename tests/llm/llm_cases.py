@@ -71,7 +71,7 @@ def substrings(rows, window=20):
     return out
 
 
-def line_dedup(rows, least=5):
+def line_dedup(rows, least=1):
     lines = [(order(k), i, frozenset(WORD.findall(x))) for k, t, *_ in rows if t is not None for i, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if len(x[2]) >= least]
     out = Counter()

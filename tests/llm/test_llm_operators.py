@@ -83,9 +83,9 @@ def test_lines_of_rows_that_share_a_key(spark, monkeypatch, most, blind):
     assert Counter(tuple(r) for r in got) == want
 
 
-def test_lines_of_few_words(docs, rows):
-    got = lines.dedup(docs, least=1).select("doc_id", "n_lines", "n_removed", "kept").collect()
-    assert Counter(tuple(r) for r in got) == line_dedup(rows, least=1)
+def test_lines_of_five_words_at_least(docs, rows):
+    got = lines.dedup(docs, least=5).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    assert Counter(tuple(r) for r in got) == line_dedup(rows, least=5)
 
 
 ITEMS = lambda rows: [(i, t[:90]) for i, t in [(n, x[1]) for n, x in enumerate(rows) if x[1]][:12]] + [(90, None), (91, ""), (92, "The"), (None, rows[5][1]), (93, "no such words at all here"), (92, "... 日本 ...")]

@@ -25,11 +25,6 @@ def test_op5(spark, docs):
     assert got == sorted((k, n, m, sha((t or "").encode())) for (k, n, m, t), c in line_dedup(docs).items() for _ in range(c))
 
 
-def test_op5_takes_short_lines(spark, docs):
-    got = sorted(tuple(r) for r in QUERIES["op5_line_dedup"](spark, SF).collect())
-    assert got == sorted((k, n, m, sha((t or "").encode())) for (k, n, m, t), c in line_dedup(docs, least=1).items() for _ in range(c))
-
-
 def test_line_dedup_stage_takes_short_lines(spark):
     rows = [(1, "one two\nalone", "en", 0), (2, "other words\none two", "en", 0), (3, "one two", "en", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint")
