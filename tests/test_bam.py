@@ -144,6 +144,10 @@ def test_region_query_through_an_index(spark, world, tmp_path):
         span = lambda r: sum(n for n, o in r["cigar"] if o in "MDN=X")
         want = [r for r in world["reads"] if r["rid"] == 1 and r["pos"] <= 1200 and r["pos"] + span(r) > 500]
         assert sorted(r["pos"] for r in got) == sorted(r["pos"] for r in want)
+    # the job reads the probes' windows alone and counts the same
+    counts, warnings, spans = E.bam_counts(spark, [str(copy)], load_model(spark, str(world["folder"] / "model")))
+    assert rows(counts) == brute_counts(world) and warnings.count() == 0
+    assert [r["stop"] for r in spans.collect()] == [bam.SPAN_EOF]
     facts, _ = E.preflight(spark, [str(copy)])
     row = facts.first()
     assert row["index_state"] == "read" and row["mapped_on_probes"] == len(world["reads"])
