@@ -20,19 +20,17 @@ DEFAULT_THRESHOLD = 0.5  # of a depth without a calibrated one
 def paths(nodes: DataFrame, height: int | None = None) -> DataFrame:
     """(node, ancestor, depth_of_ancestor, depth): every node with itself and each ancestor below the root.
 
-    With the height known the walk is unrolled into that many joins of one plan. Otherwise levels are stored one after
-    another until one is empty, so neither height nor size is limited; nodes that no path from the root reaches are left out.
+    With the height known the walk is unrolled into that many joins of one plan. Otherwise pointers are doubled: a round joins
+    the pairs found so far with the jumps of twice the last length, so 1,000 levels take 10 rounds. Nodes that no path from
+    the root reaches, those of a cycle too, are left out.
     """
+    if height is None:
+        return _doubled(nodes.select("node", "parent"))
     level = nodes.filter(F.col("parent") == ROOT).select("node", F.array("node").alias("trail"))
-    levels = [level if height is not None else _stored(level)]
-    while height is None or len(levels) < height:
+    levels = [level]
+    while len(levels) < height:
         above = levels[-1].select(F.col("node").alias("parent"), "trail")
-        below = nodes.join(above, "parent").select("node", F.concat("trail", F.array("node")).alias("trail"))
-        if height is None:
-            below = _stored(below)
-            if below.isEmpty():
-                break
-        levels.append(below)
+        levels.append(nodes.join(above, "parent").select("node", F.concat("trail", F.array("node")).alias("trail")))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
@@ -41,6 +39,22 @@ def paths(nodes: DataFrame, height: int | None = None) -> DataFrame:
     )
 
 
+def _doubled(nodes: DataFrame) -> DataFrame:
+    """`paths` by pointer doubling; pairs and jumps are stored after every round."""
+    n = nodes.count()
+    jumps = _stored(nodes.select("node", F.col("parent").alias("ancestor")))
+    pairs = _stored(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("up")).distinct())
+    length = 1
+    while length <= n and not jumps.isEmpty():  # in a tree jumps end at the root, in a cycle they never do
+        onward = jumps.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("to"))
+        pairs = _stored(pairs.unionByName(pairs.join(onward, "ancestor").select("node", F.col("to").alias("ancestor"), (F.col("up") + length).alias("up"))))
+        jumps = _stored(jumps.join(onward, "ancestor").select("node", F.col("to").alias("ancestor")))
+        length *= 2
+    depths = pairs.filter(F.col("ancestor") == ROOT).select("node", F.col("up").alias("depth"))
+    found = pairs.filter(F.col("ancestor") != ROOT).join(depths, "node")
+    return found.select("node", "ancestor", (F.col("depth") - F.col("up")).alias("depth_of_ancestor"), "depth")
+
+
 def _stored(level: DataFrame) -> DataFrame:
     path = f"{shared_dir(level.sparkSession)}/level-{uuid.uuid4().hex}"
     level.write.parquet(path)
@@ -174,7 +188,8 @@ def descend_arrays(
 ) -> DataFrame:
     """`descend` for a probability array per row, adding `steps` array<struct<depth,node,p,tau,met>>.
 
-    The tree travels inside the expression, so a cohort is descended in a plain projection with no shuffle.
+    The tree travels as plain expressions, so a cohort is descended in projections with no shuffle: the mass of every node is
+    a sum of array elements, the heaviest child of every inner node is picked once a row, and a step looks its pick up.
     """
     at = {c: i for i, c in enumerate(classes)}
 
@@ -185,66 +200,35 @@ def descend_arrays(
     def height(node: str) -> int:
         return 1 + max(map(height, children[node])) if children.get(node) else 0
 
-    child_map = F.create_map(
-        *[
-            x
-            for node, kids in children.items()
-            if kids
-            for x in (
-                F.lit(node),
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(k).alias("node"),
-                            F.array(*[F.lit(i) for i in members(k)]).cast("array<int>").alias("leaf"),
-                        )
-                        for k in sorted(kids)
-                    ]
-                ),
-            )
-        ]
-    )
-    p = F.col(probs)
+    def mass(p: Column, node: str) -> Column:
+        total = F.lit(0.0)
+        for i in members(node):
+            total = total + F.get(p, F.lit(i)).cast("double")
+        return total
 
-    def mass(child: Column) -> Column:
-        return F.aggregate(child["leaf"], F.lit(0.0), lambda a, i: a + F.get(p, i).cast("double"))
+    inner = [node for node, kids in children.items() if kids]
+    if ROOT not in inner:
+        return predictions.withColumn("steps", F.expr(_NO_STEPS))
+    place = F.create_map(*[x for i, node in enumerate(inner) for x in (F.lit(node), F.lit(i))])
 
-    def best_child(kids: Column) -> Column:
-        """(-mass, node) of the heaviest child: the least such pair, so ties go to the first name."""
-        return F.array_min(F.transform(kids, lambda k: F.struct((-mass(k)).alias("neg"), k["node"].alias("node"))))
+    def heaviest(p: Column) -> Column:
+        """For every inner node the least (-mass, node): its heaviest child, the first by name among equals."""
+        kids = [[F.struct((-mass(p, k)).alias("neg"), F.lit(k).alias("node")) for k in sorted(children[node])] for node in inner]
+        return F.array(*[F.array_min(F.array(*k)) for k in kids])
 
-    tau_of = F.create_map(*[x for d, t in thresholds.items() for x in (F.lit(int(d)), F.lit(float(t)))]) if thresholds else None
+    single = lambda x: x.cast("float").cast("double")
 
-    def tau(depth: Column) -> Column:
-        level = F.lit(DEFAULT_THRESHOLD)
-        return F.coalesce(F.element_at(tau_of, depth), level) if tau_of is not None else level
+    def walk(picks: Column, depth: int, at_node: Column, met: Column, trail: list[Column]) -> Column:
+        if depth > height(ROOT):
+            return F.filter(F.array(*trail), lambda s: s.isNotNull())
+        tau = F.lit(float(thresholds.get(depth, DEFAULT_THRESHOLD)))
 
-    def single(x: Column) -> Column:
-        return x.cast("float").cast("double")
+        def on(pick: Column) -> Column:
+            so_far = met & (single(-pick["neg"]) >= single(tau))
+            step = F.struct(F.lit(depth).alias("depth"), pick["node"].alias("node"), (-pick["neg"]).alias("p"), tau.alias("tau"), so_far.alias("met"))
+            return walk(picks, depth + 1, F.element_at(place, pick["node"]), so_far, [*trail, F.when(pick.isNotNull(), step)])
 
-    def step(trail: Column, depth: Column) -> Column:
-        def entry(pick: Column) -> Column:
-            so_far = F.coalesce(F.get(trail, F.size(trail) - 1)["met"], F.lit(True))
-            return F.struct(
-                depth.alias("depth"),
-                pick["node"].alias("node"),
-                (-pick["neg"]).alias("p"),
-                tau(depth).alias("tau"),
-                (so_far & (single(-pick["neg"]) >= single(tau(depth)))).alias("met"),
-            )
-
-        return let(
-            F.element_at(child_map, _last_node(trail)),
-            lambda kids: F.when(
-                kids.isNotNull(), F.concat(trail, F.array(let(best_child(kids), entry)))
-            ).otherwise(trail),
-        )
+        return let(F.get(picks, at_node), on)
 
-    return predictions.withColumn(
-        "steps",
-        F.aggregate(
-            F.sequence(F.lit(1), F.lit(max(1, height(ROOT)))),
-            F.expr(_NO_STEPS),
-            step,
-        ),
-    )
+    steps = let(F.col(probs), lambda p: let(heaviest(p), lambda picks: walk(picks, 1, F.lit(inner.index(ROOT)), F.lit(True), [])))
+    return predictions.withColumn("steps", steps)
