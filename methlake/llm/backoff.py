@@ -7,7 +7,9 @@ The exploded n-grams would be several times the corpus, so rows are packed: text
 `chunk_bytes`; a chunk explodes its n-grams, counts them, and sends each hash range of them as one sorted, packed row to
 that range's part of the count table. A part adds up all chunks' counts and answers every packed row with the totals, in its
 order; answers join their chunk, where they are looked up and summed per document. Frequent n-grams are one entry a chunk,
-so no key is hot. n-grams are told apart by 64-bit hashes.
+so no key is hot; rows that repeat
+each other travel once a piece of the scan, with their number. n-grams are told apart by 64-bit hashes: of 10^10 different
+ones about 3 pairs share one, each a wrong count of two n-grams.
 """
 
 from __future__ import annotations
@@ -32,14 +34,23 @@ PART_NGRAMS = 4_000_000
 PIECE = 4 << 20
 
 def _pack(key: str, chunks: int):
-    """Texts of a piece by chunk: one compressed row for each chunk."""
+    """Texts of a piece by chunk: one compressed row for each chunk. Rows that repeat each other are one, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", PIECE):
+            keys, hashes, text = piece.column("key").to_pylist(), piece.column("th").to_pylist(), piece.column("text")
+            first, times, kept = {}, np.ones(piece.num_rows, np.int64), []
+            for i, row in enumerate(zip(keys, hashes)):
+                j = first.setdefault(row, i)
+                if i != j and text[i].as_buffer().equals(text[j].as_buffer()):
+                    times[j] += 1
+                else:
+                    kept.append(i)
+            piece = piece.append_column("times", pa.array(times)).take(pa.array(kept, pa.int64()))
             chunk = piece.column("chunk").to_numpy()
             rows = []
             for c in np.unique(chunk):
-                some = piece.select(["key", "text"]).take(pa.array(np.flatnonzero(chunk == c)))
+                some = piece.select(["key", "text", "times"]).take(pa.array(np.flatnonzero(chunk == c)))
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as out:
                     out.write_batch(some)
@@ -75,9 +86,17 @@ def _places(words: Words) -> np.ndarray:
     return np.arange(len(words)) - np.repeat(words.first[:-1], np.diff(words.first))
 
 
-def _distinct(words: Words, hashes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _distinct(words: Words, hashes: list[np.ndarray], times: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams, ascending, and how often each occurs, a text's counting as often as the text."""
     place = _places(words)
-    return [counted(h[place >= n]) for n, h in enumerate(hashes)]
+    if (times == 1).all():
+        return [counted(h[place >= n]) for n, h in enumerate(hashes)]
+    weight, out = np.repeat(times, np.diff(words.first)), []
+    for n, h in enumerate(hashes):
+        some = place >= n
+        order, first = grouped(h[some])
+        out.append((h[some][order][first], np.add.reduceat(weight[some][order], first) if len(first) else first))
+    return out
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -98,11 +117,12 @@ def _count(order: int, parts: int):
     def run(group: pa.Table) -> pa.Table:
         chunk = group["chunk"][0].as_py()
         rows: list[tuple] = []
-        for n, (h, count) in enumerate(_distinct(*ngrams(_texts(group), order))):
+        texts = _texts(group)
+        for n, (h, count) in enumerate(_distinct(*ngrams(texts, order), texts["times"].to_numpy())):
             part = _part_of(h, parts)
             for p, at, to in zip(*_runs(part)):
                 mine = h[at:to]
-                rows.append((p, chunk, n, squeeze(np.diff(mine, prepend=np.uint64(0))), squeeze(count[at:to].astype(np.uint32))))
+                rows.append((p, chunk, n, squeeze(np.diff(mine, prepend=np.uint64(0))), squeeze(count[at:to].astype(np.uint64))))
         return pa.table([list(x) for x in zip(*rows)] if rows else [[]] * 5, schema=schema)
 
     return run
@@ -118,7 +138,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for part, chunk, n, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "n", "hashes", "counts"))):
-            held.setdefault((part, n), []).append((chunk, np.cumsum(expand(hashes, np.uint64), dtype=np.uint64), expand(counts, np.uint32)))
+            held.setdefault((part, n), []).append((chunk, np.cumsum(expand(hashes, np.uint64), dtype=np.uint64), expand(counts, np.uint64)))
     for (part, n), rows in held.items():
         h = np.concatenate([x[1] for x in rows])
         order, first = grouped(h)
@@ -158,27 +178,30 @@ def _score(order: int, min_count: int, backoff: float):
             log[here & ~use] += np.log(backoff)
         at = np.flatnonzero(left)
         log[at] += np.log(totals[0][at])
-        return pa.table([texts["key"], np.diff(words.first), sums_by(log, words.first), sums_by(left.astype(np.int64), words.first)], schema=schema)
+        each = np.repeat(np.arange(len(texts)), texts["times"].to_numpy())
+        found = pa.table([texts["key"], np.diff(words.first), sums_by(log, words.first), sums_by(left.astype(np.int64), words.first)], schema=schema)
+        return found.take(pa.array(each))
 
     return run
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES, part_ngrams: int = PART_NGRAMS) -> DataFrame:
-    """key, n_words, log_score of every row of docs; words are runs of non-space bytes, A-Z lower-cased.
+    """key, n_words, log_score and per_word (log_score by n_words) of every row of docs; words are runs of non-space bytes, A-Z lower-cased.
 
-    A text without words (or null) scores 0. Keys are integers and may be null or repeat: each row is a text of the corpus.
+    A text without words (or null) scores 0 in both. Keys are integers and may be null or repeat: each row is a text of the corpus.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-order * size // 6 // part_ngrams))
-    packed = rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.length("text")), F.lit(chunks)).cast("int")).mapInArrow(_pack("key", chunks), "chunk int, texts binary").repartition(chunks, "chunk")
+    packed = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "th"), F.lit(chunks)).cast("int")).mapInArrow(_pack("key", chunks), "chunk int, texts binary").repartition(chunks, "chunk")
     sent = packed.groupBy("chunk").applyInArrow(_count(order, parts), "part int, chunk int, n int, hashes binary, counts binary")
     totals = sent.repartitionById(parts, F.col("part")).mapInArrow(_total, "chunk int, n int, part int, totals binary")
     scored = packed.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, min_count, backoff), "key bigint, n_words bigint, log_score double, n_single bigint")
     scored = stored(scored, "scores")
     words = scored.agg(F.sum("n_words").alias("all_words"))  # one row
     log_n = F.when(F.col("n_single") > 0, F.col("n_single") * F.log(F.col("all_words").cast("double"))).otherwise(F.lit(0.0))
-    return scored.join(F.broadcast(words)).select(F.col("key").alias(key), "n_words", (F.col("log_score") - log_n).alias("log_score"))
+    done = scored.join(F.broadcast(words)).select(F.col("key").alias(key), "n_words", (F.col("log_score") - log_n).alias("log_score"))
+    return done.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0))

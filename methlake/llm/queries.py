@@ -126,14 +126,15 @@ s AS (SELECT t.doc_id, CASE WHEN cc.n >= 2 THEN ln(cc.n / qb.n)
   ELSE (CASE WHEN c IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN cb.n >= 2 THEN ln(cb.n / qa.n) ELSE (CASE WHEN b IS NULL THEN 0 ELSE ln(0.4) END) + ln(ca.n / z.n) END) END AS s
   FROM t JOIN ca ON t.a = ca.g LEFT JOIN cb ON t.b = cb.g LEFT JOIN cc ON t.c = cc.g LEFT JOIN ca qa ON t.pa = qa.g LEFT JOIN cb qb ON t.pb = qb.g CROSS JOIN z),
 e AS (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score FROM d LEFT JOIN e ON d.doc_id = e.doc_id
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 4) AS log_score,
+  CASE WHEN len(w) > 0 THEN round(s / len(w), 4) ELSE 0 END AS per_word FROM d LEFT JOIN e ON d.doc_id = e.doc_id
 """
 
 
 @query("op9_lm_scores", BACKOFF_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = backoff.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return done.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("per_word", 4).alias("per_word"))
 
 
 @query("op10_neighbours")

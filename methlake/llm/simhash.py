@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     least = printed.groupBy("simhash").agg(F.min("key").alias("least"))
     root = components(links(least.select("simhash"), budget, most))
     rooted = least.join(root.select(F.col("node").alias("simhash"), "root"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = stored(rooted, "rooted")  # tables, so that the join reads plain shuffles, of which Spark can split a large component
+    component = stored(rooted.groupBy("root").agg(F.min("least").alias("component")), "component")
     named = rooted.join(component, "root").select("simhash", "component")
     return printed.join(named, "simhash", "left").select(F.col("key").alias(key), "simhash", "component")
 
@@ -552,7 +553,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         open_ = tree.join(tree.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "root").select(F.col("node").alias("id"))
         again = _rooted(nodes, links).withColumnRenamed("root", "label").join(open_, "id", "left_semi")
         links = links.unionAll(verified(stored(again, "again"), -1).where("similar"))
-    rooted = _rooted(nodes, links)
-    component = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = stored(_rooted(nodes.drop("print", "th"), links), "rooted")  # as in near_duplicates
+    component = stored(rooted.groupBy("root").agg(F.min("least").alias("component")), "component")
     named = rooted.join(component, "root").select("id", "component")
     return printed.join(named, "id", "left").select(F.col("key").alias(key), "print", "component")
