@@ -29,9 +29,9 @@ from methlake.llm.words import NOT_SPACE, Words, _powers, covered, gather, mix,
 
 LEAST = 24
 EXPONENT = 3
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Words that go through the grouping side by side, and the least number of texts for which numpy's steps pay.
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 18
 SIDE_BY_SIDE = 48
 #: Longest text of a batch by its shortest.
 ALIKE = 1.6
@@ -42,25 +42,25 @@ RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length"
 def lyndon(rank: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Length of the longest Lyndon word at each place of each text; text d is rank[first[d]:first[d + 1]]."""
     n, texts = len(rank), len(first) - 1
-    length = np.ones(n, np.int32)
+    length = np.ones(n, np.int64)
     if not n:
         return length
     text_of = np.repeat(np.arange(texts), np.diff(first))
-    at = np.argsort(text_of * (int(rank.max()) + 1) + rank, kind="stable").astype(np.int32)  # places by text and group
-    slot = np.empty(n, np.int32)
-    slot[at] = np.arange(n, dtype=np.int32)
+    at = np.argsort(text_of * (int(rank.max()) + 1) + rank, kind="stable").astype(np.int64)  # places by text and group
+    slot = np.empty(n, np.int64)
+    slot[at] = np.arange(n, dtype=np.int64)
     new = np.concatenate([[True], (rank[at[1:]] != rank[at[:-1]]) | (text_of[at[1:]] != text_of[at[:-1]])])
     begin = np.flatnonzero(new)
-    size = np.zeros(n, np.int32)
+    size = np.zeros(n, np.int64)
     size[begin] = np.diff(np.append(begin, n))
-    group = np.empty(n, np.int32)  # a group is named by its first slot
+    group = np.empty(n, np.int64)  # a group is named by its first slot
     group[at] = np.repeat(begin, size[begin])
     # neighbours among what has not been taken off; the last entry takes what is written beyond an end
-    left, right = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32)
+    left, right = np.arange(-1, n, dtype=np.int64), np.arange(1, n + 2, dtype=np.int64)
     edge = first[:-1][np.diff(first) > 0]
     left[edge] = -1
     right[np.append(edge[1:], n) - 1] = n
-    taken, moved = np.zeros(n + 1, np.int32), np.zeros(n, np.int32)
+    taken, moved = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
     low = first[:-1]
     top = first[1:] - 1
     live = top >= low
@@ -252,11 +252,12 @@ def runs_of(ids: np.ndarray, first: np.ndarray, least: int = LEAST, exponent: in
         flat = ranges(first[some], sizes[some])
         part = ids[flat]
         bounds = np.concatenate([[0], np.cumsum(sizes[some])])
-        for k, rank in enumerate((part, part.max() - part)):
-            if len(some) >= SIDE_BY_SIDE:
-                roots[k][flat] = lyndon(rank, bounds)
-            else:
-                roots[k][flat] = np.concatenate([lyndon_of_one(rank[a:b]) for a, b in zip(bounds, bounds[1:])])
+        both = np.concatenate([part, part.max() - part])  # the order and its inverse, as texts of their own
+        if len(some) >= SIDE_BY_SIDE:
+            found = lyndon(both, np.concatenate([bounds, bounds[1:] + bounds[-1]]))
+        else:
+            found = np.concatenate([lyndon_of_one(r[a:b]) for r in np.split(both, 2) for a, b in zip(bounds, bounds[1:])])
+        roots[0][flat], roots[1][flat] = np.split(found, 2)
         cut = to
     end = np.repeat(first[1:], sizes)
     found = Extensions(ids)

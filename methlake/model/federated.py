@@ -58,7 +58,7 @@ def gradient_sums(projected: DataFrame, masks: DataFrame, model: Model, head: st
         if total:
             yield G.rows_of(total)
 
-    return G.sum_blocks(projected.join(masks, key).select("z", "mask").mapInPandas(run, G.SUMS_SCHEMA))
+    return G.sum_blocks(projected.join(masks, key).select("z", "mask").mapInPandas(run, G.PARTS_SCHEMA))
 
 
 def contribute(features: DataFrame, labels: DataFrame, model: Model, out: str, head: str | None = None) -> dict:

@@ -227,6 +227,10 @@ def adamw(params: DataFrame, grads: DataFrame, step: int, lr: float, betas: tupl
     b1, b2 = betas
     g = grads.select("name", "block", F.transform("values", lambda x: x * scale).alias("g"))
     kept = lambda c: c.cast(kind)
+    # no gradient for a block is a gradient of zeros: moments fade and weights decay all the same
+    g = params.select("name", "block", F.size("values").alias("n")).join(g, ["name", "block"], "left").select(
+        "name", "block", F.coalesce("g", F.array_repeat(F.lit(0.0), F.col("n"))).alias("g")
+    )
     moved = params.join(g, ["name", "block"]).select(
         "name", "shape", "block", "values",
         F.zip_with("m", "g", lambda m, x: kept(m * b1 + x * (1.0 - b1))).alias("m"),
@@ -267,17 +271,15 @@ def batch_gradients(examples: DataFrame, params_path: str, spec: Spec, tables: T
         logits, trace = network.forward(w, z, head, depth, drop)
         return idx, drop, logits, trace
 
-    def back(w, total, viewed, dlogits):
+    def back(w, total, first, viewed, dlogits):
         idx, drop, _, trace = viewed
         grads, dz = network.backward(w, trace, dlogits, head, depth, drop)
         G.add_into(total, grads)
-        first = total.setdefault(network.FIRST, np.zeros((dz.shape[1], n_probes)))
-        for d, (p, m) in zip(dz, idx):
-            first[:, p] += d[:, None]
-            first[:, m] -= d[:, None]
+        first.add(dz, [p for p, _ in idx], [m for _, m in idx])
 
     def run(batches):
         w, total = W.load(params_path), {}
+        first = G.Columns(network.FIRST, w[network.FIRST].shape[0], n_probes)  # only the probes that the task's examples have
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -288,14 +290,15 @@ def batch_gradients(examples: DataFrame, params_path: str, spec: Spec, tables: T
                 deep[2], log_t, weight, levels, temperature, lam, other[2] if cons else None,
                 (weight > 0).astype(float), cons.weight if cons else 0.0,
             )
-            back(w, total, deep, dz)
+            back(w, total, first, deep, dz)
             if cons:
-                back(w, total, other, dz2)
+                back(w, total, first, other, dz2)
             G.add_into(total, {G.STATS: np.array([len(pdf), loss.sum(), extra.sum()])})
         if total:
             yield G.rows_of(total)
+            yield first.rows()
 
-    return G.sum_blocks(examples.mapInPandas(run, G.SUMS_SCHEMA))
+    return G.sum_blocks(examples.mapInPandas(run, G.PARTS_SCHEMA))
 
 
 # ---- runs -----------------------------------------------------------------------------------------

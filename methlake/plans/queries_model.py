@@ -147,7 +147,7 @@ def matrix_product(spark, sf):
         if total:
             yield G.rows_of(total)
 
-    flat = G.sum_blocks(x.mapInPandas(run, G.SUMS_SCHEMA)).select(F.posexplode("values").alias("at", "v"))
+    flat = G.sum_blocks(x.mapInPandas(run, G.PARTS_SCHEMA)).select(F.posexplode("values").alias("at", "v"))
     return flat.select(
         F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), F.round("v").cast("bigint").alias("v")
     )

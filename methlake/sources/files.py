@@ -62,6 +62,12 @@ def open_output(path: str):
     return system.open_output_stream(inner)
 
 
+def seekable(path: str) -> str | None:
+    """The path for the operating system where the file lies on a (mounted) file system; None in an object store."""
+    system, inner = resolve(path)
+    return inner if isinstance(system, pafs.LocalFileSystem) else None
+
+
 def write_text(path: str, text: str) -> None:
     with open_output(path) as f:
         f.write(text.encode())

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from methlake.sources.files import expand, file_size, move, open_output, read_range
+from methlake.sources.files import expand, file_size, move, open_output, read_range, seekable
 
 BLOCK = 65_536                # values per row
 TASK_BLOCKS = 64              # blocks read by one task
@@ -125,15 +125,56 @@ def header_bytes(shapes: list[tuple[str, list[int]]]) -> bytes:
 def write_tensors(blocks: DataFrame, path: str, shapes: dict[str, tuple[int, ...]] | None = None) -> None:
     """One file, tensors by name, so equal tensors give equal bytes. Shapes that are known save a pass.
 
-    The format is a single stream, so one task sorts the blocks (spilling as needed) and appends them batch by
-    batch. The file appears under its name only once it is whole.
+    The header fixes where every block lies. On a file system that all tasks mount they write their blocks there side by
+    side; a task that runs again writes the same bytes. An object store takes a single stream, so there one task sorts the
+    blocks (spilling as needed) and appends them. Either way the file appears under its name only once it is whole.
     """
     if shapes is None:
         shapes = {r["name"]: r["shape"] for r in blocks.filter("block = 0").select("name", "shape").collect()}
     listed = sorted(((n, list(s)) for n, s in shapes.items()), key=lambda s: s[0].encode())
     head, part = header_bytes(listed), path + ".part"
     expected = sum(int(np.prod(s, dtype=np.int64)) for _, s in listed)
+    with open_output(part) as out:
+        out.write(head)
+    place = seekable(part)
+    written = _append(blocks, part, head) if place is None else _side_by_side(blocks, place, listed, head, expected)
+    if written != expected:
+        raise RuntimeError(f"{path}: wrote {written} of {expected} values")
+    move(part, path)
+
+
+def _side_by_side(blocks: DataFrame, place: str, listed: list[tuple[str, list[int]]], head: bytes, expected: int) -> int:
+    """Blocks to their places in a file of known size; the number of values written, each block counting once."""
+    size, at, offsets = {}, len(head), {}
+    for name, shape in listed:
+        offsets[name], size[name] = at, int(np.prod(shape, dtype=np.int64))
+        at += 4 * size[name]
+    with open(place, "r+b") as out:
+        out.truncate(at)
+
+    def put(batches):
+        with open(place, "r+b") as out:
+            for pdf in batches:
+                done = []
+                for name, block, values in zip(pdf["name"], pdf["block"], pdf["values"]):
+                    data = np.asarray(values, "<f4")
+                    if len(data) != min(BLOCK, size[name] - block * BLOCK):
+                        raise ValueError(f"{name}: block {block} has {len(data)} values")
+                    out.seek(offsets[name] + 4 * BLOCK * int(block))
+                    out.write(data.tobytes())
+                    done.append((name, block, len(data)))
+                out.flush()
+                yield pd.DataFrame(done, columns=["name", "block", "n"])
+
+    tasks = max(1, min(blocks.sparkSession.sparkContext.defaultParallelism, -(-expected // (BLOCK * TASK_BLOCKS)))) if expected else 1
+    dealt = blocks.select("name", "block", "values").repartition(tasks, "name", "block")
+    done = dealt.mapInPandas(put, "name string, block int, n bigint").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.count_distinct("name", "block").alias("blocks")).first()
+    if done["rows"] != done["blocks"]:
+        raise ValueError("a block occurs twice")
+    return done["n"] or 0
+
 
+def _append(blocks: DataFrame, part: str, head: bytes) -> int:
     def stream(batches):
         written = 0
         with open_output(part) as out:
@@ -146,7 +187,4 @@ def write_tensors(blocks: DataFrame, path: str, shapes: dict[str, tuple[int, ...
         yield pd.DataFrame({"written": [written]})
 
     ordered = blocks.repartition(1).sortWithinPartitions(F.encode("name", "UTF-8"), "block").select("values")
-    written = ordered.mapInPandas(stream, "written bigint").first()["written"]
-    if written != expected:
-        raise RuntimeError(f"{path}: wrote {written} of {expected} values")
-    move(part, path)
+    return ordered.mapInPandas(stream, "written bigint").first()["written"]
