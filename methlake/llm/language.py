@@ -52,16 +52,27 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
-
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """Calibrated probabilities, text x language."""
+    seen: np.ndarray  # buckets that any training text has
+    strange: float = 0.0  # share of other buckets in held-back texts
+    limit: float = np.inf  # excess of them (`excess`) above which a text is in no learned language
+    false_rejects: float = 0.0  # shares of held-back texts, and of their scrambled and respelt versions, above the limit
+    true_rejects: float = 0.0
+
+    def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, text x language, and each text's excess of strange subwords."""
         found, real, first = subwords(column)
-        total, count = np.zeros((len(first) - 1, len(self.languages))), np.zeros(len(first) - 1)
+        total, count, strange = np.zeros((len(first) - 1, len(self.languages))), np.zeros(len(first) - 1), np.zeros(len(first) - 1)
         if len(total):
             for f, r in zip(found, real):
                 total += np.add.reduceat(self.table[f] * r[:, None], first[:-1], axis=0)
                 count += np.add.reduceat(r.astype(np.float64), first[:-1])
-        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+                strange += np.add.reduceat((r & ~self.seen[f]).astype(np.float64), first[:-1])
+        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature), excess(strange, count, self.strange)
+
+
+def excess(strange: np.ndarray, count: np.ndarray, share: float) -> np.ndarray:
+    """How many standard deviations more strange subwords a text has than held-back texts would; few words prove little."""
+    return (strange - count * share) / np.sqrt(count * share * (1 - share) + 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -71,22 +82,25 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 256, size: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 2.0, seed: int = 7) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, size: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 2.0, seed: int = 7) -> LanguageModel:
     """Learn from rows with text and language; at most about per_language x languages of them, drawn by the text's hash.
 
     steps: least number of gradient steps, so that few rows are gone over more often than `epochs` times.
-    The threshold rejects the held-back, wrongly named texts whose scores are below those of all rightly named ones, and no
-    more. Languages beyond the `most_languages` most frequent are not learned. Without any labelled row the model knows no language.
+    Rejection is calibrated on held-back texts against the same texts in no language: with their letters scrambled, and
+    respelt in a permuted alphabet. A text is rejected for subwords that no training text has, where their excess is more than
+    half as much again as that of any rightly named held-back text; and for a score below `threshold`, under which lie
+    wrongly named held-back texts only. Equal texts are drawn once. Without any labelled row the model knows no language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
-        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0, np.zeros(BUCKETS, bool))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
     draw = (F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(1 << 40)).alias("draw")
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).limit(2 * per_language * len(counts))
-    features = drawn.mapInArrow(_features, T.StructType([T.StructField("draw", T.DoubleType()), T.StructField("lang", T.StringType()), T.StructField("places", T.BinaryType()), T.StructField("weights", T.BinaryType())])).toArrow()
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).dropDuplicates(["draw", "lang"])
+    drawn = drawn.orderBy("draw", "lang").limit(2 * per_language * len(counts))
+    features = drawn.mapInArrow(_features, T.StructType([T.StructField("draw", T.DoubleType()), T.StructField("lang", T.StringType()), T.StructField("places", T.BinaryType()), T.StructField("weights", T.BinaryType()), *[T.StructField(f"{k}_{c}", T.BinaryType()) for k in ("own", "scrambled", "respelt") for c in ("at", "n")]])).toArrow()
     languages = sorted(counts)
     number = {k: i for i, k in enumerate(languages)}
     order = np.lexsort([np.array(features["lang"].to_pylist()), features["draw"].to_numpy()])
@@ -99,11 +113,28 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     rest = [t for t, h in zip(texts, held) if h] or texts
     truth = wanted[held] if held.any() else wanted
     logits = np.array([w @ table[p] for p, w in rest]) + bias
-    grid = np.geomspace(0.05, 5.0, 60)
-    nll = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
+    grid = np.geomspace(0.002, 5.0, 90)
+    # a doubt of one text in all keeps the temperature finite where the languages are told apart without an error
+    doubt = np.full(logits.shape, 1 / (len(truth) + 2) / max(1, len(languages) - 1))
+    doubt[np.arange(len(truth)), truth] = 1 - 1 / (len(truth) + 2)
+    nll = [-(doubt * np.log(np.maximum(softmax(logits / t), 1e-300))).sum(1).mean() for t in grid]
     temperature = float(grid[int(np.argmin(nll))])
     p = softmax(logits / temperature)
-    return LanguageModel(languages, table, bias, temperature, rejection(p.max(1), p.argmax(1) == truth))
+    right = p.argmax(1) == truth
+    model = LanguageModel(languages, table, bias, temperature, rejection(p.max(1), right), np.zeros(BUCKETS, bool))
+    for t, h in zip(texts, held):
+        if not h or not held.any():
+            model.seen[t[0]] = True
+    strange, count = {}, {}
+    for kind in ("own", "scrambled", "respelt"):
+        at, n = ([np.frombuffer(features[f"{kind}_{c}"][int(i)].as_py(), np.int32) for i in order[held if held.any() else ~held]] for c in ("at", "n"))
+        strange[kind], count[kind] = (np.array([x[~model.seen[a]].sum() for a, x in zip(at, n)], float), np.array([x.sum() for x in n], float))
+    model.strange = float(strange["own"].sum() / max(1.0, count["own"].sum()))
+    over = {k: excess(strange[k], count[k], model.strange) for k in strange}
+    model.limit = max(6.0, 1.5 * float(over["own"][right].max(initial=0.0)))
+    model.false_rejects = float(np.mean(over["own"] > model.limit))
+    model.true_rejects = float(np.mean(np.concatenate([over["scrambled"], over["respelt"]]) > model.limit))
+    return model
 
 
 def rejection(score: np.ndarray, right: np.ndarray) -> float:
@@ -112,17 +143,39 @@ def rejection(score: np.ndarray, right: np.ndarray) -> float:
     return min(0.5, float(np.nextafter(wrong.max(), np.inf))) if len(wrong) and right.any() else 0.0
 
 
+_RESPELT = LETTERS.copy()  # letters in an alphabet of another order; other scripts' bytes likewise
+_RESPELT[97:123] = 97 + np.random.default_rng(1).permutation(26)
+_RESPELT[65:91] = _RESPELT[97:123]
+_RESPELT[128:192] = 128 + np.random.default_rng(2).permutation(64)
+
+
+def _changed(column: pa.Array, scrambled: bool) -> pa.Array:
+    """The texts with their letters in another order (by a seed of their length), or respelt."""
+    data, offsets = utf8(column)
+    out = (LETTERS if scrambled else _RESPELT)[data]
+    for a, b in zip(offsets, offsets[1:]) if scrambled else ():
+        letters = a + np.flatnonzero(out[a:b] != 0x20)
+        out[letters] = out[np.random.default_rng(len(letters)).permutation(letters)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(out)])
+
+
+def _buckets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct buckets, and how often it has each."""
+    found, real, first = subwords(column)
+    return [np.unique(found[:, a:b][real[:, a:b]], return_counts=True) for a, b in zip(first, first[1:])]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct buckets and their shares."""
+    """Each text's distinct buckets and their shares; and their counts, also of the text scrambled and respelt."""
     for piece in pieces(batches, "text"):
-        found, real, first = subwords(piece.column("text"))
-        places, weights = [], []
-        for d in range(piece.num_rows):
-            mine = found[:, first[d] : first[d + 1]][real[:, first[d] : first[d + 1]]]
-            place, count = np.unique(mine, return_counts=True)
-            places.append(place.astype(np.int32).tobytes())
-            weights.append((count / max(1, count.sum())).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([piece.column("draw"), piece.column("lang"), pa.array(places, pa.binary()), pa.array(weights, pa.binary())], names=["draw", "lang", "places", "weights"])
+        text = piece.column("text")
+        own = _buckets(text)
+        made = [pa.array([p.astype(np.int32).tobytes() for p, _ in own], pa.binary()), pa.array([(c / max(1, c.sum())).astype(np.float32).tobytes() for _, c in own], pa.binary())]
+        names = ["draw", "lang", "places", "weights"]
+        for kind, some in (("own", own), ("scrambled", _buckets(_changed(text, True))), ("respelt", _buckets(_changed(text, False)))):
+            made += [pa.array([p.astype(np.int32).tobytes() for p, _ in some], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in some], pa.binary())]
+            names += [f"{kind}_at", f"{kind}_n"]
+        yield pa.RecordBatch.from_arrays([piece.column("draw"), piece.column("lang"), *made], names=names)
 
 
 def _descend(texts, wanted, languages, size, epochs, batch, rate, seed):
@@ -153,13 +206,14 @@ def _descend(texts, wanted, languages, size, epochs, batch, rate, seed):
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and rejected (no letter, or a score under the calibrated threshold).
+    """docs with lang_pred, score (0 to 1) and rejected (no letter, a score under the calibrated threshold, or too
+    many subwords that no training text has).
 
     A text that is null or has no letter gets `und` and score 0. Columns of docs with these names are replaced.
     """
     small_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x most_languages numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a number a bucket and language
     letter = "__letter"
     while letter in kept.columns:
         letter += "_"
@@ -169,14 +223,14 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         model = shared.value
         for piece in pieces(batches, text):
             has = piece.column(letter).to_numpy(zero_copy_only=False).astype(bool)
-            p = model.scores(piece.column(text))
+            p, over = model.scores(piece.column(text))
             if not model.languages:
                 p = np.ones((piece.num_rows, 1))
                 has[:] = False
             best = p.argmax(1) if len(p) else np.zeros(0, int)
             score = np.where(has, p.max(1) if len(p) else 0.0, 0.0)
             named = [model.languages[b] if h else UNKNOWN for b, h in zip(best, has)]
-            made = [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(~has | (score < model.threshold))]
+            made = [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(~has | (score < model.threshold) | (over > model.limit))]
             yield pa.RecordBatch.from_arrays([*(piece.column(n) for n in names), *made], names=[*names, "lang_pred", "score", "rejected"])
 
     flagged = kept.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))

@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     n = usable.count()
     draw = F.xxhash64("key", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(1 << 40)
-    drawn = usable.withColumn("draw", draw).where(F.col("draw") < min(1.0, most / max(n, 1))).limit(2 * most)
+    drawn = usable.withColumn("draw", draw).where(F.col("draw") < min(1.0, most / max(n, 1))).orderBy("draw", "key", "label").limit(2 * most)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = texts.join(F.broadcast(drawn), "key").limit(4 * most)  # the drawn labels are 2 x most rows at the most
     got = rows.mapInArrow(_features, T.StructType([T.StructField("draw", T.DoubleType()), T.StructField("label", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("weights", T.BinaryType())])).toArrow()
