@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from methlake.functions.numeric import uniform
 from methlake.operators import tree as TR
+from methlake.operators.asof import asof_join
 from methlake.plans import shapes
 from methlake.plans.registry import query, table
 from methlake.plans.shapes import NODES_SQL, uniform_sql
@@ -264,6 +265,22 @@ def cumulative_weights_asof(spark, sf):
     return AUG.pick_background(draws, _bank(spark, sf)).select("event_id", "bank_idx")
 
 
+@query(
+    "asof_neighbours",
+    """WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), p AS (SELECT event_id AS id, user_id AS u, ts AS t FROM events WHERE event_type = 'purchase'),
+     b AS (SELECT c.event_id, p.id AS before FROM c ASOF LEFT JOIN p ON c.user_id = p.u AND c.ts >= p.t),
+     f AS (SELECT c.event_id, p.id AS after FROM c ASOF LEFT JOIN p ON c.user_id = p.u AND c.ts <= p.t)
+    SELECT b.event_id, before, after FROM b JOIN f ON b.event_id = f.event_id""",
+)
+def asof_neighbours(spark, sf):
+    """For every other event its user's last purchase before it and the first after it."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    bought = events.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("before"), F.col("event_id").alias("after"))
+    rest, at = events.filter("event_type <> 'purchase'"), F.col("ts")
+    both = asof_join(asof_join(rest, bought, at, at, ["before"], ["user_id"]), bought, at, at, ["after"], ["user_id"], "forward")
+    return both.select("event_id", "before", "after")
+
+
 # ---- read depth ---------------------------------------------------------------------------------------
 
 _MU, _R, _SCALES = 6.0, 2.5, [0.5, 1.0, 2.5]

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from methlake.functions.numeric import uniform
+from methlake.operators.asof import asof_join
 from methlake.operators.ordered import row_ordinal
 from methlake.training.depth import TABLE_BINS
 from methlake.training.purity import TOP_CODE
@@ -91,16 +92,13 @@ def row_draws(pairs: DataFrame, cfg: AugmentConfig, n_probes: int) -> DataFrame:
 def pick_background(draws: DataFrame, bank: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Adds bank_idx: the first bank row whose cumulative weight reaches the draw, the last one at most.
 
-    A bank is a bounded table, so it rides along as one sorted array and is searched in place; `keys` tell several
-    banks apart, and a draw of no bank gets none.
+    Draws and bank may be of any size. `keys` tell several banks apart, and a draw of no bank gets none.
     """
-    table = bank.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cum_weight", "bank_idx"))).alias("bank"))
-    target = F.col("u_bg") * F.element_at("bank", -1)["cum_weight"]
-    reached = F.filter("bank", lambda b: b["cum_weight"] >= target)
-    joined = draws.join(F.broadcast(table), keys, "left") if keys else draws.crossJoin(table)  # one row per bank
-    return joined.withColumn(
-        "bank_idx", F.coalesce(F.get(reached, F.lit(0))["bank_idx"], F.element_at("bank", -1)["bank_idx"])
-    ).drop("bank")
+    top = bank.groupBy(*keys).agg(F.max(F.struct("cum_weight", "bank_idx")).alias("_top"))
+    aimed = draws.drop("bank_idx").join(F.broadcast(top), keys, "left") if keys else draws.drop("bank_idx").crossJoin(top)  # one row a bank
+    aimed = aimed.withColumn("_target", F.col("u_bg") * F.col("_top")["cum_weight"])
+    found = asof_join(aimed, bank, F.col("_target"), F.col("cum_weight"), ["bank_idx"], keys, "forward", tie="bank_idx")
+    return found.withColumn("bank_idx", F.coalesce("bank_idx", F.col("_top")["bank_idx"])).drop("_top", "_target")
 
 
 def purity_of(draws: DataFrame, prob: float, pi_lo: float, pi_hi: float, eligible: str = "eligible") -> Column:
