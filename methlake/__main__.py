@@ -80,6 +80,12 @@ def shard(text: str) -> str:
     return text
 
 
+def _totals(scanned: E.Scanned) -> None:
+    """What a scan counted, a line a file, beside the report."""
+    for r in scanned.totals.collect():
+        print(f"{r['sample_id']}: {r['n_called']} calls kept, {r['n_filtered']} between the thresholds, {r['n_covered']} probes covered", file=sys.stderr)
+
+
 def _show(rows) -> None:
     """Print the few documents a command line run asks for, as they come."""
     for r in rows.select("value").toLocalIterator():
@@ -134,11 +140,13 @@ def main(argv: list[str] | None = None) -> int:
         E.stop_if_unusable(pre)
     if command == "counts":
         part = None if args.shard == "0/1" else args.shard
-        counts, warnings, spans = E.bam_counts(spark, [args.input], model, args.threshold_low, args.threshold_high, part)
+        counts, warnings, spans = scanned = E.bam_counts(spark, [args.input], model, args.threshold_low, args.threshold_high, part)
+        _totals(scanned)
         E.write_counts(counts.drop("sample_id"), args.out, warnings, spans)
         return 0
     if command == "bam":
-        counts, warnings, _ = E.bam_counts(spark, [args.input], model, args.threshold_low, args.threshold_high)
+        counts, warnings, _ = scanned = E.bam_counts(spark, [args.input], model, args.threshold_low, args.threshold_high)
+        _totals(scanned)
         values, source = E.bam_values(counts), f"BAM {args.input}"
     elif command == "pileup":
         values, warnings, _ = E.pileup_values(spark, [args.input], model)

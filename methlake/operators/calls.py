@@ -123,13 +123,39 @@ def tally(calls: DataFrame, keys: list[str]) -> DataFrame:
     return counts.filter(F.col("n_mod") + F.col("n_unmod") > 0)
 
 
-def call_totals(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls kept, calls between the thresholds, and distinct probes covered."""
-    called = F.col("outcome") != 0
-    return calls.groupBy(*keys).agg(
-        F.count_if(called).alias("n_called"),
+def counted(calls: DataFrame, keys: list[str], probe: str = "probe_id") -> DataFrame:
+    """(keys, probe, n_mod, n_unmod, n_filtered, n): calls by outcome, those between the thresholds as filtered; and all rows."""
+    return calls.groupBy(*keys, probe).agg(
+        F.count_if(F.col("outcome") == 1).alias("n_mod"),
+        F.count_if(F.col("outcome") == -1).alias("n_unmod"),
         F.count_if(F.col("outcome") == 0).alias("n_filtered"),
-        F.countDistinct(F.when(called, F.col("probe_id"))).alias("n_covered"),
+        F.count("*").alias("n"),
+    )
+
+
+SKETCH_BITS = 14  # 2^14 registers: a standard error of about 0.8 %
+
+
+def run_totals(counts: DataFrame, keys: list[str], probe: str = "probe_id") -> DataFrame:
+    """Totals of counted calls: calls kept, calls between the thresholds, probes covered, and a sketch of these.
+
+    Totals of shards cannot add up their covered probes, as shards share probes; the sketches unite (`merged_totals`).
+    """
+    covered = F.col("n_mod") + F.col("n_unmod") > 0
+    return counts.groupBy(*keys).agg(
+        F.sum(F.col("n_mod") + F.col("n_unmod")).alias("n_called"),
+        F.sum("n_filtered").alias("n_filtered"),
+        F.count_if(covered).alias("n_covered"),
+        F.hll_sketch_agg(F.when(covered, F.col(probe)), F.lit(SKETCH_BITS)).alias("covered"),
+    )
+
+
+def merged_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of shards as one: exact sums, and the covered probes estimated from the united sketches."""
+    return parts.groupBy(*keys).agg(
+        F.sum("n_called").alias("n_called"),
+        F.sum("n_filtered").alias("n_filtered"),
+        F.hll_sketch_estimate(F.hll_union_agg("covered")).alias("n_covered_estimate"),
     )
 
 

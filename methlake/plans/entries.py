@@ -49,9 +49,11 @@ def probe_sites(spark: SparkSession, model: Model) -> DataFrame:
 def bam_counts(
     spark: SparkSession, paths: list[str], model: Model, low: float = R.THRESHOLD_LOW, high: float = R.THRESHOLD_HIGH,
     shard: str | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+) -> Scanned:
     """Counts (sample_id, probe_id, n_mod, n_unmod), warnings (path, code, message), extents (path, first, stop, origin).
 
+    Totals of the run (`Scanned.totals`) come from the stored table too, without another pass over the files.
+
     All three come out of one scan: damage and extents travel beside the reads as rows without a position, reads meet
     broadcast sites in the scan's own stage, and only counters are shuffled. The result, no larger than probes times
     files, is stored in the shared folder.
@@ -64,6 +66,19 @@ def bam_counts(
         return _bam_counts(spark, paths, model, low, high, {"splitBytes": 0})  # a file whose splits do not meet is read whole
 
 
+class Scanned(tuple):
+    """(counts, warnings, extents) of a scan, and beside them the `totals` of each file: n_called, n_filtered, n_covered."""
+
+    totals: DataFrame
+
+    def __new__(cls, counts: DataFrame, warnings: DataFrame, spans: DataFrame, totals: DataFrame) -> "Scanned":
+        made = super().__new__(cls, (counts, warnings, spans))
+        made.totals = totals
+        return made
+
+
+#: What travels beside the calls of a scan.
+BESIDE = ["kind", "vpos", "stop", "origin", "code", "message"]
 #: What counting takes out of a record.
 COUNTED = ["path", "kind", "vpos", "rid", "pos", "flag", "l_seq", "cigar", "seq", "mm", "ml", "aux_ok", "code", "message", "stop", "origin"]
 
@@ -82,7 +97,7 @@ def wanted_regions(matched: DataFrame, sites: DataFrame) -> dict[str, list]:
     return out
 
 
-def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _bam_counts(spark, paths, model, low, high, options) -> Scanned:
     _, matched = resolve(spark, paths)
     sites = probe_sites(spark, model)
     if not options and any(index_path(p) is not None for p in paths):
@@ -101,14 +116,13 @@ def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, Dat
         .withColumn("sample_id", F.col("path"))
         .join(F.broadcast(contigs), ["path", "rid"], "left")  # 22 rows a file at most
     )
-    calls = C.read_calls(marked, sites, low, high, carry=["kind", "vpos", "stop", "origin", "code", "message"])
-    found = calls.groupBy("sample_id", "probe_id", "kind", "vpos", "stop", "origin", "code", "message").agg(
-        F.count_if(F.col("outcome") == 1).alias("n_mod"), F.count_if(F.col("outcome") == -1).alias("n_unmod"), F.count("*").alias("n")
-    )
+    calls = C.read_calls(marked, sites, low, high, carry=BESIDE)
+    found = C.counted(calls, ["sample_id", *BESIDE])
     stored = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
-    found.filter("kind != 'read' or n_mod + n_unmod > 0").write.parquet(stored)
+    found.filter("kind != 'read' or n_mod + n_unmod + n_filtered > 0").write.parquet(stored)
     table = spark.read.parquet(stored)
-    counts = table.filter("kind = 'read'").select("sample_id", "probe_id", "n_mod", "n_unmod")
+    counted = table.filter("kind = 'read'")
+    counts = counted.filter("n_mod + n_unmod > 0").select("sample_id", "probe_id", "n_mod", "n_unmod")
     aux = F.concat(F.col("n").cast("string"), F.lit(" reads have malformed optional fields"))
     is_issue = F.col("kind") == "issue"
     warnings = table.filter("kind in ('issue', 'malformed')").select(
@@ -117,7 +131,7 @@ def _bam_counts(spark, paths, model, low, high, options) -> tuple[DataFrame, Dat
         F.when(is_issue, F.col("message")).otherwise(aux).alias("message"),
     )
     spans = table.filter("kind = 'span'").select(F.col("sample_id").alias("path"), F.col("vpos").alias("first"), "stop", "origin")
-    return counts, warnings, spans
+    return Scanned(counts, warnings, spans, C.run_totals(counted, ["sample_id"]).drop("covered"))
 
 
 #: What preflight looks at.

@@ -170,7 +170,23 @@ def ternary_last_wins(spark, sf):
     FROM ({CALLS_SQL}) c GROUP BY sample_id""",
 )
 def covered_distinct(spark, sf):
-    return C.call_totals(_calls(spark, sf), ["sample_id"])
+    totals = C.run_totals(C.counted(_calls(spark, sf), ["sample_id"], "probe"), ["sample_id"], "probe")
+    return totals.select("sample_id", "n_called", "n_filtered", "n_covered")
+
+
+@query(
+    "merged_shard_totals",
+    f"""SELECT sample_id, CAST(count(is_mod) AS BIGINT) AS n_called, CAST(count(*) - count(is_mod) AS BIGINT) AS n_filtered, TRUE AS within_3_percent
+    FROM ({CALLS_SQL}) c GROUP BY sample_id""",
+)
+def merged_shard_totals(spark, sf):
+    """Totals of seven shards of the calls, each a table with a sketch of its covered probes, united and held to the exact count."""
+    calls = _calls(spark, sf).withColumn("shard", F.col("event_id") % 7)
+    parts = C.run_totals(C.counted(calls, ["sample_id", "shard"], "probe"), ["sample_id", "shard"], "probe")
+    exact = C.run_totals(C.counted(calls, ["sample_id"], "probe"), ["sample_id"], "probe").select("sample_id", "n_covered")
+    merged = C.merged_totals(parts, ["sample_id"]).join(exact, "sample_id")
+    near = F.abs(F.col("n_covered_estimate") - F.col("n_covered")) <= 0.03 * F.col("n_covered")
+    return merged.select("sample_id", "n_called", "n_filtered", near.alias("within_3_percent"))
 
 
 @query(

@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from methlake.functions import reads as R
+from methlake.model.artifact import Model
 from methlake.operators import calls as C
+from methlake.plans import entries as E
+from methlake.sources import bam
 from methlake.sources.text import count_rows
 
 
@@ -49,6 +53,32 @@ def count_parts(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return rows.filter("ok").select("probe_id", "n_mod", "n_unmod")
 
 
+def alignment_reads(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """Reads of the alignment files that arrive whole in a folder, as a stream; for `accumulate` with `alignment_counts`."""
+    bam.register(spark)
+    reader = spark.readStream.format("methbam")
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.load(folder)
+
+
+def alignment_counts(model: Model, low: float = R.THRESHOLD_LOW, high: float = R.THRESHOLD_HIGH) -> Callable[[DataFrame], DataFrame]:
+    """A micro-batch of reads to (sample_id, probe_id, n_mod, n_unmod), sample_id being the file."""
+
+    def counts(batch: DataFrame) -> DataFrame:
+        spark = batch.sparkSession
+        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # the files of one micro-batch
+        if not paths:
+            return spark.createDataFrame([], "sample_id string, probe_id string, n_mod bigint, n_unmod bigint")
+        _, matched = E.resolve(spark, paths)
+        contigs = matched.filter("contig is not null").select("path", "rid", F.concat_ws(":", "assembly", "map_name").alias("contig"))
+        reads = batch.filter((F.col("kind") == "read") & C.is_usable()).join(F.broadcast(contigs), ["path", "rid"])  # 22 rows a file
+        calls = C.read_calls(reads.withColumn("sample_id", F.col("path")), E.probe_sites(spark, model), low, high)
+        return C.tally(calls, ["sample_id", "probe_id"])
+
+    return counts
+
+
 def compact(spark: SparkSession, table: str, out: str, keys: list[str]) -> None:
     """Fold all partials into one table of the same layout elsewhere."""
     totals(spark, table, keys).write.mode("overwrite").parquet(f"{out}/batch=0")
