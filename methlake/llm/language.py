@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ UNKNOWN = "und"
 #: Lower-case letters stay, bytes of other scripts stay, all else is a space.
 LETTERS = np.array([b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)], np.uint8)
 PAD = 4
+#: Versions of a text that are in no language.
+NEGATIVES = ("scrambled", "respelt")
 
 
 def subwords(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,14 +103,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     draw = (F.xxhash64("text", F.lit(seed)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(1 << 40)).alias("draw")
     drawn = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).dropDuplicates(["draw", "lang"])
     drawn = drawn.orderBy("draw", "lang").limit(2 * per_language * len(counts))
-    features = drawn.mapInArrow(_features, T.StructType([T.StructField("draw", T.DoubleType()), T.StructField("lang", T.StringType()), T.StructField("places", T.BinaryType()), T.StructField("weights", T.BinaryType()), *[T.StructField(f"{k}_{c}", T.BinaryType()) for k in ("own", "scrambled", "respelt") for c in ("at", "n")]])).toArrow()
+    features = drawn.mapInArrow(_features, T.StructType([T.StructField("draw", T.DoubleType()), T.StructField("lang", T.StringType()), T.StructField("places", T.BinaryType()), T.StructField("weights", T.BinaryType()), T.StructField("total", T.LongType()), *[T.StructField(f"{k}_{c}", T.BinaryType()) for k in NEGATIVES for c in ("at", "n")]])).toArrow()
     languages = sorted(counts)
     number = {k: i for i, k in enumerate(languages)}
     order = np.lexsort([np.array(features["lang"].to_pylist()), features["draw"].to_numpy()])
     wanted = np.array([number[x] for x in features["lang"].to_pylist()])[order]
     places, weights = features["places"].to_pylist(), features["weights"].to_pylist()
     texts = [(np.frombuffer(places[i], np.int32), np.frombuffer(weights[i], np.float32)) for i in order]
-    held = np.arange(len(texts)) % 5 == 4
+    held = _held_back(features["draw"].to_numpy()[order])
     embed, out, bias = _descend([t for t, h in zip(texts, held) if not h], wanted[~held], len(languages), size, max(epochs, -(-steps * batch // max(1, len(texts)))), batch, rate, seed)
     table = (embed @ out).astype(np.float32)
     rest = [t for t, h in zip(texts, held) if h] or texts
@@ -125,15 +128,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     for t, h in zip(texts, held):
         if not h or not held.any():
             model.seen[t[0]] = True
-    strange, count = {}, {}
-    for kind in ("own", "scrambled", "respelt"):
-        at, n = ([np.frombuffer(features[f"{kind}_{c}"][int(i)].as_py(), np.int32) for i in order[held if held.any() else ~held]] for c in ("at", "n"))
+    mine = order[held] if held.any() else order
+    totals = features["total"].to_numpy()[mine]
+    strange = {"own": np.array([np.round(w[~model.seen[p]].astype(float).sum() * n) for (p, w), n in zip(rest, totals)])}
+    count = {"own": totals.astype(float)}
+    for kind in NEGATIVES:
+        at, n = ([np.frombuffer(features[f"{kind}_{c}"][int(i)].as_py(), np.int32) for i in mine] for c in ("at", "n"))
         strange[kind], count[kind] = (np.array([x[~model.seen[a]].sum() for a, x in zip(at, n)], float), np.array([x.sum() for x in n], float))
     model.strange = float(strange["own"].sum() / max(1.0, count["own"].sum()))
     over = {k: excess(strange[k], count[k], model.strange) for k in strange}
     model.limit = max(6.0, 1.5 * float(over["own"][right].max(initial=0.0)))
     model.false_rejects = float(np.mean(over["own"] > model.limit))
-    model.true_rejects = float(np.mean(np.concatenate([over["scrambled"], over["respelt"]]) > model.limit))
+    model.true_rejects = float(np.mean(np.concatenate([over[k] for k in NEGATIVES]) > model.limit))
     return model
 
 
@@ -159,6 +165,11 @@ def _changed(column: pa.Array, scrambled: bool) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(out)])
 
 
+def _held_back(draw: np.ndarray) -> np.ndarray:
+    """A fifth of the drawn texts, by their hash: calibration uses them, training does not."""
+    return (draw * (1 << 40)).astype(np.int64) % 5 == 4
+
+
 def _buckets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's distinct buckets, and how often it has each."""
     found, real, first = subwords(column)
@@ -166,13 +177,16 @@ def _buckets(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct buckets and their shares; and their counts, also of the text scrambled and respelt."""
+    """Each text's distinct buckets and their shares; and the counts of held-back texts scrambled and respelt."""
     for piece in pieces(batches, "text"):
         text = piece.column("text")
         own = _buckets(text)
         made = [pa.array([p.astype(np.int32).tobytes() for p, _ in own], pa.binary()), pa.array([(c / max(1, c.sum())).astype(np.float32).tobytes() for _, c in own], pa.binary())]
-        names = ["draw", "lang", "places", "weights"]
-        for kind, some in (("own", own), ("scrambled", _buckets(_changed(text, True))), ("respelt", _buckets(_changed(text, False)))):
+        made.append(pa.array([int(c.sum()) for _, c in own], pa.int64()))
+        names = ["draw", "lang", "places", "weights", "total"]
+        held = pc.if_else(pa.array(_held_back(piece.column("draw").to_numpy())), text, None)  # only these are needed in no language
+        for kind in NEGATIVES:
+            some = _buckets(_changed(held, kind == "scrambled"))
             made += [pa.array([p.astype(np.int32).tobytes() for p, _ in some], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in some], pa.binary())]
             names += [f"{kind}_at", f"{kind}_n"]
         yield pa.RecordBatch.from_arrays([piece.column("draw"), piece.column("lang"), *made], names=names)
