@@ -91,3 +91,60 @@ def test_pipeline_over_awkward_rows(spark, tmp_path):
                 assert docs.columns == columns and docs.where("n_words <> 'clash' OR n_chars <> length(text)").count() == 0
         left = [r.doc_id for r in docs.collect()]
         assert len(left) == len(set(left)) and (name == "none" or 10 < len(left) < len(rows))
+
+
+def test_op3(spark, docs):
+    """The contract: sizes, hashes, the law of row counts, gapless slots."""
+    import zlib
+    from collections import Counter
+
+    got = QUERIES["op3_sharding"](spark, SF).collect()
+    text = dict(docs)
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in docs)
+    assert all(r["size"] == len((text[r.doc_id] or "").encode()) + 16 and r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) for r in got)
+    rows = Counter(r.shard for r in got)
+    assert {r.law for r in got} == {"rows"} and set(rows) <= set(range(40)) and max(rows.values()) - min(rows[s] for s in range(40)) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in rows.items())
+    assert {r.grown_shard for r in got} == {None}
+
+
+def test_op4(spark, docs):
+    from llm_cases import decontaminate
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    want = sorted((k, n, hit, len(names), sha(",".join(names).encode()), hit > 0) for (k, n, hit, names), c in decontaminate(docs, items).items() for _ in range(c))
+    got = QUERIES["op4_decontamination"](spark, SF)
+    assert sorted(tuple(r) for r in got.collect()) == want and any(r[-1] for r in want)
+
+
+def test_op6(spark, docs):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for k, t in docs:
+        ids = library.encode_ordinary(t or "")
+        want.append((k, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode_bytes(ids))))
+    assert sorted(tuple(r) for r in QUERIES["op6_byte_bpe"](spark, SF).collect()) == sorted(want)
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    from methlake.llm import language
+
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(known.select("text", "lang"))
+    foreign = [
+        (1, "Το πρόβλημα της αναγνώρισης γλώσσας είναι παλιό και δύσκολο για μικρά κείμενα όπως αυτό εδώ"),
+        (2, "これは日本語の文章です。言語の識別は難しい問題ですが、文字が違えばすぐに分かります。"),
+        (3, "Это русский текст, который не относится ни к одному из выученных языков"),
+        (4, "qxz kqv wxqz zqkx vvqk xzzq qkxw zzkq vqxk wqzx kzqv xqkz qzvk xkqw zvqx kqzx wkqz xvqk zqxw kvzq" * 3),
+    ]
+    assert all(r.rejected for r in language.predict(spark.createDataFrame(foreign, "doc_id int, text string"), model).collect())
+    got = language.predict(known, model).collect()
+    assert not any(r.rejected and r.lang_pred == r.lang for r in got)
+    assert model.false_rejects == 0 and model.true_rejects > 0.6 and 0.002 < model.temperature < 5
