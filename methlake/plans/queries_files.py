@@ -167,7 +167,7 @@ def _alignment_files(reads, folder: str, index: bool = False) -> list[str]:
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/{group['file'].iloc[0]}.bam"
-        made = indexed_bytes([(f"c{i}", 1 << 28) for i in range(5)], group.sort_values(["contig", "pos"]).to_dict("records"))
+        made = indexed_bytes([(f"c{i}", 1 << 28) for i in range(5)], group.sort_values(["contig", "pos"]).to_dict("records"), level=1)  # read once
         for data, name in zip(made, (path, path + ".bai")[: 1 + index]):
             with open_output(name) as f:
                 f.write(data)

@@ -10,9 +10,9 @@ from methlake.sources.bam_index import BAI_DEPTH, BAI_SHIFT, metadata_bin, regio
 BLOCK_BYTES = 60_000  # inflated bytes of a block; its size field holds 16 bits
 
 
-def bgzf_block(data: bytes) -> bytes:
+def bgzf_block(data: bytes, level: int = 6) -> bytes:
     """One block: a gzip member whose extra field BC holds its size less one."""
-    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     extra = b"BC" + struct.pack("<HH", 2, len(body) + 25)
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data))
@@ -32,14 +32,14 @@ def alignment_bytes(refs: list[tuple[str, int]], reads: list[dict]) -> bytes:
     return indexed_bytes(refs, reads)[0]
 
 
-def indexed_bytes(refs: list[tuple[str, int]], reads: list[dict]) -> tuple[bytes, bytes]:
+def indexed_bytes(refs: list[tuple[str, int]], reads: list[dict], level: int = 6) -> tuple[bytes, bytes]:
     """A whole file and its BAI index; for the index, reads must come by contig and pos."""
     head = b"BAM\x01" + struct.pack("<ii", 0, len(refs))
     for name, length in refs:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
     records = [record_bytes(r) for r in reads]
     data = b"".join(records)
-    blocks = [bgzf_block(part) for part in (head, *(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)), b"")]
+    blocks = [bgzf_block(part, level) for part in (head, *(data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)), b"")]
     starts = [0]
     for block in blocks:
         starts.append(starts[-1] + len(block))
