@@ -32,9 +32,9 @@ EXPONENT = 3
 PIECE = 4 << 20
 #: Words that go through the grouping side by side, and the least number of texts for which numpy's steps pay.
 BATCH_WORDS = 1 << 18
-SIDE_BY_SIDE = 48
+SIDE_BY_SIDE = 64
 #: Longest text of a batch by its shortest.
-ALIKE = 1.6
+ALIKE = 2.2
 
 RUN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("period", T.LongType())])
 
@@ -144,21 +144,28 @@ def lyndon_of_one(rank: np.ndarray) -> np.ndarray:
     top = n - 1
     while top >= 0:
         g = group[at[top]]
+        if g == top:  # a group of one: what precedes it goes alone to the end of its old group
+            i, top = at[top], top - 1
+            j, after = left[i], right[i]
+            right[j], left[after] = after, j
+            if j >= 0:
+                length[j] += length[i]
+                old, was = group[j], slot[j]
+                to = old + size[old] - 1
+                other = at[to]
+                at[was], slot[other] = other, was
+                at[to], slot[j], group[j] = j, to, to
+                size[old] -= 1
+                size[to] = 1
+            continue
         found: dict[int, int] = {}  # what precedes members -> how many of them
-        if g == top:
-            i = at[top]
-            width, before = length[i], left[i]
+        mine = sorted(at[g : top + 1])
+        width = length[mine[0]]
+        for i in mine:  # from the left: members before it are unlinked already, so `left` is what precedes them all
+            before = left[i]
             right[before], left[right[i]] = right[i], before
             if before >= 0:
-                found[before] = 1
-        else:
-            mine = sorted(at[g : top + 1])
-            width = length[mine[0]]
-            for i in mine:  # from the left: members before it are unlinked already, so `left` is what precedes them all
-                before = left[i]
-                right[before], left[right[i]] = right[i], before
-                if before >= 0:
-                    found[before] = found.get(before, 0) + 1
+                found[before] = found.get(before, 0) + 1
         by_count: dict[int, list[int]] = {}
         for j, k in found.items():
             length[j] += k * width
@@ -294,18 +301,19 @@ def joined(words: Words, keep: np.ndarray) -> list[str]:
     return [raw[at[a] : max(at[a], at[b] - 1)].decode() for a, b in zip(first, first[1:])]
 
 
-def find(docs: DataFrame, text: str = "text", least: int = LEAST, exponent: int = EXPONENT) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", least: int = LEAST, exponent: int = EXPONENT, keep_text: bool = True) -> DataFrame:
     """docs with n_words, `runs` (array of start, length, period; by start, then period) and `collapsed`.
 
     A run is a stretch of consecutive words with smallest period p (words p apart are equal) and length >= max(least,
     exponent x p) that no neighbouring word extends. `collapsed` holds the words outside what follows a run's first period,
     joined by one space. A null or empty text has no words, no runs and an empty `collapsed`; repeated rows are judged each
-    by itself; columns of docs that have the names of the three are replaced.
+    by itself; columns of docs that have the names of the three are replaced. Without keep_text the text column goes.
     """
     small_batches(docs.sparkSession)
     base = docs.drop("n_words", "runs", "collapsed")
-    names = base.columns
-    schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType())])
+    fields = [f for f in base.schema.fields if keep_text or f.name != text]
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text, PIECE):
@@ -316,6 +324,6 @@ def find(docs: DataFrame, text: str = "text", least: int = LEAST, exponent: int
             gone = covered(words.first[owner] + start + period, words.first[owner] + start + length, len(words)) if len(owner) else np.zeros(len(words), bool)
             spans = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (start, length, period)], names=["start", "length", "period"])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(piece.num_rows + 1)), pa.int32()), spans)
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.diff(words.first), pa.int64()), lists, pa.array(joined(words, ~gone), pa.string())], names=[*names, "n_words", "runs", "collapsed"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(np.diff(words.first), pa.int64()), lists, pa.array(joined(words, ~gone), pa.string())], names=[*names, "n_words", "runs", "collapsed"])
 
     return base.mapInArrow(run, schema)
