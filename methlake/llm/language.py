@@ -8,6 +8,7 @@ Whole texts count, in training and in prediction. Prediction is a scan: the mode
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from methlake.llm.shared import small_batches
-from methlake.llm.words import mix, pieces, ranges, utf8
+from methlake.llm.words import mix, pieces, ranges, release, utf8
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
@@ -85,6 +86,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _then_release(fn):
+    """fn, after which the driver gives back the memory that it took."""
+
+    @functools.wraps(fn)
+    def run(*args, **named):
+        try:
+            return fn(*args, **named)
+        finally:
+            release()
+
+    return run
+
+
+@_then_release
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, size: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 2.0, seed: int = 7) -> LanguageModel:
     """Learn from rows with text and language; at most about per_language x languages of them, drawn by the text's hash.
 
