@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from methlake.llm.words import release
 from methlake.session import shared_dir
 
 #: Rows here carry whole texts: what the JVM and a Python worker hand each other at a time stays small.
@@ -25,4 +26,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release()  # what planning and small results took on the driver
     return spark.read.schema(df.schema).parquet(path)
