@@ -158,7 +158,8 @@ _CODE_SQL = """codes AS (SELECT row, label, col, CASE WHEN c > 250 THEN 255 ELSE
 
 
 def _corpus(spark, sf) -> DataFrame:
-    code = F.transform("embedding", lambda x: F.floor(F.abs(x) * 1000).cast("int") % 256)
+    thousand = F.lit(1000).cast("float")  # the product is one of single precision, as in the SQL
+    code = F.transform("embedding", lambda x: F.floor(F.abs(x) * thousand).cast("int") % 256)
     hexed = F.transform(code, lambda c: F.lpad(F.hex(F.when(c > PUR.TOP_CODE, PUR.MISSING_CODE).otherwise(c)), 2, "0"))
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row"), "label", F.unhex(F.array_join(hexed, "")).alias("codes")
