@@ -136,7 +136,8 @@ def linear_layer(spark, sf):
 )
 def matrix_product(spark, sf):
     """X'X: one partial product per task, added by block."""
-    x = table(spark, sf, "embeddings").select(F.transform("embedding", lambda v: F.floor(v * 100).cast("double")).alias("x"))
+    hundred = F.lit(100).cast("float")  # the product is one of single precision, as in the SQL
+    x = table(spark, sf, "embeddings").select(F.transform("embedding", lambda v: F.floor(v * hundred).cast("double")).alias("x"))
 
     def run(batches):
         total = {}

@@ -26,7 +26,7 @@ def _edges(by: int) -> np.ndarray:
     return x[np.floor(x * np.float32(by)) != np.floor(x.astype(float) * by)]
 
 
-@pytest.mark.parametrize("name, by", [("code_histogram", 1000), ("immune_projection", 1000)])
+@pytest.mark.parametrize("name, by", [("code_histogram", 1000), ("immune_projection", 1000), ("matrix_product", 100)])
 def test_products_of_single_precision(spark, tmp_path, name, by):
     sf = _folder(tmp_path, np.random.default_rng(3).choice(_edges(by), (60, 64)))
     assert compare(spark, connect(sf), catalog.QUERIES[name], catalog.SQL[name], sf) is None
