@@ -59,7 +59,7 @@ def sigmoid(x: Column) -> Column:
 
 
 def silu(x: Column) -> Column:
-    return x * sigmoid(x)
+    return x / (1.0 + F.exp(-x))
 
 
 def layer_norm(a: Column, gain: Column | None = None, shift: Column | None = None) -> Column:

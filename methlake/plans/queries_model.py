@@ -42,8 +42,13 @@ def _logits(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * 8).alias("z"))
 
 
+def _signed_round(x, digits: int):
+    """Rounded half away from zero; what rounds to zero keeps its sign, as in the SQL."""
+    return F.signum(x) * F.abs(F.round(x, digits))
+
+
 def _rounded(c, digits: int = 6):
-    return F.transform(c, lambda x: F.round(x, digits))
+    return F.transform(c, lambda x: _signed_round(x, digits))
 
 
 @query(
@@ -70,7 +75,7 @@ def set_nll(spark, sf):
     z, m = F.col("z"), F.col("mask")
     return rows.select(
         "vec_id", F.round(N.set_nll(z, m), 6).alias("loss"),
-        F.transform(_rounded(N.set_nll_gradient(z, m), 5), lambda x: x + 0.0).alias("gradient"),
+        _rounded(N.set_nll_gradient(z, m), 5).alias("gradient"),
     )
 
 
@@ -126,7 +131,7 @@ def linear_layer(spark, sf):
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "y": list(np.stack(pdf["z"].to_numpy()) @ weight.T + bias)})
 
     out = _logits(spark, sf).select("vec_id", "z").mapInPandas(run, "vec_id bigint, y array<double>")
-    return out.select("vec_id", F.posexplode("y").alias("o", "y")).withColumn("y", F.round("y", 5))
+    return out.select("vec_id", F.posexplode("y").alias("o", "y")).withColumn("y", _signed_round(F.col("y"), 5))
 
 
 @query(

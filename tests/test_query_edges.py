@@ -1,5 +1,7 @@
 """Registered queries against their SQL on values at the edges of single precision and of rounding."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -30,3 +32,12 @@ def _edges(by: int) -> np.ndarray:
 def test_products_of_single_precision(spark, tmp_path, name, by):
     sf = _folder(tmp_path, np.random.default_rng(3).choice(_edges(by), (60, 64)))
     assert compare(spark, connect(sf), catalog.QUERIES[name], catalog.SQL[name], sf) is None
+
+
+def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
+    sf = _folder(tmp_path, np.tile([-1e-8, 1e-8, -0.0, 0.0, -0.3, 0.3, -90.0, 90.0], (3, 8)))
+    got = {r["vec_id"]: r["y"] for r in catalog.QUERIES["silu"](spark, sf).collect()}
+    want = dict(connect(sf).execute(catalog.SQL["silu"]).fetchall())
+    assert got == want
+    signs = [{k: [math.copysign(1, v) for v in y] for k, y in rows.items()} for rows in (got, want)]
+    assert signs[0] == signs[1]
