@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from methlake.functions import reads as R
 from methlake.functions.numeric import ratio_4dp
+from methlake.operators import read_sites
 from methlake.operators.intervals import interval_join, with_bins
 
 READ_BIN = 131_072  # several spans of a long read, so that most reads touch one bin; some dozen sites lie in it
@@ -47,9 +49,9 @@ def read_calls(
     reads: contig, pos, flag, l_seq, cigar, seq, mm, ml (+ sample_id); probes: contig, pos, cg_id.
     The sites of a bin are gathered into one array beforehand, so a read meets them in one row per bin it touches. It is
     decoded there, once, and only if a site lies inside its span; each site is then mapped through the CIGAR to one read
-    base, whose ordinal among the read's cytosines is looked up in the tag. With the gathered sites broadcast this is one
-    pipelined stage: sequences are never shuffled. With columns to `carry`, rows that meet no probe (or have no
-    position) stay, with a null probe.
+    base, whose ordinal among the read's cytosines is looked up in the tag (`read_sites`, for a batch of reads at once).
+    With the gathered sites broadcast this is one pipelined stage: sequences are never shuffled. With columns to `carry`,
+    rows that meet no probe (or have no position) stay, with a null probe.
     """
     sample = [*(c for c in ("sample_id",) if c in reads.columns), *carry]
     spans = reads.select(
@@ -60,49 +62,20 @@ def read_calls(
         R.is_reverse(F.col("flag")).alias("is_reverse"),
         "l_seq", "cigar", "seq", "mm", "ml",
     )
-    met = F.size("sites") > 0
-    decoded = sites_inside(spans, probes, width, keep=bool(carry)).select(
-        *sample, "sites", "ref_start", "is_reverse", "l_seq", "cigar", "ml",
-        F.when(met, F.substr(F.hex("seq"), F.lit(1), F.col("l_seq").cast("int"))).alias("bases"),
-        F.when(met, R.parse_mm(F.col("mm"), single_numeric_code)).alias("groups"),
-    )
-    # a reverse alignment stores the reverse complement: its cytosines are the stored G's, from the end
-    symbol = F.when(F.col("is_reverse"), "4").otherwise("2")  # 4-bit codes of G and C
-    any_implicit = F.exists("groups", lambda g: (g["base"] == "C") & g["implicit"])
-
-    def at_base(q: Column) -> Column:
-        on_cytosine = (q < F.col("l_seq")) & (F.substr("bases", (q + 1).cast("int"), F.lit(1)) == symbol)
-        score = R.let(
-            R.base_ordinal(F.col("bases"), q, symbol, F.col("is_reverse")),
-            lambda ordinal: R.call_score(F.col("groups"), F.col("ml"), ordinal),
-        )
-        return F.when(on_cytosine, R.let(score, lambda s: F.when(s.isNotNull(), s).when(any_implicit, 0)))
-
-    def called(site: Column) -> Column:
-        offset = site_on_read(site["pos"], F.col("is_reverse")) - F.col("ref_start")
-        score = R.let(R.read_offset_at(F.col("cigar"), offset), lambda q: F.when(q.isNotNull(), at_base(q)))
-        return F.struct(site["cg_id"].alias("probe_id"), R.let(score, lambda s: R.outcome(s, low, high)).alias("outcome"))
-
-    calls = F.transform("sites", called)
-    rows = decoded.select(*sample, (F.explode_outer if carry else F.explode)(calls).alias("c"))
-    return rows.select(*sample, "c.probe_id", "c.outcome")
-
-
-def sites_inside(spans: DataFrame, probes: DataFrame, width: int, keep: bool = False) -> DataFrame:
-    """spans with `sites`, an array<struct<pos, cg_id>> of the probes inside each, once for every bin with any.
-
-    With `keep`, spans without sites stay, with none. A bin's array is bounded by the bin's width.
-    """
+    keep = bool(carry)
     bins = probes.groupBy("contig", F.floor(F.col("pos") / width).cast("bigint").alias("bin")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "cg_id"))).alias("near")
+        F.sort_array(F.collect_list(F.struct("pos", "cg_id"))).alias("near")  # bounded by the bin's width
     )
+    met = with_bins(spans, width, keep_empty=keep).join(bins, ["contig", "bin"], "left" if keep else "inner").drop("contig", "bin")
+    fields = [met.schema[c] for c in sample] + [T.StructField("probe_id", bins.schema["near"].dataType.elementType["cg_id"].dataType), T.StructField("outcome", T.ByteType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
 
-    def inside(s: Column) -> Column:
-        at = site_on_read(s["pos"], F.col("is_reverse"))
-        return (at >= F.col("ref_start")) & (at < F.col("ref_end"))
+    def decode(batches):
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            yield from read_sites.outcomes(batch, arrow, low, high, single_numeric_code, keep)
 
-    met = with_bins(spans, width, keep_empty=keep).join(bins, ["contig", "bin"], "left" if keep else "inner")
-    return met.withColumn("sites", F.filter("near", inside)).drop("near", "bin")
+    return met.mapInArrow(decode, schema)
 
 
 #: Probes closer than this are one window of an indexed scan, and no window spans more than that (a slot of the index).
