@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,8 @@ from methlake.plans.registry import query, table
 from methlake.plans.shapes import PROBES_SQL
 from methlake.session import shared_dir
 from methlake.sources import bam, text as T
-from methlake.sources.bam_write import indexed_bytes
+from methlake.sources.bam import MAX_POSITION
+from methlake.sources.bam_write import frame_bytes
 from methlake.sources.files import open_output
 from methlake.sources.tensors import BLOCK, read_tensors, write_tensors
 
@@ -162,25 +164,59 @@ def network_forward(spark, sf):
     return out.select("vec_id", F.transform("p", lambda x: F.round(x, 5)).alias("probs"))
 
 
-def _alignment_files(reads, folder: str, index: bool = False) -> list[str]:
-    """Files of some thousand orders' reads each; one task writes one file (and its index)."""
+READS_A_FILE = 16_000  # some thousand orders' reads
+_REFS = [(f"c{i}", (1 << 31) - 1) for i in range(5)]
 
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        path = f"{folder}/{group['file'].iloc[0]}.bam"
-        made = indexed_bytes([(f"c{i}", 1 << 28) for i in range(5)], group.sort_values(["contig", "pos"]).to_dict("records"), level=1)  # read once
-        for data, name in zip(made, (path, path + ".bai")[: 1 + index]):
-            with open_output(name) as f:
-                f.write(data)
-        return pd.DataFrame({"path": [path], "n": [len(group)]})
 
-    files = reads.withColumn("file", F.floor(F.col("l_orderkey") / 4000))  # so many orders a file
-    return sorted(r["path"] for r in files.groupBy("file").applyInPandas(write, "path string, n bigint").collect())
+def _alignment_files(reads, folder: str, index: bool = False) -> list[tuple]:
+    """(path, first contig, first pos, last contig, last pos) of files of neighbouring reads, by contig and pos.
+
+    A range of places is dealt to each task, which writes its reads as files of a fixed number, one after the other.
+    """
+
+    def write(batches):
+        held = []
+        for pdf in batches:
+            held.append(pdf)
+            while sum(map(len, held)) >= READS_A_FILE:
+                some = pd.concat(held, ignore_index=True)
+                yield _write_file(some.iloc[:READS_A_FILE].reset_index(drop=True), folder, index)
+                held = [some.iloc[READS_A_FILE:]]
+        if sum(map(len, held)):
+            yield _write_file(pd.concat(held, ignore_index=True), folder, index)
+
+    placed = reads.drop("l_orderkey").repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos")
+    made = placed.mapInPandas(write, "path string, contig int, pos bigint, last_contig int, last_pos bigint").collect()
+    return sorted(map(tuple, made))
+
+
+def _write_file(reads: pd.DataFrame, folder: str, index: bool) -> pd.DataFrame:
+    path = f"{folder}/{uuid.uuid4().hex}.bam"  # its own name, whichever attempt of a task writes it
+    made = frame_bytes(_REFS, reads, level=1)  # read once
+    for data, name in zip(made, (path, path + ".csi")[: 1 + index]):
+        with open_output(name) as f:
+            f.write(data)
+    ends = [int(reads[c].iloc[i]) for i in (0, -1) for c in ("contig", "pos")]
+    return pd.DataFrame([[path, *ends]], columns=["path", "contig", "pos", "last_contig", "last_pos"])
+
+
+def _regions(files: list[tuple], windows: list[tuple], longest: int) -> dict[str, list[list]]:
+    """By path the windows (contig, first, last) that a file's reads, none longer than `longest`, can overlap; files without any are left out."""
+    windows, out = sorted(windows), {}
+    for path, contig, pos, last_contig, last_pos in files:
+        # windows of a contig do not overlap: one more may begin before the file's first read and reach into it
+        k = max(0, bisect_left(windows, (contig, pos)) - 1)
+        until = bisect_right(windows, (last_contig, last_pos + longest, MAX_POSITION))
+        found = [[f"c{c}", b, e + 1] for c, b, e in windows[k:until] if (c, e) >= (contig, pos)]
+        if found:
+            out[path] = found
+    return out
 
 
 @query("alignment_file_counts", READ_CALLS_SQL)
 def alignment_file_counts(spark, sf):
     """The reads of `read_calls_full` written as alignment files, scanned in several splits a file, and counted."""
-    paths = _alignment_files(sequenced_reads(spark, sf), _folder(spark))
+    paths = [f[0] for f in _alignment_files(sequenced_reads(spark, sf), _folder(spark))]
     scanned = bam.scan(spark, paths, splitBytes=100_000).filter("kind = 'read'").withColumn("contig", F.col("rid"))
     return C.tally(C.read_calls(scanned, shapes.probes(spark, sf), width=4 * PAIR_BIN), ["probe_id"])
 
@@ -199,9 +235,9 @@ def _panel(spark, sf):
 def indexed_file_counts(spark, sf):
     """A panel's counts from indexed alignment files: the scan reads only the stretches that can hold its probes."""
     reads = sequenced_reads(spark, sf).withColumn("pos", F.col("pos") * SPACING)
-    paths, panel = _alignment_files(reads, _folder(spark), index=True), _panel(spark, sf)
-    windows = [[f"c{w['contig']}", w["first"], w["last"] + 1] for w in C.probe_windows(panel).collect()]
-    scanned = bam.scan(spark, paths, splitBytes=100_000, regions=windows).filter("kind = 'read'").withColumn("contig", F.col("rid"))
+    files, panel = _alignment_files(reads, _folder(spark), index=True), _panel(spark, sf)
+    windows = _regions(files, [tuple(w) for w in C.probe_windows(panel).collect()], 4 * PAIR_BIN)
+    scanned = bam.scan(spark, sorted(windows), splitBytes=100_000, regions=windows).filter("kind = 'read'").withColumn("contig", F.col("rid"))
     return C.tally(C.read_calls(scanned, panel, width=4 * PAIR_BIN), ["probe_id"])
 
 
@@ -213,6 +249,6 @@ def indexed_file_counts(spark, sf):
 def indexed_position_filter(spark, sf):
     """Reads by reference and position: ordinary filters, which the source turns into a look-up in the index."""
     reads = sequenced_reads(spark, sf).withColumn("pos", F.col("pos") * SPACING)
-    paths = _alignment_files(reads, _folder(spark), index=True)
-    wanted = bam.scan(spark, paths, columns=["rid", "pos"]).filter("rid IN (2, 4) AND pos >= 100000 AND pos < 160000")
+    files = _alignment_files(reads, _folder(spark), index=True)
+    wanted = bam.scan(spark, [f[0] for f in files], columns=["rid", "pos"]).filter("rid IN (2, 4) AND pos >= 100000 AND pos < 160000")
     return wanted.groupBy("rid", "pos").agg(F.count("*").alias("n"))
