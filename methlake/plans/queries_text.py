@@ -8,7 +8,7 @@ from methlake.functions.parse import csv_fields
 from methlake.operators import qc
 from methlake.operators import references as REF
 from methlake.plans import shapes
-from methlake.plans.registry import query, spread, table
+from methlake.plans.registry import dealt, query, spread, table
 from methlake.plans.shapes import PROBES_SQL, READS_SQL
 from methlake.sources import text as T
 
@@ -265,6 +265,7 @@ _MATCH_SQL = (
 def contig_match(spark, sf):
     headers, asm = _headers(spark, sf), REF.assembly_contigs(spark)
     chosen = REF.best_assembly(headers, asm, ["path"])
+    headers = dealt(headers, table(spark, sf, "lineitem"), "path", "length")
     return REF.match_contigs(headers, chosen, asm, ["path"]).select("path", "map_name", "contig")
 
 
@@ -275,6 +276,7 @@ def contig_match(spark, sf):
 def missing_contigs_anti(spark, sf):
     headers, asm = _headers(spark, sf), REF.assembly_contigs(spark)
     chosen = REF.best_assembly(headers, asm, ["path"])
+    headers = dealt(headers, table(spark, sf, "lineitem"), "path", "length")
     return REF.match_contigs(headers, chosen, asm, ["path"]).filter("contig is null").select("path", "chrom")
 
 

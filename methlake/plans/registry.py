@@ -27,5 +27,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+SHARES = 16  # parts for each partition of a scan
+
+
+def dealt(rows: DataFrame, scan: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys into parts whose number grows with the scan they come from, so that what one task sorts or hashes does not."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, SHARES * scan.rdd.getNumPartitions()), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -41,3 +41,12 @@ def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
     assert got == want
     signs = [{k: [math.copysign(1, v) for v in y] for k, y in rows.items()} for rows in (got, want)]
     assert signs[0] == signs[1]
+
+
+def test_rows_are_dealt_into_parts_that_grow_with_their_scan(spark, tmp_path):
+    from methlake.plans.registry import SHARES, dealt
+
+    spark.range(4000).repartition(40).write.parquet(f"{tmp_path}/t")
+    scan = spark.read.parquet(f"{tmp_path}/t")
+    files = scan.rdd.getNumPartitions()
+    assert dealt(scan, scan, "id").rdd.getNumPartitions() == max(4, SHARES * files)
