@@ -13,7 +13,7 @@ from methlake.model import federated as FED, fit as FIT, gradients as G, network
 from methlake.model.predict import nearest_temperature, signed_sums
 from methlake.operators import calls as C
 from methlake.plans import shapes
-from methlake.plans.registry import query, table
+from methlake.plans.registry import dealt, query, table
 from methlake.plans.shapes import CALLS_SQL
 from methlake.session import shared_dir
 from methlake.streaming import counts as STREAM
@@ -108,7 +108,9 @@ def silu(spark, sf):
 def ternary_projection(spark, sf):
     c = F.col
     sign = F.signum(F.sum(F.when(c("l_linenumber") % 2 == 0, 1).otherwise(-1))).cast("int")
-    x = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("row"), c("l_partkey").alias("probe_idx")).agg(sign.alias("t"))
+    items = table(spark, sf, "lineitem")
+    items = dealt(items.select("l_orderkey", "l_partkey", "l_linenumber"), items, "l_orderkey")
+    x = items.groupBy(c("l_orderkey").alias("row"), c("l_partkey").alias("probe_idx")).agg(sign.alias("t"))
     parts = (c("p_size"), c("p_partkey") % 7 - 3, c("p_partkey") % 11 - 5, c("p_partkey") % 3 - 1)
     w = table(spark, sf, "part").select(
         c("p_partkey").alias("probe_idx"), F.array(*[e.cast("double") / 8 for e in parts]).alias("w")
