@@ -94,13 +94,16 @@ def bank(pool: DataFrame, cfg: PurityConfig) -> DataFrame:
 
 
 def profile(codes: DataFrame) -> DataFrame:
-    """(col, mean, sd): per column over the rows that cover it; population deviation."""
-    beta = decode_beta(F.col("code"))
+    """(col, mean, sd): per column over the rows that cover it; population deviation. Codes are added as integers, so that
+    the order of rows tells nothing: a beta is (2 code + 1) / (2 TOP_CODE)."""
+    odd = F.when(F.col("code") <= TOP_CODE, 2 * F.col("code").cast("long") + 1)
+    mean, square = (F.col(s) / F.col("n") / float((2 * TOP_CODE) ** p) for s, p in (("s1", 1), ("s2", 2)))
     return (
-        codes.withColumn("b", beta)
+        codes.withColumn("odd", odd)
         .groupBy("col")
-        .agg(F.avg("b").alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.avg(F.col("b") * F.col("b")) - F.avg("b") * F.avg("b"))).alias("sd"))
-        .filter("mean is not null")
+        .agg(F.count("odd").alias("n"), F.sum("odd").alias("s1"), F.sum(F.col("odd") * F.col("odd")).alias("s2"))
+        .filter("n > 0")
+        .select("col", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("sd"))
     )
 
 

@@ -50,3 +50,17 @@ def test_rows_are_dealt_into_parts_that_grow_with_their_scan(spark, tmp_path):
     scan = spark.read.parquet(f"{tmp_path}/t")
     files = scan.rdd.getNumPartitions()
     assert dealt(scan, scan, "id").rdd.getNumPartitions() == max(4, SHARES * files)
+
+
+def test_profiles_do_not_depend_on_the_order_of_rows(spark):
+    from fractions import Fraction
+
+    from methlake.training import purity
+
+    code = np.random.default_rng(7).integers(0, 256, (3, 60_000))
+    code[code > purity.TOP_CODE] = purity.MISSING_CODE
+    frame = spark.createDataFrame(pa.table({"col": np.repeat([0, 1, 2], 60_000), "code": code.ravel().astype(np.int32)}))
+    got = {r["col"]: r["mean"] for r in purity.profile(frame.repartition(5)).collect()}
+    kept = [[Fraction(2 * int(c) + 1, 500) for c in one if c <= purity.TOP_CODE] for one in code]
+    for col, betas in enumerate(kept):
+        assert abs(Fraction(got[col]) / (sum(betas) / len(betas)) - 1) < Fraction(1, 1 << 52)
