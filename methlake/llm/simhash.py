@@ -226,12 +226,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 WIDE = 4  # words of 64 bits
 COUNTERS, SLICES = 1 << 22, 64
-ROW = [("group", np.uint64), ("id", np.int64), ("label", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
+ROW = [("group", np.uint64), ("id", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
 GROUP_ROWS = 500_000
 #: Share of the pairs at just the similarity that lie within the budget whose links are taken as a forest.
 CLOSE = 0.05
 #: Pairs of fingerprints that are compared without further descent.
 SMALL = 64
+#: Words of 64 parities that bound how many shingles differ, and pairs whose parities are compared at a time.
+PARITIES, COMPARED = 64, 1 << 13
 
 
 def differing_share(similarity: float) -> float:
@@ -349,7 +351,7 @@ def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints, ids, labels = _prints(batch.column("print")), batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            prints, ids = _prints(batch.column("print")), batch.column("id").to_numpy()
             group = table_groups(prints, bits)
             which, table = np.nonzero(crowds.value[(group & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1)
             g = group[which, table]
@@ -365,46 +367,127 @@ def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else bucket
             rows = []
             for a, b in zip(cut, np.append(cut[1:], len(g))):
-                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], labels[which[a:b]], *prints[which[a:b]].T)]
+                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], *prints[which[a:b]].T)]
                 rows.append(b"".join(np.int64(len(x)).tobytes() + x for x in packed))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
     return run
 
 
-def _join_tables(close: int, budget: int):
-    """Pairs to verify: a forest of the links within `close`, and all pairs within the budget that it leaves apart.
+def _picked(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of n places, with their costs (below 2^30), the cheapest of each place that has any: the places, their
+    partners, and whether a place has more than one. And the least place that pairs reach from each place."""
+    best, count, forest = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), Forest(n)
+    for x, y, cost in pairs:
+        for a, b in ((x, y), (y, x)):
+            np.minimum.at(best, a, cost.astype(np.int64) << 32 | b)
+            count += np.bincount(a, minlength=n)
+        forest.join(x, y)
+    at = np.flatnonzero(count)
+    return at, best[at] & 0xFFFFFFFF, count[at] > 1, forest.root
+
 
-    With close < 0: all pairs within the budget whose labels differ.
+def _join_tables(close: int, budget: int):
+    """Pairs to verify: a forest of the links within `close`, and of the pairs within the budget that it leaves apart each
+    fingerprint's nearest; `more` where it has others. Rows that are not `asked` only tell what hangs together by pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpacked(raw) for batch in batches for raw in batch.column("rows").to_pylist()]
         if not held:
             return
-        group, ids, labels, *words = (np.concatenate(x) for x in zip(*held))
+        group, ids, *words = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort([*words[::-1], group])
-        group, ids, labels, prints = group[order], ids[order], labels[order], np.stack(words, axis=1)[order]
+        group, ids, prints = group[order], ids[order], np.stack(words, axis=1)[order]
         at = 0
         while at < len(group):  # whole groups, some thousand fingerprints at a time
             to = int(np.searchsorted(group, group[min(at + MOST, len(group)) - 1], "right"))
-            some, label = ids[at:to], labels[at:to]
-            if close >= 0:
-                far, root = trie_links(group[at:to], prints[at:to], close)
-                yield _pairs(some[far], some[root], True)
-                label = np.arange(to - at)
-                label[far] = root
-            for x, y in trie_pairs(group[at:to], prints[at:to], label, budget):
-                yield _pairs(some[x], some[y], False)
+            some, print_ = ids[at:to], prints[at:to]
+            far, root = trie_links(group[at:to], print_, close)
+            yield _pairs(some[far], some[root], forest=True)
+            label = np.arange(to - at)
+            label[far] = root
+            pairs = trie_pairs(group[at:to], print_, label, budget)
+            x, y, more, reach = _picked(((x, y, np.bitwise_count(print_[x] ^ print_[y]).sum(1, dtype=np.int64)) for x, y in pairs), to - at)
+            for kind in (False, True):
+                yield _pairs(some[x[more == kind]], some[y[more == kind]], more=kind)
+            x = x[more & (reach[x] != x)]
+            yield _pairs(some[x], some[reach[x]], asked=False)
             at = to
 
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, forest: bool) -> pa.RecordBatch:
+def _pairs(a: np.ndarray, b: np.ndarray, forest: bool = False, more: bool = False, asked: bool = True) -> pa.RecordBatch:
     ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(len(ends), forest))], names=["a", "b", "forest"])
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), *(pa.array(np.full(len(ends), x)) for x in (forest, more, asked))], names=["a", "b", "forest", "more", "asked"])
+
+
+def _parities(shingle: int):
+    """Each text's number of distinct shingles, and for each of PARITIES x 64 classes of shingles whether their number is odd.
+
+    As many parities as differ, so many shingles at least are in one of two texts only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            h, count = shingle_hashes(piece.column("text"), shingle)
+            sizes, rows, at = [], [], 0
+            for n in count.tolist():
+                kinds = mix(np.unique(h[at : at + n]))
+                at += n
+                odd = np.bincount((kinds >> np.uint64(32)).astype(np.int64) % (PARITIES * 64), minlength=PARITIES * 64) & 1
+                sizes.append(len(kinds))
+                rows.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary())], names=["id", "size", "parities"])
+
+    return run
+
+
+def _join_clusters(budget: int, similarity: Fraction, every: bool):
+    """Pairs of a group and of different labels within the budget whose parities leave the similarity possible: all of them,
+    or each fingerprint's likeliest. Rows come sorted by group."""
+    apart, total = similarity.denominator - similarity.numerator, similarity.denominator + similarity.numerator
+
+    def possible(pairs, size: np.ndarray, parities: np.ndarray):
+        for x, y in pairs:
+            for at in range(0, len(x), COMPARED):
+                a, b = x[at : at + COMPARED], y[at : at + COMPARED]
+                differ, both = np.bitwise_count(parities[a] ^ parities[b]).sum(1, dtype=np.int64), size[a] + size[b]
+                keep = differ * total <= both * apart
+                if keep.any():
+                    yield a[keep], b[keep], (differ[keep] << 20) // both[keep]
+
+    def work(group, ids, labels, size, prints, parities) -> Iterator[pa.RecordBatch]:
+        prints = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, WIDE)
+        order = np.lexsort([*prints.T[::-1], group])
+        group, ids, labels, size, prints = (x[order] for x in (group, ids, labels, size, prints))
+        parities = np.frombuffer(b"".join(parities), np.uint64).reshape(-1, PARITIES)[order]
+        pairs = possible(trie_pairs(group, prints, labels, budget), size, parities)
+        if every:
+            yield from (_pairs(ids[x], ids[y]) for x, y, _ in pairs)
+        else:
+            x, y, *_ = _picked(pairs, len(ids))
+            yield _pairs(ids[x], ids[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([*(batch.column(c).to_numpy() for c in ("group", "id", "label", "size")), *(np.array(batch.column(c).to_pylist(), object) for c in ("print", "parities"))])
+            size += batch.num_rows
+            if size >= MOST:
+                columns = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                if cut:
+                    yield from work(*(c[:cut] for c in columns))
+                held, size = [[c[cut:] for c in columns]], size - cut
+        if size:
+            yield from work(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 def _unpacked(raw: bytes) -> list[np.ndarray]:
@@ -485,21 +568,27 @@ def _jaccard(shingle: int, similarity: Fraction):
                 x, y = of("a", x), of("b", y)
                 common = len(x & y)
                 similar.append(common * similarity.denominator >= similarity.numerator * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "forest")), pa.array(similar, pa.bool_())], names=["a", "b", "forest", "similar"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "forest", "more")), pa.array(similar, pa.bool_())], names=["a", "b", "forest", "more", "similar"])
 
     return run
 
 
-def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """pairs with `similar`, decided on the shingles. texts: th, text; nodes: id, th."""
-    found = stored(pairs.groupBy("a", "b").agg(F.max("forest").alias("forest")), "pairs")
-    ends = nodes.join(found.select(F.col("a").alias("id")).union(found.select("b")).distinct(), "id").select("id", "th")
-    ends = stored(ends, "ends")
+def _texts(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the ids. texts: th, text; nodes: id, th."""
+    ends = stored(nodes.join(ids, "id").select("id", "th"), "ends")
     flags = texts.sparkSession.sparkContext.broadcast(_flagged(ends, ["th"]))  # FLAGS bits
     some = texts.mapInArrow(_wanted(flags), "th bigint, text binary").dropDuplicates(["th"])
-    some = stored(some.join(ends, "th").select("id", "text"), "texts")
-    both = found.join(some.withColumnRenamed("id", "a"), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("to_text")), "b")
-    return stored(both.mapInArrow(_jaccard(shingle, similarity), "a bigint, b bigint, forest boolean, similar boolean"), "similar")
+    return stored(some.join(ends, "th").select("id", "text"), "texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """pairs with `similar`, decided on the shingles. texts: id, text."""
+    both = pairs.join(texts.withColumnRenamed("id", "a"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("to_text")), "b")
+    return stored(both.mapInArrow(_jaccard(shingle, similarity), "a bigint, b bigint, forest boolean, more boolean, similar boolean"), "similar")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -513,9 +602,13 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Texts are linked whose sets of shingles have a Jaccard similarity of `similarity` or more, decided on the shingles. A
     pair at just the similarity is never compared with a probability of about `missed` (half of it for the tables of sampled
-    bits, half for the bit budget), a closer one nearly never. Close fingerprints are verified along a forest of their links;
-    where one of its links fails, the fingerprints of its tree are compared pair by pair in a second pass, so nothing rests
-    on the choice of the forest. Nulls, empty texts and repeated rows are as in `near_duplicates`.
+    bits, half for the bit budget), a closer one nearly never. Nulls, empty texts and repeated rows are as in `near_duplicates`.
+
+    Close fingerprints are verified along a forest of their links, others with the nearest of each table. What this leaves
+    out is open: whatever hangs together with a fingerprint that has more, or with a link of a forest that fails, is a
+    cluster. Within clusters pairs of different components are verified, if their shingles' parities leave the similarity
+    possible: first the likeliest of each fingerprint, then all that are still of different components, so nothing rests on
+    the choices. A large group of near copies has thus grown together before all of its pairs are asked.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -541,18 +634,27 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = spark.sparkContext.broadcast(crowds)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_ROWS))
 
-    def verified(some: DataFrame, close: int) -> DataFrame:
-        sent = some.select("id", "label", "print").mapInArrow(_tables(bits, shared, buckets, most), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
-        return _verified(texts, nodes, sent.mapInArrow(_join_tables(close, budget), "a bigint, b bigint, forest boolean"), shingle, exact)
-
-    seen = verified(nodes.withColumn("label", F.lit(0).cast("bigint")), close)
-    links = seen.where("similar")
-    failed = seen.where("forest AND NOT similar")
-    if not failed.isEmpty():
-        tree = components(seen.where("forest"))
-        open_ = tree.join(tree.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "root").select(F.col("node").alias("id"))
-        again = _rooted(nodes, links).withColumnRenamed("root", "label").join(open_, "id", "left_semi")
-        links = links.unionAll(verified(stored(again, "again"), -1).where("similar"))
+    pair = "a bigint, b bigint, forest boolean, more boolean, asked boolean"
+    distinct = lambda pairs: stored(pairs.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("forest", "more", "asked"))), "pairs")
+    sent = nodes.select("id", "print").mapInArrow(_tables(bits, shared, buckets, most), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
+    met = distinct(sent.mapInArrow(_join_tables(close, budget), pair))
+    asked = met.where("asked")
+    seen = _verified(_texts(texts, nodes, _ends(asked)), asked, shingle, exact)
+    links, open_ = seen.where("similar"), seen.where("more OR (forest AND NOT similar)")
+    if not open_.isEmpty():
+        tree = stored(components(met), "tree")
+        roots = stored(tree.join(open_.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "roots")
+        left = stored(tree.join(roots, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster")), "open")
+        slices = stored(left.groupBy("cluster").agg(F.ceil(F.count("*") / most).cast("int").alias("slices")), "slices")
+        some = _texts(texts, nodes, left.select("id"))
+        bounds = some.mapInArrow(_parities(shingle), "id bigint, size bigint, parities binary")
+        left = stored(nodes.select("id", "print").join(left.join(slices, "cluster"), "id").join(bounds, "id"), "bounds")
+        mine = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+        units = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, mine).cast("bigint") * F.col("slices") + F.greatest(s, mine))
+        for every in (False, True):
+            rows = _rooted(left, links).withColumn("unit", F.explode(units)).select(F.xxhash64("cluster", "unit").alias("group"), "id", F.col("root").alias("label"), "size", "print", "parities")
+            met = distinct(rows.repartition("group").sortWithinPartitions("group").mapInArrow(_join_clusters(budget, exact, every), pair))
+            links = links.unionAll(_verified(some, met, shingle, exact).where("similar"))
     rooted = stored(_rooted(nodes.drop("print", "th"), links), "rooted")  # as in near_duplicates
     component = stored(rooted.groupBy("root").agg(F.min("least").alias("component")), "component")
     named = rooted.join(component, "root").select("id", "component")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_cases import CLASHES, backoff as slow_backoff, components, decontaminate, documents, frame, line_dedup, order, substrings
 
@@ -217,6 +218,50 @@ def test_similar_documents_verify_pairs_that_a_failed_link_hides(spark, monkeypa
     test_similar_documents(spark)
 
 
+@pytest.mark.parametrize("most", [4096, 64])
+def test_similar_documents_of_one_template(spark, monkeypatch, most):
+    """Pages of one template, near the similarity: the right components, from a number of pairs that grows with the pages."""
+    rnd = np.random.default_rng(8)
+    word = lambda: "".join(rnd.choice(list("abcdefgh"), 7))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rnd.choice(150, rnd.choice([1, 2, 3, 5, 6]), replace=False):
+            words[at] = word()
+        rows.append((i, " ".join(words), "en", "s"))
+    sets = [simhash.shingles(r[1].encode(), 5) for r in rows]
+    want = simhash.Forest(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                want.join(np.array([a]), np.array([b]))
+    asked, verified = [], simhash._verified
+
+    def counted(*a):
+        out = verified(*a)
+        asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    got = {r.doc_id: r.component for r in simhash.similar_documents(frame(spark, rows), most=most).collect()}
+    assert np.mean([got[i] == want.root[i] for i in range(len(rows))]) > 0.97
+    assert sum(asked) < 30 * len(rows), asked  # not all pairs within the budget
+
+
+def test_parities_bound_what_differs():
+    rnd = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rnd.choice(words, n)) for n in (0, 3, 40, 400, 4000, 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["id", "text"])
+    got = pa.Table.from_batches(simhash._parities(5)(iter([batch])))
+    sets = [simhash.shingles(x.encode(), 5) for x in texts]
+    assert got["size"].to_pylist() == [len(x) for x in sets]
+    odd = [np.frombuffer(x, np.uint8) for x in got["parities"].to_pylist()]
+    assert all(np.bitwise_count(odd[a] ^ odd[b]).sum() <= len(sets[a] ^ sets[b]) for a in range(6) for b in range(6))
+    assert np.bitwise_count(odd[2] ^ odd[3]).sum() > 0.9 * len(sets[2] ^ sets[3])
+
+
 def test_backoff(docs, rows):
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in backoff.scores(docs, chunk_bytes=2000, part_ngrams=300).collect()), key=lambda x: (order(x[0]), x[1]))
     want = sorted(slow_backoff(rows), key=lambda x: (order(x[0]), x[1]))
