@@ -226,8 +226,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 WIDE = 4  # words of 64 bits
 COUNTERS, SLICES = 1 << 22, 64
-ROW = [("group", np.uint64), ("id", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
+ROW = [("group", np.uint64), ("id", np.int64), ("label", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
 GROUP_ROWS = 500_000
+#: Tables whose links are verified before all tables are met.
+FIRST = 8
 #: Share of the pairs at just the similarity that lie within the budget whose links are taken as a forest.
 CLOSE = 0.05
 #: Pairs of fingerprints that are compared without further descent.
@@ -344,21 +346,23 @@ def _group_counts(bits: np.ndarray):
     return found
 
 
-def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
-    """Fingerprints by bucket of groups, packed; only groups that others share; large ones as a group for each pair of slices."""
+def _tables(bits: np.ndarray, crowds, buckets: int, most: int, alone: bool):
+    """Fingerprints by bucket of groups, packed; only groups that others share; large ones as a group for each pair of
+    slices, or for each slice `alone`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             prints, ids = _prints(batch.column("print")), batch.column("id").to_numpy()
+            labels = ids ^ batch.column("root").to_numpy()  # zero, which packs well, where a fingerprint is its own label
             group = table_groups(prints, bits)
             which, table = np.nonzero(crowds.value[(group & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1)
             g = group[which, table]
             slices = np.maximum(1, (1 << crowds.value[(g & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)) // most)
             mine = (mix(ids[which].view(np.uint64)) % slices.astype(np.uint64)).astype(np.int64)
-            other = ranges(np.zeros(len(which), np.int64), slices)
-            again = np.repeat(np.arange(len(which)), slices)
+            again = np.arange(len(which)) if alone else np.repeat(np.arange(len(which)), slices)
+            other = mine if alone else ranges(np.zeros(len(which), np.int64), slices)
             pair = np.minimum(mine[again], other) * slices[again] + np.maximum(mine[again], other)
             g, which = mix(g[again] + pair.astype(np.uint64)), which[again]
             order = np.argsort(g)
@@ -367,61 +371,97 @@ def _tables(bits: np.ndarray, crowds, buckets: int, most: int):
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else bucket
             rows = []
             for a, b in zip(cut, np.append(cut[1:], len(g))):
-                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], *prints[which[a:b]].T)]
+                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], labels[which[a:b]], *prints[which[a:b]].T)]
                 rows.append(b"".join(np.int64(len(x)).tobytes() + x for x in packed))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
     return run
 
 
-def _picked(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs of n places, with their costs (below 2^30), the cheapest of each place that has any: the places, their
-    partners, and whether a place has more than one. And the least place that pairs reach from each place."""
-    best, count, forest = np.full(n, np.iinfo(np.int64).max), np.zeros(n, np.int64), Forest(n)
+def _picked(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs of places, with their costs (below 2^30), the cheapest of each kind of place that has any: the kinds, the
+    pair's places, and whether a kind has more than one. And the least kind that pairs reach from each kind."""
+    n, none = int(kind.max(initial=-1)) + 1, np.iinfo(np.int64).max
+    best, count, forest = np.full(n, none >> 32), np.zeros(n, np.int64), Forest(n)
+    ends = np.zeros((2, n), np.int64)
     for x, y, cost in pairs:
+        packed = cost.astype(np.int64) << 32 | np.arange(len(x))
         for a, b in ((x, y), (y, x)):
-            np.minimum.at(best, a, cost.astype(np.int64) << 32 | b)
-            count += np.bincount(a, minlength=n)
-        forest.join(x, y)
+            now = np.full(n, none)
+            np.minimum.at(now, kind[a], packed)
+            better = np.flatnonzero(now >> 32 < best)
+            pick = now[better] & 0xFFFFFFFF
+            best[better], ends[0, better], ends[1, better] = now[better] >> 32, a[pick], b[pick]
+            count += np.bincount(kind[a], minlength=n)
+        forest.join(kind[x], kind[y])
     at = np.flatnonzero(count)
-    return at, best[at] & 0xFFFFFFFF, count[at] > 1, forest.root
+    return at, ends[0, at], ends[1, at], count[at] > 1, forest.root
 
 
-def _join_tables(close: int, budget: int):
-    """Pairs to verify: a forest of the links within `close`, and of the pairs within the budget that it leaves apart each
-    fingerprint's nearest; `more` where it has others. Rows that are not `asked` only tell what hangs together by pairs.
-    """
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """group, id, label and print, sorted by group and print: whole groups, some thousand fingerprints at a time."""
+    held = [_unpacked(raw) for batch in batches for raw in batch.column("rows").to_pylist()]
+    if not held:
+        return
+    group, ids, labels, *words = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.lexsort([*words[::-1], group])
+    group, ids, labels, prints = group[order], ids[order], labels[order] ^ ids[order], np.stack(words, axis=1)[order]
+    at = 0
+    while at < len(group):
+        to = int(np.searchsorted(group, group[min(at + MOST, len(group)) - 1], "right"))
+        yield group[at:to], ids[at:to], labels[at:to], prints[at:to]
+        at = to
+
+
+def _measured(pairs: Iterator[tuple[np.ndarray, np.ndarray]], prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return ((x, y, np.bitwise_count(prints[x] ^ prints[y]).sum(1, dtype=np.int64)) for x, y in pairs)
+
+
+def _join_first(close: int, budget: int):
+    """Pairs that likely link: a forest of the links within `close`, and of the pairs within the budget that it leaves apart
+    each fingerprint's nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpacked(raw) for batch in batches for raw in batch.column("rows").to_pylist()]
-        if not held:
-            return
-        group, ids, *words = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort([*words[::-1], group])
-        group, ids, prints = group[order], ids[order], np.stack(words, axis=1)[order]
-        at = 0
-        while at < len(group):  # whole groups, some thousand fingerprints at a time
-            to = int(np.searchsorted(group, group[min(at + MOST, len(group)) - 1], "right"))
-            some, print_ = ids[at:to], prints[at:to]
-            far, root = trie_links(group[at:to], print_, close)
-            yield _pairs(some[far], some[root], forest=True)
-            label = np.arange(to - at)
+        for group, ids, _, prints in _chunks(batches):
+            far, root = trie_links(group, prints, close)
+            yield _pairs(ids[far], ids[root])
+            label = np.arange(len(ids))
             label[far] = root
-            pairs = trie_pairs(group[at:to], print_, label, budget)
-            x, y, more, reach = _picked(((x, y, np.bitwise_count(print_[x] ^ print_[y]).sum(1, dtype=np.int64)) for x, y in pairs), to - at)
-            for kind in (False, True):
-                yield _pairs(some[x[more == kind]], some[y[more == kind]], more=kind)
-            x = x[more & (reach[x] != x)]
-            yield _pairs(some[x], some[reach[x]], asked=False)
-            at = to
+            _, x, y, *_ = _picked(_measured(trie_pairs(group, prints, label, budget), prints), np.arange(len(ids)))
+            yield _pairs(ids[x], ids[y])
 
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, forest: bool = False, more: bool = False, asked: bool = True) -> pa.RecordBatch:
+def _join_labels(budget: int):
+    """Of the pairs within the budget whose labels differ, the nearest of each label in a group; `more` where it has others.
+    Rows that are not `asked` only tell which labels hang together by pairs."""
+
+    def rows(a, b, to_a, to_b, more: bool, asked: bool) -> pa.RecordBatch:
+        ends = np.unique(np.where(a < b, [a, b, to_a, to_b], [b, a, to_b, to_a]), axis=1)
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in ends), *(pa.array(np.full(ends.shape[1], x)) for x in (more, asked))], names=["a", "b", "a_label", "b_label", "more", "asked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, ids, labels, prints in _chunks(batches):
+            order = np.lexsort([labels, group])
+            new = np.ones(len(order), bool)
+            new[1:] = (group[order[1:]] != group[order[:-1]]) | (labels[order[1:]] != labels[order[:-1]])
+            kind, name = np.empty(len(order), np.int64), labels[order[new]]
+            kind[order] = np.cumsum(new) - 1
+            at, x, y, more, reach = _picked(_measured(trie_pairs(group, prints, labels, budget), prints), kind)
+            for some in (False, True):
+                i, j = x[more == some], y[more == some]
+                yield rows(ids[i], ids[j], labels[i], labels[j], some, True)
+            at = at[more & (reach[at] != at)]
+            yield rows(name[at], name[reach[at]], name[at], name[reach[at]], False, False)
+
+    return run
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), *(pa.array(np.full(len(ends), x)) for x in (forest, more, asked))], names=["a", "b", "forest", "more", "asked"])
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
 def _parities(shingle: int):
@@ -468,7 +508,7 @@ def _join_clusters(budget: int, similarity: Fraction, every: bool):
         if every:
             yield from (_pairs(ids[x], ids[y]) for x, y, _ in pairs)
         else:
-            x, y, *_ = _picked(pairs, len(ids))
+            _, x, y, *_ = _picked(pairs, np.arange(len(ids)))
             yield _pairs(ids[x], ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -568,7 +608,7 @@ def _jaccard(shingle: int, similarity: Fraction):
                 x, y = of("a", x), of("b", y)
                 common = len(x & y)
                 similar.append(common * similarity.denominator >= similarity.numerator * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "forest", "more")), pa.array(similar, pa.bool_())], names=["a", "b", "forest", "more", "similar"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
 
     return run
 
@@ -582,19 +622,24 @@ def _texts(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
-    """pairs with `similar`, decided on the shingles. texts: id, text."""
+    """a, b and `similar`, decided on the shingles. texts: id, text."""
     both = pairs.join(texts.withColumnRenamed("id", "a"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("to_text")), "b")
-    return stored(both.mapInArrow(_jaccard(shingle, similarity), "a bigint, b bigint, forest boolean, more boolean, similar boolean"), "similar")
+    return stored(both.mapInArrow(_jaccard(shingle, similarity), "a bigint, b bigint, similar boolean"), "similar")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with `root`, the least id that links reach."""
-    root = components(links.select("a", "b"))
-    return nodes.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with their `root` after links between ids: the least root that the links reach."""
+    roots = nodes.select("id", "root")
+    ends = links.join(roots.toDF("a", "a_root"), "a").join(roots.toDF("b", "b_root"), "b").where("a_root <> b_root")
+    ends = stored(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct(), "apart")
+    if ends.isEmpty():
+        return nodes
+    least = components(ends).select(F.col("node").alias("root"), F.col("root").alias("__least"))
+    return stored(nodes.join(least, "root", "left").withColumn("root", F.coalesce("__least", "root")).drop("__least"), "rooted")
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, missed: float = 0.01, most: int = 4096, seed: int = 3) -> DataFrame:
@@ -604,11 +649,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pair at just the similarity is never compared with a probability of about `missed` (half of it for the tables of sampled
     bits, half for the bit budget), a closer one nearly never. Nulls, empty texts and repeated rows are as in `near_duplicates`.
 
-    Close fingerprints are verified along a forest of their links, others with the nearest of each table. What this leaves
-    out is open: whatever hangs together with a fingerprint that has more, or with a link of a forest that fails, is a
-    cluster. Within clusters pairs of different components are verified, if their shingles' parities leave the similarity
-    possible: first the likeliest of each fingerprint, then all that are still of different components, so nothing rests on
-    the choices. A large group of near copies has thus grown together before all of its pairs are asked.
+    In the `FIRST` tables close fingerprints are verified along a forest of their links, others with their nearest. What links
+    has one label from then on, so that a large group of near copies is few labels when all tables are met: there each
+    label's nearest of another label is verified, and a label that has more than that is open, as is all that hangs together
+    with it. Within these clusters pairs of different labels are verified, if their shingles' parities leave the similarity
+    possible: first the likeliest of each fingerprint, then all that are still of different labels, so nothing rests on the
+    choices. Pairs to verify thus grow with the fingerprints, not with the pairs of a group.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -632,30 +678,39 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         crowds[row["first"] : row["first"] + len(got)] = got
         total += row["total"]
     shared = spark.sparkContext.broadcast(crowds)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_ROWS))
-
-    pair = "a bigint, b bigint, forest boolean, more boolean, asked boolean"
-    distinct = lambda pairs: stored(pairs.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("forest", "more", "asked"))), "pairs")
-    sent = nodes.select("id", "print").mapInArrow(_tables(bits, shared, buckets, most), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
-    met = distinct(sent.mapInArrow(_join_tables(close, budget), pair))
-    asked = met.where("asked")
-    seen = _verified(_texts(texts, nodes, _ends(asked)), asked, shingle, exact)
-    links, open_ = seen.where("similar"), seen.where("more OR (forest AND NOT similar)")
+
+    def sent(rows: DataFrame, some: np.ndarray, alone: bool) -> DataFrame:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * len(some) // len(bits) // GROUP_ROWS))
+        return rows.select("id", "root", "print").mapInArrow(_tables(some, shared, buckets, most, alone), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
+
+    def linked(known: DataFrame, pairs: DataFrame) -> DataFrame:
+        return _verified(known, pairs.select("a", "b"), shingle, exact).where("similar").select("a", "b")
+
+    rooted = nodes.withColumn("root", F.col("id"))
+    met = stored(sent(rooted, bits[:FIRST], True).mapInArrow(_join_first(close, budget), "a bigint, b bigint").distinct(), "pairs")
+    rooted = _merged(rooted, linked(_texts(texts, nodes, _ends(met)), met))
+    ends = ["a", "b", "a_label", "b_label"]
+    met = sent(rooted, bits, False).mapInArrow(_join_labels(budget), ", ".join(f"{c} bigint" for c in ends) + ", more boolean, asked boolean")
+    met = stored(met.groupBy(*ends).agg(F.max("more").alias("more"), F.max("asked").alias("asked")), "pairs")
+    asked, open_ = met.where("asked"), met.where("more")
+    links = linked(_texts(texts, nodes, _ends(asked)), asked)
     if not open_.isEmpty():
-        tree = stored(components(met), "tree")
-        roots = stored(tree.join(open_.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "roots")
-        left = stored(tree.join(roots, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster")), "open")
+        tree = stored(components(met.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))), "tree")
+        clusters = tree.join(open_.select(F.col("a_label").alias("node")).distinct(), "node").select("root").distinct()
+        left = tree.join(stored(clusters, "clusters"), "root").select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+        left = stored(rooted.select("id", "print", "root").join(left, "root").drop("root"), "open")
         slices = stored(left.groupBy("cluster").agg(F.ceil(F.count("*") / most).cast("int").alias("slices")), "slices")
         some = _texts(texts, nodes, left.select("id"))
         bounds = some.mapInArrow(_parities(shingle), "id bigint, size bigint, parities binary")
-        left = stored(nodes.select("id", "print").join(left.join(slices, "cluster"), "id").join(bounds, "id"), "bounds")
+        left = stored(left.join(slices, "cluster").join(bounds, "id"), "bounds")
         mine = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
         units = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.least(s, mine).cast("bigint") * F.col("slices") + F.greatest(s, mine))
         for every in (False, True):
-            rows = _rooted(left, links).withColumn("unit", F.explode(units)).select(F.xxhash64("cluster", "unit").alias("group"), "id", F.col("root").alias("label"), "size", "print", "parities")
-            met = distinct(rows.repartition("group").sortWithinPartitions("group").mapInArrow(_join_clusters(budget, exact, every), pair))
-            links = links.unionAll(_verified(some, met, shingle, exact).where("similar"))
-    rooted = stored(_rooted(nodes.drop("print", "th"), links), "rooted")  # as in near_duplicates
+            rooted = _merged(rooted, links)
+            rows = left.join(rooted.select("id", "root"), "id").withColumn("unit", F.explode(units)).select(F.xxhash64("cluster", "unit").alias("group"), "id", F.col("root").alias("label"), "size", "print", "parities")
+            met = rows.repartition("group").sortWithinPartitions("group").mapInArrow(_join_clusters(budget, exact, every), "a bigint, b bigint")
+            links = linked(some, stored(met.distinct(), "pairs"))
+    rooted = _merged(rooted, links)  # stored, as in near_duplicates
     component = stored(rooted.groupBy("root").agg(F.min("least").alias("component")), "component")
     named = rooted.join(component, "root").select("id", "component")
     return printed.join(named, "id", "left").select(F.col("key").alias(key), "print", "component")

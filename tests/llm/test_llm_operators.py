@@ -249,6 +249,31 @@ def test_similar_documents_of_one_template(spark, monkeypatch, most):
     assert sum(asked) < 30 * len(rows), asked  # not all pairs within the budget
 
 
+def test_similar_documents_of_a_large_group_make_few_pairs(spark, monkeypatch):
+    """Near copies of one text are one label by the time that all tables are met, also where their groups are sliced."""
+    rnd = np.random.default_rng(9)
+    word = lambda: "".join(rnd.choice(list("abcdefgh"), 7))
+    base = [word() for _ in range(200)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in rnd.choice(200, 2, replace=False):
+            words[at] = word()
+        rows.append((i, " ".join(words), "en", "s"))
+    made, store = [], simhash.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.doc_id: r.component for r in simhash.similar_documents(frame(spark, rows), most=128).collect()}
+    assert set(got.values()) == {0}
+    assert sum(made) < 16 * len(rows), made
+
+
 def test_parities_bound_what_differs():
     rnd = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
