@@ -22,14 +22,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from methlake.llm.flags import FLAGS, as_flags, bits_of, row_flag
-from methlake.llm.packing import add_up, expand, expand_all, squeeze, squeeze_all
+from methlake.llm.packing import add_up, expand, expand_all, squeeze, squeeze_all, squeeze_parts
 from methlake.llm.shared import small_batches, stored
-from methlake.llm.words import NOT_SPACE, Words, counted, grouped, mix, pieces, ranges, release, utf8
+from methlake.llm.words import NOT_SPACE, Words, counted, gather, grouped, mix, pieces, ranges, release, utf8
 
 THRESHOLD = Fraction(4, 5)
 LEAST = 1
@@ -74,8 +75,11 @@ class Lines:
     def words(self) -> Words:
         return Words(self.data, self.start, NOT_SPACE)
 
-    def line(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.stop[i]].tobytes()
+    def some(self, at: np.ndarray) -> pa.Array:
+        """The lines of these numbers, as bytes."""
+        lengths = self.stop[at] - self.start[at]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(gather(self.data, self.start[at], lengths))]).cast(pa.binary())
 
 
 def word_ids(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -97,13 +101,17 @@ def _ceil(a, b):
     return -(-a // b)
 
 
-def line_sets(lines: Lines, classes: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(line numbers in the piece, word ids in order, first id of each line), blocks of lines of at least so many words."""
+def line_sets(lines: Lines, classes: np.ndarray, least: int, flags=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line numbers in the piece, word ids in order, first id of each line), blocks of lines of at least so many words; with
+    flags only lines that have a flagged word."""
     count = np.diff(lines.words.first)
     able = np.flatnonzero(count >= least)
     if not len(able):
         return
     ids = word_ids(lines.words.hashes(), classes)
+    if flags is not None:
+        before = np.concatenate([[0], np.cumsum(flags[(mix(ids) % np.uint64(FLAGS)).astype(np.int64)])])[lines.words.first]
+        able = able[before[able + 1] > before[able]]
     for at in range(0, len(able), BLOCK):
         some = able[at : at + BLOCK]
         mine = ids[ranges(lines.words.first[some], count[some])]
@@ -154,7 +162,7 @@ def _entries(classes, crowds, wanted, buckets: int, least: int, t: Fraction):
         for piece in pieces(batches, "text", PIECE):
             ords, ths = piece.column("ord").to_numpy(), piece.column("th").to_numpy()
             lines = Lines(piece.column("text"))
-            for line, word, first in line_sets(lines, classes.value, least):
+            for line, word, first in line_sets(lines, classes.value, least, flags):
                 size = np.diff(first)
                 if not len(size):
                     continue
@@ -186,7 +194,7 @@ def _entries(classes, crowds, wanted, buckets: int, least: int, t: Fraction):
                 columns = (unit, ords[text[owner]], ths[text[owner]], lines.number[line[owner]], size[owner], pos, sign[owner], sign2[owner], sid[owner] >> np.uint64(32))
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
                 columns = [c.astype(kind, copy=False) for c, (_, kind) in zip(columns, ENTRY)]
-                rows = [squeeze_all([c[a:b] for c in columns]) for a, b in zip(cut, np.append(cut[1:], len(bucket)))]
+                rows = squeeze_parts(columns, cut)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "entries"])
 
@@ -370,7 +378,7 @@ def _lines_of(wanted):
             lines = Lines(piece.column("text"))
             ord_, th = ords[lines.text_of], ths[lines.text_of]
             at = np.flatnonzero(flags[row_flag(ord_, th, lines.number)]) if len(ord_) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ord_[at]), pa.array(th[at]), pa.array(lines.number[at].astype(np.int32)), pa.array([lines.line(i) for i in at.tolist()], pa.binary())], names=["ord", "th", "line", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(ord_[at]), pa.array(th[at]), pa.array(lines.number[at].astype(np.int32)), lines.some(at)], names=["ord", "th", "line", "words"])
 
     return run
 
@@ -402,7 +410,7 @@ def _verify(classes, least: int, t: Fraction):
 def _verified(source: DataFrame, pairs: DataFrame, classes, least: int, t: Fraction, name: str) -> DataFrame:
     spark = source.sparkSession
     wanted = spark.sparkContext.broadcast(bits_of(pairs.select(F.explode(F.array("flag", "to_flag")).alias("flag")), "flag"))  # FLAGS bits
-    texts = source.mapInArrow(_lines_of(wanted), "ord bigint, th bigint, line int, words binary").dropDuplicates(["ord", "th", "line"])
+    texts = source.mapInArrow(_lines_of(wanted), "ord bigint, th bigint, line int, words binary").distinct()  # by all columns: hashed, where the first words of a key would be sorted
     texts = stored(texts, "texts")  # so that the joins read plain shuffles, of which AQE can split a line with many partners
     left = pairs.join(texts.select(F.col("ord").alias("to_ord"), F.col("th").alias("to_th"), F.col("line").alias("to_line"), F.col("words").alias("to_words")), ["to_ord", "to_th", "to_line"])
     both = left.join(texts, ["ord", "th", "line"]).select("ord", "th", "line", "flag", "partners", "words", "to_words")
@@ -455,13 +463,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "
 def _cut(text: str, names: list[str], kept_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text, PIECE):
-            total, removed, kept = [], [], []
-            for old, gone in zip(piece.column(text).to_pylist(), piece.column("__gone").to_pylist()):
-                out = set(gone or ())
-                total.append(old.count("\n") + 1 if old is not None else 0)
-                removed.append(len(out))
-                kept.append("\n".join(p for i, p in enumerate(old.split("\n")) if i not in out) if out else old)
-            made = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+            old, gone = piece.column(text), piece.column("__gone")
+            total = pc.fill_null(pc.add(pc.count_substring(old, "\n").cast(pa.int64()), 1), 0)
+            cut = pc.greater(pc.fill_null(pc.list_value_length(gone), 0), 0)  # other texts stay as they are
+            removed, kept = np.zeros(len(old), np.int64), []
+            for at, x, lines in zip(np.flatnonzero(cut), old.filter(cut).to_pylist(), gone.filter(cut).to_pylist()):
+                out = set(lines)
+                removed[at] = len(out)
+                kept.append("\n".join(p for i, p in enumerate(x.split("\n")) if i not in out))
+            made = [total, pa.array(removed), pc.replace_with_mask(old, cut, pa.array(kept, old.type))]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *made], names=[*names, "n_lines", "n_removed", kept_name])
 
     return run

@@ -34,6 +34,13 @@ def squeeze_all(columns: list[np.ndarray]) -> bytes:
     return np.int64(n).tobytes() + _ZSTD.compress(planes, asbytes=True)
 
 
+def squeeze_parts(columns: list[np.ndarray], cut: np.ndarray) -> list[bytes]:
+    """`squeeze_all` of each stretch of the columns; cut: where the stretches begin, in order."""
+    n = len(columns[0])
+    planes = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(n, c.itemsize).T for c in columns]) if n else np.zeros((0, 0), np.uint8)
+    return [np.int64(b - a).tobytes() + _ZSTD.compress(planes[:, a:b].tobytes(), asbytes=True) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), n])]
+
+
 def expand_all(raw: bytes, kinds: list) -> list[np.ndarray]:
     n = int(np.frombuffer(raw[:8], np.int64)[0])
     widths = [np.dtype(k).itemsize for k in kinds]

@@ -393,3 +393,21 @@ def test_few_vectors(spark):
 ])
 def test_empty_tables(empty, run):
     assert run(empty).collect() == []
+
+
+def test_line_sets_of_flagged_words_only():
+    """The second pass sorts only lines that have a wanted word, and its packed stretches are those of `squeeze_all`."""
+    from methlake.llm import packing
+
+    text = lines.Lines(pa.array(["a b c\nd e\n\nb f", "g h\nc"]))
+    classes = np.zeros(lines.COUNTERS, np.uint8)
+    (at, word, first), *rest = lines.line_sets(text, classes, 1)
+    assert at.tolist() == [0, 1, 3, 4, 5] and not rest
+    flags = np.zeros(lines.FLAGS, bool)
+    flags[lines.mix(word[first[4] : first[5]]) % np.uint64(lines.FLAGS)] = True  # "c"
+    (some, words, _), *rest = lines.line_sets(text, classes, 1, flags)
+    assert some.tolist() == [0, 5] and not rest
+    assert words.tolist() == [*word[: first[1]].tolist(), *word[first[4] :].tolist()]
+    columns = [np.arange(9), np.arange(9, dtype=np.int32) * 7]
+    cut = np.array([0, 2, 8])
+    assert packing.squeeze_parts(columns, cut) == [packing.squeeze_all([c[a:b] for c in columns]) for a, b in ((0, 2), (2, 8), (8, 9))]
