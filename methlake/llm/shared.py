@@ -12,6 +12,9 @@ from methlake.session import shared_dir
 #: Rows here carry whole texts: what the JVM and a Python worker hand each other at a time stays small.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
+#: Spark's setting that an action's exchange files go when it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to those above, where they are higher."""
@@ -22,9 +25,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in `spark.checkpoint.dir` and read back."""
+    """df written as Parquet in `spark.checkpoint.dir` and read back; the exchange files that this took are gone then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     release()  # what planning and small results took on the driver
     return spark.read.schema(df.schema).parquet(path)

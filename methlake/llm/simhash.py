@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from methlake.llm.components import components
 from methlake.llm.flags import as_flags, bits_of, row_flag
-from methlake.llm.packing import add_up, expand, squeeze
+from methlake.llm.packing import add_up, expand, expand_all, squeeze, squeeze_parts
 from methlake.llm.shared import small_batches, stored
 from methlake.llm.words import LOWER, NOT_SPACE, Words, mix, pieces, ranges, utf8
 
@@ -228,6 +229,9 @@ WIDE = 4  # words of 64 bits
 COUNTERS, SLICES = 1 << 22, 64
 ROW = [("group", np.uint64), ("id", np.int64), ("label", np.int64), *((f"w{i}", np.uint64) for i in range(WIDE))]
 GROUP_ROWS = 500_000
+#: Tables are met in rounds, since their number grows with the texts: rows that a round sends for each text, and rows that
+#: are one round in any case. PACKED: rows that a task packs at a time.
+ROUND, ROUND_ROWS, PACKED = 32, 8_000_000, 1 << 18
 #: Tables whose links are verified before all tables are met.
 FIRST = 8
 #: Share of the pairs at just the similarity that lie within the budget whose links are taken as a forest.
@@ -274,9 +278,7 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, label: np.ndarray, budget:
     n, bits = len(prints), 64 * prints.shape[1]
     if not n:
         return
-    ones = np.zeros((bits, n + 1), np.int32)
-    for d in range(bits):
-        np.cumsum((prints[:, d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), out=ones[d, 1:])
+    ones: dict[int, np.ndarray] = {}  # as in `trie_links`, of the bits that are reached: most groups are small
     turns = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])  # a range of places without turns has one label
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     last = np.append(first[1:], n)
@@ -314,7 +316,10 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, label: np.ndarray, budget:
         if not len(a0):
             continue
         same = a0 == b0
-        am, bm = a1 - (ones[depth, a1] - ones[depth, a0]), b1 - (ones[depth, b1] - ones[depth, b0])
+        if depth not in ones:
+            ones[depth] = np.concatenate([[0], np.cumsum((prints[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1), dtype=np.int32)])
+        before = ones[depth]
+        am, bm = a1 - (before[a1] - before[a0]), b1 - (before[b1] - before[b0])
         kids = [(a0, am, b0, bm, errors, None), (am, a1, bm, b1, errors, None), (a0, am, bm, b1, errors + 1, None), (am, a1, b0, bm, errors + 1, ~same)]
         parts = []
         for c0, c1, d0, d1, e, only in kids:
@@ -325,12 +330,12 @@ def trie_pairs(group: np.ndarray, prints: np.ndarray, label: np.ndarray, budget:
         waiting.append((depth + 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
-def table_groups(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Group of each fingerprint in each table."""
+def table_groups(prints: np.ndarray, bits: np.ndarray, first: int = 0) -> np.ndarray:
+    """Group of each fingerprint in each table; first: the number of the first table."""
     flat = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
     power = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
     value = np.stack([flat[:, b].astype(np.uint64) @ power for b in bits], axis=1)
-    return mix(value + (np.arange(len(bits), dtype=np.uint64) << np.uint64(32)))
+    return mix(value + (np.arange(first, first + len(bits), dtype=np.uint64) << np.uint64(32)))
 
 
 def _prints(column: pa.Array) -> np.ndarray:
@@ -346,38 +351,49 @@ def _group_counts(bits: np.ndarray):
     return found
 
 
-def _tables(bits: np.ndarray, crowds, buckets: int, most: int, alone: bool):
+def _tables(bits: np.ndarray, first: int, crowds, buckets: int, most: int, alone: bool):
     """Fingerprints by bucket of groups, packed; only groups that others share; large ones as a group for each pair of
     slices, or for each slice `alone`."""
 
+    def packed(prints: np.ndarray, ids: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+        labels = ids ^ roots  # zero, which packs well, where a fingerprint is its own label
+        group = table_groups(prints, bits, first)
+        which, table = np.nonzero(crowds.value[(group & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1)
+        g = group[which, table]
+        slices = _slices(crowds.value[(g & np.uint64(COUNTERS - 1)).astype(np.int64)], most)
+        mine = (mix(ids[which].view(np.uint64)) % slices.astype(np.uint64)).astype(np.int64)
+        again = np.arange(len(which)) if alone else np.repeat(np.arange(len(which)), slices)
+        other = mine if alone else ranges(np.zeros(len(which), np.int64), slices)
+        pair = np.minimum(mine[again], other) * slices[again] + np.maximum(mine[again], other)
+        g, which = mix(g[again] + pair.astype(np.uint64)), which[again]
+        order = np.argsort(g)
+        g, which = g[order], which[order]
+        bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else bucket
+        rows = squeeze_parts([g, ids[which], labels[which], *prints[which].T], cut) if len(g) else []
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints, ids = _prints(batch.column("print")), batch.column("id").to_numpy()
-            labels = ids ^ batch.column("root").to_numpy()  # zero, which packs well, where a fingerprint is its own label
-            group = table_groups(prints, bits)
-            which, table = np.nonzero(crowds.value[(group & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1)
-            g = group[which, table]
-            slices = np.maximum(1, (1 << crowds.value[(g & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)) // most)
-            mine = (mix(ids[which].view(np.uint64)) % slices.astype(np.uint64)).astype(np.int64)
-            again = np.arange(len(which)) if alone else np.repeat(np.arange(len(which)), slices)
-            other = mine if alone else ranges(np.zeros(len(which), np.int64), slices)
-            pair = np.minimum(mine[again], other) * slices[again] + np.maximum(mine[again], other)
-            g, which = mix(g[again] + pair.astype(np.uint64)), which[again]
-            order = np.argsort(g)
-            g, which = g[order], which[order]
-            bucket = ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(g) else bucket
-            rows = []
-            for a, b in zip(cut, np.append(cut[1:], len(g))):
-                packed = [squeeze(c) for c in (g[a:b], ids[which[a:b]], labels[which[a:b]], *prints[which[a:b]].T)]
-                rows.append(b"".join(np.int64(len(x)).tobytes() + x for x in packed))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+            held.append((_prints(batch.column("print")), batch.column("id").to_numpy(), batch.column("root").to_numpy()))
+            size += batch.num_rows * len(bits)
+            if size >= PACKED:
+                yield packed(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if size:
+            yield packed(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
+def _slices(crowds: np.ndarray, most: int) -> np.ndarray:
+    """Into how many slices groups are cut, by the length in bits of their sizes."""
+    return np.maximum(1, (1 << crowds.astype(np.int64)) // most)
+
+
 def _picked(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of pairs of places, with their costs (below 2^30), the cheapest of each kind of place that has any: the kinds, the
     pair's places, and whether a kind has more than one. And the least kind that pairs reach from each kind."""
@@ -400,7 +416,7 @@ def _picked(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: np
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """group, id, label and print, sorted by group and print: whole groups, some thousand fingerprints at a time."""
-    held = [_unpacked(raw) for batch in batches for raw in batch.column("rows").to_pylist()]
+    held = [expand_all(raw, [kind for _, kind in ROW]) for batch in batches for raw in batch.column("rows").to_pylist()]
     if not held:
         return
     group, ids, labels, *words = (np.concatenate(x) for x in zip(*held))
@@ -530,15 +546,6 @@ def _join_clusters(budget: int, similarity: Fraction, every: bool):
     return run
 
 
-def _unpacked(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    for _, kind in ROW:
-        n = int(np.frombuffer(raw[at : at + 8], np.int64)[0])
-        out.append(expand(raw[at + 8 : at + 8 + n], kind))
-        at += 8 + n
-    return out
-
-
 def _wide(text: str, shingle: int):
     """Each row's fingerprint of its distinct shingles, and their set's hash."""
 
@@ -654,7 +661,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     label's nearest of another label is verified, and a label that has more than that is open, as is all that hangs together
     with it. Within these clusters pairs of different labels are verified, if their shingles' parities leave the similarity
     possible: first the likeliest of each fingerprint, then all that are still of different labels, so nothing rests on the
-    choices. Pairs to verify thus grow with the fingerprints, not with the pairs of a group.
+    choices. Pairs to verify thus grow with the fingerprints, not with the pairs of a group. All tables are met in rounds of
+    some of them, since their number grows with the texts and a round's exchange is gone before the next one's is written.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -669,8 +677,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     close, budget = quantile(similarity, CLOSE) - 1, quantile(similarity, 1 - missed / 2)
 
     def finish(first: int, sums: np.ndarray) -> dict:
-        marks = squeeze(np.minimum(31, np.frexp(sums.astype(np.float64))[1]).astype(np.uint8))
-        return {"first": pa.array([first]), "bits": pa.array([marks], pa.binary()), "total": pa.array([int(sums[sums > 1].sum())])}
+        marks = np.minimum(31, np.frexp(sums.astype(np.float64))[1]).astype(np.uint8)
+        total = int((sums * _slices(marks, most))[sums > 1].sum())
+        return {"first": pa.array([first]), "bits": pa.array([squeeze(marks)], pa.binary()), "total": pa.array([total])}
 
     crowds, total = np.zeros(COUNTERS, np.uint8), 0
     for row in add_up(nodes.select("print"), _group_counts(bits), COUNTERS, SLICES, finish, "first bigint, bits binary, total bigint").collect():  # SLICES rows
@@ -679,19 +688,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         total += row["total"]
     shared = spark.sparkContext.broadcast(crowds)
 
-    def sent(rows: DataFrame, some: np.ndarray, alone: bool) -> DataFrame:
+    def sent(rows: DataFrame, some: np.ndarray, first: int, alone: bool) -> DataFrame:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * len(some) // len(bits) // GROUP_ROWS))
-        return rows.select("id", "root", "print").mapInArrow(_tables(some, shared, buckets, most, alone), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
+        return rows.select("id", "root", "print").mapInArrow(_tables(some, first, shared, buckets, most, alone), "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
 
     def linked(known: DataFrame, pairs: DataFrame) -> DataFrame:
         return _verified(known, pairs.select("a", "b"), shingle, exact).where("similar").select("a", "b")
 
     rooted = nodes.withColumn("root", F.col("id"))
-    met = stored(sent(rooted, bits[:FIRST], True).mapInArrow(_join_first(close, budget), "a bigint, b bigint").distinct(), "pairs")
+    met = stored(sent(rooted, bits[:FIRST], 0, True).mapInArrow(_join_first(close, budget), "a bigint, b bigint").distinct(), "pairs")
     rooted = _merged(rooted, linked(_texts(texts, nodes, _ends(met)), met))
     ends = ["a", "b", "a_label", "b_label"]
-    met = sent(rooted, bits, False).mapInArrow(_join_labels(budget), ", ".join(f"{c} bigint" for c in ends) + ", more boolean, asked boolean")
-    met = stored(met.groupBy(*ends).agg(F.max("more").alias("more"), F.max("asked").alias("asked")), "pairs")
+    kinds, told = ", ".join(f"{c} bigint" for c in ends) + ", more boolean, asked boolean", [F.max(c).alias(c) for c in ("more", "asked")]
+    at_once = max(1, max(ROUND * n, ROUND_ROWS) * len(bits) // max(1, total))
+    rounds = [stored(sent(rooted, bits[at : at + at_once], at, False).mapInArrow(_join_labels(budget), kinds).groupBy(*ends).agg(*told), "met") for at in range(0, len(bits), at_once)]
+    met = stored(reduce(DataFrame.unionAll, rounds).groupBy(*ends).agg(*told), "pairs")
     asked, open_ = met.where("asked"), met.where("more")
     links = linked(_texts(texts, nodes, _ends(asked)), asked)
     if not open_.isEmpty():

@@ -274,6 +274,51 @@ def test_similar_documents_of_a_large_group_make_few_pairs(spark, monkeypatch):
     assert sum(made) < 16 * len(rows), made
 
 
+def test_similar_documents_meet_tables_in_rounds(spark, monkeypatch):
+    """What an exchange holds does not grow with the number of tables, and rounds find what one pass over all tables finds."""
+    rnd = np.random.default_rng(10)
+    word = lambda: "".join(rnd.choice(list("abcdefgh"), 7))
+    rows = []
+    for i in range(150):
+        words = [word() for _ in range(100)]
+        rows += [(2 * i, " ".join(words), "en", "s"), (2 * i + 1, " ".join(words[: 100 - i % 12] + [word() for _ in range(i % 12)]), "en", "s")]
+    met, make = [], simhash._tables
+
+    def counted(bits, *a):
+        met.append((len(bits), a[0], a[-1]))
+        return make(bits, *a)
+
+    monkeypatch.setattr(simhash, "_tables", counted)
+    found = lambda: {r.doc_id: r.component for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    whole = found()
+    (tables, *_), = [m for m in met if not m[-1]]
+    met.clear()
+    monkeypatch.setattr(simhash, "ROUND", 2, raising=False)
+    monkeypatch.setattr(simhash, "ROUND_ROWS", 1, raising=False)
+    assert found() == whole and 100 < sum(k != v for k, v in whole.items())
+    rounds = [m for m in met if not m[-1]]
+    assert len(rounds) > 5 and all(m[0] <= 4 for m in rounds)
+    assert [x for n, first, _ in rounds for x in range(first, first + n)] == list(range(tables))
+
+
+def test_stored_leaves_no_exchange_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from methlake.llm.shared import CLEANUP, stored
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString(",").split(",") if "shuffle_" in x}
+    had = files()
+    got = stored(spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    for _ in range(50):  # they go beside the job
+        if not files() - had:
+            break
+        time.sleep(0.1)
+    assert not files() - had and got.count() == 7 and spark.conf.get(CLEANUP, None) is None
+
+
 def test_parities_bound_what_differs():
     rnd = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
