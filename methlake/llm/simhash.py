@@ -620,12 +620,16 @@ def _jaccard(shingle: int, similarity: Fraction):
     return run
 
 
+def wanted(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of texts (th, text) whose th some has, and few others; no text is sent anywhere."""
+    flags = texts.sparkSession.sparkContext.broadcast(_flagged(some, ["th"]))  # FLAGS bits
+    return texts.mapInArrow(_wanted(flags), "th bigint, text binary")
+
+
 def _texts(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """id, text of the ids. texts: th, text; nodes: id, th."""
     ends = stored(nodes.join(ids, "id").select("id", "th"), "ends")
-    flags = texts.sparkSession.sparkContext.broadcast(_flagged(ends, ["th"]))  # FLAGS bits
-    some = texts.mapInArrow(_wanted(flags), "th bigint, text binary").dropDuplicates(["th"])
-    return stored(some.join(ends, "th").select("id", "text"), "texts")
+    return stored(wanted(texts, ends).dropDuplicates(["th"]).join(ends, "th").select("id", "text"), "texts")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
@@ -664,14 +668,25 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     choices. Pairs to verify thus grow with the fingerprints, not with the pairs of a group. All tables are met in rounds of
     some of them, since their number grows with the texts and a round's exchange is gone before the next one's is written.
     """
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("text"))
+    return similar_prints(wide_prints(rows, shingle), rows, shingle, similarity, missed, most, seed).withColumnRenamed("key", key)
+
+
+def wide_prints(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """key, th, id (hash of the set of shingles) and print of rows (key, th, text)."""
+    small_batches(rows.sparkSession)
+    kind = rows.schema["key"].dataType.simpleString()
+    return stored(rows.mapInArrow(_wide("text", shingle), f"key {kind}, th bigint, id bigint, print binary"), "wide")
+
+
+def similar_prints(printed: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = 0.8, missed: float = 0.01, most: int = 4096, seed: int = 3) -> DataFrame:
+    """`similar_documents` of rows whose fingerprints are there, as `wide_prints` gives them: key, print, component. texts
+    has th and text of all of them, and may have more."""
+    spark = printed.sparkSession
+    small_batches(spark)
     exact = Fraction(str(similarity))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    printed = stored(rows.mapInArrow(_wide("text", shingle), f"key {kind}, th bigint, id bigint, print binary"), "wide")
     nodes = stored(printed.groupBy("id").agg(F.min("key").alias("least"), F.min("th").alias("th"), F.min("print").alias("print")), "distinct")
-    texts = rows.select("th", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    texts = texts.select("th", "text").where("text IS NOT NULL")
     n = nodes.count()
     bits = sampled_bits(n, similarity, missed / 2, seed)
     close, budget = quantile(similarity, CLOSE) - 1, quantile(similarity, 1 - missed / 2)
@@ -724,4 +739,4 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rooted = _merged(rooted, links)  # stored, as in near_duplicates
     component = stored(rooted.groupBy("root").agg(F.min("least").alias("component")), "component")
     named = rooted.join(component, "root").select("id", "component")
-    return printed.join(named, "id", "left").select(F.col("key").alias(key), "print", "component")
+    return printed.join(named, "id", "left").select("key", "print", "component")

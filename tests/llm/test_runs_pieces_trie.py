@@ -314,3 +314,40 @@ def test_near_copies_leave_the_pipeline(spark, tmp_path):
     assert {1000 + i for i in range(20)} <= {r.doc_id for r in cut.collect()}  # remnants
     left = [r.doc_id for r in stages["near_dedup"](spark, cut, str(tmp_path)).collect()]
     assert sorted(x for x in left if x is not None) == list(range(60)) and left.count(None) == 1
+
+
+def _near_dedup_after_line_dedup(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(2).write.parquet(f"{path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    cut = stages["line_dedup"](spark, spark.read.parquet(f"{path}/documents.parquet"), str(path)).cache()
+    return [r.doc_id for r in cut.collect()], [r.doc_id for r in stages["near_dedup"](spark, cut, str(path)).collect()]
+
+
+def test_near_copies_whose_ids_repeat_or_are_null_leave_too(spark, tmp_path):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(3, 8)))
+    texts = ["\n".join(" ".join(word() for _ in range(10)) for _ in range(20)) for _ in range(12)]
+
+    def near(text):
+        parts = [x.split(" ") for x in text.split("\n")]
+        for p in parts[:3]:
+            p[4:6] = word(), word()
+        return "\n".join(" ".join(p) for p in parts)
+
+    twice = near(texts[6])
+    copies = [(None, near(texts[0])), (None, near(texts[1])), (None, near(texts[2])), (500, near(texts[3])), (500, near(texts[4])), (600, twice), (600, twice)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in [*enumerate(texts), *copies]]
+    cut, left = _near_dedup_after_line_dedup(spark, tmp_path, rows)
+    assert cut.count(None) == 3 and cut.count(500) == cut.count(600) == 2  # remnants
+    assert sorted(left, key=str) == sorted(range(12), key=str)
+
+
+def test_what_is_left_of_different_texts_is_compared(spark, tmp_path):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("aeioubcdlmnrst") for _ in range(rnd.randint(3, 8)))
+    block = lambda: [" ".join(word() for _ in range(10)) for _ in range(30)]
+    a, b, words = block(), block(), [word() for _ in range(140)]
+    wrapped = lambda n: [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
+    texts = ["\n".join(x) for x in (a, b, a + wrapped(10), b + wrapped(7), block())]
+    cut, left = _near_dedup_after_line_dedup(spark, tmp_path, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    assert sorted(cut) == [0, 1, 2, 3, 4] and sorted(left) == [0, 1, 2, 4]
