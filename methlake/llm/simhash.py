@@ -231,7 +231,7 @@ ROW = [("group", np.uint64), ("id", np.int64), ("label", np.int64), *((f"w{i}",
 GROUP_ROWS = 500_000
 #: Tables are met in rounds, since their number grows with the texts: rows that a round sends for each text, and rows that
 #: are one round in any case. PACKED: rows that a task packs at a time.
-ROUND, ROUND_ROWS, PACKED = 32, 8_000_000, 1 << 18
+ROUND, ROUND_ROWS, PACKED = 32, 8_000_000, 1 << 17
 #: Tables whose links are verified before all tables are met.
 FIRST = 8
 #: Share of the pairs at just the similarity that lie within the budget whose links are taken as a forest.
